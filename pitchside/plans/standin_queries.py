@@ -253,3 +253,378 @@ def q_pitch_layout(spark, d):
 
 
 _ = invert_groups  # re-exported for callers that build their own maps
+
+
+# ----------------------------------------------------------------------------
+# team summary
+# ----------------------------------------------------------------------------
+
+from pitchside.operators.formation import formation_long, formation_profile, formation_rows  # noqa: E402
+from pitchside.operators.lanes import attack_lanes, classify_tokens, lane_profile  # noqa: E402
+from pitchside.operators.prompt import scouting_prompt  # noqa: E402
+from pitchside.operators.summary import season_summary, team_summary  # noqa: E402
+
+RESOLVE_TEXT = "i"
+SUM_COLS = [m for m, how in presets.TEAM_MEASURES.items() if how == "sum"]
+MEAN_COLS = [m for m, how in presets.TEAM_MEASURES.items() if how == "mean"]
+
+
+def _summary_out(df):
+    return df.select("team", *[F.col(c) for c in SUM_COLS], *[_r6(c) for c in MEAN_COLS])
+
+
+def _sql_summary_body() -> str:
+    aggs = ",\n         ".join(
+        (f"coalesce(sum({m}), 0) AS {m}" if how == "sum" else f"avg({m}) AS {m}")
+        for m, how in presets.TEAM_MEASURES.items())
+    return f"""tm AS ({si.TEAM_MATCH_SQL}),
+ts AS (SELECT * EXCLUDE (team), trim(team) AS team FROM tm
+       WHERE date >= TIMESTAMP '{SEASON}-01-01' AND date < TIMESTAMP '{SEASON + 1}-01-01'),
+summary AS (
+  SELECT team,
+         {aggs}
+  FROM ts WHERE team IS NOT NULL GROUP BY team)"""
+
+
+_SUMMARY_SELECT = ", ".join(["team", *SUM_COLS, *[f"round({c}, 6) AS {c}" for c in MEAN_COLS]])
+
+
+@register("season_summary", f"""WITH {_sql_summary_body()}
+SELECT {_SUMMARY_SELECT} FROM summary""")
+def q_season_summary(spark, d):
+    return _summary_out(season_summary(si.team_matches(spark, d), year=SEASON))
+
+
+@register("resolve_team", f"""WITH {_sql_summary_body()},
+hits AS (SELECT team, date FROM ts WHERE team IS NOT NULL AND contains(lower(team), lower('{RESOLVE_TEXT}'))),
+first_team AS (SELECT team FROM hits ORDER BY date, team LIMIT 1)
+SELECT {_SUMMARY_SELECT} FROM summary WHERE team IN (SELECT team FROM first_team)""")
+def q_resolve_team(spark, d):
+    return _summary_out(team_summary(si.team_matches(spark, d), RESOLVE_TEXT, year=SEASON))
+
+
+# ----------------------------------------------------------------------------
+# attack lanes
+# ----------------------------------------------------------------------------
+
+LANE_ORDER = ["x", *si.ORDER_KEYS]
+_INT_RE = "[+-]?[0-9]+(_[0-9]+)*"
+
+
+def _sql_pyint(expr: str) -> str:
+    s = f"trim({expr})"
+    return f"(CASE WHEN regexp_full_match({s}, '{_INT_RE}') THEN CAST(replace({s}, '_', '') AS BIGINT) END)"
+
+
+_XG_RE = presets.XG_PATTERN
+
+
+def _sql_lane_cls() -> str:
+    is_lane = "(contains(text, '/') AND contains(text, 'XG'))"
+    is_pct = f"(NOT {is_lane} AND contains(text, '%'))"
+    att = _sql_pyint("split_part(text, '/', 1)")
+    xg_txt = f"regexp_extract(text, '{_XG_RE}', 1)"
+    xg = f"(CASE WHEN {xg_txt} <> '' THEN TRY_CAST(replace({xg_txt}, '<', '') AS DOUBLE) END)"
+    pct = _sql_pyint("replace(text, '%', '')")
+    return f"""tok AS ({si.LANE_TOKEN_SQL}),
+cls0 AS (
+  SELECT *, CASE WHEN {is_lane} THEN 'lane' WHEN {is_pct} THEN 'percent' END AS kind,
+         {att} AS __a, {xg} AS __x, {pct} AS __p
+  FROM tok),
+cls AS (
+  SELECT * EXCLUDE (__a, __x, __p),
+         CASE WHEN kind = 'lane' AND __a IS NOT NULL AND __x IS NOT NULL THEN __a END AS attempts,
+         CASE WHEN kind = 'lane' AND __a IS NOT NULL AND __x IS NOT NULL THEN __x END AS xg,
+         CASE WHEN kind = 'percent' THEN __p END AS percent
+  FROM cls0),
+cls2 AS (
+  SELECT *, coalesce((kind = 'lane' AND attempts IS NOT NULL) OR (kind = 'percent' AND percent IS NOT NULL),
+                     FALSE) AS valid
+  FROM cls)"""
+
+
+def _sql_lanes() -> str:
+    order = ", ".join(LANE_ORDER)
+    return f"""{_sql_lane_cls()},
+lv AS (SELECT image_id, attempts, xg,
+              row_number() OVER (PARTITION BY image_id ORDER BY {order}) AS n,
+              count(*) OVER (PARTITION BY image_id) AS cnt
+       FROM cls2 WHERE valid AND kind = 'lane'),
+pv AS (SELECT image_id, percent,
+              row_number() OVER (PARTITION BY image_id ORDER BY {order}) AS n,
+              count(*) OVER (PARTITION BY image_id) AS cnt
+       FROM cls2 WHERE valid AND kind = 'percent'),
+rj AS (SELECT image_id, count(*) AS rejects FROM cls2 WHERE kind IS NOT NULL AND NOT valid GROUP BY image_id),
+imgs AS (SELECT DISTINCT image_id, team FROM ({si.IMAGE_SQL})),
+lanes AS (
+  SELECT i.image_id, i.team,
+         l1.attempts AS left_attempts, l1.xg AS left_XG, p1.percent AS left_percent,
+         l2.attempts AS mid_attempts, l2.xg AS mid_XG, p2.percent AS mid_percent,
+         l3.attempts AS right_attempts, l3.xg AS right_XG, p3.percent AS right_percent,
+         coalesce(rj.rejects, 0) AS rejects
+  FROM imgs i
+  LEFT JOIN lv l1 ON l1.image_id = i.image_id AND l1.n = 1
+  LEFT JOIN lv l2 ON l2.image_id = i.image_id AND l2.n = 2
+  LEFT JOIN lv l3 ON l3.image_id = i.image_id AND l3.n = l3.cnt AND l3.cnt >= 3
+  LEFT JOIN pv p1 ON p1.image_id = i.image_id AND p1.n = 1
+  LEFT JOIN pv p2 ON p2.image_id = i.image_id AND p2.n = 2
+  LEFT JOIN pv p3 ON p3.image_id = i.image_id AND p3.n = p3.cnt AND p3.cnt >= 3
+  LEFT JOIN rj ON rj.image_id = i.image_id)"""
+
+
+@register("lane_tokens", f"""WITH {_sql_lane_cls()}
+SELECT image_id, {", ".join(si.ORDER_KEYS)}, kind, attempts, xg, percent, valid,
+       (kind IS NOT NULL AND NOT valid) AS rejected
+FROM cls2""")
+def q_lane_tokens(spark, d):
+    c = classify_tokens(si.lane_tokens(spark, d))
+    return c.select("image_id", *si.ORDER_KEYS, "kind", "attempts", "xg", "percent", "valid", "rejected")
+
+
+LANE_FIELDS = [f"{lane}_{k}" for lane in presets.LANES for k in ("attempts", "XG", "percent")]
+
+
+def _lanes(spark, d):
+    imgs = si.report_images(spark, d)
+    lanes = attack_lanes(si.lane_tokens(spark, d), images=imgs, order_cols=LANE_ORDER)
+    return lanes.join(imgs, "image_id")
+
+
+@register("attack_lanes", f"""WITH {_sql_lanes()}
+SELECT image_id, {", ".join(LANE_FIELDS)}, rejects FROM lanes""")
+def q_attack_lanes(spark, d):
+    return _lanes(spark, d).select("image_id", *LANE_FIELDS, "rejects")
+
+
+PROFILE_NUM = ([f"{lane}_{k}" for lane in presets.LANES for k in ("attempts", "XG")] + ["total_XG"]
+               + [f"{lane}_share" for lane in presets.LANES]
+               + [f"{lane}_arrow_{k}" for lane in presets.LANES for k in ("length", "width")])
+PROFILE_TXT = [f"{lane}_label" for lane in presets.LANES]
+
+
+def _sql_lane_profile() -> str:
+    means = ", ".join(f"avg({lane}_{k}) AS {lane}_{k}" for lane in presets.LANES for k in ("attempts", "XG"))
+    tx = " + ".join(f"coalesce({lane}_XG, 0)" for lane in presets.LANES)
+    ta = " + ".join(f"coalesce({lane}_attempts, 0)" for lane in presets.LANES)
+    share = ", ".join(
+        f"CASE WHEN ({tx}) = 0 THEN (CASE WHEN coalesce({lane}_XG, 0) > 0 THEN CAST('inf' AS DOUBLE) END) "
+        f"ELSE coalesce({lane}_XG, 0) / ({tx}) END * 100 AS {lane}_share" for lane in presets.LANES)
+    arrows = ", ".join(
+        f"{lane}_attempts / nullif({ta}, 0) * 0.75 AS {lane}_arrow_length, "
+        f"{lane}_attempts / nullif({ta}, 0) * 10 AS {lane}_arrow_width" for lane in presets.LANES)
+    labels = ", ".join(
+        f"CASE WHEN {lane}_attempts IS NOT NULL THEN CAST(CAST(trunc({lane}_attempts) AS BIGINT) AS VARCHAR) "
+        f"|| ' / ' || coalesce(printf('%.2f', {lane}_XG), 'nan') || ' xG' || chr(10) "
+        f"|| coalesce(printf('%.0f', {lane}_share), 'nan') || '%' END AS {lane}_label"
+        for lane in presets.LANES)
+    return f"""{_sql_lanes()},
+pm AS (SELECT team, {means} FROM lanes GROUP BY team),
+pf AS (SELECT *, {tx} AS total_XG, {share}, {arrows} FROM pm),
+profile AS (SELECT *, {labels} FROM pf)"""
+
+
+@register("lane_profile", f"""WITH {_sql_lane_profile()}
+SELECT team, {", ".join(f"round({c}, 6) AS {c}" for c in PROFILE_NUM)}, {", ".join(PROFILE_TXT)}
+FROM profile""")
+def q_lane_profile(spark, d):
+    prof = lane_profile(_lanes(spark, d), by=["team"])
+    return prof.select("team", *[_r6(c) for c in PROFILE_NUM], *PROFILE_TXT)
+
+
+# ----------------------------------------------------------------------------
+# formation
+# ----------------------------------------------------------------------------
+
+SLOT_COLS = presets.FORMATION_COLUMNS
+INTERVAL_COLS = presets.FORMATION_INTERVALS
+_FORDER = ", ".join(si.ORDER_KEYS)
+_FLOAT_RE = (r"[+-]?(([0-9]+(_[0-9]+)*)(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)"
+             r"([eE][+-]?[0-9]+(_[0-9]+)*)?")
+
+
+def _q(c: str) -> str:
+    return f'"{c}"'
+
+
+def _sql_formation(select: str) -> str:
+    num = (f"(CASE WHEN regexp_full_match(trim(text), '{_FLOAT_RE}') "
+           f"THEN TRY_CAST(replace(trim(text), '_', '') AS DOUBLE) END)")
+    words = "(CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split_regex(trim(text), '\\s+')) END)"
+    if select == "second":
+        pick = "SELECT *, 'blue' AS colour FROM rows_ WHERE row_no = 2"
+    else:
+        pick = """SELECT * EXCLUDE (rn), CASE WHEN row_no = 1 THEN 'black' ELSE 'blue' END AS colour FROM (
+      SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY row_no) AS rn FROM rows_
+      WHERE contains(lower(team), lower(img_team))) WHERE rn = 1 AND row_no <= 2"""
+    slot_sel = ", ".join(f"max(CASE WHEN slot = {i + 1} THEN value END) AS {_q(s)}" for i, s in enumerate(SLOT_COLS))
+    int_sel = ", ".join(f"max(CASE WHEN interval_no = {i + 1} THEN value END) AS {_q(s)}"
+                        for i, s in enumerate(INTERVAL_COLS))
+    complete = " AND ".join(f"{_q(s)} IS NOT NULL" for s in SLOT_COLS)
+    return f"""tt AS ({si.FORMATION_TABLE_SQL}),
+t1 AS (SELECT image_id, team AS img_team, {_FORDER}, text,
+              (NOT regexp_matches(text, '[0-9]') AND {words} > 1) AS is_team, {num} AS num
+       FROM tt),
+t2 AS (SELECT *, is_team AND row_number() OVER (PARTITION BY image_id, text ORDER BY {_FORDER}) = 1 AS is_first
+       FROM t1),
+t3 AS (SELECT *,
+              last(CASE WHEN is_team THEN text END IGNORE NULLS) OVER (
+                  PARTITION BY image_id ORDER BY {_FORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cur,
+              sum(CAST(is_first AS INTEGER)) OVER (
+                  PARTITION BY image_id ORDER BY {_FORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS blk
+       FROM t2),
+vals AS (SELECT * FROM (
+           SELECT *, count(*) OVER (PARTITION BY image_id, blk ORDER BY {_FORDER}
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS slot
+           FROM t3 WHERE NOT is_team AND contains(text, '.') AND cur IS NOT NULL AND num IS NOT NULL)
+         WHERE slot <= 3),
+firsts AS (SELECT image_id, text AS team, {_FORDER} FROM t2 WHERE is_first),
+cells AS (SELECT v.image_id, v.cur AS team, v.slot,
+                 arg_max(v.num, struct_pack({", ".join(f"{k} := v.{k}" for k in si.ORDER_KEYS)})) AS value
+          FROM vals v GROUP BY v.image_id, v.cur, v.slot),
+wide AS (SELECT c.image_id, c.team, {slot_sel} FROM cells c GROUP BY c.image_id, c.team),
+rows0 AS (SELECT w.*, f.l_linenumber, f.l_partkey, f.l_suppkey, f.l_extendedprice
+          FROM wide w JOIN firsts f ON f.image_id = w.image_id AND f.team = w.team WHERE {complete}),
+imgteam AS (SELECT DISTINCT image_id, img_team FROM t1),
+rows_ AS (SELECT r.* EXCLUDE (l_linenumber, l_partkey, l_suppkey, l_extendedprice), it.img_team,
+                 row_number() OVER (PARTITION BY r.image_id ORDER BY {", ".join("r." + k for k in si.ORDER_KEYS)}) AS row_no
+          FROM rows0 r JOIN imgteam it ON it.image_id = r.image_id),
+picked AS ({pick}),
+lt AS ({si.FORMATION_LINE_SQL}),
+flv AS (SELECT * FROM (
+         SELECT image_id, section AS colour, TRY_CAST(text AS BIGINT) AS value,
+                row_number() OVER (PARTITION BY image_id, section ORDER BY x, seq) AS interval_no
+         FROM lt WHERE regexp_full_match(text, '[0-9]+'))
+       WHERE interval_no <= 6),
+flw AS (SELECT image_id, colour, count(*) AS n, {int_sel} FROM flv GROUP BY image_id, colour),
+frows AS (SELECT p.image_id, p.img_team, p.team, p.colour,
+                 {", ".join("p." + _q(s) for s in SLOT_COLS)}, {", ".join("l." + _q(s) for s in INTERVAL_COLS)}
+          FROM picked p JOIN flw l ON l.image_id = p.image_id AND l.colour = p.colour WHERE l.n = 6)"""
+
+
+_ALL_F = [*SLOT_COLS, *INTERVAL_COLS]
+_SQL_FROWS_OUT = ", ".join(["image_id", "img_team AS image_team", "team", "colour", *[_q(c) for c in _ALL_F]])
+
+
+def _formation_rows(spark, d, select):
+    tt = si.formation_table_tokens(spark, d)
+    lt = si.formation_line_tokens(spark, d)
+    team = F.col("image_team") if select == "name" else None
+    return formation_rows(tt.withColumnRenamed("team", "image_team"), lt, select=select, team=team,
+                          order_cols=("x", "seq"), carry=["image_team"])
+
+
+def _frows_out(df):
+    return df.select("image_id", "image_team", "team", "colour", *[F.col(f"`{c}`") for c in _ALL_F])
+
+
+@register("formation_rows", f"""WITH {_sql_formation('name')}
+SELECT {_SQL_FROWS_OUT} FROM frows""")
+def q_formation_rows(spark, d):
+    return _frows_out(_formation_rows(spark, d, "name"))
+
+
+@register("formation_second", f"""WITH {_sql_formation('second')}
+SELECT {_SQL_FROWS_OUT} FROM frows""")
+def q_formation_second(spark, d):
+    return _frows_out(_formation_rows(spark, d, "second"))
+
+
+def _sql_fprofile() -> str:
+    means = ", ".join(f"avg(CAST(trunc({_q(c)}) AS BIGINT)) AS {_q(c)}" for c in _ALL_F)
+    ivals = ", ".join(_q(c) for c in INTERVAL_COLS)
+    return f"""{_sql_formation('name')},
+fp0 AS (SELECT img_team AS image_team, {means} FROM frows GROUP BY img_team),
+fprofile AS (SELECT *, least({ivals}) - (greatest({ivals}) - least({ivals})) * 0.1 AS y_low,
+                    greatest({ivals}) + (greatest({ivals}) - least({ivals})) * 0.1 AS y_high,
+                    printf('%.1f', "Total") AS total_text, printf('%.1f', "1st half") AS first_half_text,
+                    printf('%.1f', "2nd half") AS second_half_text
+             FROM fp0)"""
+
+
+_FP_NUM = [*_ALL_F, "y_low", "y_high"]
+
+
+@register("formation_profile", f"""WITH {_sql_fprofile()}
+SELECT image_team, {", ".join(f"round({_q(c)}, 6) AS {_q(c)}" for c in _FP_NUM)},
+       total_text, first_half_text, second_half_text
+FROM fprofile""")
+def q_formation_profile(spark, d):
+    prof = formation_profile(_formation_rows(spark, d, "name"), by=["image_team"])
+    return prof.select("image_team", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in _FP_NUM],
+                       "total_text", "first_half_text", "second_half_text")
+
+
+@register("formation_long", f"""WITH {_sql_formation('name')},
+fl AS ({" UNION ALL ".join(f"SELECT img_team AS image_team, '{c}' AS label, CAST({_q(c)} AS DOUBLE) AS v FROM frows"
+                            for c in _ALL_F)})
+SELECT image_team, label, round(avg(CAST(trunc(v) AS BIGINT)), 6) AS value FROM fl GROUP BY image_team, label""")
+def q_formation_long(spark, d):
+    fl = formation_long(_formation_rows(spark, d, "name"), by=["image_team"])
+    return fl.select("image_team", "label", F.round("value", 6).alias("value"))
+
+
+# ----------------------------------------------------------------------------
+# scouting prompt
+# ----------------------------------------------------------------------------
+
+def _sql_pystr(expr: str, kind: str) -> str:
+    if kind == "double":
+        return (f"coalesce(CASE WHEN isinf({expr}) THEN (CASE WHEN {expr} > 0 THEN 'inf' ELSE '-inf' END) "
+                f"WHEN isnan({expr}) THEN 'nan' ELSE CAST({expr} AS VARCHAR) END, 'nan')")
+    return f"coalesce(CAST({expr} AS VARCHAR), 'nan')"
+
+
+def _sql_prompt() -> str:
+    ind = "    "
+    nl = "chr(10)"
+
+    def lit(s: str) -> str:
+        parts = s.split("\n")
+        out = []
+        for i, p in enumerate(parts):
+            if i:
+                out.append(nl)
+            if p:
+                out.append("'" + p.replace("'", "''") + "'")
+        return " || ".join(out) if out else "''"
+
+    kinds = {c: ("double" if presets.TEAM_MEASURES.get(c) == "mean" else "int") for c in presets.TEAM_MEASURES}
+    stats = [lit("\n")]
+    for label, col, suffix in presets.PROMPT_STAT_LINES:
+        k = "str" if col == "team" else kinds[col]
+        stats += [lit(f"{ind}- {label}: "), _sql_pystr(f"s.{col}", k), lit(f"{suffix}\n")]
+    stats.append(lit(ind))
+    attack = [lit(f"\n{ind}Attack Side Breakdown:\n")]
+    for label, lane in presets.PROMPT_LANE_LINES:
+        attack += [lit(f"{ind}- {label}: "), _sql_pystr(f"l.{lane}_attempts", "double"),
+                   lit(" attempts, xG: "), _sql_pystr(f"l.{lane}_XG", "double"), lit("\n")]
+    attack.append(lit(ind))
+    form = [lit(f"\n{ind}Average Formation Possession by Time Period:\n{ind}- Total: "),
+            _sql_pystr('f."Total"', "double"), lit(f"%\n{ind}")]
+    pieces = ([lit(f"\n{ind}{presets.PROMPT_INTRO}\n\n{ind}Team Stats:\n{ind}")] + stats
+              + [lit(f"\n\n{ind}Attack Side Breakdown:\n{ind}")] + attack
+              + [lit(f"\n\n{ind}Average Formation Possession:\n{ind}")] + form
+              + [lit(f"\n\n{ind}{presets.PROMPT_OUTRO}\n{ind}")])
+    return " || ".join(f"({p})" for p in pieces)
+
+
+# The prompt prints full float reprs; its inputs are rounded to 6 decimals in
+# both engines so that summation order cannot change the text.
+_LANE_MEANS = [f"{lane}_{k}" for lane in presets.LANES for k in ("attempts", "XG")]
+
+
+@register("scouting_prompt", f"""WITH {_sql_summary_body()},
+{_sql_lane_profile()},
+{_sql_fprofile()},
+s AS (SELECT * REPLACE ({", ".join(f"round({c}, 6) AS {c}" for c in MEAN_COLS)}) FROM summary),
+l AS (SELECT team, {", ".join(f"round({c}, 6) AS {c}" for c in _LANE_MEANS)} FROM profile),
+f AS (SELECT image_team, round("Total", 6) AS "Total" FROM fprofile)
+SELECT s.team, '{presets.SYSTEM_MESSAGE}' AS system_message, {_sql_prompt()} AS prompt
+FROM s LEFT JOIN l ON l.team = s.team LEFT JOIN f ON f.image_team = s.team""")
+def q_scouting_prompt(spark, d):
+    summary = season_summary(si.team_matches(spark, d), year=SEASON)
+    summary = summary.select("team", *SUM_COLS, *[_r6(c) for c in MEAN_COLS])
+    lanes = lane_profile(_lanes(spark, d), by=["team"]).select("team", *[_r6(c) for c in _LANE_MEANS])
+    form = (formation_profile(_formation_rows(spark, d, "name"), by=["image_team"])
+            .select(F.col("image_team").alias("team"), _r6("Total")))
+    return scouting_prompt(summary, lanes, form)

@@ -48,7 +48,8 @@ PLAYER_MATCH_EXPRS = [
 
 TEAM_MATCH_EXPRS = [
     ("date", "l_shipdate"),
-    ("team", "p_type"),
+    ("team", "CASE WHEN l_linenumber = 1 THEN ' ' || substring(o_orderpriority, 3) || ' ' "
+             "ELSE substring(o_orderpriority, 3) END"),
     ("goals", "l_linenumber % 3"),
     ("xg", "l_discount * 10"),
     ("shots", "l_linenumber"),
@@ -88,11 +89,83 @@ def player_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project(li.join(part, li.l_partkey == part.p_partkey, "left"), PLAYER_MATCH_EXPRS)
 
 
-def team_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem x part -> team-match rows (team = part type)."""
+def _lineitem_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    return _project(li.join(part, li.l_partkey == part.p_partkey, "left"), TEAM_MATCH_EXPRS)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return li.join(orders, li.l_orderkey == orders.o_orderkey, "left")
+
+
+def team_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem x orders -> team-match rows (team = order priority name)."""
+    return _project(_lineitem_orders(spark, sf_dir), TEAM_MATCH_EXPRS)
+
+
+def lane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem x orders -> shooting-side OCR tokens (image = order)."""
+    return _project(_lineitem_orders(spark, sf_dir), LANE_TOKEN_EXPRS)
+
+
+def report_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders -> the list of report images (kept even without tokens)."""
+    return _project(table(spark, sf_dir, "orders"), IMAGE_EXPRS)
+
+
+def formation_table_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _project(_lineitem_orders(spark, sf_dir), FORMATION_TABLE_EXPRS)
+    return df.withColumn("seq", F.struct(*[F.col(k) for k in ORDER_KEYS]))
+
+
+def formation_line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lo = _lineitem_orders(spark, sf_dir)
+    black = _project(lo, FORMATION_BLACK_EXPRS)
+    blue = _project(lo, FORMATION_BLUE_EXPRS)
+    return black.unionByName(blue)
+
+
+ORDER_KEYS = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+_KEYS = [(k, k) for k in ORDER_KEYS]
+_TEAM = "substring(o_orderpriority, 3)"
+
+LANE_TOKEN_EXPRS = [
+    ("image_id", "l_orderkey"),
+    ("team", _TEAM),
+    ("x", "cast(l_partkey % 50 AS double)"),
+    *_KEYS,
+    ("text", "CASE "
+             "WHEN l_tax <= CAST(0.025 AS DOUBLE) THEN cast(cast(l_quantity AS int) AS string) || ' / ' "
+             "|| cast(cast(floor(l_discount * 100) AS int) AS string) || '.' "
+             "|| cast(l_linenumber AS string) || ' XG' "
+             "WHEN l_tax <= CAST(0.035 AS DOUBLE) THEN cast(l_linenumber AS string) || '/<0.0' "
+             "|| cast(l_partkey % 10 AS string) || 'XG' "
+             "WHEN l_tax <= CAST(0.045 AS DOUBLE) THEN 'x / 0.' || cast(l_linenumber AS string) || ' XG' "
+             "WHEN l_tax <= CAST(0.065 AS DOUBLE) THEN cast(cast(l_quantity AS int) AS string) || '%' "
+             "WHEN l_tax <= CAST(0.075 AS DOUBLE) THEN cast(l_linenumber AS string) || ' / XG' "
+             "ELSE 'a' || cast(l_linenumber AS string) || '%' END"),
+]
+
+IMAGE_EXPRS = [("image_id", "o_orderkey"), ("team", "substring(o_orderpriority, 3)")]
+
+FORMATION_TABLE_EXPRS = [
+    ("image_id", "l_orderkey"),
+    ("team", _TEAM),
+    *_KEYS,
+    ("text", "CASE "
+             f"WHEN l_linenumber IN (1, 7) THEN 'Team ' || {_TEAM} "
+             "WHEN l_linenumber = 4 THEN 'Rival ' || o_orderstatus "
+             "WHEN l_linenumber = 6 AND l_tax > CAST(0.045 AS DOUBLE) "
+             "THEN cast(cast(l_quantity AS int) AS string) || '.5m' "
+             "ELSE cast(cast(l_quantity AS int) AS string) || '.' || cast(l_partkey % 10 AS string) END"),
+]
+FORMATION_BLACK_EXPRS = [
+    ("image_id", "l_orderkey"), ("section", "'black'"), ("x", "l_extendedprice"), ("seq", "l_partkey"),
+    ("text", "cast(cast(l_quantity AS int) AS string)"),
+]
+FORMATION_BLUE_EXPRS = [
+    ("image_id", "l_orderkey"), ("section", "'blue'"), ("x", "cast(l_suppkey AS double)"),
+    ("seq", "l_partkey"),
+    ("text", "CASE WHEN l_tax > CAST(0.075 AS DOUBLE) THEN 'n' || cast(l_partkey % 97 AS string) "
+             "ELSE cast(l_partkey % 97 AS string) END"),
+]
 
 
 def sql_select(exprs, source: str) -> str:
@@ -102,5 +175,10 @@ def sql_select(exprs, source: str) -> str:
 
 PLAYER_MATCH_SQL = sql_select(
     PLAYER_MATCH_EXPRS, "lineitem LEFT JOIN part ON l_partkey = p_partkey")
-TEAM_MATCH_SQL = sql_select(
-    TEAM_MATCH_EXPRS, "lineitem LEFT JOIN part ON l_partkey = p_partkey")
+_LO = "lineitem LEFT JOIN orders ON l_orderkey = o_orderkey"
+TEAM_MATCH_SQL = sql_select(TEAM_MATCH_EXPRS, _LO)
+LANE_TOKEN_SQL = sql_select(LANE_TOKEN_EXPRS, _LO)
+IMAGE_SQL = sql_select(IMAGE_EXPRS, "orders")
+FORMATION_TABLE_SQL = sql_select(FORMATION_TABLE_EXPRS, _LO)
+FORMATION_LINE_SQL = (sql_select(FORMATION_BLACK_EXPRS, _LO) + "\nUNION ALL\n"
+                      + sql_select(FORMATION_BLUE_EXPRS, _LO))
