@@ -628,3 +628,121 @@ def q_scouting_prompt(spark, d):
     form = (formation_profile(_formation_rows(spark, d, "name"), by=["image_team"])
             .select(F.col("image_team").alias("team"), _r6("Total")))
     return scouting_prompt(summary, lanes, form)
+
+
+# ----------------------------------------------------------------------------
+# grid heatmap
+# ----------------------------------------------------------------------------
+
+from pitchside.operators.grid import (  # noqa: E402
+    accumulate, colour_classes, crop_pixels, formation_boxes, grid_occupancy, image_cells, image_dims,
+    scale_grid, with_gray,
+)
+
+CELL = (3, 3)
+FRACTION = 0.2
+_LO_B, _HI_B = presets.GRAY_BAND
+_GRAY_SQL = "((4899 * r + 9617 * g + 1868 * b + 8192) >> 14)"
+
+
+def _sql_grid(gray_expr: str) -> str:
+    ch, cw = CELL
+    return f"""px AS ({si.PIXEL_SQL}),
+pxg AS (SELECT *, {gray_expr} AS gv FROM px),
+dims AS (SELECT image_id, max("row") + 1 AS height, max(col) + 1 AS width FROM pxg GROUP BY image_id),
+cells AS (SELECT image_id, side, CAST(floor("row" / {ch}) AS INTEGER) AS cell_row,
+                 CAST(floor(col / {cw}) AS INTEGER) AS cell_col,
+                 sum(CASE WHEN gv >= {_HI_B} OR gv <= {_LO_B} THEN 1 ELSE 0 END) AS marked
+          FROM pxg GROUP BY ALL),
+flags AS (SELECT c.*, CASE WHEN marked > {float(ch * cw * FRACTION)!r} THEN 1 ELSE 0 END AS flag
+          FROM cells c JOIN dims d USING (image_id)
+          WHERE cell_row < CAST(floor(height / {ch}) AS INTEGER) AND cell_col < CAST(floor(width / {cw}) AS INTEGER)),
+grid AS (SELECT side, cell_row, cell_col, CAST(sum(flag) AS BIGINT) AS hits FROM flags GROUP BY ALL)"""
+
+
+@register("grid_occupancy", f"""WITH {_sql_grid('gray')}
+SELECT side, cell_row, cell_col, hits FROM grid""")
+def q_grid_occupancy(spark, d):
+    return grid_occupancy(si.pixels(spark, d), CELL, FRACTION, by=["side"])
+
+
+@register("grid_log", f"""WITH {_sql_grid('gray')}
+SELECT side, cell_row, cell_col, hits, round(ln(1 + hits), 6) AS scaled FROM grid""")
+def q_grid_log(spark, d):
+    g = scale_grid(grid_occupancy(si.pixels(spark, d), CELL, FRACTION, by=["side"]), "log", by=["side"])
+    return g.select("side", "cell_row", "cell_col", "hits", _r6("scaled"))
+
+
+@register("grid_minmax", f"""WITH {_sql_grid('gray')},
+st AS (SELECT side, min(hits) AS lo, max(hits) AS hi FROM grid GROUP BY side)
+SELECT g.side, cell_row, cell_col, hits,
+       round(CASE WHEN hi = lo THEN NULL ELSE (hits - lo) / CAST(hi - lo AS DOUBLE) END, 6) AS scaled
+FROM grid g JOIN st USING (side)""")
+def q_grid_minmax(spark, d):
+    g = scale_grid(grid_occupancy(si.pixels(spark, d), CELL, FRACTION, by=["side"]), "normalize",
+                   by=["side"])
+    return g.select("side", "cell_row", "cell_col", "hits", _r6("scaled"))
+
+
+@register("gray_band", f"""WITH px AS ({si.PIXEL_SQL})
+SELECT image_id, "row", col, {_GRAY_SQL} AS gray,
+       CAST(({_GRAY_SQL}) >= {_HI_B} OR ({_GRAY_SQL}) <= {_LO_B} AS INTEGER) AS marked
+FROM px""")
+def q_gray_band(spark, d):
+    from pitchside.functions.pixels import band_mask
+    px = with_gray(si.pixels(spark, d).drop("gray"))
+    return px.select("image_id", "row", "col", "gray", band_mask(F.col("gray")).alias("marked"))
+
+
+def _sql_hsv() -> str:
+    v = "greatest(r, g, b)"
+    diff = f"({v} - least(r, g, b))"
+    sdiv = f"(CASE WHEN {v} = 0 THEN 0 ELSE CAST(floor({255.0 * 4096!r} / {v} + 0.5) AS INTEGER) END)"
+    s = f"(({diff} * {sdiv} + 2048) >> 12)"
+    hraw = f"(CASE WHEN {v} = r THEN g - b WHEN {v} = g THEN b - r + 2 * {diff} ELSE r - g + 4 * {diff} END)"
+    hdiv = f"(CASE WHEN {diff} = 0 THEN 0 ELSE CAST(floor({180.0 * 4096!r} / ({diff} * 6) + 0.5) AS INTEGER) END)"
+    h0 = f"(({hraw} * {hdiv} + 2048) >> 12)"
+    h = f"(CASE WHEN {h0} < 0 THEN {h0} + 180 ELSE {h0} END)"
+    return h, s, v
+
+
+def _sql_in_range(h, s, v, lo, hi):
+    return (f"({h} BETWEEN {lo[0]} AND {hi[0]} AND {s} BETWEEN {lo[1]} AND {hi[1]} "
+            f"AND {v} BETWEEN {lo[2]} AND {hi[2]})")
+
+
+_H, _S, _V = _sql_hsv()
+
+
+@register("colour_classes", f"""WITH px AS ({si.PIXEL_SQL})
+SELECT image_id, {", ".join(
+    f"CAST(sum(CASE WHEN {_sql_in_range(_H, _S, _V, lo, hi)} THEN 1 ELSE 0 END) AS BIGINT) AS {name}_pixels"
+    for name, (lo, hi) in presets.HSV_RANGES.items())}
+FROM px GROUP BY image_id""")
+def q_colour_classes(spark, d):
+    return colour_classes(si.pixels(spark, d))
+
+
+@register("crop_pixels", f"""WITH px AS ({si.PIXEL_SQL}),
+dims AS (SELECT image_id, max("row") + 1 AS height, max(col) + 1 AS width FROM px GROUP BY image_id),
+boxes AS (
+  SELECT image_id, 'table' AS section, 0 AS x0, 0 AS y0, CAST(width AS INTEGER) AS x1,
+         CAST(trunc(height * {presets.FORMATION_TOP_FRACTION!r}) AS INTEGER) AS y1 FROM dims
+  UNION ALL
+  SELECT image_id, 'graph', CAST(trunc(width * {presets.FORMATION_X_RANGE[0]!r}) AS INTEGER),
+         CAST(trunc(height * {presets.FORMATION_BOTTOM_FROM!r}) AS INTEGER),
+         CAST(trunc(width * {presets.FORMATION_X_RANGE[1]!r}) AS INTEGER), CAST(height AS INTEGER) FROM dims)
+SELECT px.image_id, section, "row" - y0 AS "row", col - x0 AS col, gray
+FROM px JOIN boxes USING (image_id)
+WHERE col >= x0 AND col < x1 AND "row" >= y0 AND "row" < y1""")
+def q_crop_pixels(spark, d):
+    px = si.pixels(spark, d)
+    boxes = formation_boxes(image_dims(px))
+    return crop_pixels(px, boxes).select("image_id", "section", "row", "col", "gray")
+
+
+@register("image_cells_grid", f"""WITH {_sql_grid(_GRAY_SQL)}
+SELECT side, cell_row, cell_col, hits FROM grid""")
+def q_image_cells_grid(spark, d):
+    cells = image_cells(si.images(spark, d), CELL, FRACTION, keep=["side"])
+    return accumulate(cells, by=["side"])

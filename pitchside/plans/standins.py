@@ -168,6 +168,43 @@ FORMATION_BLUE_EXPRS = [
 ]
 
 
+def _chan(x: str) -> str:
+    return (f"cast(least(255, greatest(0, floor((CAST({x} AS DOUBLE) + CAST(0.5 AS DOUBLE)) "
+            f"* CAST(255 AS DOUBLE)))) AS int)")
+
+
+# embeddings (64 floats) as an 8 x 8 BGR image; side from label parity
+PIXEL_EXPRS = [
+    ("image_id", "vec_id"),
+    ("side", "CASE WHEN label % 2 = 0 THEN 'home_team' ELSE 'opp_team' END"),
+    ("row", "cast(floor(i / 8) AS int)"),
+    ("col", "cast(i % 8 AS int)"),
+    ("b", _chan("e")),
+    ("g", _chan("-e")),
+    ("r", _chan("CAST(e AS DOUBLE) * 2")),
+    ("gray", _chan("e")),
+]
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emb = table(spark, sf_dir, "embeddings")
+    px = emb.select("vec_id", "label", F.posexplode("embedding").alias("i", "e"))
+    return _project(px, PIXEL_EXPRS)
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings -> Spark ``image`` rows (8 x 8, 3 channels, BGR bytes)."""
+    emb = table(spark, sf_dir, "embeddings")
+    def ch(x):
+        return f"lpad(hex({_chan(x)}), 2, '0')"
+    hexdata = (f"concat_ws('', transform(embedding, e -> concat({ch('e')}, {ch('-e')}, "
+               f"{ch('CAST(e AS DOUBLE) * 2')})))")
+    img = F.struct(F.concat(F.lit("emb://"), F.col("vec_id").cast("string")).alias("origin"),
+                   F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"),
+                   F.lit(16).alias("mode"), F.unhex(F.expr(hexdata)).alias("data"))
+    return emb.select(img.alias("image"), F.expr(PIXEL_EXPRS[1][1]).alias("side"))
+
+
 def sql_select(exprs, source: str) -> str:
     cols = ",\n       ".join(f'{e} AS "{n}"' for n, e in exprs)
     return f"SELECT {cols}\nFROM {source}"
@@ -176,6 +213,8 @@ def sql_select(exprs, source: str) -> str:
 PLAYER_MATCH_SQL = sql_select(
     PLAYER_MATCH_EXPRS, "lineitem LEFT JOIN part ON l_partkey = p_partkey")
 _LO = "lineitem LEFT JOIN orders ON l_orderkey = o_orderkey"
+PIXEL_SQL = sql_select(PIXEL_EXPRS, "(SELECT vec_id, label, unnest(range(len(embedding))) AS i, "
+                                    "unnest(embedding) AS e FROM embeddings)")
 TEAM_MATCH_SQL = sql_select(TEAM_MATCH_EXPRS, _LO)
 LANE_TOKEN_SQL = sql_select(LANE_TOKEN_EXPRS, _LO)
 IMAGE_SQL = sql_select(IMAGE_EXPRS, "orders")
