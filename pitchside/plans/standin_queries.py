@@ -746,3 +746,72 @@ SELECT side, cell_row, cell_col, hits FROM grid""")
 def q_image_cells_grid(spark, d):
     cells = image_cells(si.images(spark, d), CELL, FRACTION, keep=["side"])
     return accumulate(cells, by=["side"])
+
+
+# ----------------------------------------------------------------------------
+# report catalog and crop plan
+# ----------------------------------------------------------------------------
+
+from pitchside.operators.catalog import crop_plan, report_catalog  # noqa: E402
+
+CATALOG_COLS = ["folder", "file", "page_count", "team_1", "team_2", "team_slot", "other_team", "image_index"]
+
+
+def _sql_catalog() -> str:
+    team, own = si.STANDIN_TEAM, si.STANDIN_OWN
+    word = team.split()[0].lower()
+    return f"""files AS ({si.REPORT_SQL}),
+fp AS (SELECT *, string_split(path, '/')[-2] AS folder, string_split(path, '/')[-1] AS file FROM files),
+tf AS (SELECT min(folder) AS folder FROM fp WHERE contains(lower(folder), '{word}')),
+f1 AS (SELECT *, trim(string_split(file, '-')[1]) AS team_1, trim(string_split(file, '-')[2]) AS team_2
+       FROM fp WHERE folder IN (SELECT folder FROM tf) AND suffix(file, '.pdf')
+         AND NOT contains(lower(file), lower('{own}'))),
+f2 AS (SELECT *, CASE WHEN team_2 IS NULL THEN NULL WHEN contains(team_1, '{team}') THEN 1
+                      WHEN contains(team_2, '{team}') THEN 2 END AS team_slot FROM f1),
+catalog AS (SELECT *, CASE WHEN team_slot = 1 THEN team_2 ELSE team_1 END AS other_team,
+                   CAST(row_number() OVER (PARTITION BY folder ORDER BY file, path) AS INTEGER) AS image_index
+            FROM f2 WHERE team_slot IS NOT NULL)"""
+
+
+def _catalog(spark, d):
+    return report_catalog(si.report_files(spark, d), si.STANDIN_TEAM, own_team=si.STANDIN_OWN)
+
+
+@register("report_catalog", f"""WITH {_sql_catalog()}
+SELECT {", ".join(CATALOG_COLS)} FROM catalog""")
+def q_report_catalog(spark, d):
+    return _catalog(spark, d).select(*CATALOG_COLS)
+
+
+def _sql_crop_spec() -> str:
+    rows = [f"({slot}, {no}, '{side}', '{kind}', {base}, {str(shifts).upper()}, {r[0]}, {r[1]}, {r[2]}, {r[3]}, "
+            f"'trunc')" for slot, no, side, kind, base, shifts, r in presets.CROP_SPEC]
+    side, kind, base, shifts, r = presets.FORMATION_CROP
+    rows += [f"({slot}, 5, '{side}', '{kind}', {base}, {str(shifts).upper()}, {r[0]}, {r[1]}, {r[2]}, {r[3]}, "
+             f"'round')" for slot in (1, 2)]
+    return ("spec(team_slot, crop_no, side, kind, page_base, shifts, x0, y0, x1, y1, rounding) AS (VALUES "
+            + ", ".join(rows) + ")")
+
+
+_SCALE = presets.DPI / presets.BASE_DPI
+
+
+def _sql_px(c: str) -> str:
+    v = f"(CAST(s.{c} AS DOUBLE) * {_SCALE!r})"
+    return f"CAST(CASE WHEN rounding = 'round' THEN round_even({v}, 0) ELSE trunc({v}) END AS INTEGER)"
+
+
+@register("crop_plan", f"""WITH {_sql_catalog()},
+{_sql_crop_spec()}
+SELECT folder, file, image_index, crop_no, side, kind,
+       page_base + CASE WHEN shifts THEN page_count - {presets.BASE_PAGE_COUNT} ELSE 0 END AS page,
+       {_sql_px('x0')} AS x0, {_sql_px('y0')} AS y0, {_sql_px('x1')} AS x1, {_sql_px('y1')} AS y1,
+       CASE WHEN kind = 'avg_formation'
+            THEN kind || '_' || CAST(image_index AS VARCHAR) || '_' || team_1 || '_' || team_2 || '.png'
+            WHEN side = 'home_team'
+            THEN kind || '_' || CAST(image_index AS VARCHAR) || '_' || '{si.STANDIN_TEAM}' || '_against_' || other_team || '.png'
+            ELSE kind || '_' || CAST(image_index AS VARCHAR) || '_' || other_team || '_against_' || '{si.STANDIN_TEAM}' || '.png'
+       END AS out_name
+FROM catalog c JOIN spec s USING (team_slot)""")
+def q_crop_plan(spark, d):
+    return crop_plan(_catalog(spark, d))

@@ -205,6 +205,37 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emb.select(img.alias("image"), F.expr(PIXEL_EXPRS[1][1]).alias("side"))
 
 
+# orders -> match-report files: team 1 = customer nation, team 2 = nation of
+# the order's lowest supplier; each file is listed in both teams' folders.
+REPORT_FILE = ("CASE WHEN o_orderkey % 13 = 0 THEN n1 || ' vs ' || n2 || '.pdf' "
+               "WHEN o_orderkey % 13 = 1 THEN n1 || ' - ' || n2 || '.PDF' "
+               "ELSE n1 || ' - ' || n2 || ' ' || cast(o_orderkey % 5 AS string) || '-' "
+               "|| cast(o_orderkey % 3 AS string) || ' #' || cast(o_orderkey AS string) || '.pdf' END")
+REPORT_EXPRS = [
+    ("path", f"'/reports/' || fn || ' reports/' || {REPORT_FILE}"),
+    ("page_count", "24 + cast(o_orderkey % 3 AS int)"),
+]
+STANDIN_TEAM = "NATION_1"
+STANDIN_OWN = "nation_2"
+
+
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    li = (table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
+          .agg(F.min("l_suppkey").alias("l_suppkey")))
+    t1 = (o.join(c, o.o_custkey == c.c_custkey)
+          .join(n.withColumnRenamed("n_name", "n1"), F.col("c_nationkey") == F.col("n_nationkey"))
+          .select("o_orderkey", "n1"))
+    t2 = (li.join(s, li.l_suppkey == s.s_suppkey)
+          .join(n.withColumnRenamed("n_name", "n2"), F.col("s_nationkey") == F.col("n_nationkey"))
+          .select(F.col("l_orderkey").alias("o_orderkey"), "n2"))
+    both = t1.join(t2, "o_orderkey").select("*", F.explode(F.array("n1", "n2")).alias("fn"))
+    return _project(both, REPORT_EXPRS)
+
+
 def sql_select(exprs, source: str) -> str:
     cols = ",\n       ".join(f'{e} AS "{n}"' for n, e in exprs)
     return f"SELECT {cols}\nFROM {source}"
@@ -213,6 +244,11 @@ def sql_select(exprs, source: str) -> str:
 PLAYER_MATCH_SQL = sql_select(
     PLAYER_MATCH_EXPRS, "lineitem LEFT JOIN part ON l_partkey = p_partkey")
 _LO = "lineitem LEFT JOIN orders ON l_orderkey = o_orderkey"
+REPORT_SQL = sql_select(REPORT_EXPRS, """(
+  SELECT o_orderkey, n1.n_name AS n1, n2.n_name AS n2, unnest([n1.n_name, n2.n_name]) AS fn
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey
+  JOIN (SELECT l_orderkey, min(l_suppkey) AS sk FROM lineitem GROUP BY l_orderkey) li ON li.l_orderkey = o_orderkey
+  JOIN supplier ON s_suppkey = li.sk JOIN nation n2 ON s_nationkey = n2.n_nationkey)""")
 PIXEL_SQL = sql_select(PIXEL_EXPRS, "(SELECT vec_id, label, unnest(range(len(embedding))) AS i, "
                                     "unnest(embedding) AS e FROM embeddings)")
 TEAM_MATCH_SQL = sql_select(TEAM_MATCH_EXPRS, _LO)
