@@ -5,7 +5,7 @@ from pitchside.functions.numeric import (  # noqa: F401
     nan_to_null, pandas_divide, per90_term, skipna_sum, trunc_to_long,
 )
 from pitchside.functions.text import (  # noqa: F401
-    py_strip, py_int, py_float, py_isdigit, py_fixed, py_str_double, py_str_value,
+    py_strip, py_int, py_float, py_isdigit, py_fixed, py_str_double, py_str_value, with_py_str,
     first_word, contains_ci,
 )
 from pitchside.functions.pixels import (  # noqa: F401

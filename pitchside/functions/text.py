@@ -8,7 +8,7 @@ raises under ANSI mode and nothing Spark-only (``'4.5d'``) is accepted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Python's str.strip() whitespace: Unicode White_Space plus the \x1c-\x1f separators
@@ -18,7 +18,7 @@ _INT_RE = r"^[+-]?[0-9]+(_[0-9]+)*$"
 _DIGITS = r"[0-9]+(_[0-9]+)*"
 _FLOAT_RE = (rf"^[+-]?(({_DIGITS})(\.({_DIGITS})?)?|\.{_DIGITS})"
              rf"([eE][+-]?{_DIGITS})?$")
-_SCI_RE = r"^(-?)([0-9])(?:\.([0-9]+))?E(-?[0-9]+)$"
+_E_RE = r"^(-?)([0-9])(?:\.([0-9]+))?e([+-]?[0-9]+)$"
 
 
 def _c(x) -> Column:
@@ -70,25 +70,28 @@ def py_fixed(x, digits: int) -> Column:
     binary value does not (2.675) can still differ by one unit (SURVEY N12).
     """
     c = _c(x).cast("double")
+    txt = F.format_string(f"%.{digits}f", F.bround(c, digits))
+    # Python keeps the sign of a negative value that rounds to zero ('-0')
+    neg = c.cast("string").startswith("-") & ~txt.startswith("-")
     return (F.when(c.isNull() | F.isnan(c), F.lit("nan"))
             .when(c == float("inf"), F.lit("inf"))
             .when(c == float("-inf"), F.lit("-inf"))
-            .otherwise(F.format_string(f"%.{digits}f", F.bround(c, digits))))
+            .when(neg, F.concat(F.lit("-"), txt))
+            .otherwise(txt))
 
 
-def py_str_double(x, null_text: str = "nan") -> Column:
-    """``str(float)``: shortest round-trip digits with Python's exponent rules.
+def _repr_pick(c: Column) -> Column:
+    """Shortest ``%.Ne`` rendering that casts back to the same double
+    (``Double.toString`` is not always shortest before JDK 19)."""
+    cands = [F.format_string(f"%.{p}e", c) for p in range(17)]
+    return F.coalesce(*[F.when(cand.try_cast("double") == c, cand) for cand in cands])
 
-    Spark's ``cast(double as string)`` gives the same digits but switches to
-    ``1.0E7`` style outside [1e-3, 1e7); Python switches outside [1e-4, 1e16)
-    and writes ``1e+16`` / ``1.5e-05``.
-    """
-    c = _c(x).cast("double")
-    s = c.cast("string")
-    sign = F.regexp_extract(s, _SCI_RE, 1)
-    lead = F.regexp_extract(s, _SCI_RE, 2)
-    frac = F.regexp_replace(F.regexp_extract(s, _SCI_RE, 3), "0+$", "")
-    exp = F.regexp_extract(s, _SCI_RE, 4).try_cast("int")
+
+def _repr_layout(c: Column, pick: Column, null_text: str) -> Column:
+    sign = F.regexp_extract(pick, _E_RE, 1)
+    lead = F.regexp_extract(pick, _E_RE, 2)
+    frac = F.regexp_replace(F.regexp_extract(pick, _E_RE, 3), "0+$", "")
+    exp = F.regexp_extract(pick, _E_RE, 4).try_cast("int")
     digits = F.concat(lead, frac)
     n = F.length(digits)
     # positional, 0 <= e < 16
@@ -101,19 +104,47 @@ def py_str_double(x, null_text: str = "nan") -> Column:
     positional_small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
     # scientific, Python style: 1e-05, 1.5e+16
     mant = F.when(frac == "", lead).otherwise(F.concat(lead, F.lit("."), frac))
+    mag = F.abs(exp).cast("string")
     exp_txt = F.concat(F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
-                       F.lpad(F.abs(exp).cast("string"), 2, "0"))
+                       F.when(F.abs(exp) < 10, F.concat(F.lit("0"), mag)).otherwise(mag))
     scientific = F.concat(sign, mant, F.lit("e"), exp_txt)
     return (F.when(c.isNull(), F.lit(null_text))
             .when(F.isnan(c), F.lit("nan"))
             .when(c == float("inf"), F.lit("inf"))
             .when(c == float("-inf"), F.lit("-inf"))
-            .when(~s.contains("E"), s)
             .when((exp >= 0) & (exp < 16), positional_big)
             .when((exp < 0) & (exp >= -4), positional_small)
             .otherwise(scientific))
 
 
+def py_str_double(x, null_text: str = "nan") -> Column:
+    """``str(float)``: shortest round-trip digits with Python's exponent rules
+    (positional within [1e-4, 1e16), otherwise ``1e+16`` / ``1.5e-05``).
+
+    As a single expression the candidate search is repeated per reference;
+    on more than a few columns use ``with_py_str`` which stages it.
+    """
+    c = _c(x).cast("double")
+    return _repr_layout(c, _repr_pick(c), null_text)
+
+
+def with_py_str(df: DataFrame, specs: dict[str, tuple[str, str]], null_text: str = "nan") -> DataFrame:
+    """Add ``out`` = Python ``f"{v}"`` text of column ``src`` for every
+    ``out: (src, dtype)``; doubles go through two projections so the
+    candidate search is computed once per value (Catalyst does not collapse
+    a non-cheap expression into several references)."""
+    dbl = {o: src for o, (src, t) in specs.items() if t in ("float", "double")}
+    picks = [_repr_pick(F.col(src).cast("double")).alias(f"__pick_{o}") for o, src in dbl.items()]
+    staged = df.select("*", *picks)
+    outs = []
+    for o, (src, t) in specs.items():
+        if o in dbl:
+            outs.append(_repr_layout(F.col(src).cast("double"), F.col(f"__pick_{o}"), null_text).alias(o))
+        else:
+            outs.append(F.coalesce(F.col(src).cast("string"), F.lit(null_text)).alias(o))
+    return staged.select("*", *outs).drop(*[f"__pick_{o}" for o in dbl])
+
+
 def py_str_value(x, dtype: str, null_text: str = "nan") -> Column:
     """``f"{v}"`` of a pandas cell: integers as digits, floats as ``repr``."""
     c = _c(x)

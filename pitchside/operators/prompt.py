@@ -11,15 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchside import presets
-from pitchside.functions.text import py_str_value
+from pitchside.functions.text import with_py_str
 
 _IND = "    "
 
 
-def _val(df: DataFrame, col: str) -> Column:
-    return py_str_value(F.col(col), df.schema[col].dataType.simpleString())
-
-
 def scouting_prompt(summary: DataFrame, lanes: DataFrame, formation: DataFrame,
                     team_col: str = "team", formation_col: str = "Total") -> DataFrame:
     """-> ``team, system_message, prompt``.
@@ -31,6 +27,11 @@ def scouting_prompt(summary: DataFrame, lanes: DataFrame, formation: DataFrame,
     lanes_cols = [f"{lane}_{k}" for lane in presets.LANES for k in ("attempts", "XG")]
     j = (summary.join(lanes.select(team_col, *lanes_cols), team_col, "left")
          .join(formation.select(team_col, F.col(formation_col).alias("__total")), team_col, "left"))
+    needed = [col for _, col, _ in presets.PROMPT_STAT_LINES] + lanes_cols + ["__total"]
+    j = with_py_str(j, {f"__s_{c}": (c, j.schema[c].dataType.simpleString()) for c in dict.fromkeys(needed)})
+
+    def _val(_df, col: str) -> Column:
+        return F.col(f"__s_{col}")
 
     stats: list[Column] = [F.lit("\n")]
     for label, col, suffix in presets.PROMPT_STAT_LINES:

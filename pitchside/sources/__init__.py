@@ -1,0 +1,8 @@
+"""Readers and writers."""
+
+from pitchside.sources.readers import (  # noqa: F401
+    PLAYER_MATCH_SCHEMA, TEAM_MATCH_SCHEMA, OCR_TOKEN_SCHEMA,
+    explode_detections, list_reports, read_images, read_ocr_tokens, read_player_matches,
+    read_team_matches,
+)
+from pitchside.sources.sinks import write_crop_plan, write_table  # noqa: F401
