@@ -1,13 +1,16 @@
-"""Column expressions (JVM-side, codegen-friendly) that carry pandas / Python
-semantics the operators rely on."""
+"""Column expressions carrying pandas / Python semantics, as SQL text builders
+(``*_sql``) and ``Column`` wrappers."""
 
 from pitchside.functions.numeric import (  # noqa: F401
-    nan_to_null, pandas_divide, per90_term, skipna_sum, trunc_to_long,
-)
-from pitchside.functions.text import (  # noqa: F401
-    py_strip, py_int, py_float, py_isdigit, py_fixed, py_str_double, py_str_value, with_py_str,
-    first_word, contains_ci,
+    nan_to_null, nan_to_null_sql, pandas_divide, pandas_divide_sql, per90_term, per90_term_sql,
+    skipna_sum, skipna_sum_sql, trunc_to_long, trunc_to_long_sql,
 )
 from pitchside.functions.pixels import (  # noqa: F401
-    gray_from_bgr, band_mask, hsv_from_bgr, in_hsv_range,
+    band_mask, band_mask_sql, gray_from_bgr, gray_sql, hsv_from_bgr, hsv_sql, in_hsv_range, in_hsv_range_sql,
+)
+from pitchside.functions.sql import dbl, lit_str, project, q, run_sql, with_columns  # noqa: F401
+from pitchside.functions.text import (  # noqa: F401
+    contains_ci, contains_ci_sql, first_word, first_word_sql, py_fixed, py_fixed_sql, py_float, py_float_sql,
+    py_int, py_int_sql, py_isdigit, py_isdigit_sql, py_str_double, py_str_value, py_strip, py_strip_sql,
+    with_py_str,
 )

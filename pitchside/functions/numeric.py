@@ -1,53 +1,76 @@
-"""pandas arithmetic rules under Spark's ANSI mode."""
+"""pandas arithmetic rules under Spark's ANSI mode.
 
-from __future__ import annotations
+Each rule exists as SQL text (``*_sql``, composable inside larger
+expressions) and as a ``Column`` (one ``F.expr`` call). Arguments are SQL
+expression text; a bare column name is one (backtick names with spaces).
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from pitchside.functions.sql import dbl, expr, sql_of
 
 POS_INF = float("inf")
 NEG_INF = float("-inf")
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def nan_to_null_sql(x: str) -> str:
+    """NaN is pandas' missing value; in Spark it is an ordinary value.
+    ``nanvl`` references its input once."""
+    return f"nanvl(CAST({x} AS DOUBLE), CAST(NULL AS DOUBLE))"
+
+
+def pandas_divide_sql(n: str, d: str) -> str:
+    """``n / d`` as NumPy float division: x/0 -> +-inf, 0/0 -> NaN (here NULL).
+    ANSI Spark raises on ``x / 0``; ``try_divide`` gives NULL, never inf (N1)."""
+    return (f"CASE WHEN CAST({d} AS DOUBLE) = 0 THEN "
+            f"(CASE WHEN {n} > 0 THEN {dbl(POS_INF)} WHEN {n} < 0 THEN {dbl(NEG_INF)} END) "
+            f"ELSE CAST({n} AS DOUBLE) / nullif(CAST({d} AS DOUBLE), 0D) END")
+
+
+def per90_term_sql(metric: str, minutes: str, weight: float) -> str:
+    """``metric / minutes * 90 * weight`` per match (P2), a missing result (NULL
+    or NaN) already counted as 0 the way ``sum(axis=1)`` skips it (N2).
+    At 0 minutes the sign of the metric picks +-inf (N1)."""
+    w = float(weight)
+    pos = POS_INF * 90.0 * w if w != 0 else 0.0
+    neg = NEG_INF * 90.0 * w if w != 0 else 0.0
+    m, mins = f"CAST({metric} AS DOUBLE)", f"CAST({minutes} AS DOUBLE)"
+    return (f"CASE WHEN {mins} = 0 THEN "
+            f"(CASE WHEN {m} > 0 THEN {dbl(pos)} WHEN {m} < 0 THEN {dbl(neg)} ELSE 0D END) "
+            f"ELSE coalesce({m} / nullif({mins}, 0D) * 90D * {dbl(w)}, 0D) END")
+
 
+def skipna_sum_sql(terms: list[str]) -> str:
+    """Row-wise ``sum(axis=1)``: missing terms count as 0, all-missing is 0.0;
+    ``inf + -inf`` (NaN) becomes NULL so that a later mean skips it (N2)."""
+    total = " + ".join(f"coalesce(nanvl(CAST({t} AS DOUBLE), 0D), 0D)" for t in terms)
+    return nan_to_null_sql(f"({total})")
+
+
+def trunc_to_long_sql(x: str) -> str:
+    """``astype(int)``: truncation toward zero."""
+    return f"CAST(CAST({x} AS DOUBLE) AS BIGINT)"
+
+
+# --- Column forms --------------------------------------------------------------
 
 def nan_to_null(x) -> Column:
-    """NaN is pandas' missing value; in Spark it is an ordinary value."""
-    c = _c(x)
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
+    return expr(nan_to_null_sql(sql_of(x)))
 
 
 def pandas_divide(num, den) -> Column:
-    """``num / den`` as NumPy float division: x/0 -> +-inf, 0/0 -> NaN (here NULL).
-
-    ANSI Spark raises on ``x / 0``; ``try_divide`` gives NULL, never inf (N1).
-    """
-    n, d = _c(num).cast("double"), _c(den).cast("double")
-    at_zero = (F.when(n > 0, F.lit(POS_INF))
-               .when(n < 0, F.lit(NEG_INF))
-               .otherwise(F.lit(None).cast("double")))
-    return F.when(d == 0, at_zero).otherwise(n / F.when(d != 0, d))
+    return expr(pandas_divide_sql(sql_of(num), sql_of(den)))
 
 
 def per90_term(metric, minutes, weight: float) -> Column:
-    """``metric / minutes * 90 * weight`` evaluated per match."""
-    return pandas_divide(metric, minutes) * F.lit(90.0) * F.lit(float(weight))
+    return expr(per90_term_sql(sql_of(metric), sql_of(minutes), weight))
 
 
 def skipna_sum(cols) -> Column:
-    """Row-wise ``sum(axis=1)``: missing terms count as 0, all-missing is 0.0.
-
-    ``inf + -inf`` is NaN in both engines; pandas' later ``mean`` skips it, so it
-    is turned into NULL here.
-    """
-    total = reduce(lambda a, b: a + b, [F.coalesce(_c(c).cast("double"), F.lit(0.0)) for c in cols])
-    return nan_to_null(total)
+    return expr(skipna_sum_sql([sql_of(c) for c in cols]))
 
 
 def trunc_to_long(x) -> Column:
-    """``astype(int)``: truncation toward zero."""
-    return _c(x).cast("double").cast("long")
+    return expr(trunc_to_long_sql(sql_of(x)))

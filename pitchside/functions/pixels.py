@@ -1,4 +1,4 @@
-"""8-bit colour conversions as integer column arithmetic.
+"""8-bit colour conversions as integer SQL arithmetic.
 
 The conversions follow OpenCV's published 8-bit fixed-point definitions:
 gray = (4899 R + 9617 G + 1868 B + 2^13) >> 14, and for HSV a 12-bit
@@ -8,54 +8,64 @@ fixed-point reciprocal table for S and H, H in 0..179.
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-# fixed values: BT.601 luma in 14-bit fixed point
-_R2Y, _G2Y, _B2Y, _YUV_SHIFT = 4899, 9617, 1868, 14
-_HSV_SHIFT = 12
-_HUE_RANGE = 180
+from pitchside.functions.sql import expr, sql_of
 
+# fixed values: BT.601 luma in 14-bit fixed point, 12-bit HSV tables, hue range
+R2Y, G2Y, B2Y, YUV_SHIFT = 4899, 9617, 1868, 14
+HSV_SHIFT = 12
+HUE_RANGE = 180
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
 
+def gray_sql(b: str, g: str, r: str) -> str:
+    """``cvtColor(BGR2GRAY)`` on 8-bit channels."""
+    return (f"shiftright(CAST({r} AS INT) * {R2Y} + CAST({g} AS INT) * {G2Y} + CAST({b} AS INT) * {B2Y} "
+            f"+ {1 << (YUV_SHIFT - 1)}, {YUV_SHIFT})")
+
+
+def band_mask_sql(gray: str, lo: int = 70, hi: int = 255) -> str:
+    """1 when ``gray >= hi`` or ``gray <= lo`` (both bounds inclusive), else 0."""
+    return f"CAST(({gray} >= {hi} OR {gray} <= {lo}) AS INT)"
+
+
+def hsv_sql(b: str, g: str, r: str) -> tuple[str, str, str]:
+    """``cvtColor(BGR2HSV)`` on 8-bit channels -> (h, s, v) SQL texts."""
+    b, g, r = (f"CAST({c} AS INT)" for c in (b, g, r))
+    v = f"greatest({r}, {g}, {b})"
+    diff = f"({v} - least({r}, {g}, {b}))"
+    one, half = 1 << HSV_SHIFT, 1 << (HSV_SHIFT - 1)
+    sdiv = f"(CASE WHEN {v} = 0 THEN 0 ELSE CAST(floor({255.0 * one!r}D / {v} + 0.5D) AS INT) END)"
+    s = f"shiftright({diff} * {sdiv} + {half}, {HSV_SHIFT})"
+    hraw = f"(CASE WHEN {v} = {r} THEN {g} - {b} WHEN {v} = {g} THEN {b} - {r} + 2 * {diff} ELSE {r} - {g} + 4 * {diff} END)"
+    hdiv = (f"(CASE WHEN {diff} = 0 THEN 0 ELSE CAST(floor({float(HUE_RANGE * one)!r}D / ({diff} * 6) + 0.5D) "
+            f"AS INT) END)")
+    h0 = f"shiftright({hraw} * {hdiv} + {half}, {HSV_SHIFT})"
+    h = f"(CASE WHEN {h0} < 0 THEN {h0} + {HUE_RANGE} ELSE {h0} END)"
+    return h, s, v
+
+
+def in_hsv_range_sql(h: str, s: str, v: str, lower, upper) -> str:
+    """``inRange(hsv, lower, upper)`` with inclusive bounds."""
+    return (f"({h} BETWEEN {lower[0]} AND {upper[0]} AND {s} BETWEEN {lower[1]} AND {upper[1]} "
+            f"AND {v} BETWEEN {lower[2]} AND {upper[2]})")
+
+
+# --- Column forms --------------------------------------------------------------
 
 def gray_from_bgr(b, g, r) -> Column:
-    """``cvtColor(BGR2GRAY)`` on 8-bit channels."""
-    acc = (_c(r).cast("int") * _R2Y + _c(g).cast("int") * _G2Y + _c(b).cast("int") * _B2Y
-           + (1 << (_YUV_SHIFT - 1)))
-    return F.shiftright(acc, _YUV_SHIFT)
+    return expr(gray_sql(sql_of(b), sql_of(g), sql_of(r)))
 
 
 def band_mask(gray, lo: int = 70, hi: int = 255) -> Column:
-    """1 when ``gray >= hi`` or ``gray <= lo`` (both bounds inclusive), else 0."""
-    g = _c(gray)
-    return ((g >= hi) | (g <= lo)).cast("int")
+    return expr(band_mask_sql(sql_of(gray), lo, hi))
 
 
 def hsv_from_bgr(b, g, r) -> Column:
-    """``cvtColor(BGR2HSV)`` on 8-bit channels -> struct<h,s,v>."""
-    b, g, r = _c(b).cast("int"), _c(g).cast("int"), _c(r).cast("int")
-    v = F.greatest(r, g, b)
-    vmin = F.least(r, g, b)
-    diff = v - vmin
-    one = 1 << _HSV_SHIFT
-    half = 1 << (_HSV_SHIFT - 1)
-    sdiv = F.when(v == 0, F.lit(0)).otherwise(F.floor(F.lit(255.0 * one) / v + 0.5).cast("int"))
-    s = F.shiftright(diff * sdiv + half, _HSV_SHIFT)
-    hraw = (F.when(v == r, g - b)
-            .when(v == g, b - r + 2 * diff)
-            .otherwise(r - g + 4 * diff))
-    hdiv = F.when(diff == 0, F.lit(0)).otherwise(
-        F.floor(F.lit(float(_HUE_RANGE * one)) / (diff * 6) + 0.5).cast("int"))
-    h0 = F.shiftright(hraw * hdiv + half, _HSV_SHIFT)
-    h = F.when(h0 < 0, h0 + _HUE_RANGE).otherwise(h0)
-    return F.struct(h.alias("h"), s.alias("s"), v.alias("v"))
+    """-> struct<h, s, v>."""
+    h, s, v = hsv_sql(sql_of(b), sql_of(g), sql_of(r))
+    return expr(f"named_struct('h', {h}, 's', {s}, 'v', {v})")
 
 
 def in_hsv_range(hsv, lower, upper) -> Column:
-    """``inRange(hsv, lower, upper)`` with inclusive bounds, as boolean."""
-    c = _c(hsv)
-    return ((c["h"] >= lower[0]) & (c["h"] <= upper[0])
-            & (c["s"] >= lower[1]) & (c["s"] <= upper[1])
-            & (c["v"] >= lower[2]) & (c["v"] <= upper[2]))
+    c = sql_of(hsv)
+    return expr(in_hsv_range_sql(f"{c}.h", f"{c}.s", f"{c}.v", lower, upper))

@@ -1,153 +1,177 @@
-"""Python string semantics as Spark expressions.
+"""Python string semantics as Spark SQL expressions.
 
 Python's ``str.strip``, ``int(str)``, ``float(str)``, ``str.isdigit`` and
 ``repr(float)`` differ from Spark's ``trim`` and ``cast``; these helpers pin the
 Python behaviour with anchored regexes in front of ``try_cast`` so that nothing
 raises under ANSI mode and nothing Spark-only (``'4.5d'``) is accepted.
+
+``*_sql`` functions return SQL text (arguments are SQL text, a column name
+is one); the plain names return a ``Column``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-# Python's str.strip() whitespace: Unicode White_Space plus the \x1c-\x1f separators
-_WS = (r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
-_INT_RE = r"^[+-]?[0-9]+(_[0-9]+)*$"
+from pitchside.functions.sql import expr, lit_str, q, sql_of, with_columns
+
+# fixed values: the characters Python's str.strip() removes
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003"
+                 "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+INT_RE = r"^[+-]?[0-9]+(_[0-9]+)*$"
 _DIGITS = r"[0-9]+(_[0-9]+)*"
-_FLOAT_RE = (rf"^[+-]?(({_DIGITS})(\.({_DIGITS})?)?|\.{_DIGITS})"
-             rf"([eE][+-]?{_DIGITS})?$")
+FLOAT_RE = (rf"^[+-]?(({_DIGITS})(\.({_DIGITS})?)?|\.{_DIGITS})"
+            rf"([eE][+-]?{_DIGITS})?$")
 _E_RE = r"^(-?)([0-9])(?:\.([0-9]+))?e([+-]?[0-9]+)$"
+_WS_CLASS = (r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+_INF, _NINF = "CAST('Infinity' AS DOUBLE)", "CAST('-Infinity' AS DOUBLE)"
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def py_strip_sql(x: str) -> str:
+    """``str.strip()``: native ``btrim`` over Python's whitespace set (a regex
+    here costs two orders of magnitude more per row)."""
+    return f"btrim({x}, {lit_str(PY_WHITESPACE)})"
 
 
-def py_strip(x) -> Column:
-    """``str.strip()`` (all leading and trailing whitespace, not only spaces)."""
-    return F.regexp_replace(_c(x), rf"^{_WS}+|{_WS}+$", "")
+def py_int_sql(x: str) -> str:
+    """``int(s)``; NULL where Python raises ``ValueError`` (bigint range)."""
+    s = py_strip_sql(x)
+    return f"(CASE WHEN {s} RLIKE {lit_str(INT_RE)} THEN try_cast(replace({s}, '_', '') AS BIGINT) END)"
 
 
-def py_int(x) -> Column:
-    """``int(s)`` for a string, NULL where Python raises ``ValueError``."""
-    s = py_strip(x)
-    return (F.when(s.rlike(_INT_RE), F.regexp_replace(s, "_", "").try_cast("bigint"))
-            .otherwise(F.lit(None).cast("bigint")))
+def py_float_sql(x: str) -> str:
+    """``float(s)``; NULL where Python raises ``ValueError``."""
+    s = py_strip_sql(x)
+    low = f"lower({s})"
+    return (f"(CASE WHEN {s} RLIKE {lit_str(FLOAT_RE)} THEN try_cast(replace({s}, '_', '') AS DOUBLE) "
+            f"WHEN {low} IN ('inf', '+inf', 'infinity', '+infinity') THEN {_INF} "
+            f"WHEN {low} IN ('-inf', '-infinity') THEN {_NINF} "
+            f"WHEN {low} IN ('nan', '+nan', '-nan') THEN CAST('NaN' AS DOUBLE) END)")
 
 
-def py_float(x) -> Column:
-    """``float(s)`` for a string, NULL where Python raises ``ValueError``."""
-    s = py_strip(x)
-    low = F.lower(s)
-    return (F.when(s.rlike(_FLOAT_RE), F.regexp_replace(s, "_", "").try_cast("double"))
-            .when(low.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
-            .when(low.isin("-inf", "-infinity"), F.lit(float("-inf")))
-            .when(low.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
-            .otherwise(F.lit(None).cast("double")))
+def py_isdigit_sql(x: str) -> str:
+    """``str.isdigit()`` restricted to ASCII digits; '' is False."""
+    return f"coalesce({x} RLIKE '^[0-9]+$', false)"
 
 
-def py_isdigit(x) -> Column:
-    """``str.isdigit()`` restricted to ASCII digits; the empty string is False."""
-    return F.coalesce(_c(x).rlike(r"^[0-9]+$"), F.lit(False))
-
-
-def first_word(x) -> Column:
+def first_word_sql(x: str) -> str:
     """``s.split()[0]``: first run of non-whitespace."""
-    return F.regexp_extract(_c(x), rf"^{_WS}*([^\s]+)", 1)
+    return f"regexp_extract({x}, {lit_str('^' + _WS_CLASS + '*([^' + chr(92) + 's]+)')}, 1)"
 
 
-def contains_ci(haystack, needle) -> Column:
-    return F.lower(_c(haystack)).contains(F.lower(_c(needle)))
+def contains_ci_sql(haystack: str, needle: str) -> str:
+    return f"contains(lower({haystack}), lower({needle}))"
 
 
-def py_fixed(x, digits: int) -> Column:
+def py_fixed_sql(x: str, digits: int) -> str:
     """f-string ``{x:.Nf}``.
 
     ``bround`` first so that true binary ties round half-even like Python
     (12.5 -> '12'); a value whose shortest decimal form ends in 5 but whose
     binary value does not (2.675) can still differ by one unit (SURVEY N12).
+    Python keeps the sign of a negative value that rounds to zero ('-0').
     """
-    c = _c(x).cast("double")
-    txt = F.format_string(f"%.{digits}f", F.bround(c, digits))
-    # Python keeps the sign of a negative value that rounds to zero ('-0')
-    neg = c.cast("string").startswith("-") & ~txt.startswith("-")
-    return (F.when(c.isNull() | F.isnan(c), F.lit("nan"))
-            .when(c == float("inf"), F.lit("inf"))
-            .when(c == float("-inf"), F.lit("-inf"))
-            .when(neg, F.concat(F.lit("-"), txt))
-            .otherwise(txt))
-
-
-def _repr_pick(c: Column) -> Column:
-    """Shortest ``%.Ne`` rendering that casts back to the same double
-    (``Double.toString`` is not always shortest before JDK 19)."""
-    cands = [F.format_string(f"%.{p}e", c) for p in range(17)]
-    return F.coalesce(*[F.when(cand.try_cast("double") == c, cand) for cand in cands])
-
-
-def _repr_layout(c: Column, pick: Column, null_text: str) -> Column:
-    sign = F.regexp_extract(pick, _E_RE, 1)
-    lead = F.regexp_extract(pick, _E_RE, 2)
-    frac = F.regexp_replace(F.regexp_extract(pick, _E_RE, 3), "0+$", "")
-    exp = F.regexp_extract(pick, _E_RE, 4).try_cast("int")
-    digits = F.concat(lead, frac)
-    n = F.length(digits)
-    # positional, 0 <= e < 16
-    int_part = F.when(n <= exp + 1, F.rpad(digits, exp + 1, "0")).otherwise(
-        F.substring(digits, F.lit(1), exp + 1))
-    frac_part = F.when(n <= exp + 1, F.lit("0")).otherwise(
-        F.substring(digits, exp + 2, F.lit(64)))
-    positional_big = F.concat(sign, int_part, F.lit("."), frac_part)
-    # positional, -4 <= e < 0
-    positional_small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    # scientific, Python style: 1e-05, 1.5e+16
-    mant = F.when(frac == "", lead).otherwise(F.concat(lead, F.lit("."), frac))
-    mag = F.abs(exp).cast("string")
-    exp_txt = F.concat(F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
-                       F.when(F.abs(exp) < 10, F.concat(F.lit("0"), mag)).otherwise(mag))
-    scientific = F.concat(sign, mant, F.lit("e"), exp_txt)
-    return (F.when(c.isNull(), F.lit(null_text))
-            .when(F.isnan(c), F.lit("nan"))
-            .when(c == float("inf"), F.lit("inf"))
-            .when(c == float("-inf"), F.lit("-inf"))
-            .when((exp >= 0) & (exp < 16), positional_big)
-            .when((exp < 0) & (exp >= -4), positional_small)
-            .otherwise(scientific))
-
+    c = f"CAST({x} AS DOUBLE)"
+    txt = f"format_string('%.{digits}f', bround({c}, {digits}))"
+    return (f"(CASE WHEN {c} IS NULL OR isnan({c}) THEN 'nan' "
+            f"WHEN {c} = {_INF} THEN 'inf' WHEN {c} = {_NINF} THEN '-inf' "
+            f"WHEN startswith(CAST({c} AS STRING), '-') AND NOT startswith({txt}, '-') THEN concat('-', {txt}) "
+            f"ELSE {txt} END)")
 
-def py_str_double(x, null_text: str = "nan") -> Column:
-    """``str(float)``: shortest round-trip digits with Python's exponent rules
-    (positional within [1e-4, 1e16), otherwise ``1e+16`` / ``1.5e-05``).
 
-    As a single expression the candidate search is repeated per reference;
-    on more than a few columns use ``with_py_str`` which stages it.
-    """
-    c = _c(x).cast("double")
-    return _repr_layout(c, _repr_pick(c), null_text)
+def repr_pick_sql(x: str) -> str:
+    """Shortest ``%.Ne`` rendering that casts back to the same double
+    (``Double.toString`` is not always shortest before JDK 19)."""
+    c = f"CAST({x} AS DOUBLE)"
+    cands = [f"format_string('%.{p}e', {c})" for p in range(17)]
+    return "coalesce(" + ", ".join(f"CASE WHEN try_cast({s} AS DOUBLE) = {c} THEN {s} END" for s in cands) + ")"
+
+
+def repr_layout_sql(x: str, pick: str, null_text: str = "nan") -> str:
+    """Python's layout of the picked digits: positional within [1e-4, 1e16),
+    otherwise ``1e+16`` / ``1.5e-05``."""
+    c = f"CAST({x} AS DOUBLE)"
+    er = lit_str(_E_RE)
+    sign = f"regexp_extract({pick}, {er}, 1)"
+    lead = f"regexp_extract({pick}, {er}, 2)"
+    frac = f"regexp_replace(regexp_extract({pick}, {er}, 3), '0+$', '')"
+    e = f"CAST(regexp_extract({pick}, {er}, 4) AS INT)"
+    digits = f"concat({lead}, {frac})"
+    n = f"length({digits})"
+    int_part = (f"(CASE WHEN {n} <= {e} + 1 THEN rpad({digits}, {e} + 1, '0') "
+                f"ELSE substring({digits}, 1, {e} + 1) END)")
+    frac_part = f"(CASE WHEN {n} <= {e} + 1 THEN '0' ELSE substring({digits}, {e} + 2) END)"
+    positional_big = f"concat({sign}, {int_part}, '.', {frac_part})"
+    positional_small = f"concat({sign}, '0.', repeat('0', -({e}) - 1), {digits})"
+    mant = f"(CASE WHEN {frac} = '' THEN {lead} ELSE concat({lead}, '.', {frac}) END)"
+    mag = f"CAST(abs({e}) AS STRING)"
+    exp_txt = (f"concat(CASE WHEN {e} < 0 THEN '-' ELSE '+' END, "
+               f"CASE WHEN abs({e}) < 10 THEN concat('0', {mag}) ELSE {mag} END)")
+    scientific = f"concat({sign}, {mant}, 'e', {exp_txt})"
+    return (f"(CASE WHEN {c} IS NULL THEN {lit_str(null_text)} WHEN isnan({c}) THEN 'nan' "
+            f"WHEN {c} = {_INF} THEN 'inf' WHEN {c} = {_NINF} THEN '-inf' "
+            f"WHEN {e} >= 0 AND {e} < 16 THEN {positional_big} "
+            f"WHEN {e} < 0 AND {e} >= -4 THEN {positional_small} "
+            f"ELSE {scientific} END)")
 
 
 def with_py_str(df: DataFrame, specs: dict[str, tuple[str, str]], null_text: str = "nan") -> DataFrame:
-    """Add ``out`` = Python ``f"{v}"`` text of column ``src`` for every
-    ``out: (src, dtype)``; doubles go through two projections so the
-    candidate search is computed once per value (Catalyst does not collapse
-    a non-cheap expression into several references)."""
-    dbl = {o: src for o, (src, t) in specs.items() if t in ("float", "double")}
-    picks = [_repr_pick(F.col(src).cast("double")).alias(f"__pick_{o}") for o, src in dbl.items()]
-    staged = df.select("*", *picks)
-    outs = []
+    """Add ``out`` = Python ``f"{v}"`` text of column ``src`` for each
+    ``out: (src, dtype)``. Doubles go through two projections so the candidate
+    search runs once per value (Catalyst does not collapse a non-cheap
+    expression into several references)."""
+    dbl_specs = {o: src for o, (src, t) in specs.items() if t in ("float", "double")}
+    staged = with_columns(df, [(f"__pick_{o}", repr_pick_sql(q(src))) for o, src in dbl_specs.items()])
+    pairs = []
     for o, (src, t) in specs.items():
-        if o in dbl:
-            outs.append(_repr_layout(F.col(src).cast("double"), F.col(f"__pick_{o}"), null_text).alias(o))
+        if o in dbl_specs:
+            pairs.append((o, repr_layout_sql(q(src), q(f"__pick_{o}"), null_text)))
         else:
-            outs.append(F.coalesce(F.col(src).cast("string"), F.lit(null_text)).alias(o))
-    return staged.select("*", *outs).drop(*[f"__pick_{o}" for o in dbl])
+            pairs.append((o, f"coalesce(CAST({q(src)} AS STRING), {lit_str(null_text)})"))
+    out = with_columns(staged, pairs)
+    return out.drop(*[f"__pick_{o}" for o in dbl_specs]) if dbl_specs else out
+
+
+# --- Column forms --------------------------------------------------------------
+
+def py_strip(x) -> Column:
+    return expr(py_strip_sql(sql_of(x)))
+
+
+def py_int(x) -> Column:
+    return expr(py_int_sql(sql_of(x)))
+
+
+def py_float(x) -> Column:
+    return expr(py_float_sql(sql_of(x)))
+
+
+def py_isdigit(x) -> Column:
+    return expr(py_isdigit_sql(sql_of(x)))
+
+
+def first_word(x) -> Column:
+    return expr(first_word_sql(sql_of(x)))
+
+
+def contains_ci(haystack, needle) -> Column:
+    return expr(contains_ci_sql(sql_of(haystack), sql_of(needle)))
+
+
+def py_fixed(x, digits: int) -> Column:
+    return expr(py_fixed_sql(sql_of(x), digits))
+
+
+def py_str_double(x, null_text: str = "nan") -> Column:
+    """``str(float)`` as one expression (use ``with_py_str`` for many columns)."""
+    s = sql_of(x)
+    return expr(repr_layout_sql(s, repr_pick_sql(s), null_text))
 
 
 def py_str_value(x, dtype: str, null_text: str = "nan") -> Column:
     """``f"{v}"`` of a pandas cell: integers as digits, floats as ``repr``."""
-    c = _c(x)
+    s = sql_of(x)
     if dtype in ("float", "double"):
-        return py_str_double(c, null_text)
-    return F.coalesce(c.cast("string"), F.lit(null_text))
+        return py_str_double(s, null_text)
+    return expr(f"coalesce(CAST({s} AS STRING), {lit_str(null_text)})")

@@ -3,20 +3,20 @@
 The reference loops over rival rows and scans the own pool per row. Here the
 own pool is ranked once per (position, metric) with ``row_number`` (at most
 |positions| x |aspects| winners), and rivals are matched with one equi left
-join on (counter position, counter aspect). The lookup tables are literal maps
-or a tiny broadcast frame; nothing grows with the data except the rival rows.
+join on (counter position, counter aspect). The lookups are literal maps or a
+tiny broadcast table; nothing grows with the data except the rival rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from pitchside import presets
-from pitchside.functions.text import py_fixed
-from pitchside.operators.positions import map_lookup
+from pitchside.functions.sql import lit_str, q, run_sql
+from pitchside.functions.text import py_fixed_sql
+from pitchside.operators.positions import map_lookup_sql
 from pitchside.operators.scoring import pct_col, score_col
 
 
@@ -26,26 +26,28 @@ def attach_category(players: DataFrame, categories: DataFrame,
     return players.join(categories, list(keys), "left").distinct()
 
 
+def _best_steps(aspects: Sequence[str], name_col: str, team_col: str, cat_col: str) -> list[tuple[str, str]]:
+    scores = ", ".join(q(score_col(a)) for a in aspects)
+    stack = ", ".join(f"{lit_str(a)}, {q(score_col(a))}" for a in aspects)
+    return [
+        ("pool_long", f"""SELECT {q(name_col)}, {q(team_col)}, {q(cat_col)},
+       stack({len(aspects)}, {stack}) AS (metric, __s)
+FROM (SELECT DISTINCT {q(name_col)}, {q(team_col)}, {q(cat_col)}, {scores} FROM {{own}})
+WHERE {q(cat_col)} IS NOT NULL"""),
+        ("best", f"""SELECT {q(cat_col)} AS __cat, metric AS __metric, {q(name_col)} AS own_name,
+       {q(team_col)} AS own_team, {q(cat_col)} AS own_position FROM (
+  SELECT *, row_number() OVER (PARTITION BY {q(cat_col)}, metric
+                               ORDER BY __s DESC, {q(name_col)} ASC, {q(team_col)} ASC) AS __rn
+  FROM {{pool_long}} WHERE __s IS NOT NULL AND NOT isnan(__s)) WHERE __rn = 1"""),
+    ]
+
+
 def best_by_category(own: DataFrame, aspects: Sequence[str] = presets.ASPECTS,
                      name_col: str = "player_name", team_col: str = "team",
                      cat_col: str = "Most_played_position") -> DataFrame:
     """Winner per (category, metric aspect) of the own pool (P21's arg-max).
-
-    Ties go to the first name (the reference takes the first row in frame
-    order); a missing score never wins (N8).
-    """
-    pool = own.select(name_col, team_col, cat_col, *[score_col(a) for a in aspects]).distinct()
-    stack_args = ", ".join(f"'{a}', `{score_col(a)}`" for a in aspects)
-    long = (pool.filter(F.col(cat_col).isNotNull())
-            .select(name_col, team_col, cat_col,
-                    F.expr(f"stack({len(aspects)}, {stack_args}) as (metric, __s)"))
-            .filter(F.col("__s").isNotNull() & ~F.isnan("__s")))
-    w = Window.partitionBy(cat_col, "metric").orderBy(F.col("__s").desc(), F.col(name_col).asc(),
-                                                      F.col(team_col).asc())
-    return (long.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1)
-            .select(F.col(cat_col).alias("__cat"), F.col("metric").alias("__metric"),
-                    F.col(name_col).alias("own_name"), F.col(team_col).alias("own_team"),
-                    F.col(cat_col).alias("own_position")))
+    Ties go to the first name; a missing score never wins (N8)."""
+    return run_sql({"own": own}, "SELECT * FROM {best}", _best_steps(aspects, name_col, team_col, cat_col))
 
 
 def counter_matchups(rivals: DataFrame, own: DataFrame,
@@ -54,55 +56,47 @@ def counter_matchups(rivals: DataFrame, own: DataFrame,
                      aspects: Sequence[str] = presets.ASPECTS,
                      name_col: str = "player_name", team_col: str = "team",
                      cat_col: str = "Most_played_position") -> DataFrame:
-    """For every rival row, the own player of the counter position with
-    the best counter-aspect score.
-
-    ``rivals``/``own`` are top-k frames with ``aspect`` and the category
-    attached. An unmatched rival keeps NULL own columns (N8: the reference
-    raises).
-    """
-    best = best_by_category(own, aspects, name_col, team_col, cat_col)
-    r = rivals.select(
-        F.col(name_col).alias("rival_name"), F.col(team_col).alias("rival_team"),
-        F.col(cat_col).alias("rival_position"), "aspect", "aspect_rank", "aspect_order",
-        map_lookup(cat_col, counter_position).alias("__cat"),
-        map_lookup("aspect", counter_aspect).alias("__metric"))
-    # best has at most |categories| x |aspects| rows: a bounded broadcast.
-    return (r.join(F.broadcast(best), ["__cat", "__metric"], "left")
-            .drop("__cat", "__metric"))
+    """For every rival row, the own player of the counter position
+    with the best counter-aspect score; an unmatched rival keeps NULL own
+    columns (N8: the reference raises). ``best`` has at most
+    |categories| x |aspects| rows, so it is broadcast."""
+    steps = _best_steps(aspects, name_col, team_col, cat_col) + [
+        ("r", f"""SELECT {q(name_col)} AS rival_name, {q(team_col)} AS rival_team, {q(cat_col)} AS rival_position,
+       aspect, aspect_rank, aspect_order,
+       {map_lookup_sql(q(cat_col), counter_position)} AS __cat,
+       {map_lookup_sql('aspect', counter_aspect)} AS __metric FROM {{rivals}}"""),
+    ]
+    sql = """SELECT /*+ BROADCAST(b) */ r.rival_name, r.rival_team, r.rival_position, r.aspect, r.aspect_rank,
+       r.aspect_order, b.own_name, b.own_team, b.own_position
+FROM {r} r LEFT JOIN {best} b ON r.__cat = b.__cat AND r.__metric = b.__metric"""
+    return run_sql({"rivals": rivals, "own": own}, sql, steps)
 
 
 def with_percentiles(matches: DataFrame, rivals: DataFrame, own: DataFrame,
                      aspects: Sequence[str] = presets.ASPECTS,
                      name_col: str = "player_name", team_col: str = "team") -> DataFrame:
     """Rival percentiles (left) and own percentiles (left; the
-    reference's inner join would hide unmatched rivals, N8).
-
-    Both sides are de-duplicated on (name, team, percentiles), so a player on
-    several aspects does not multiply rows (P23).
-    """
+    reference's inner join would hide unmatched rivals, N8). Both sides are
+    de-duplicated, so a player on several aspects does not multiply rows."""
     pcts = [pct_col(a) for a in aspects]
-    r = rivals.select(F.col(name_col).alias("rival_name"), F.col(team_col).alias("rival_team"),
-                      *[F.col(p).alias(f"rival_{p}") for p in pcts]).distinct()
-    o = own.select(F.col(name_col).alias("own_name"), F.col(team_col).alias("own_team"),
-                   *[F.col(p).alias(f"own_{p}") for p in pcts]).distinct()
-    return (matches.join(r, ["rival_name", "rival_team"], "left")
-            .join(o, ["own_name", "own_team"], "left"))
-
-
-def coords_frame(spark: SparkSession,
-                 coords: Mapping[str, tuple[int, int]] = presets.PITCH_COORDS) -> DataFrame:
-    rows = [(k, int(x), int(y)) for k, (x, y) in coords.items()]
-    return spark.createDataFrame(rows, "own_position string, own_x int, own_y int")
-
-
-def score_label(prefix: str) -> "F.Column":
+    rsel = ", ".join(f"{q(p)} AS {q('rival_' + p)}" for p in pcts)
+    osel = ", ".join(f"{q(p)} AS {q('own_' + p)}" for p in pcts)
+    out = ", ".join([f"rp.{q('rival_' + p)}" for p in pcts] + [f"op.{q('own_' + p)}" for p in pcts])
+    steps = [("rp", f"SELECT DISTINCT {q(name_col)} AS __n, {q(team_col)} AS __t, {rsel} FROM {{rivals}}"),
+             ("op", f"SELECT DISTINCT {q(name_col)} AS __n, {q(team_col)} AS __t, {osel} FROM {{own}}")]
+    sql = f"""SELECT m.*, {out} FROM {{m}} m
+LEFT JOIN {{rp}} rp ON rp.__n = m.rival_name AND rp.__t = m.rival_team
+LEFT JOIN {{op}} op ON op.__n = m.own_name AND op.__t = m.own_team"""
+    return run_sql({"m": matches, "rivals": rivals, "own": own}, sql, steps)
+
+
+def _label_sql(prefix: str) -> str:
     """``P: x%\\nA: y%\\nD: z%`` with ``{v*100:.1f}%`` per percentile."""
     parts = []
     for tag, aspect in (("P", "passing"), ("A", "attacking"), ("D", "defensive")):
-        parts.append(F.concat(F.lit(f"{tag}: "), py_fixed(F.col(f"{prefix}_{pct_col(aspect)}") * 100, 1),
-                              F.lit("%")))
-    return F.concat_ws("\n", *parts)
+        v = py_fixed_sql(f"{q(prefix + '_' + pct_col(aspect))} * 100", 1)
+        parts.append(f"concat({lit_str(tag + ': ')}, {v}, '%')")
+    return f"concat_ws({lit_str(chr(10))}, {', '.join(parts)})"
 
 
 def pitch_layout(matches: DataFrame,
@@ -114,15 +108,15 @@ def pitch_layout(matches: DataFrame,
     (defensive, attacking, passing), then rank within the aspect. Positions
     without coordinates are dropped (the reference raises).
     """
-    spark = matches.sparkSession
-    c = F.broadcast(coords_frame(spark, coords))  # 11 rows
-    w = Window.partitionBy("own_position").orderBy("aspect_order", "aspect_rank", "rival_name",
-                                                   "rival_team")
-    first = (matches.join(c, "own_position", "inner")
-             .withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1))
-    return first.select(
-        "own_position", "own_name", "own_team", "own_x", "own_y",
-        score_label("own").alias("own_label"),
-        "rival_name", "rival_team",
-        F.col("own_x").alias("rival_x"), (F.col("own_y") + rival_offset).alias("rival_y"),
-        score_label("rival").alias("rival_label"))
+    values = ", ".join(f"({lit_str(k)}, {int(x)}, {int(y)})" for k, (x, y) in coords.items())
+    steps = [("firsts", f"""SELECT * FROM (
+  SELECT /*+ BROADCAST(c) */ m.*, c.own_x, c.own_y,
+         row_number() OVER (PARTITION BY m.own_position
+                            ORDER BY aspect_order, aspect_rank, rival_name, rival_team) AS __rn
+  FROM {{m}} m JOIN (SELECT * FROM VALUES {values} AS t(own_position, own_x, own_y)) c
+    ON m.own_position = c.own_position) WHERE __rn = 1""")]
+    sql = f"""SELECT own_position, own_name, own_team, own_x, own_y, {_label_sql('own')} AS own_label,
+       rival_name, rival_team, own_x AS rival_x, own_y + {int(rival_offset)} AS rival_y,
+       {_label_sql('rival')} AS rival_label
+FROM {{firsts}}"""
+    return run_sql({"m": matches}, sql, steps)

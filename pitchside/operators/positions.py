@@ -9,12 +9,13 @@ join at all).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
 from pitchside import presets
+from pitchside.functions.sql import expr, lit_str, q, run_sql
 
 
 def invert_groups(groups: Mapping[str, Sequence[str]]) -> dict[str, str]:
@@ -22,35 +23,46 @@ def invert_groups(groups: Mapping[str, Sequence[str]]) -> dict[str, str]:
     return {code: canon for canon, codes in groups.items() for code in codes}
 
 
-def map_lookup(col, mapping: Mapping[str, str]) -> Column:
+def map_lookup_sql(x: str, mapping: Mapping[str, str]) -> str:
     """Literal-map lookup; an unmapped or NULL key gives NULL."""
-    c = F.col(col) if isinstance(col, str) else col
     if not mapping:
-        return F.lit(None).cast("string")
-    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
-    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(F.try_element_at(m, c))
+        return "CAST(NULL AS STRING)"
+    pairs = ", ".join(f"{lit_str(k)}, {lit_str(v)}" for k, v in mapping.items())
+    return f"(CASE WHEN {x} IS NULL THEN NULL ELSE try_element_at(map({pairs}), {x}) END)"
+
+
+def map_lookup(col: str, mapping: Mapping[str, str]) -> Column:
+    return expr(map_lookup_sql(q(col), mapping))
+
+
+def _split_pattern(sep: str) -> str:
+    return sep if re.fullmatch(r"[A-Za-z0-9 ,;:_-]*", sep) else "\\Q" + sep + "\\E"
+
+
+def _category_steps(keys: Sequence[str], list_col: str, weight: str, sep: str,
+                    unknown: str) -> list[tuple[str, str]]:
+    k = ", ".join(q(c) for c in keys)
+    nn = " AND ".join(f"{q(c)} IS NOT NULL" for c in keys)
+    return [
+        ("kept", f"SELECT * FROM {{src}} WHERE NOT ({q(list_col)} <=> {lit_str(unknown)})"),
+        ("per_code", f"""SELECT {k}, code, coalesce(sum(__w), 0D) AS minutes FROM (
+  SELECT {k}, explode(split({q(list_col)}, {lit_str(_split_pattern(sep))}, -1)) AS code,
+         CAST({q(weight)} AS DOUBLE) AS __w FROM {{kept}})
+WHERE code IS NOT NULL AND {nn} GROUP BY {k}, code"""),
+    ]
 
 
 def raw_category_minutes(df: DataFrame, keys: Sequence[str] = ("player_name", "team"),
-                         list_col: str = presets.POSITION_COL,
-                         weight: str = presets.MINUTES_COL, sep: str = presets.POSITION_SEP,
-                         unknown: str = presets.POSITION_UNKNOWN,
-                         code_col: str = "code") -> DataFrame:
+                         list_col: str = presets.POSITION_COL, weight: str = presets.MINUTES_COL,
+                         sep: str = presets.POSITION_SEP, unknown: str = presets.POSITION_UNKNOWN) -> DataFrame:
     """Total weight per (keys, raw code).
 
     Rows whose list is exactly the ``unknown`` sentinel are dropped; a NULL
     list stays (N5) but contributes no code. Every listed code is credited
     with the full weight. Keys or code NULL are not grouped (N4).
     """
-    kept = df.filter(~F.col(list_col).eqNullSafe(unknown))
-    exploded = kept.select(*[F.col(k) for k in keys],
-                           F.explode(F.split(F.col(list_col), sep, -1)).alias(code_col),
-                           F.col(weight).cast("double").alias("__w"))
-    not_null = F.col(code_col).isNotNull()
-    for k in keys:
-        not_null = not_null & F.col(k).isNotNull()
-    return (exploded.filter(not_null).groupBy(*keys, code_col)
-            .agg(F.coalesce(F.sum("__w"), F.lit(0.0)).alias("minutes")))
+    return run_sql({"src": df}, "SELECT * FROM {per_code}",
+                   _category_steps(keys, list_col, weight, sep, unknown))
 
 
 def primary_category(df: DataFrame, keys: Sequence[str] = ("player_name", "team"),
@@ -66,11 +78,15 @@ def primary_category(df: DataFrame, keys: Sequence[str] = ("player_name", "team"
     sentinel rows vanishes.
     """
     mapping = invert_groups(presets.POSITION_GROUPS) if mapping is None else mapping
-    per_code = raw_category_minutes(df, keys, list_col, weight, sep, unknown)
-    w = Window.partitionBy(*keys).orderBy(F.col("minutes").desc(), F.col("code").asc())
-    best = (per_code.withColumn("__rn", F.row_number().over(w))
-            .filter(F.col("__rn") == 1).select(*keys, F.col("code").alias("__raw")))
-    entities = df.filter(~F.col(list_col).eqNullSafe(unknown)).select(*keys).distinct()
-    return (entities.join(best, list(keys), "left")
-            .select(*keys, map_lookup("__raw", mapping).alias(out))
-            .distinct())
+    k = ", ".join(q(c) for c in keys)
+    on = " AND ".join(f"e.{q(c)} = b.{q(c)}" for c in keys)
+    ek = ", ".join(f"e.{q(c)}" for c in keys)
+    steps = _category_steps(keys, list_col, weight, sep, unknown) + [
+        ("best", f"""SELECT {k}, code FROM (
+  SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY minutes DESC, code ASC) AS __rn FROM {{per_code}})
+WHERE __rn = 1"""),
+        ("ents", f"SELECT DISTINCT {k} FROM {{kept}}"),
+    ]
+    sql = f"""SELECT DISTINCT {ek}, {map_lookup_sql('b.code', mapping)} AS {q(out)}
+FROM {{ents}} e LEFT JOIN {{best}} b ON {on}"""
+    return run_sql({"src": df}, sql, steps)

@@ -2,19 +2,21 @@
 
 Plan shape: one scan, one projection that computes all weighted terms (whole-
 stage codegen), one hash aggregate per (player, team) with map-side partial
-aggregation, then the percentile rank (see ``avg_pct_rank``) and a windowed
+aggregation, then the percentile rank (``avg_pct_rank``) and a windowed
 top-k that Spark turns into a ``WindowGroupLimit`` before the shuffle.
+Expressions are handed to Spark as SQL text (one call per statement).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from pitchside import presets
-from pitchside.functions.numeric import nan_to_null, per90_term, skipna_sum
+from pitchside.functions.numeric import nan_to_null_sql, per90_term_sql, skipna_sum_sql
+from pitchside.functions.sql import dbl, lit_str, project, q, run_sql
+from pitchside.session import ensure_checkpoint_dir
 
 
 def score_col(aspect: str) -> str:
@@ -29,17 +31,18 @@ def season_filter(df: DataFrame, season: int | None, season_col: str = "year") -
     """Keep one season; applied before anything else so percentiles are per season."""
     if season is None:
         return df
-    return df.filter(F.col(season_col) == F.lit(season))
+    return df.filter(f"{q(season_col)} = {int(season)}")
+
+
+def match_scores_sql(weights: Mapping[str, Mapping[str, float]], minutes: str) -> list[tuple[str, str]]:
+    """Per-match aspect totals ``sum_m coalesce(m / minutes * 90 * w, 0)``."""
+    return [(score_col(a), skipna_sum_sql([per90_term_sql(q(m), q(minutes), w) for m, w in ws.items()]))
+            for a, ws in weights.items()]
 
 
 def match_scores(matches: DataFrame, weights: Mapping[str, Mapping[str, float]] = presets.WEIGHTS,
                  minutes: str = presets.MINUTES_COL, keep: Sequence[str] = ()) -> DataFrame:
-    """Per-match aspect totals ``sum_m coalesce(m / minutes * 90 * w, 0)``."""
-    cols: list[Column] = [F.col(c) for c in keep]
-    for aspect, ws in weights.items():
-        terms = [per90_term(F.col(m), F.col(minutes), w) for m, w in ws.items()]
-        cols.append(skipna_sum(terms).alias(score_col(aspect)))
-    return matches.select(*cols)
+    return project(matches, match_scores_sql(weights, minutes), keep=keep)
 
 
 def weighted_scores(matches: DataFrame, weights: Mapping[str, Mapping[str, float]] = presets.WEIGHTS,
@@ -50,109 +53,114 @@ def weighted_scores(matches: DataFrame, weights: Mapping[str, Mapping[str, float
     The mean is of per-match ratios (not a ratio of sums). Rows whose key is
     NULL are dropped, as ``groupby`` does (N4).
     """
-    per_match = match_scores(matches.filter(_all_not_null(keys)), weights, minutes, keep=keys)
-    aggs = [F.avg(score_col(a)).alias(score_col(a)) for a in weights]
-    return per_match.groupBy(*keys).agg(*aggs)
-
-
-def _all_not_null(cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(c).isNotNull()
-    return cond
+    k = ", ".join(q(c) for c in keys)
+    terms = ", ".join(f"avg({e}) AS {q(n)}" for n, e in match_scores_sql(weights, minutes))
+    not_null = " AND ".join(f"{q(c)} IS NOT NULL" for c in keys)
+    return run_sql({"m": matches}, f"SELECT {k}, {terms} FROM {{m}} WHERE {not_null} GROUP BY {k}")
 
 
 # --------------------------------------------------------------------------
 # Average percent rank  (rank of ties averaged) / (non-null count)
 # --------------------------------------------------------------------------
 
-def avg_pct_rank(df: DataFrame, value: str, out: str, method: str = "scale",
-                 buckets: int = 64, rel_error: float = 1e-3,
-                 bounds: Sequence[float] | None = None) -> DataFrame:
-    """``Series.rank(pct=True)`` over the whole frame, as a new column ``out``.
-
-    ``p(v) = (#{x < v} + (#{x == v} + 1) / 2) / #{x not null}``; NULL stays NULL,
-    +-inf are ordinary extremes (N6).
-
-    ``method="scale"`` never puts all rows into one task: distinct values are
-    counted with a partial aggregate, bucketed by approximate quantile
-    boundaries, prefix-summed inside each bucket (a partitioned window), and
-    offset by the totals of the earlier buckets (at most ``buckets`` rows,
-    broadcast). The result does not depend on the boundaries.
-    ``method="window"`` is the textbook unpartitioned window, kept as an oracle.
-    """
-    v = F.col(value)
-    if method == "window":
-        w_all = Window.partitionBy()
-        w_ord = Window.orderBy(v)
-        w_tie = Window.partitionBy(v)
-        p = ((F.rank().over(w_ord) + (F.count(F.lit(1)).over(w_tie) - 1) / 2.0)
-             / F.count(v).over(w_all))
-        return df.withColumn(out, F.when(v.isNull(), F.lit(None).cast("double"))
-                             .otherwise(p.cast("double")))
-    if method != "scale":
-        raise ValueError("method must be 'scale' or 'window'")
-
-    hist = (df.select(nan_to_null(v).alias("__v")).filter(F.col("__v").isNotNull())
-            .groupBy("__v").agg(F.count(F.lit(1)).alias("__cnt")))
-    if bounds is None:
-        bounds = quantile_bounds(df, [value], buckets, rel_error)[0]
-    if bounds:
-        arr = F.array(*[F.lit(float(b)) for b in bounds])
-        bucket = F.size(F.filter(arr, lambda b: b < F.col("__v")))
-    else:
-        bucket = F.lit(0)
-    hist = hist.withColumn("__bk", bucket.cast("int"))
-    w_in = (Window.partitionBy("__bk").orderBy("__v")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hist = hist.withColumn("__cum", F.sum("__cnt").over(w_in))
-    totals = hist.groupBy("__bk").agg(F.sum("__cnt").alias("__bk_cnt"))
-    w_prev = Window.orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (totals
-              .withColumn("__off", F.coalesce(F.sum("__bk_cnt").over(w_prev), F.lit(0)))
-              .withColumn("__n", F.sum("__bk_cnt").over(Window.partitionBy()))
-              .select("__bk", "__off", "__n"))
-    # totals holds one row per bucket: at most len(bounds) + 1 rows.
-    ranked = (hist.join(F.broadcast(totals), "__bk")
-              .select(F.col("__v"),
-                      ((F.col("__off") + F.col("__cum") - F.col("__cnt")
-                        + (F.col("__cnt") + 1) / 2.0) / F.col("__n")).cast("double").alias(out)))
-    return (df.withColumn("__v", nan_to_null(v))
-            .join(ranked, "__v", "left")
-            .drop("__v"))
-
-
 def quantile_bounds(df: DataFrame, cols: Sequence[str], buckets: int = 64,
                     rel_error: float = 1e-3) -> list[list[float]]:
     """Up to ``buckets - 1`` increasing split points per column, in one pass.
-
     Only these few numbers reach the driver; they steer bucketing, never the
-    result.
-    """
+    result."""
     if buckets <= 1:
         return [[] for _ in cols]
     probs = [i / buckets for i in range(1, buckets)]
-    clean = df.select(*[nan_to_null(F.col(c)).alias(f"__q{i}") for i, c in enumerate(cols)])
+    clean = project(df, [(f"__q{i}", nan_to_null_sql(q(c))) for i, c in enumerate(cols)])
     per_col = clean.approxQuantile([f"__q{i}" for i in range(len(cols))], probs, rel_error)
     result = []
     for qs in per_col:
         out: list[float] = []
-        for q in qs or []:
-            if q is not None and (not out or q > out[-1]):
-                out.append(q)
+        for v in qs or []:
+            if v is not None and (not out or v > out[-1]):
+                out.append(v)
         result.append(out)
     return result
 
 
+def _bucket_sql(v: str, bounds: Sequence[float]) -> str:
+    if not bounds:
+        return "0"
+    arr = ", ".join(dbl(b) for b in bounds)
+    return f"size(filter(array({arr}), b -> b < {v}))"
+
+
+def _rank_steps(i: int, value: str, bounds: Sequence[float]) -> list[tuple[str, str]]:
+    v = nan_to_null_sql(q(value))
+    return [
+        (f"h{i}", f"""SELECT __v, count(*) AS cnt, {_bucket_sql('__v', bounds)} AS bk
+  FROM (SELECT {v} AS __v FROM {{src}}) WHERE __v IS NOT NULL GROUP BY __v"""),
+        (f"c{i}", f"""SELECT __v, cnt, bk, sum(cnt) OVER (PARTITION BY bk ORDER BY __v
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM {{h{i}}}"""),
+        (f"o{i}", f"""SELECT bk, coalesce(sum(bk_cnt) OVER (ORDER BY bk ROWS BETWEEN UNBOUNDED PRECEDING
+  AND 1 PRECEDING), 0) AS off, sum(bk_cnt) OVER () AS n
+  FROM (SELECT bk, sum(cnt) AS bk_cnt FROM {{h{i}}} GROUP BY bk)"""),
+        (f"r{i}", f"""SELECT /*+ BROADCAST(o) */ c.__v AS v, CAST((off + cum - cnt + (cnt + 1) / 2.0D) / n AS DOUBLE) AS p
+  FROM {{c{i}}} c JOIN {{o{i}}} o ON c.bk = o.bk"""),
+    ]
+
+
+def avg_pct_ranks(df: DataFrame, values: Mapping[str, str], method: str = "scale",
+                  buckets: int = 64, bounds: Sequence[Sequence[float]] | None = None) -> DataFrame:
+    """``Series.rank(pct=True)`` over the whole frame for several columns:
+    ``values`` maps input column -> output column.
+
+    ``p(v) = (#{x < v} + (#{x == v} + 1) / 2) / #{x not null}``; NULL/NaN stay
+    NULL, +-inf are ordinary extremes (N6).
+
+    ``method="scale"`` never puts all rows into one task: distinct values are
+    counted with a partial aggregate, bucketed by approximate quantile
+    boundaries, prefix-summed inside each bucket (a window partitioned by
+    bucket), and offset by the totals of the earlier buckets (at most
+    ``buckets`` rows, broadcast). The result does not depend on the boundaries.
+    ``method="window"`` is the textbook unpartitioned window (test oracle).
+    """
+    cols = list(df.columns)
+    src_cols = ", ".join(q(c) for c in cols)
+    if method == "window":
+        outs = []
+        for value, out in values.items():
+            v = nan_to_null_sql(q(value))
+            outs.append(f"CASE WHEN {v} IS NULL THEN NULL ELSE CAST((rank() OVER (ORDER BY {v}) "
+                        f"+ (count(*) OVER (PARTITION BY {v}) - 1) / 2.0D) / count({v}) OVER () AS DOUBLE) END "
+                        f"AS {q(out)}")
+        return run_sql({"src": df}, f"SELECT {src_cols}, {', '.join(outs)} FROM {{src}}")
+    if method != "scale":
+        raise ValueError("method must be 'scale' or 'window'")
+    if bounds is None:
+        bounds = quantile_bounds(df, list(values), buckets)
+    steps = [st for i, (value, b) in enumerate(zip(values, bounds)) for st in _rank_steps(i, value, b)]
+    keyed = ", ".join(f"{nan_to_null_sql(q(value))} AS __k{i}" for i, value in enumerate(values))
+    steps.append(("s", f"SELECT {src_cols}, {keyed} FROM {{src}}"))
+    sel = ", ".join(f"r{i}.p AS {q(out)}" for i, out in enumerate(values.values()))
+    joins = " ".join(f"LEFT JOIN {{r{i}}} r{i} ON s.__k{i} = r{i}.v" for i in range(len(values)))
+    s_cols = ", ".join(f"s.{q(c)}" for c in cols)
+    return run_sql({"src": df}, f"SELECT {s_cols}, {sel} FROM {{s}} s {joins}", steps)
+
+
+def avg_pct_rank(df: DataFrame, value: str, out: str, method: str = "scale", buckets: int = 64,
+                 bounds: Sequence[float] | None = None) -> DataFrame:
+    """Single-column form of ``avg_pct_ranks``."""
+    return avg_pct_ranks(df, {value: out}, method, buckets, None if bounds is None else [bounds])
+
+
 def league_percentiles(scores: DataFrame, aspects: Sequence[str] = presets.ASPECTS,
-                       method: str = "scale") -> DataFrame:
-    """P6 for every aspect score, over all teams (before any team filter)."""
-    out = scores
-    all_bounds = (quantile_bounds(scores, [score_col(a) for a in aspects])
-                  if method == "scale" else [None] * len(aspects))
-    for a, b in zip(aspects, all_bounds):
-        out = avg_pct_rank(out, score_col(a), pct_col(a), method=method, bounds=b)
-    return out
+                       method: str = "scale", materialize: bool = False) -> DataFrame:
+    """P6 for every aspect score, over all teams (before any team filter).
+
+    ``materialize=True`` checkpoints the (small, one row per player and team)
+    score table into the session's checkpoint folder first, so the boundary
+    pass and the ranking read it instead of re-aggregating the match rows.
+    """
+    if materialize:
+        ensure_checkpoint_dir(scores.sparkSession)
+        scores = scores.checkpoint(eager=True)
+    return avg_pct_ranks(scores, {score_col(a): pct_col(a) for a in aspects}, method)
 
 
 # --------------------------------------------------------------------------
@@ -162,22 +170,24 @@ def league_percentiles(scores: DataFrame, aspects: Sequence[str] = presets.ASPEC
 def top_k_by_aspect(scored: DataFrame, k: int, aspects: Sequence[str] = presets.ASPECTS,
                     team_col: str = "team", name_col: str = "player_name",
                     teams: Sequence[str] | None = None) -> DataFrame:
-    """Top ``k`` rows per (team, aspect), tagged ``aspect`` and ``aspect_rank``.
+    """Top ``k`` rows per (team, aspect), tagged ``aspect``, ``aspect_order``
+    and ``aspect_rank``.
 
     The reference does one team; this does every team at once (or ``teams``).
     Order: score descending with missing scores last, then player name (N9).
     The team filter sits above the percentile, which Catalyst keeps (P7).
     """
-    base = scored if teams is None else scored.filter(F.col(team_col).isin(list(teams)))
-    stack_args = ", ".join(f"'{a}', `{score_col(a)}`" for a in aspects)
-    order_map = F.create_map(*[x for i, a in enumerate(aspects) for x in (F.lit(a), F.lit(i))])
-    long = base.select("*", F.expr(f"stack({len(aspects)}, {stack_args}) as (aspect, __score)"))
-    w = Window.partitionBy(team_col, "aspect").orderBy(F.col("__score").desc_nulls_last(),
-                                                       F.col(name_col).asc())
-    return (long.withColumn("aspect_rank", F.row_number().over(w).cast("long"))
-            .filter(F.col("aspect_rank") <= k)
-            .withColumn("aspect_order", order_map[F.col("aspect")].cast("int"))
-            .drop("__score"))
+    cols = ", ".join(q(c) for c in scored.columns)
+    stack = ", ".join(f"{lit_str(a)}, {i}, {q(score_col(a))}" for i, a in enumerate(aspects))
+    where = ""
+    if teams is not None:
+        where = f"WHERE {q(team_col)} IN ({', '.join(lit_str(t) for t in teams)})"
+    sql = f"""SELECT {cols}, aspect, aspect_order, aspect_rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY {q(team_col)}, aspect
+                                    ORDER BY __score DESC NULLS LAST, {q(name_col)} ASC) AS BIGINT) AS aspect_rank
+  FROM (SELECT {cols}, stack({len(aspects)}, {stack}) AS (aspect, aspect_order, __score) FROM {{src}} {where}))
+WHERE aspect_rank <= {int(k)}"""
+    return run_sql({"src": scored}, sql)
 
 
 def crucial_players(matches: DataFrame, k: int, teams: Sequence[str] | None = None,

@@ -1,8 +1,10 @@
 """Player job: scores -> crucial players -> positions -> matchups -> pitch.
 
 Scores are computed once for every team of the season (the reference runs the
-whole scoring twice, once per team), then both the rival and own top-k come
-from that one scored frame.
+whole scoring twice, once per team) and checkpointed: the score table has one
+row per (player, team), tiny next to the match rows, and every later step
+(boundaries, percentiles, both top-k lists, matchups) reads it instead of
+re-aggregating the matches.
 """
 
 from __future__ import annotations
@@ -11,9 +13,9 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pitchside import presets
+from pitchside.functions.sql import lit_str, q
 from pitchside.operators.matchup import attach_category, counter_matchups, pitch_layout, with_percentiles
 from pitchside.operators.positions import primary_category
 from pitchside.operators.scoring import league_percentiles, season_filter, top_k_by_aspect, weighted_scores
@@ -36,7 +38,7 @@ def player_matchups(matches: DataFrame, rival_teams: Sequence[str] | None, own_t
                     keys: Sequence[str] = ("player_name", "team"),
                     minutes: str = presets.MINUTES_COL,
                     list_col: str = presets.POSITION_COL,
-                    method: str = "scale") -> MatchupResult:
+                    method: str = "scale", materialize: bool = True) -> MatchupResult:
     """The reference's player cell, for any number of rival teams at once.
 
     ``rival_teams=None`` takes every team except ``own_team``.
@@ -44,12 +46,12 @@ def player_matchups(matches: DataFrame, rival_teams: Sequence[str] | None, own_t
     aspects = list(weights)
     season_rows = season_filter(matches, season, season_col)
     scored = league_percentiles(weighted_scores(season_rows, weights, keys, minutes), aspects,
-                                method=method)
+                                method=method, materialize=materialize)
     name_col, team_col = keys
     if rival_teams is None:
-        rival_base = scored.filter(F.col(team_col) != F.lit(own_team))
+        rival_base = scored.filter(f"{q(team_col)} <> {lit_str(own_team)}")
     else:
-        rival_base = scored.filter(F.col(team_col).isin(list(rival_teams)))
+        rival_base = scored.filter(f"{q(team_col)} IN ({', '.join(lit_str(t) for t in rival_teams)})")
     rivals_top = top_k_by_aspect(rival_base, k_rival, aspects, team_col, name_col)
     own_top = top_k_by_aspect(scored, k_own, aspects, team_col, name_col, teams=[own_team])
     cats = primary_category(season_rows, keys, list_col, minutes, mapping=position_map)

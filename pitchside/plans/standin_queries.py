@@ -166,7 +166,7 @@ def _season_rows(spark, d):
 
 
 def _scored(spark, d):
-    return league_percentiles(weighted_scores(_season_rows(spark, d)), ASPECTS)
+    return league_percentiles(weighted_scores(_season_rows(spark, d)), ASPECTS, materialize=True)
 
 
 SCORE_COLS = [score_col(a) for a in ASPECTS]
@@ -207,9 +207,9 @@ def q_primary_position(spark, d):
 
 def _matchup_parts(spark, d):
     rows = _season_rows(spark, d)
-    scored = league_percentiles(weighted_scores(rows), ASPECTS)
+    scored = league_percentiles(weighted_scores(rows), ASPECTS, materialize=True)
     cats = primary_category(rows, mapping=si.STANDIN_POSITION_MAP)
-    rivals = attach_category(top_k_by_aspect(scored.filter(F.col("team") != OWN), K_RIVAL, ASPECTS), cats)
+    rivals = attach_category(top_k_by_aspect(scored.filter(f"team <> '{OWN}'"), K_RIVAL, ASPECTS), cats)
     own = attach_category(top_k_by_aspect(scored, K_OWN, ASPECTS, teams=[OWN]), cats)
     m = with_percentiles(counter_matchups(rivals, own), rivals, own)
     return m
