@@ -2,33 +2,38 @@
 
 Input is a file listing (``path`` plus optionally ``page_count``), e.g. the
 ``binaryFile`` source without its ``content`` column. Everything is column
-expressions over the listing, one ``min`` aggregate for the team folder, a
-``row_number`` per folder for the running image index and a broadcast join
-with the crop spec (a fixed handful of rows).
+expressions over the listing, one ``min`` aggregate for the team folder
+(broadcast: one row), a ``row_number`` per folder for the running image index
+and a broadcast join with the crop spec (a fixed ten rows).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from pitchside import presets
-from pitchside.functions.text import contains_ci, first_word, py_strip
+from pitchside.functions.sql import dbl, lit_str, q, run_sql
+from pitchside.functions.text import contains_ci_sql, first_word_sql, py_strip_sql
+
+SPEC_SCHEMA = ("team_slot int, crop_no int, side string, kind string, page_base int, shifts boolean, "
+               "x0 int, y0 int, x1 int, y1 int, rounding string")
 
 
 def with_parts(files: DataFrame, path_col: str = "path") -> DataFrame:
     """Derive ``folder`` (parent directory name) and ``file`` (base name)."""
-    parts = F.split(F.col(path_col), "/")
-    return files.select("*", F.get(parts, F.size(parts) - 2).alias("folder"),
-                        F.get(parts, F.size(parts) - 1).alias("file"))
+    p = f"split({q(path_col)}, '/')"
+    return files.selectExpr("*", f"get({p}, size({p}) - 2) AS folder", f"get({p}, size({p}) - 1) AS file")
+
+
+def _folder_sql(team: str) -> str:
+    word = f"lower({first_word_sql(lit_str(team))})"
+    return f"SELECT min(folder) AS folder FROM {{f}} WHERE contains(lower(folder), {word}) HAVING min(folder) IS NOT NULL"
 
 
 def find_team_folder(files: DataFrame, team: str) -> DataFrame:
     """The first folder (by name) whose name contains the first word of
     ``team``, case-insensitive; zero rows when none does."""
-    word = F.lower(first_word(F.lit(team)))
-    hit = files.select("folder").filter(F.lower(F.col("folder")).contains(word))
-    return hit.agg(F.min("folder").alias("folder")).filter(F.col("folder").isNotNull())
+    return run_sql({"f": files}, _folder_sql(team))
 
 
 def report_catalog(files: DataFrame, team: str, own_team: str = presets.OWN_TEAM,
@@ -42,20 +47,24 @@ def report_catalog(files: DataFrame, team: str, own_team: str = presets.OWN_TEAM
     substring); other files are skipped. ``image_index`` counts matched
     reports per folder in file-name order, from 1.
     """
-    f = with_parts(files, path_col)
-    f = f.join(F.broadcast(find_team_folder(f, team)), "folder", "left_semi")  # one row
-    f = f.filter(F.col("file").endswith(suffix))
-    f = f.filter(~contains_ci(F.col("file"), F.lit(own_team)))
-    parts = F.split(F.col("file"), "-")
-    f = f.select("*", py_strip(F.get(parts, 0)).alias("team_1"), py_strip(F.get(parts, 1)).alias("team_2"))
-    t = F.lit(team)
-    slot = (F.when(F.col("team_2").isNull(), F.lit(None))
-            .when(F.col("team_1").contains(t), F.lit(1))
-            .when(F.col("team_2").contains(t), F.lit(2)))
-    f = f.withColumn("team_slot", slot.cast("int")).filter(F.col("team_slot").isNotNull())
-    f = f.withColumn("other_team", F.when(F.col("team_slot") == 1, F.col("team_2")).otherwise(F.col("team_1")))
-    w = Window.partitionBy("folder").orderBy("file", path_col)
-    return f.withColumn("image_index", F.row_number().over(w).cast("int")).withColumn("team", t)
+    t = lit_str(team)
+    parts = "split(file, '-')"
+    steps = [
+        ("f", f"""SELECT *, get(split({q(path_col)}, '/'), size(split({q(path_col)}, '/')) - 2) AS folder,
+       get(split({q(path_col)}, '/'), size(split({q(path_col)}, '/')) - 1) AS file FROM {{files}}"""),
+        ("tf", _folder_sql(team)),
+        ("teams", f"""SELECT /*+ BROADCAST(tf) */ f.*, {py_strip_sql(f'get({parts}, 0)')} AS team_1,
+       {py_strip_sql(f'get({parts}, 1)')} AS team_2
+FROM {{f}} f LEFT SEMI JOIN {{tf}} tf ON f.folder = tf.folder
+WHERE endswith(file, {lit_str(suffix)}) AND NOT {contains_ci_sql('file', lit_str(own_team))}"""),
+        ("slots", f"""SELECT *, CASE WHEN team_2 IS NULL THEN NULL WHEN contains(team_1, {t}) THEN 1
+                         WHEN contains(team_2, {t}) THEN 2 END AS team_slot FROM {{teams}}"""),
+    ]
+    sql = f"""SELECT *, CASE WHEN team_slot = 1 THEN team_2 ELSE team_1 END AS other_team,
+       CAST(row_number() OVER (PARTITION BY folder ORDER BY file, {q(path_col)}) AS INT) AS image_index,
+       {t} AS team
+FROM {{slots}} WHERE team_slot IS NOT NULL"""
+    return run_sql({"files": files}, sql, steps)
 
 
 def crop_spec_frame(spark: SparkSession) -> DataFrame:
@@ -64,8 +73,18 @@ def crop_spec_frame(spark: SparkSession) -> DataFrame:
             for slot, no, side, kind, base, shifts, rect in presets.CROP_SPEC]
     side, kind, base, shifts, rect = presets.FORMATION_CROP
     rows += [(slot, 5, side, kind, base, shifts, *rect, "round") for slot in (1, 2)]
-    return spark.createDataFrame(rows, "team_slot int, crop_no int, side string, kind string, page_base int, "
-                                       "shifts boolean, x0 int, y0 int, x1 int, y1 int, rounding string")
+    return spark.createDataFrame(rows, SPEC_SCHEMA)
+
+
+def _spec_values_sql() -> str:
+    rows = [(slot, no, side, kind, base, shifts, *rect, "trunc")
+            for slot, no, side, kind, base, shifts, rect in presets.CROP_SPEC]
+    side, kind, base, shifts, rect = presets.FORMATION_CROP
+    rows += [(slot, 5, side, kind, base, shifts, *rect, "round") for slot in (1, 2)]
+    vals = ", ".join("(" + ", ".join(lit_str(v) if isinstance(v, str) else str(v).upper() if isinstance(v, bool)
+                                     else str(v) for v in r) + ")" for r in rows)
+    names = ", ".join(c.split()[0] for c in SPEC_SCHEMA.split(", "))
+    return f"(SELECT * FROM VALUES {vals} AS spec({names}))"
 
 
 def crop_plan(catalog: DataFrame, dpi: int = presets.DPI, base_dpi: int = presets.BASE_DPI,
@@ -78,24 +97,20 @@ def crop_plan(catalog: DataFrame, dpi: int = presets.DPI, base_dpi: int = preset
     the image library does with float boxes. Output names follow the output
     *directory* kinds.
     """
-    scale = dpi / base_dpi
-    spec = F.broadcast(crop_spec_frame(catalog.sparkSession))  # 10 rows
-    j = catalog.join(spec, "team_slot")
-    shift = F.col(page_count_col) - presets.BASE_PAGE_COUNT
-    page = F.col("page_base") + F.when(F.col("shifts"), shift).otherwise(F.lit(0))
-
-    def px(c):
-        v = F.col(c).cast("double") * F.lit(scale)
-        return F.when(F.col("rounding") == "round", F.bround(v, 0)).otherwise(v).cast("int")
-
-    team, other, idx = F.col("team"), F.col("other_team"), F.col("image_index").cast("string")
-    own_first = F.concat(F.col("kind"), F.lit("_"), idx, F.lit("_"), team, F.lit("_against_"), other, F.lit(".png"))
-    other_first = F.concat(F.col("kind"), F.lit("_"), idx, F.lit("_"), other, F.lit("_against_"), team,
-                           F.lit(".png"))
-    form = F.concat(F.col("kind"), F.lit("_"), idx, F.lit("_"), F.col("team_1"), F.lit("_"), F.col("team_2"),
-                    F.lit(".png"))
-    name = (F.when(F.col("kind") == "avg_formation", form)
-            .when(F.col("side") == "home_team", own_first).otherwise(other_first))
-    return j.select("folder", "file", "image_index", "crop_no", "side", "kind", page.alias("page"),
-                    px("x0").alias("x0"), px("y0").alias("y0"), px("x1").alias("x1"), px("y1").alias("y1"),
-                    name.alias("out_name"))
+    scale = dbl(dpi / base_dpi)
+
+    def px(c: str) -> str:
+        v = f"(CAST(s.{c} AS DOUBLE) * {scale})"
+        return f"CAST(CASE WHEN s.rounding = 'round' THEN bround({v}, 0) ELSE {v} END AS INT) AS {c}"
+
+    idx = "CAST(c.image_index AS STRING)"
+    own_first = f"concat(s.kind, '_', {idx}, '_', c.team, '_against_', c.other_team, '.png')"
+    other_first = f"concat(s.kind, '_', {idx}, '_', c.other_team, '_against_', c.team, '.png')"
+    form = f"concat(s.kind, '_', {idx}, '_', c.team_1, '_', c.team_2, '.png')"
+    sql = f"""SELECT /*+ BROADCAST(s) */ c.folder, c.file, c.image_index, s.crop_no, s.side, s.kind,
+       s.page_base + CASE WHEN s.shifts THEN c.{q(page_count_col)} - {presets.BASE_PAGE_COUNT} ELSE 0 END AS page,
+       {px('x0')}, {px('y0')}, {px('x1')}, {px('y1')},
+       CASE WHEN s.kind = 'avg_formation' THEN {form} WHEN s.side = 'home_team' THEN {own_first}
+            ELSE {other_first} END AS out_name
+FROM {{catalog}} c JOIN {_spec_values_sql()} s ON c.team_slot = s.team_slot"""
+    return run_sql({"catalog": catalog}, sql)

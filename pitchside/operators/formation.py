@@ -16,141 +16,164 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from pitchside import presets
-from pitchside.functions.numeric import trunc_to_long
-from pitchside.functions.text import contains_ci, py_fixed, py_float, py_isdigit, py_strip
+from pitchside.functions.numeric import trunc_to_long_sql
+from pitchside.functions.sql import lit_str, q, run_sql
+from pitchside.functions.text import contains_ci_sql, py_fixed_sql, py_float_sql, py_isdigit_sql, py_strip_sql
 
 SLOTS = presets.FORMATION_COLUMNS
 INTERVALS = presets.FORMATION_INTERVALS
+_RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+def _cells_steps(image_col: str, seq_col: str, text_col: str) -> list[tuple[str, str]]:
+    img, seq, t = q(image_col), q(seq_col), q(text_col)
+    stripped = py_strip_sql(t)
+    words = f"(CASE WHEN {stripped} = '' THEN 0 ELSE size(split({stripped}, '\\\\s+')) END)"
+    return [
+        ("t1", f"""SELECT {img}, {seq}, {t}, (NOT {t} RLIKE '[0-9]' AND {words} > 1) AS __team,
+       {py_float_sql(t)} AS __num FROM {{tokens}}"""),
+        ("t2", f"""SELECT *,
+       __team AND row_number() OVER (PARTITION BY {img}, {t} ORDER BY {seq}) = 1 AS __first,
+       last(CASE WHEN __team THEN {t} END, true) OVER (PARTITION BY {img} ORDER BY {seq} {_RUN}) AS __cur,
+       sum(CAST(__team AND row_number() OVER (PARTITION BY {img}, {t} ORDER BY {seq}) = 1 AS INT))
+         OVER (PARTITION BY {img} ORDER BY {seq} {_RUN}) AS __blk
+FROM {{t1}}"""),
+        ("cells", f"""SELECT v.{img}, v.__cur AS team, v.slot, v.__num AS value, v.{seq}, f.first_seq FROM (
+  SELECT *, count(1) OVER (PARTITION BY {img}, __blk ORDER BY {seq} {_RUN}) AS slot
+  FROM {{t2}} WHERE NOT __team AND contains({t}, '.') AND __cur IS NOT NULL AND __num IS NOT NULL) v
+JOIN (SELECT {img}, {t} AS team, {seq} AS first_seq FROM {{t2}} WHERE __first) f
+  ON v.{img} = f.{img} AND v.__cur = f.team
+WHERE v.slot <= {len(SLOTS)}"""),
+    ]
 
 
 def table_cells(tokens: DataFrame, image_col: str = "image_id", seq_col: str = "seq",
                 text_col: str = "text") -> DataFrame:
     """Assign each table value to (team, slot).
+    -> ``image_col, team, slot (1..3), value, seq, first_seq``."""
+    return run_sql({"tokens": tokens}, "SELECT * FROM {cells}", _cells_steps(image_col, seq_col, text_col))
 
-    -> ``image_col, team, first_seq, slot (1..3), value, seq``.
-    """
-    t = F.col(text_col)
-    words = F.when(py_strip(t) == "", F.lit(0)).otherwise(F.size(F.split(py_strip(t), r"\s+")))
-    is_team = ~t.rlike("[0-9]") & (words > 1)
-    run = (Window.partitionBy(image_col).orderBy(seq_col)
-           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    first_w = Window.partitionBy(image_col, text_col).orderBy(seq_col)
-    num = py_float(t)
-    df = tokens.select(image_col, seq_col, text_col, is_team.alias("__team"), num.alias("__num"))
-    df = (df.withColumn("__first", F.col("__team") & (F.row_number().over(first_w) == 1))
-          .withColumn("__cur", F.last(F.when(F.col("__team"), F.col(text_col)), ignorenulls=True).over(run))
-          .withColumn("__blk", F.sum(F.col("__first").cast("int")).over(run)))
-    vals = df.filter(~F.col("__team") & F.col(text_col).contains(".") & F.col("__cur").isNotNull()
-                     & F.col("__num").isNotNull())
-    slot_w = (Window.partitionBy(image_col, "__blk").orderBy(seq_col)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    vals = vals.withColumn("slot", F.count(F.lit(1)).over(slot_w)).filter(F.col("slot") <= len(SLOTS))
-    firsts = (df.filter(F.col("__first"))
-              .select(image_col, F.col(text_col).alias("team"), F.col(seq_col).alias("first_seq")))
-    return (vals.select(image_col, F.col("__cur").alias("team"), "slot",
-                        F.col("__num").alias("value"), seq_col)
-            .join(firsts, [image_col, "team"]))
+
+def _rows_steps(image_col: str, seq_col: str, text_col: str) -> list[tuple[str, str]]:
+    img, seq = q(image_col), q(seq_col)
+    slots = ", ".join(f"max(CASE WHEN slot = {i + 1} THEN value END) AS {q(s)}" for i, s in enumerate(SLOTS))
+    complete = " AND ".join(f"{q(s)} IS NOT NULL" for s in SLOTS)
+    return _cells_steps(image_col, seq_col, text_col) + [
+        ("per_slot", f"""SELECT {img}, team, first_seq, slot, max_by(value, {seq}) AS value
+FROM {{cells}} GROUP BY {img}, team, first_seq, slot"""),
+        ("rows", f"""SELECT {img}, team, {', '.join(q(s) for s in SLOTS)},
+       row_number() OVER (PARTITION BY {img} ORDER BY first_seq) AS row_no
+FROM (SELECT {img}, team, first_seq, {slots} FROM {{per_slot}} GROUP BY {img}, team, first_seq)
+WHERE {complete}"""),
+    ]
 
 
 def team_rows(tokens: DataFrame, image_col: str = "image_id", seq_col: str = "seq",
               text_col: str = "text") -> DataFrame:
     """Complete team rows per image, numbered in first-sighting order.
+    -> ``image_col, team, Total, 1st half, 2nd half, row_no``."""
+    return run_sql({"tokens": tokens}, "SELECT * FROM {rows}", _rows_steps(image_col, seq_col, text_col))
 
-    -> ``image_col, team, row_no, Total, 1st half, 2nd half``.
-    """
-    cells = table_cells(tokens, image_col, seq_col, text_col)
-    per_slot = (cells.groupBy(image_col, "team", "first_seq", "slot")
-                .agg(F.max_by("value", seq_col).alias("value")))
-    wide = per_slot.groupBy(image_col, "team", "first_seq").agg(
-        *[F.max(F.when(F.col("slot") == i + 1, F.col("value"))).alias(s) for i, s in enumerate(SLOTS)])
-    complete = wide.filter(F.col(SLOTS[0]).isNotNull() & F.col(SLOTS[1]).isNotNull()
-                           & F.col(SLOTS[2]).isNotNull())
-    w = Window.partitionBy(image_col).orderBy("first_seq")
-    return complete.withColumn("row_no", F.row_number().over(w)).drop("first_seq")
+
+def _lines_step(image_col: str, order_cols: Sequence[str], text_col: str, colour_col: str) -> tuple[str, str]:
+    img, t = q(image_col), q(text_col)
+    order = ", ".join(q(c) for c in order_cols)
+    return ("lines", f"""SELECT {img}, {q(colour_col)} AS colour, interval_no, value FROM (
+  SELECT {img}, {q(colour_col)}, try_cast({t} AS BIGINT) AS value,
+         row_number() OVER (PARTITION BY {img}, {q(colour_col)} ORDER BY {order}) AS interval_no
+  FROM {{line_tokens}} WHERE {py_isdigit_sql(t)})
+WHERE interval_no <= {len(INTERVALS)}""")
 
 
 def line_values(tokens: DataFrame, image_col: str = "image_id", order_cols: Sequence[str] = ("x", "seq"),
                 text_col: str = "text", colour_col: str = "section") -> DataFrame:
     """Digit-only line labels per (image, colour), left to right,
-    first six aligned to the interval labels. -> ``image_col, colour, interval_no, value``.
-    """
-    w = Window.partitionBy(image_col, colour_col).orderBy(*order_cols)
-    return (tokens.filter(py_isdigit(F.col(text_col)))
-            .withColumn("interval_no", F.row_number().over(w))
-            .filter(F.col("interval_no") <= len(INTERVALS))
-            .select(image_col, F.col(colour_col).alias("colour"), "interval_no",
-                    F.col(text_col).try_cast("long").alias("value")))
+    the first six aligned to the intervals -> ``image_col, colour, interval_no, value``."""
+    return run_sql({"line_tokens": tokens}, "SELECT * FROM {lines}",
+                   [_lines_step(image_col, order_cols, text_col, colour_col)])
 
 
 def formation_rows(table_tokens: DataFrame, line_tokens: DataFrame, select: str = "name",
-                   team: str | Column | None = None, image_col: str = "image_id",
+                   team: str | None = None, image_col: str = "image_id",
                    seq_col: str = "seq", order_cols: Sequence[str] = ("x", "seq"),
                    text_col: str = "text", colour_col: str = "section",
-                   carry: Sequence[str] = ()) -> DataFrame:
+                   carry: Sequence[str] = (), team_col: str | None = None) -> DataFrame:
     """One row per accepted image with the team row and six line values.
 
     ``select="second"`` is what the reference does in practice (it tests the
     team name against the column labels, which never match): the second
     complete row with the blue line. ``select="name"`` takes the complete row
-    whose text contains ``team`` (case-insensitive): the first row reads the
-    black line, the second the blue one. Images without such a row, or with
-    fewer than six line values, are left out (the reference raises).
-    ``team`` may be a column of ``table_tokens`` (a per-image team) - listed
-    in ``carry`` - or a literal.
+    whose text contains the team (case-insensitive; ``team`` literal or the
+    per-image ``team_col`` of ``table_tokens``): the first row reads the black
+    line, the second the blue one. Images without such a row, or with fewer
+    than six line values, are left out (the reference raises). ``carry``
+    columns are constant per image and kept.
     """
-    rows = team_rows(table_tokens, image_col, seq_col, text_col)
-    if carry:
-        meta = table_tokens.groupBy(image_col).agg(*[F.first(c, ignorenulls=True).alias(c) for c in carry])
-        rows = rows.join(meta, image_col, "left")
+    img = q(image_col)
+    steps = _rows_steps(image_col, seq_col, text_col)
+    carry_cols = list(carry) + ([team_col] if team_col and team_col not in carry else [])
+    if carry_cols:
+        meta = ", ".join(f"first({q(c)}, true) AS {q(c)}" for c in carry_cols)
+        steps.append(("rows_m", f"""SELECT r.*, {', '.join('m.' + q(c) for c in carry_cols)} FROM {{rows}} r
+LEFT JOIN (SELECT {img}, {meta} FROM {{tokens}} GROUP BY {img}) m ON r.{img} = m.{img}"""))
+    rows = "{rows_m}" if carry_cols else "{rows}"
     if select == "second":
-        picked = rows.filter(F.col("row_no") == 2).withColumn("colour", F.lit("blue"))
+        steps.append(("picked", f"SELECT *, 'blue' AS colour FROM {rows} WHERE row_no = 2"))
     elif select == "name":
-        if team is None:
+        if team_col:
+            needle = q(team_col)
+        elif team is not None:
+            needle = lit_str(team)
+        else:
             raise ValueError("select='name' needs a team")
-        tcol = team if isinstance(team, Column) else F.lit(team)
-        hit = rows.filter(contains_ci(F.col("team"), tcol))
-        w = Window.partitionBy(image_col).orderBy("row_no")
-        picked = (hit.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1)
-                  .filter(F.col("row_no") <= 2)
-                  .withColumn("colour", F.when(F.col("row_no") == 1, F.lit("black")).otherwise(F.lit("blue")))
-                  .drop("__rn"))
+        steps.append(("picked", f"""SELECT * EXCEPT (__rn), CASE WHEN row_no = 1 THEN 'black' ELSE 'blue' END AS colour
+FROM (SELECT *, row_number() OVER (PARTITION BY {img} ORDER BY row_no) AS __rn FROM {rows}
+      WHERE {contains_ci_sql('team', needle)})
+WHERE __rn = 1 AND row_no <= 2"""))
     else:
         raise ValueError("select must be 'name' or 'second'")
-    lines = line_values(line_tokens, image_col, order_cols, text_col, colour_col)
-    wide_lines = lines.groupBy(image_col, "colour").agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.max(F.when(F.col("interval_no") == i + 1, F.col("value"))).alias(lbl)
-          for i, lbl in enumerate(INTERVALS)])
-    out = (picked.join(wide_lines, [image_col, "colour"])
-           .filter(F.col("__n") == len(INTERVALS)))
-    return out.select(image_col, *carry, "team", "colour", *SLOTS, *INTERVALS)
+    steps.append(_lines_step(image_col, order_cols, text_col, colour_col))
+    ints = ", ".join(f"max(CASE WHEN interval_no = {i + 1} THEN value END) AS {q(lbl)}"
+                     for i, lbl in enumerate(INTERVALS))
+    steps.append(("wide_lines", f"SELECT {img}, colour, count(1) AS __n, {ints} FROM {{lines}} GROUP BY {img}, colour"))
+    out_cols = ", ".join([f"p.{img}", *[f"p.{q(c)}" for c in carry], "p.team", "p.colour",
+                          *[f"p.{q(s)}" for s in SLOTS], *[f"w.{q(i)}" for i in INTERVALS]])
+    sql = f"""SELECT {out_cols} FROM {{picked}} p
+JOIN {{wide_lines}} w ON p.{img} = w.{img} AND p.colour = w.colour WHERE w.__n = {len(INTERVALS)}"""
+    return run_sql({"tokens": table_tokens, "line_tokens": line_tokens}, sql, steps)
 
 
 def formation_profile(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Truncate every value to an integer, average per label, wide.
 
-    Adds the plot bounds ``y_low``/``y_high`` (min/max of the six interval means
-    -+ 10 % of their range) and one-decimal text of Total and both halves.
+    Adds the plot bounds ``y_low``/``y_high`` (min/max of the six interval
+    means -+ 10 % of their range) and one-decimal text of Total and both halves.
     """
     labels = SLOTS + INTERVALS
-    prof = rows.groupBy(*by).agg(*[F.avg(trunc_to_long(F.col(f"`{c}`"))).alias(c) for c in labels])
-    ivals = [F.col(f"`{c}`") for c in INTERVALS]
-    lo, hi = F.least(*ivals), F.greatest(*ivals)
-    pad = (hi - lo) * 0.1
-    return prof.select(
-        "*", (lo - pad).alias("y_low"), (hi + pad).alias("y_high"),
-        py_fixed(F.col("Total"), 1).alias("total_text"),
-        py_fixed(F.col("`1st half`"), 1).alias("first_half_text"),
-        py_fixed(F.col("`2nd half`"), 1).alias("second_half_text"))
+    grp = ", ".join(q(b) for b in by)
+    means = ", ".join(f"avg({trunc_to_long_sql(q(c))}) AS {q(c)}" for c in labels)
+    ivals = ", ".join(q(c) for c in INTERVALS)
+    lo, hi = f"least({ivals})", f"greatest({ivals})"
+    group_sel = f"{grp}, " if by else ""
+    group_by = f"GROUP BY {grp}" if by else ""
+    sql = f"""SELECT *, {lo} - ({hi} - {lo}) * 0.1D AS y_low, {hi} + ({hi} - {lo}) * 0.1D AS y_high,
+       {py_fixed_sql(q('Total'), 1)} AS total_text, {py_fixed_sql(q('1st half'), 1)} AS first_half_text,
+       {py_fixed_sql(q('2nd half'), 1)} AS second_half_text
+FROM (SELECT {group_sel}{means} FROM {{rows}} {group_by})"""
+    return run_sql({"rows": rows}, sql)
 
 
 def formation_long(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """T18 in the reference's long shape: ``by..., label, value`` (mean)."""
     labels = SLOTS + INTERVALS
-    stack = ", ".join(f"'{c}', cast(`{c}` AS double)" for c in labels)
-    long = rows.select(*by, F.expr(f"stack({len(labels)}, {stack}) AS (label, v)"))
-    return long.groupBy(*by, "label").agg(F.avg(trunc_to_long("v")).alias("value"))
+    grp = [q(b) for b in by]
+    stack = ", ".join(f"{lit_str(c)}, CAST({q(c)} AS DOUBLE)" for c in labels)
+    keys = ", ".join(grp + ["label"])
+    sel = ", ".join(grp)
+    sql = f"""SELECT {keys}, avg({trunc_to_long_sql('v')}) AS value FROM (
+  SELECT {sel + ', ' if sel else ''}stack({len(labels)}, {stack}) AS (label, v) FROM {{rows}})
+GROUP BY {keys}"""
+    return run_sql({"rows": rows}, sql)

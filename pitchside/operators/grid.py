@@ -22,50 +22,61 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pitchside import presets
-from pitchside.functions.pixels import band_mask, gray_from_bgr, hsv_from_bgr, in_hsv_range
+from pitchside.functions.pixels import band_mask_sql, gray_sql, hsv_sql, in_hsv_range_sql
+from pitchside.functions.sql import dbl, expr, q, run_sql
 
 SCALE_METHODS = ("log", "normalize")
 
 
 def with_gray(pixels: DataFrame, b: str = "b", g: str = "g", r: str = "r", out: str = "gray") -> DataFrame:
     """G1: 8-bit gray from BGR channels."""
-    return pixels.withColumn(out, gray_from_bgr(F.col(b), F.col(g), F.col(r)))
+    return pixels.withColumn(out, expr(gray_sql(q(b), q(g), q(r))))
 
 
 def image_dims(pixels: DataFrame, image_col: str = "image_id", row_col: str = "row",
                col_col: str = "col") -> DataFrame:
     """Height and width of every image of a complete pixel table."""
-    return pixels.groupBy(image_col).agg((F.max(row_col) + 1).alias("height"),
-                                         (F.max(col_col) + 1).alias("width"))
+    img = q(image_col)
+    return run_sql({"px": pixels}, f"SELECT {img}, max({q(row_col)}) + 1 AS height, max({q(col_col)}) + 1 AS width "
+                                   f"FROM {{px}} GROUP BY {img}")
 
 
 def marked_cells(pixels: DataFrame, cell: tuple[int, int] = presets.GRID_CELL,
                  fraction: float = presets.GRID_FRACTION, band: tuple[int, int] = presets.GRAY_BAND,
                  image_col: str = "image_id", by: Sequence[str] = (), gray_col: str = "gray",
                  row_col: str = "row", col_col: str = "col", dims: DataFrame | None = None) -> DataFrame:
-    """G2-G4 on a pixel table -> ``image, by..., cell_row, cell_col, marked, flag``.
+    """G2-G4 on a pixel table -> ``image, by..., cell_row, cell_col, marked, grid_rows, grid_cols, flag``.
 
     ``dims`` (``image_col, height, width``) defaults to the extent of the
     pixels. Cells at or beyond ``height // ch`` / ``width // cw`` are dropped.
     """
     ch, cw = cell
     lo, hi = band
-    cells = (pixels.select(image_col, *by,
-                           F.floor(F.col(row_col) / ch).cast("int").alias("cell_row"),
-                           F.floor(F.col(col_col) / cw).cast("int").alias("cell_col"),
-                           band_mask(F.col(gray_col), lo, hi).alias("__m"))
-             .groupBy(image_col, *by, "cell_row", "cell_col")
-             .agg(F.sum("__m").alias("marked")))
-    if dims is None:
-        dims = image_dims(pixels, image_col, row_col, col_col)
-    grid = dims.select(image_col, (F.col("height") / ch).cast("int").alias("grid_rows"),
-                       (F.col("width") / cw).cast("int").alias("grid_cols"))
-    return (cells.join(grid, image_col)
-            .filter((F.col("cell_row") < F.col("grid_rows")) & (F.col("cell_col") < F.col("grid_cols")))
-            .withColumn("flag", (F.col("marked") > F.lit(float(ch * cw * fraction))).cast("int")))
+    img = q(image_col)
+    grp = "".join(f"{q(b)}, " for b in by)
+    sources = {"px": pixels}
+    if dims is not None:
+        sources["dims"] = dims
+        dims_sql = "{dims}"
+    else:
+        dims_sql = (f"(SELECT {img}, max({q(row_col)}) + 1 AS height, max({q(col_col)}) + 1 AS width "
+                    f"FROM {{px}} GROUP BY {img})")
+    steps = [
+        ("cells", f"""SELECT {img}, {grp}cell_row, cell_col, sum(__m) AS marked FROM (
+  SELECT {img}, {grp}CAST(floor({q(row_col)} / {ch}) AS INT) AS cell_row,
+         CAST(floor({q(col_col)} / {cw}) AS INT) AS cell_col, {band_mask_sql(q(gray_col), lo, hi)} AS __m
+  FROM {{px}})
+GROUP BY {img}, {grp}cell_row, cell_col"""),
+        ("grid", f"""SELECT {img}, CAST(height / {ch} AS INT) AS grid_rows, CAST(width / {cw} AS INT) AS grid_cols
+FROM {dims_sql}"""),
+    ]
+    sql = f"""SELECT c.*, g.grid_rows, g.grid_cols,
+       CAST(c.marked > {dbl(ch * cw * fraction)} AS INT) AS flag
+FROM {{cells}} c JOIN {{grid}} g ON c.{img} = g.{img}
+WHERE c.cell_row < g.grid_rows AND c.cell_col < g.grid_cols"""
+    return run_sql(sources, sql, steps)
 
 
 def accumulate(cells: DataFrame, by: Sequence[str] = (), check_shape: bool = True) -> DataFrame:
@@ -75,16 +86,15 @@ def accumulate(cells: DataFrame, by: Sequence[str] = (), check_shape: bool = Tru
     fails (the reference silently broadcasts or crashes). Counts are BIGINT
     (exact), not float32.
     """
-    acc = cells.groupBy(*by, "cell_row", "cell_col").agg(
-        F.sum("flag").cast("long").alias("hits"),
-        F.min(F.struct("grid_rows", "grid_cols")).alias("__smin"),
-        F.max(F.struct("grid_rows", "grid_cols")).alias("__smax"))
-    hits = F.col("hits")
+    grp = "".join(f"{q(b)}, " for b in by)
+    hits = "CAST(sum(flag) AS BIGINT)"
     if check_shape:
-        hits = F.when(F.col("__smin") != F.col("__smax"),
-                      F.raise_error(F.lit("images of one group have different grid shapes"))
-                      ).otherwise(hits).cast("long")
-    return acc.select(*by, "cell_row", "cell_col", hits.alias("hits"))
+        hits = (f"CAST(CASE WHEN min(named_struct('r', grid_rows, 'c', grid_cols)) "
+                f"<> max(named_struct('r', grid_rows, 'c', grid_cols)) "
+                f"THEN raise_error('images of one group have different grid shapes') "
+                f"ELSE sum(flag) END AS BIGINT)")
+    return run_sql({"cells": cells}, f"SELECT {grp}cell_row, cell_col, {hits} AS hits FROM {{cells}} "
+                                     f"GROUP BY {grp}cell_row, cell_col")
 
 
 def grid_occupancy(pixels: DataFrame, cell: tuple[int, int] = presets.GRID_CELL,
@@ -101,18 +111,14 @@ def scale_grid(grid: DataFrame, method: str = "log", by: Sequence[str] = (),
     """``log1p`` or min-max per group (flat grid -> NULL, not NaN)."""
     if method not in SCALE_METHODS:
         raise ValueError("Unsupported scaling method. Use 'log' or 'normalize'.")
-    v = F.col(value).cast("double")
+    v = f"CAST({q(value)} AS DOUBLE)"
     if method == "log":
-        return grid.withColumn(out, F.log1p(v))
-    stats = grid.groupBy(*by).agg(F.min(value).cast("double").alias("__lo"),
-                                  F.max(value).cast("double").alias("__hi"))
-    if by:
-        joined = grid.join(stats, list(by))
-    else:  # a global aggregate is exactly one row: join it on a constant key
-        joined = (grid.withColumn("__k", F.lit(0))
-                  .join(F.broadcast(stats.withColumn("__k", F.lit(0))), "__k").drop("__k"))
-    return (joined.withColumn(out, F.try_divide(v - F.col("__lo"), F.col("__hi") - F.col("__lo")))
-            .drop("__lo", "__hi"))
+        return grid.selectExpr("*", f"log1p({v}) AS {q(out)}")
+    # a grid holds at most (height / ch) x (width / cw) cells per group, bounded
+    # by the image size and not by the number of images, so a window over a
+    # group's cells is small
+    w = f"OVER (PARTITION BY {', '.join(q(b) for b in by)})" if by else "OVER ()"
+    return grid.selectExpr("*", f"try_divide({v} - min({v}) {w}, max({v}) {w} - min({v}) {w}) AS {q(out)}")
 
 
 # ---------------------------------------------------------------------------
@@ -191,7 +197,7 @@ def image_cells(images: DataFrame, cell: tuple[int, int] = presets.GRID_CELL,
 
     cells = images.select(image_field).mapInArrow(fn, CELL_SCHEMA)
     if keep:
-        meta = images.select(F.col(f"{image_field}.origin").alias("origin"), *keep)
+        meta = images.selectExpr(f"{q(image_field)}.origin AS origin", *[q(k) for k in keep])
         cells = cells.join(meta, "origin")
     return cells
 
@@ -207,12 +213,16 @@ def colour_classes(pixels: DataFrame, ranges=presets.HSV_RANGES, image_col: str
     8-bit hue is 0..179, so the black range's hue and saturation limits do not
     restrict anything, and "blue" (hue <= 130) spans red to blue, as written.
     """
-    hsv = hsv_from_bgr(F.col(b), F.col(g), F.col(r))
-    flags = [in_hsv_range(F.col("__hsv"), lo, hi).cast("int").alias(f"__{name}")
-             for name, (lo, hi) in ranges.items()]
-    px = pixels.select(image_col, *by, hsv.alias("__hsv")).select(image_col, *by, *flags)
-    return px.groupBy(image_col, *by).agg(*[F.sum(f"__{name}").cast("long").alias(f"{name}_pixels")
-                                           for name in ranges])
+    h, s, v = hsv_sql(q(b), q(g), q(r))
+    grp = "".join(f"{q(x)}, " for x in by)
+    img = q(image_col)
+    flags = ", ".join(f"CAST({in_hsv_range_sql('__h', '__s', '__v', lo, hi)} AS INT) AS __{name}"
+                      for name, (lo, hi) in ranges.items())
+    sums = ", ".join(f"CAST(sum(__{name}) AS BIGINT) AS {name}_pixels" for name in ranges)
+    steps = [("hsv", f"SELECT {img}, {grp}{h} AS __h, {s} AS __s, {v} AS __v FROM {{px}}")]
+    return run_sql({"px": pixels}, f"SELECT {img}, {grp}{sums} FROM (SELECT {img}, {grp}{flags} FROM {{hsv}}) "
+                                   f"GROUP BY {img}, {grp.rstrip(', ')}" if by else
+                   f"SELECT {img}, {sums} FROM (SELECT {img}, {flags} FROM {{hsv}}) GROUP BY {img}", steps)
 
 
 def crop_pixels(pixels: DataFrame, boxes: DataFrame, image_col: str = "image_id",
@@ -222,13 +232,13 @@ def crop_pixels(pixels: DataFrame, boxes: DataFrame, image_col: str = "image_id"
     ``boxes``: ``image_col, section, x0, y0, x1, y1`` (one or more boxes per
     image; a pixel inside several boxes appears once per box).
     """
-    j = pixels.join(boxes, image_col)
-    inside = ((F.col(col_col) >= F.col("x0")) & (F.col(col_col) < F.col("x1"))
-              & (F.col(row_col) >= F.col("y0")) & (F.col(row_col) < F.col("y1")))
-    return (j.filter(inside)
-            .withColumn(row_col, F.col(row_col) - F.col("y0"))
-            .withColumn(col_col, F.col(col_col) - F.col("x0"))
-            .drop("x0", "y0", "x1", "y1"))
+    img, rc, cc = q(image_col), q(row_col), q(col_col)
+    other = [c for c in pixels.columns if c not in (image_col, row_col, col_col)]
+    bcols = [c for c in boxes.columns if c not in (image_col, "x0", "y0", "x1", "y1")]
+    sel = ", ".join([f"p.{img}", *[f"b.{q(c)}" for c in bcols], f"p.{rc} - b.y0 AS {rc}",
+                     f"p.{cc} - b.x0 AS {cc}", *[f"p.{q(c)}" for c in other]])
+    return run_sql({"px": pixels, "boxes": boxes}, f"""SELECT {sel} FROM {{px}} p JOIN {{boxes}} b ON p.{img} = b.{img}
+WHERE p.{cc} >= b.x0 AND p.{cc} < b.x1 AND p.{rc} >= b.y0 AND p.{rc} < b.y1""")
 
 
 def formation_boxes(dims: DataFrame, image_col: str = "image_id",
@@ -240,10 +250,11 @@ def formation_boxes(dims: DataFrame, image_col: str = "image_id",
     table: rows ``[0, int(h*0.37))``, all columns; graph: rows
     ``[int(h*0.3), h)``, columns ``[int(w*0.1), int(w*0.9))``. They overlap.
     """
-    h, w = F.col("height").cast("double"), F.col("width").cast("double")
-    table = dims.select(image_col, F.lit("table").alias("section"), F.lit(0).alias("x0"), F.lit(0).alias("y0"),
-                        F.col("width").cast("int").alias("x1"), (h * top).cast("int").alias("y1"))
-    graph = dims.select(image_col, F.lit("graph").alias("section"), (w * x_range[0]).cast("int").alias("x0"),
-                        (h * bottom_from).cast("int").alias("y0"), (w * x_range[1]).cast("int").alias("x1"),
-                        F.col("height").cast("int").alias("y1"))
-    return table.unionByName(graph)
+    img = q(image_col)
+    h, w = "CAST(height AS DOUBLE)", "CAST(width AS DOUBLE)"
+    return run_sql({"dims": dims}, f"""SELECT {img}, 'table' AS section, 0 AS x0, 0 AS y0, CAST(width AS INT) AS x1,
+       CAST({h} * {dbl(top)} AS INT) AS y1 FROM {{dims}}
+UNION ALL
+SELECT {img}, 'graph' AS section, CAST({w} * {dbl(x_range[0])} AS INT) AS x0,
+       CAST({h} * {dbl(bottom_from)} AS INT) AS y0, CAST({w} * {dbl(x_range[1])} AS INT) AS x1,
+       CAST(height AS INT) AS y1 FROM {{dims}}""")

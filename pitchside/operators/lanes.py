@@ -17,44 +17,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from pitchside import presets
-from pitchside.functions.numeric import pandas_divide
-from pitchside.functions.text import py_fixed, py_int
+from pitchside.functions.numeric import pandas_divide_sql
+from pitchside.functions.sql import lit_str, q, run_sql
+from pitchside.functions.text import py_fixed_sql, py_int_sql
 
 LANE_FIELDS = [f"{lane}_{k}" for lane in presets.LANES for k in ("attempts", "XG", "percent")]
 MEAN_FIELDS = [f"{lane}_{k}" for lane in presets.LANES for k in ("attempts", "XG")]
 
 
+def _classify_steps(text_col: str) -> list[tuple[str, str]]:
+    t = q(text_col)
+    is_lane = f"(contains({t}, '/') AND contains({t}, 'XG'))"
+    xg_txt = f"regexp_extract({t}, {lit_str(presets.XG_PATTERN)}, 1)"
+    parsed = (f"SELECT *, CASE WHEN {is_lane} THEN 'lane' WHEN contains({t}, '%') THEN 'percent' END AS kind, "
+              f"CASE WHEN {is_lane} THEN {py_int_sql(f'substring_index({t}, {chr(39)}/{chr(39)}, 1)')} END AS __a, "
+              f"CASE WHEN {is_lane} THEN (CASE WHEN {xg_txt} <> '' "
+              f"THEN try_cast(replace({xg_txt}, '<', '') AS DOUBLE) END) END AS __x, "
+              f"CASE WHEN NOT {is_lane} AND contains({t}, '%') THEN {py_int_sql(f'replace({t}, {chr(39)}%{chr(39)}, {chr(39)}{chr(39)})')} END "
+              f"AS __p FROM {{tokens}}")
+    lane_ok = "(kind = 'lane' AND __a IS NOT NULL AND __x IS NOT NULL)"
+    pct_ok = "(kind = 'percent' AND __p IS NOT NULL)"
+    derived = (f"SELECT * EXCEPT (__a, __x, __p), "
+               f"CASE WHEN {lane_ok} THEN __a END AS attempts, CASE WHEN {lane_ok} THEN __x END AS xg, "
+               f"__p AS percent, coalesce({lane_ok} OR {pct_ok}, false) AS valid, "
+               f"kind IS NOT NULL AND NOT coalesce({lane_ok} OR {pct_ok}, false) AS rejected FROM {{parsed}}")
+    return [("parsed", parsed), ("classified", derived)]
+
+
 def classify_tokens(tokens: DataFrame, text_col: str = "text") -> DataFrame:
     """Parse every token once.
 
-    Adds ``kind`` ('lane' | 'percent' | NULL), ``attempts`` (bigint),
-    ``xg`` (double), ``percent`` (bigint), ``valid`` and ``rejected``.
+    Adds ``kind`` ('lane' | 'percent' | NULL), ``attempts`` (bigint), ``xg``
+    (double), ``percent`` (bigint), ``valid`` and ``rejected``. A lane token
+    needs both parts to parse; otherwise it is rejected and does not advance
+    the lane counter.
     """
-    t = F.col(text_col)
-    is_lane = t.contains("/") & t.contains("XG")
-    is_pct = ~is_lane & t.contains("%")
-    attempts = py_int(F.substring_index(t, "/", 1))
-    xg_txt = F.regexp_extract(t, presets.XG_PATTERN, 1)
-    xg = F.when(xg_txt != "", F.regexp_replace(xg_txt, "<", "").try_cast("double"))
-    pct = py_int(F.regexp_replace(t, "%", ""))
-    out = tokens.select(
-        "*",
-        F.when(is_lane, F.lit("lane")).when(is_pct, F.lit("percent")).alias("kind"),
-        F.when(is_lane & attempts.isNotNull() & xg.isNotNull(), attempts).alias("attempts"),
-        F.when(is_lane & attempts.isNotNull() & xg.isNotNull(), xg).alias("xg"),
-        F.when(is_pct, pct).alias("percent"))
-    valid = (F.col("kind") == "lane") & F.col("attempts").isNotNull() | \
-            (F.col("kind") == "percent") & F.col("percent").isNotNull()
-    return (out.withColumn("valid", F.coalesce(valid, F.lit(False)))
-            .withColumn("rejected", F.col("kind").isNotNull() & ~F.col("valid")))
-
-
-def _key(order_cols: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_cols)])
+    return run_sql({"tokens": tokens}, "SELECT * FROM {classified}", _classify_steps(text_col))
 
 
 def attack_lanes(tokens: DataFrame, images: DataFrame | None = None, image_col: str = "image_id",
@@ -65,49 +66,43 @@ def attack_lanes(tokens: DataFrame, images: DataFrame | None = None, image_col:
     break (Python's stable sort). ``images`` (one ``image_col`` per image)
     keeps images without any token, with all fields NULL.
     """
-    c = classify_tokens(tokens, text_col)
-    key = _key(order_cols)
-    lane_v = F.struct(key.alias("k"), F.col("attempts").alias("a"), F.col("xg").alias("x"))
-    pct_v = F.struct(key.alias("k"), F.col("percent").alias("p"))
-    is_lane = F.col("valid") & (F.col("kind") == "lane")
-    is_pct = F.col("valid") & (F.col("kind") == "percent")
-    c = c.select(image_col, key.alias("__k"), is_lane.alias("__il"), is_pct.alias("__ip"),
-                 lane_v.alias("__lv"), pct_v.alias("__pv"), F.col("rejected"))
-
-    p1 = c.groupBy(image_col).agg(
-        F.min(F.when(F.col("__il"), F.col("__lv"))).alias("__l1"),
-        F.max(F.when(F.col("__il"), F.col("__lv"))).alias("__ll"),
-        F.count(F.when(F.col("__il"), 1)).alias("__ln"),
-        F.min(F.when(F.col("__ip"), F.col("__pv"))).alias("__p1"),
-        F.max(F.when(F.col("__ip"), F.col("__pv"))).alias("__pl"),
-        F.count(F.when(F.col("__ip"), 1)).alias("__pn"),
-        F.count(F.when(F.col("rejected"), 1)).alias("rejects"))
-
-    later = (c.filter(F.col("__il") | F.col("__ip"))
-             .join(p1.select(image_col, F.col("__l1.k").alias("__l1k"), F.col("__p1.k").alias("__p1k")),
-                   image_col)
-             .filter((F.col("__il") & (F.col("__k") > F.col("__l1k")))
-                     | (F.col("__ip") & (F.col("__k") > F.col("__p1k")))))
-    p2 = later.groupBy(image_col).agg(
-        F.min(F.when(F.col("__il"), F.col("__lv"))).alias("__l2"),
-        F.min(F.when(F.col("__ip"), F.col("__pv"))).alias("__p2"))
-
-    j = p1.join(p2, image_col, "left")
-    res = j.select(
-        image_col,
-        F.col("__l1.a").alias("left_attempts"), F.col("__l1.x").alias("left_XG"),
-        F.col("__p1.p").alias("left_percent"),
-        F.when(F.col("__ln") >= 2, F.col("__l2.a")).alias("mid_attempts"),
-        F.when(F.col("__ln") >= 2, F.col("__l2.x")).alias("mid_XG"),
-        F.when(F.col("__pn") >= 2, F.col("__p2.p")).alias("mid_percent"),
-        F.when(F.col("__ln") >= 3, F.col("__ll.a")).alias("right_attempts"),
-        F.when(F.col("__ln") >= 3, F.col("__ll.x")).alias("right_XG"),
-        F.when(F.col("__pn") >= 3, F.col("__pl.p")).alias("right_percent"),
-        F.col("rejects"))
-    if images is not None:
-        res = (images.select(image_col).distinct().join(res, image_col, "left")
-               .withColumn("rejects", F.coalesce(F.col("rejects"), F.lit(0).cast("long"))))
-    return res
+    img = q(image_col)
+    key = "named_struct(" + ", ".join(f"'k{i}', {q(c)}" for i, c in enumerate(order_cols)) + ")"
+    steps = _classify_steps(text_col) + [
+        ("c", f"""SELECT {img}, {key} AS __k, valid AND kind = 'lane' AS __il, valid AND kind = 'percent' AS __ip,
+       named_struct('k', {key}, 'a', attempts, 'x', xg) AS __lv, named_struct('k', {key}, 'p', percent) AS __pv,
+       rejected FROM {{classified}}"""),
+        ("p1", f"""SELECT {img},
+       min(CASE WHEN __il THEN __lv END) AS __l1, max(CASE WHEN __il THEN __lv END) AS __ll,
+       count(CASE WHEN __il THEN 1 END) AS __ln,
+       min(CASE WHEN __ip THEN __pv END) AS __p1, max(CASE WHEN __ip THEN __pv END) AS __pl,
+       count(CASE WHEN __ip THEN 1 END) AS __pn,
+       count(CASE WHEN rejected THEN 1 END) AS rejects
+FROM {{c}} GROUP BY {img}"""),
+        ("p2", f"""SELECT c.{img}, min(CASE WHEN c.__il THEN c.__lv END) AS __l2,
+       min(CASE WHEN c.__ip THEN c.__pv END) AS __p2
+FROM {{c}} c JOIN {{p1}} p ON c.{img} = p.{img}
+WHERE (c.__il AND c.__k > p.__l1.k) OR (c.__ip AND c.__k > p.__p1.k)
+GROUP BY c.{img}"""),
+        ("lanes", f"""SELECT p1.{img},
+       p1.__l1.a AS left_attempts, p1.__l1.x AS left_XG, p1.__p1.p AS left_percent,
+       CASE WHEN __ln >= 2 THEN p2.__l2.a END AS mid_attempts,
+       CASE WHEN __ln >= 2 THEN p2.__l2.x END AS mid_XG,
+       CASE WHEN __pn >= 2 THEN p2.__p2.p END AS mid_percent,
+       CASE WHEN __ln >= 3 THEN __ll.a END AS right_attempts,
+       CASE WHEN __ln >= 3 THEN __ll.x END AS right_XG,
+       CASE WHEN __pn >= 3 THEN __pl.p END AS right_percent,
+       rejects
+FROM {{p1}} p1 LEFT JOIN {{p2}} p2 ON p1.{img} = p2.{img}"""),
+    ]
+    sources = {"tokens": tokens}
+    if images is None:
+        return run_sql(sources, "SELECT * FROM {lanes}", steps)
+    sources["images"] = images
+    fields = ", ".join(f"l.{f}" for f in LANE_FIELDS)
+    sql = f"""SELECT i.{img}, {fields}, coalesce(l.rejects, 0L) AS rejects
+FROM (SELECT DISTINCT {img} FROM {{images}}) i LEFT JOIN {{lanes}} l ON i.{img} = l.{img}"""
+    return run_sql(sources, sql, steps)
 
 
 def lane_profile(lanes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -118,26 +113,27 @@ def lane_profile(lanes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ``attempts / total * 0.75`` (length) and ``* 10`` (width); labels read
     ``'<int attempts> / <xG .2f> xG\\n<share .0f>%'``.
     """
-    means = lanes.groupBy(*by).agg(*[F.avg(f).alias(f) for f in MEAN_FIELDS])
+    grp = ", ".join(q(b) for b in by)
+    means = ", ".join(f"avg({f}) AS {f}" for f in MEAN_FIELDS)
     lanes_ = presets.LANES
-    total_xg = sum((F.coalesce(F.col(f"{lane}_XG"), F.lit(0.0)) for lane in lanes_), F.lit(0.0))
-    total_att = sum((F.coalesce(F.col(f"{lane}_attempts"), F.lit(0.0)) for lane in lanes_), F.lit(0.0))
-    cols = [F.col(b) for b in by] + [F.col(f) for f in MEAN_FIELDS]
-    cols.append(total_xg.alias("total_XG"))
+    total_xg = " + ".join(f"coalesce({lane}_XG, 0D)" for lane in lanes_)
+    total_att = " + ".join(f"coalesce({lane}_attempts, 0D)" for lane in lanes_)
+    cols = [f"({total_xg}) AS total_XG"]
     for lane in lanes_:
-        share = pandas_divide(F.coalesce(F.col(f"{lane}_XG"), F.lit(0.0)), total_xg) * 100.0
-        cols.append(share.alias(f"{lane}_share"))
+        cols.append(f"{pandas_divide_sql(f'coalesce({lane}_XG, 0D)', f'({total_xg})')} * 100D AS {lane}_share")
     for lane in lanes_:
-        ratio = pandas_divide(F.col(f"{lane}_attempts"), total_att)
-        cols.append((ratio * 0.75).alias(f"{lane}_arrow_length"))
-        cols.append((ratio * 10.0).alias(f"{lane}_arrow_width"))
-    out = means.select(*cols)
+        ratio = pandas_divide_sql(f"{lane}_attempts", f"({total_att})")
+        cols.append(f"{ratio} * 0.75D AS {lane}_arrow_length")
+        cols.append(f"{ratio} * 10D AS {lane}_arrow_width")
     labels = []
     for lane in lanes_:
-        att = F.col(f"{lane}_attempts")
-        label = F.concat(att.cast("long").cast("string"), F.lit(" / "),
-                         py_fixed(F.col(f"{lane}_XG"), 2), F.lit(" xG\n"),
-                         py_fixed(F.col(f"{lane}_share"), 0), F.lit("%"))
-        labels.append(F.when(att.isNotNull() & ~F.isnan(att)
-                             & (F.abs(att) != float("inf")), label).alias(f"{lane}_label"))
-    return out.select("*", *labels)
+        att = f"{lane}_attempts"
+        labels.append(
+            f"CASE WHEN {att} IS NOT NULL AND NOT isnan({att}) AND abs({att}) <> CAST('Infinity' AS DOUBLE) "
+            f"THEN concat(CAST(CAST({att} AS BIGINT) AS STRING), ' / ', {py_fixed_sql(f'{lane}_XG', 2)}, "
+            f"' xG', {lit_str(chr(10))}, {py_fixed_sql(f'{lane}_share', 0)}, '%') END AS {lane}_label")
+    group_sel = f"{grp}, " if by else ""
+    group_by = f"GROUP BY {grp}" if by else ""
+    steps = [("m", f"SELECT {group_sel}{means} FROM {{lanes}} {group_by}"),
+             ("f", f"SELECT *, {', '.join(cols)} FROM {{m}}")]
+    return run_sql({"lanes": lanes}, f"SELECT *, {', '.join(labels)} FROM {{f}}", steps)

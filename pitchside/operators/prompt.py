@@ -7,10 +7,10 @@ inputs are one row per team and are joined on the team column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from pitchside import presets
+from pitchside.functions.sql import lit_str, q
 from pitchside.functions.text import with_py_str
 
 _IND = "    "
@@ -26,31 +26,33 @@ def scouting_prompt(summary: DataFrame, lanes: DataFrame, formation: DataFrame,
     """
     lanes_cols = [f"{lane}_{k}" for lane in presets.LANES for k in ("attempts", "XG")]
     j = (summary.join(lanes.select(team_col, *lanes_cols), team_col, "left")
-         .join(formation.select(team_col, F.col(formation_col).alias("__total")), team_col, "left"))
+         .join(formation.selectExpr(q(team_col), f"{q(formation_col)} AS __total"), team_col, "left"))
     needed = [col for _, col, _ in presets.PROMPT_STAT_LINES] + lanes_cols + ["__total"]
     j = with_py_str(j, {f"__s_{c}": (c, j.schema[c].dataType.simpleString()) for c in dict.fromkeys(needed)})
 
-    def _val(_df, col: str) -> Column:
-        return F.col(f"__s_{col}")
+    def _val(_df, col: str) -> str:
+        return q(f"__s_{col}")
 
-    stats: list[Column] = [F.lit("\n")]
+    def lit(s: str) -> str:
+        return lit_str(s)
+
+    stats = [lit("\n")]
     for label, col, suffix in presets.PROMPT_STAT_LINES:
-        stats += [F.lit(f"{_IND}- {label}: "), _val(j, col), F.lit(f"{suffix}\n")]
-    stats.append(F.lit(_IND))
+        stats += [lit(f"{_IND}- {label}: "), _val(j, col), lit(f"{suffix}\n")]
+    stats.append(lit(_IND))
 
-    attack: list[Column] = [F.lit(f"\n{_IND}Attack Side Breakdown:\n")]
+    attack = [lit(f"\n{_IND}Attack Side Breakdown:\n")]
     for label, lane in presets.PROMPT_LANE_LINES:
-        attack += [F.lit(f"{_IND}- {label}: "), _val(j, f"{lane}_attempts"),
-                   F.lit(" attempts, xG: "), _val(j, f"{lane}_XG"), F.lit("\n")]
-    attack.append(F.lit(_IND))
-
-    form = [F.lit(f"\n{_IND}Average Formation Possession by Time Period:\n{_IND}- Total: "),
-            _val(j, "__total"), F.lit(f"%\n{_IND}")]
-
-    prompt = F.concat(
-        F.lit(f"\n{_IND}{presets.PROMPT_INTRO}\n\n{_IND}Team Stats:\n{_IND}"), *stats,
-        F.lit(f"\n\n{_IND}Attack Side Breakdown:\n{_IND}"), *attack,
-        F.lit(f"\n\n{_IND}Average Formation Possession:\n{_IND}"), *form,
-        F.lit(f"\n\n{_IND}{presets.PROMPT_OUTRO}\n{_IND}"))
-    return j.select(team_col, F.lit(presets.SYSTEM_MESSAGE).alias("system_message"),
-                    prompt.alias("prompt"))
+        attack += [lit(f"{_IND}- {label}: "), _val(j, f"{lane}_attempts"),
+                   lit(" attempts, xG: "), _val(j, f"{lane}_XG"), lit("\n")]
+    attack.append(lit(_IND))
+
+    form = [lit(f"\n{_IND}Average Formation Possession by Time Period:\n{_IND}- Total: "),
+            _val(j, "__total"), lit(f"%\n{_IND}")]
+
+    parts = ([lit(f"\n{_IND}{presets.PROMPT_INTRO}\n\n{_IND}Team Stats:\n{_IND}")] + stats
+             + [lit(f"\n\n{_IND}Attack Side Breakdown:\n{_IND}")] + attack
+             + [lit(f"\n\n{_IND}Average Formation Possession:\n{_IND}")] + form
+             + [lit(f"\n\n{_IND}{presets.PROMPT_OUTRO}\n{_IND}")])
+    return j.selectExpr(q(team_col), f"{lit(presets.SYSTEM_MESSAGE)} AS system_message",
+                        f"concat({', '.join(parts)}) AS prompt")

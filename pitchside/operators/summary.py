@@ -10,27 +10,29 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from pitchside import presets
-from pitchside.functions.text import contains_ci, py_strip
+from pitchside.functions.sql import expr, lit_str, q, run_sql
+from pitchside.functions.text import contains_ci_sql, py_strip_sql
+
+_INTS = ("tinyint", "smallint", "int", "bigint")
 
 
 def parse_dates(df: DataFrame, date_col: str = "date") -> DataFrame:
     """A1: a string date column becomes a timestamp (unparsable -> NULL)."""
     if isinstance(df.schema[date_col].dataType, StringType):
-        return df.withColumn(date_col, F.try_to_timestamp(F.col(date_col)))
+        return df.withColumn(date_col, expr(f"try_to_timestamp({q(date_col)})"))
     return df
 
 
-def season_rows(df: DataFrame, year: int, date_col: str = "date") -> DataFrame:
-    """A2: rows of one calendar year, as ``[year-01-01, year+1-01-01)``."""
-    df = parse_dates(df, date_col)
+def season_predicate(df: DataFrame, year: int, date_col: str = "date") -> str:
+    """A2: ``[year-01-01, year+1-01-01)`` as SQL, typed like the column (a range
+    predicate, so it is pushed to the parquet scan)."""
     dtype = df.schema[date_col].dataType.simpleString()
-    lo = F.lit(f"{year:04d}-01-01 00:00:00").cast(dtype)
-    hi = F.lit(f"{year + 1:04d}-01-01 00:00:00").cast(dtype)
-    return df.filter((F.col(date_col) >= lo) & (F.col(date_col) < hi))
+    c = q(date_col)
+    return (f"{c} >= CAST('{year:04d}-01-01 00:00:00' AS {dtype}) "
+            f"AND {c} < CAST('{year + 1:04d}-01-01 00:00:00' AS {dtype})")
 
 
 def season_summary(matches: DataFrame, measures: Mapping[str, str] = presets.TEAM_MEASURES,
@@ -41,22 +43,24 @@ def season_summary(matches: DataFrame, measures: Mapping[str, str] = presets.TEA
     NULL team rows are dropped (N4); a measure missing in every row sums to 0
     and averages to NULL (N3).
     """
-    df = season_rows(matches, year, date_col) if year is not None else parse_dates(matches, date_col)
-    df = df.withColumn(team_col, py_strip(team_col)).filter(F.col(team_col).isNotNull())
+    df = parse_dates(matches, date_col)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     aggs = []
     for m, how in measures.items():
         if how == "sum":
-            aggs.append(F.coalesce(F.sum(m), F.lit(0).cast(_sum_type(df, m))).alias(m))
+            zero = "0L" if types[m] in _INTS else "0D"
+            aggs.append(f"coalesce(sum({q(m)}), {zero}) AS {q(m)}")
         elif how == "mean":
-            aggs.append(F.avg(m).alias(m))
+            aggs.append(f"avg({q(m)}) AS {q(m)}")
         else:
             raise ValueError(f"unsupported aggregation {how!r} for {m}")
-    return df.groupBy(team_col).agg(*aggs)
-
-
-def _sum_type(df: DataFrame, col: str) -> str:
-    t = df.schema[col].dataType.simpleString()
-    return "bigint" if t in ("tinyint", "smallint", "int", "bigint") else "double"
+    where = season_predicate(df, year, date_col) if year is not None else "TRUE"
+    t = q(team_col)
+    cols = ", ".join(q(m) for m in measures)
+    sql = f"""SELECT {t}, {', '.join(aggs)} FROM (
+  SELECT {py_strip_sql(t)} AS {t}, {cols} FROM {{m}} WHERE {where})
+WHERE {t} IS NOT NULL GROUP BY {t}"""
+    return run_sql({"m": df}, sql)
 
 
 def resolve_team(matches: DataFrame, text: str, year: int | None = presets.DEFAULT_SEASON,
@@ -66,11 +70,15 @@ def resolve_team(matches: DataFrame, text: str, year: int | None = presets.DEFAU
     "First" is the earliest ``(date, team)`` of the season; zero rows when
     nothing matches (the reference raises ``IndexError``).
     """
-    df = season_rows(matches, year, date_col) if year is not None else parse_dates(matches, date_col)
-    hits = (df.select(py_strip(team_col).alias(team_col), F.col(date_col))
-            .filter(F.col(team_col).isNotNull() & contains_ci(F.col(team_col), F.lit(text))))
-    first = hits.agg(F.min(F.struct(F.col(date_col), F.col(team_col))).alias("__m"))
-    return first.select(F.col("__m")[team_col].alias(team_col)).filter(F.col(team_col).isNotNull())
+    df = parse_dates(matches, date_col)
+    where = season_predicate(df, year, date_col) if year is not None else "TRUE"
+    t, d = q(team_col), q(date_col)
+    sql = f"""SELECT __m.team AS {t} FROM (
+  SELECT min(named_struct('d', {d}, 'team', __t)) AS __m FROM (
+    SELECT {py_strip_sql(t)} AS __t, {d} FROM {{m}} WHERE {where})
+  WHERE __t IS NOT NULL AND {contains_ci_sql('__t', lit_str(text))})
+WHERE __m IS NOT NULL"""
+    return run_sql({"m": df}, sql)
 
 
 def team_summary(matches: DataFrame, text: str, measures: Mapping[str, str] = presets.TEAM_MEASURES,

@@ -19,6 +19,7 @@ from pitchside.operators.positions import invert_groups, primary_category
 from pitchside.operators.scoring import (
     league_percentiles, pct_col, score_col, season_filter, top_k_by_aspect, weighted_scores,
 )
+from pitchside.functions.sql import q
 from pitchside.plans import standins as si
 
 ASPECTS = presets.ASPECTS
@@ -40,7 +41,7 @@ def register(name: str, sql: str | None):
 
 
 def _r6(c: str):
-    return F.round(F.col(c), 6).alias(c)
+    return F.expr(f"round({q(c)}, 6) AS {q(c)}")
 
 
 # ----------------------------------------------------------------------------
@@ -270,7 +271,7 @@ MEAN_COLS = [m for m, how in presets.TEAM_MEASURES.items() if how == "mean"]
 
 
 def _summary_out(df):
-    return df.select("team", *[F.col(c) for c in SUM_COLS], *[_r6(c) for c in MEAN_COLS])
+    return df.selectExpr("team", *SUM_COLS, *[f"round({c}, 6) AS {c}" for c in MEAN_COLS])
 
 
 def _sql_summary_body() -> str:
@@ -508,13 +509,13 @@ _SQL_FROWS_OUT = ", ".join(["image_id", "img_team AS image_team", "team", "colou
 def _formation_rows(spark, d, select):
     tt = si.formation_table_tokens(spark, d)
     lt = si.formation_line_tokens(spark, d)
-    team = F.col("image_team") if select == "name" else None
-    return formation_rows(tt.withColumnRenamed("team", "image_team"), lt, select=select, team=team,
+    return formation_rows(tt.withColumnRenamed("team", "image_team"), lt, select=select,
+                          team_col="image_team" if select == "name" else None,
                           order_cols=("x", "seq"), carry=["image_team"])
 
 
 def _frows_out(df):
-    return df.select("image_id", "image_team", "team", "colour", *[F.col(f"`{c}`") for c in _ALL_F])
+    return df.selectExpr("image_id", "image_team", "team", "colour", *[q(c) for c in _ALL_F])
 
 
 @register("formation_rows", f"""WITH {_sql_formation('name')}
@@ -550,8 +551,8 @@ SELECT image_team, {", ".join(f"round({_q(c)}, 6) AS {_q(c)}" for c in _FP_NUM)}
 FROM fprofile""")
 def q_formation_profile(spark, d):
     prof = formation_profile(_formation_rows(spark, d, "name"), by=["image_team"])
-    return prof.select("image_team", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in _FP_NUM],
-                       "total_text", "first_half_text", "second_half_text")
+    return prof.selectExpr("image_team", *[f"round({q(c)}, 6) AS {q(c)}" for c in _FP_NUM],
+                           "total_text", "first_half_text", "second_half_text")
 
 
 @register("formation_long", f"""WITH {_sql_formation('name')},
@@ -626,7 +627,7 @@ def q_scouting_prompt(spark, d):
     summary = summary.select("team", *SUM_COLS, *[_r6(c) for c in MEAN_COLS])
     lanes = lane_profile(_lanes(spark, d), by=["team"]).select("team", *[_r6(c) for c in _LANE_MEANS])
     form = (formation_profile(_formation_rows(spark, d, "name"), by=["image_team"])
-            .select(F.col("image_team").alias("team"), _r6("Total")))
+            .selectExpr("image_team AS team", "round(Total, 6) AS Total"))
     return scouting_prompt(summary, lanes, form)
 
 
@@ -689,9 +690,9 @@ SELECT image_id, "row", col, {_GRAY_SQL} AS gray,
        CAST(({_GRAY_SQL}) >= {_HI_B} OR ({_GRAY_SQL}) <= {_LO_B} AS INTEGER) AS marked
 FROM px""")
 def q_gray_band(spark, d):
-    from pitchside.functions.pixels import band_mask
+    from pitchside.functions.pixels import band_mask_sql
     px = with_gray(si.pixels(spark, d).drop("gray"))
-    return px.select("image_id", "row", "col", "gray", band_mask(F.col("gray")).alias("marked"))
+    return px.selectExpr("image_id", "row", "col", "gray", f"{band_mask_sql('gray')} AS marked")
 
 
 def _sql_hsv() -> str:

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitchside.functions.sql import project
+
 # --- stand-in configuration (not reference values) --------------------------
 # part-name word -> canonical position; "small" is left unmapped on purpose.
 STANDIN_POSITION_MAP = {
@@ -79,7 +81,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _project(df: DataFrame, exprs) -> DataFrame:
-    return df.select(*[F.expr(e).alias(n) for n, e in exprs])
+    return project(df, exprs)
 
 
 def player_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +113,8 @@ def report_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def formation_table_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _project(_lineitem_orders(spark, sf_dir), FORMATION_TABLE_EXPRS)
-    return df.withColumn("seq", F.struct(*[F.col(k) for k in ORDER_KEYS]))
+    seq = "named_struct(" + ", ".join(f"'{k}', {k}" for k in ORDER_KEYS) + ")"
+    return _project(_lineitem_orders(spark, sf_dir), FORMATION_TABLE_EXPRS + [("seq", seq)])
 
 
 def formation_line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql.types import (
 )
 
 from pitchside import presets
-from pitchside.functions.numeric import nan_to_null
+from pitchside.functions.numeric import nan_to_null_sql
+from pitchside.functions.sql import q
 
 _INT_MEASURES = {m for m, how in presets.TEAM_MEASURES.items() if how == "sum"}
 
@@ -37,10 +38,10 @@ OCR_TOKEN_SCHEMA = StructType([
 
 
 def _nan_free(df: DataFrame) -> DataFrame:
-    cols = [nan_to_null(F.col(f"`{f.name}`")).alias(f.name)
-            if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f"`{f.name}`")
+    cols = [f"{nan_to_null_sql(q(f.name))} AS {q(f.name)}"
+            if isinstance(f.dataType, (DoubleType, FloatType)) else q(f.name)
             for f in df.schema.fields]
-    return df.select(*cols)
+    return df.selectExpr(*cols)
 
 
 def _read(spark: SparkSession, path: str, schema: StructType, fmt: str, null_value: str | None) -> DataFrame:
@@ -56,7 +57,7 @@ def read_team_matches(spark: SparkSession, path: str, fmt: str = "csv",
                       null_value: str | None = None) -> DataFrame:
     """S1 (+A1): one row per team per match; ``date`` parsed to a timestamp."""
     df = _nan_free(_read(spark, path, TEAM_MATCH_SCHEMA, fmt, null_value))
-    return df.withColumn("date", F.try_to_timestamp(F.col("date")))
+    return df.withColumn("date", F.expr("try_to_timestamp(`date`)"))
 
 
 def read_player_matches(spark: SparkSession, path: str, fmt: str = "csv",
