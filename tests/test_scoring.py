@@ -91,4 +91,4 @@ def test_scale_form_has_no_global_window_over_rows(spark):
     # the only unpartitioned windows run over the per-bucket totals, after a
     # SinglePartition exchange of at most `buckets` rows; rows themselves are
     # ranked inside hash partitions of the bucket id
-    assert "hashpartitioning(__bk" in plan
+    assert "hashpartitioning(bk#" in plan
