@@ -79,10 +79,11 @@ def attack_lanes(tokens: DataFrame, images: DataFrame | None = None, image_col:
        count(CASE WHEN __ip THEN 1 END) AS __pn,
        count(CASE WHEN rejected THEN 1 END) AS rejects
 FROM {{c}} GROUP BY {img}"""),
-        ("p2", f"""SELECT c.{img}, min(CASE WHEN c.__il THEN c.__lv END) AS __l2,
-       min(CASE WHEN c.__ip THEN c.__pv END) AS __p2
+        # the conditions stay inside the aggregate: as a WHERE they would be
+        # pushed below the classification projection and re-evaluate it there
+        ("p2", f"""SELECT c.{img}, min(CASE WHEN c.__il AND c.__k > p.__l1.k THEN c.__lv END) AS __l2,
+       min(CASE WHEN c.__ip AND c.__k > p.__p1.k THEN c.__pv END) AS __p2
 FROM {{c}} c JOIN {{p1}} p ON c.{img} = p.{img}
-WHERE (c.__il AND c.__k > p.__l1.k) OR (c.__ip AND c.__k > p.__p1.k)
 GROUP BY c.{img}"""),
         ("lanes", f"""SELECT p1.{img},
        p1.__l1.a AS left_attempts, p1.__l1.x AS left_XG, p1.__p1.p AS left_percent,
