@@ -1,4 +1,5 @@
 import tempfile
+import uuid
 
 from pitchside.operators.grid import accumulate
 from pitchside.streaming import CELL_TABLE_SCHEMA, running_heatmap, start_complete
@@ -14,9 +15,12 @@ def test_running_heatmap_equals_batch(spark):
     spark.createDataFrame(batch1, CELL_TABLE_SCHEMA).write.mode("append").parquet(src)
     spark.createDataFrame(batch2, CELL_TABLE_SCHEMA).write.mode("append").parquet(src)
     stream = spark.readStream.schema(CELL_TABLE_SCHEMA).parquet(src)
-    query = start_complete(running_heatmap(stream), "heatmap_test")
+    # the checkpoint lives below spark.checkpoint.dir under the query name, so a
+    # re-run of the same name would resume the old stream: use a fresh name
+    name = f"heatmap_test_{uuid.uuid4().hex[:8]}"
+    query = start_complete(running_heatmap(stream), name)
     query.awaitTermination(120)
-    got = rows(spark.sql("SELECT * FROM heatmap_test"), "side", "cell_row", "cell_col", "hits")
+    got = rows(spark.sql(f"SELECT * FROM {name}"), "side", "cell_row", "cell_col", "hits")
     want = rows(accumulate(spark.createDataFrame(batch1 + batch2, CELL_TABLE_SCHEMA), by=["side"]),
                 "side", "cell_row", "cell_col", "hits")
     assert got == want == [("home_team", 0, 0, 2), ("home_team", 0, 1, 1), ("opp_team", 0, 0, 1)]
