@@ -235,7 +235,9 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
           .join(n.withColumnRenamed("n_name", "n2"), F.col("s_nationkey") == F.col("n_nationkey"))
           .select(F.col("l_orderkey").alias("o_orderkey"), "n2"))
     both = t1.join(t2, "o_orderkey").select("*", F.explode(F.array("n1", "n2")).alias("fn"))
-    return _project(both, REPORT_EXPRS)
+    # the listing stands in for a file listing and is read twice by the
+    # catalog (team folder + files): materialise it once in the checkpoint dir
+    return _project(both, REPORT_EXPRS).checkpoint(eager=True)
 
 
 def sql_select(exprs, source: str) -> str:
