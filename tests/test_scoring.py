@@ -92,3 +92,10 @@ def test_scale_form_has_no_global_window_over_rows(spark):
     # SinglePartition exchange of at most `buckets` rows; rows themselves are
     # ranked inside hash partitions of the bucket id
     assert "hashpartitioning(bk#" in plan
+
+
+def test_top_k_plan_limits_groups_before_the_shuffle(spark):
+    df = spark.range(5000).selectExpr("concat('p', id) AS player_name", "concat('T', id % 7) AS team",
+                                      "CAST(id % 97 AS DOUBLE) AS attacking_total_weighted_score")
+    plan = top_k_by_aspect(df, 3, ["attacking"])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
