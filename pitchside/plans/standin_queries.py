@@ -14,11 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchside import presets
+from pitchside.functions.pixels import band_mask_sql
+from pitchside.operators.catalog import crop_plan, report_catalog
+from pitchside.operators.formation import formation_long, formation_profile, formation_rows
+from pitchside.operators.grid import (
+    accumulate, colour_classes, crop_pixels, formation_boxes, grid_occupancy, image_cells, image_dims,
+    scale_grid, with_gray,
+)
+from pitchside.operators.lanes import attack_lanes, classify_tokens, lane_profile
 from pitchside.operators.matchup import attach_category, counter_matchups, pitch_layout, with_percentiles
-from pitchside.operators.positions import invert_groups, primary_category
+from pitchside.operators.positions import primary_category
+from pitchside.operators.prompt import scouting_prompt
 from pitchside.operators.scoring import (
     league_percentiles, pct_col, score_col, season_filter, top_k_by_aspect, weighted_scores,
 )
+from pitchside.operators.summary import season_summary, team_summary
 from pitchside.functions.sql import q
 from pitchside.plans import standins as si
 
@@ -253,17 +263,10 @@ def q_pitch_layout(spark, d):
     return pitch_layout(_matchup_parts(spark, d))
 
 
-_ = invert_groups  # re-exported for callers that build their own maps
-
-
 # ----------------------------------------------------------------------------
 # team summary
 # ----------------------------------------------------------------------------
 
-from pitchside.operators.formation import formation_long, formation_profile, formation_rows  # noqa: E402
-from pitchside.operators.lanes import attack_lanes, classify_tokens, lane_profile  # noqa: E402
-from pitchside.operators.prompt import scouting_prompt  # noqa: E402
-from pitchside.operators.summary import season_summary, team_summary  # noqa: E402
 
 RESOLVE_TEXT = "i"
 SUM_COLS = [m for m, how in presets.TEAM_MEASURES.items() if how == "sum"]
@@ -635,10 +638,6 @@ def q_scouting_prompt(spark, d):
 # grid heatmap
 # ----------------------------------------------------------------------------
 
-from pitchside.operators.grid import (  # noqa: E402
-    accumulate, colour_classes, crop_pixels, formation_boxes, grid_occupancy, image_cells, image_dims,
-    scale_grid, with_gray,
-)
 
 CELL = (3, 3)
 FRACTION = 0.2
@@ -690,7 +689,6 @@ SELECT image_id, "row", col, {_GRAY_SQL} AS gray,
        CAST(({_GRAY_SQL}) >= {_HI_B} OR ({_GRAY_SQL}) <= {_LO_B} AS INTEGER) AS marked
 FROM px""")
 def q_gray_band(spark, d):
-    from pitchside.functions.pixels import band_mask_sql
     px = with_gray(si.pixels(spark, d).drop("gray"))
     return px.selectExpr("image_id", "row", "col", "gray", f"{band_mask_sql('gray')} AS marked")
 
@@ -753,7 +751,6 @@ def q_image_cells_grid(spark, d):
 # report catalog and crop plan
 # ----------------------------------------------------------------------------
 
-from pitchside.operators.catalog import crop_plan, report_catalog  # noqa: E402
 
 CATALOG_COLS = ["folder", "file", "page_count", "team_1", "team_2", "team_slot", "other_team", "image_index"]
 
