@@ -28,6 +28,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         "spark.ui.showConsoleProgress": "false",
         # no Python call-site capture per API call (several JVM round trips each)
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # checkpoints go to the shared checkpoint folder; remove them once the
+        # checkpointed data is no longer referenced
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
