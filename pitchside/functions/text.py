@@ -11,6 +11,7 @@ is one); the plain names return a ``Column``.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 
 from pitchside.functions.sql import expr, lit_str, q, sql_of, with_columns
@@ -64,6 +65,14 @@ def contains_ci_sql(haystack: str, needle: str) -> str:
     return f"contains(lower({haystack}), lower({needle}))"
 
 
+def parse_date_sql(x: str) -> str:
+    """A1: text to a timestamp: ISO first, then month/day/year and English month names; else NULL."""
+    s = f"btrim({x})"
+    formats = ("M/d/yyyy", "M/d/yyyy H:mm[:ss]", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")
+    tries = ", ".join([f"try_to_timestamp({s})"] + [f"try_to_timestamp({s}, {lit_str(f)})" for f in formats])
+    return f"coalesce({tries})"
+
+
 def py_fixed_sql(x: str, digits: int) -> str:
     """f-string ``{x:.Nf}``.
 
@@ -117,20 +126,23 @@ def repr_layout_sql(x: str, pick: str, null_text: str = "nan") -> str:
 
 
 def with_py_str(df: DataFrame, specs: dict[str, tuple[str, str]], null_text: str = "nan") -> DataFrame:
-    """Add ``out`` = Python ``f"{v}"`` text of column ``src`` for each
-    ``out: (src, dtype)``. Doubles go through two projections so the candidate
-    search runs once per value (Catalyst does not collapse a non-cheap
-    expression into several references)."""
-    dbl_specs = {o: src for o, (src, t) in specs.items() if t in ("float", "double")}
-    staged = with_columns(df, [(f"__pick_{o}", repr_pick_sql(q(src))) for o, src in dbl_specs.items()])
-    pairs = []
-    for o, (src, t) in specs.items():
-        if o in dbl_specs:
-            pairs.append((o, repr_layout_sql(q(src), q(f"__pick_{o}"), null_text)))
-        else:
-            pairs.append((o, f"coalesce(CAST({q(src)} AS STRING), {lit_str(null_text)})"))
-    out = with_columns(staged, pairs)
-    return out.drop(*[f"__pick_{o}" for o in dbl_specs]) if dbl_specs else out
+    """Add ``out`` = Python ``f"{v}"`` text of column ``src`` for each ``out: (src, dtype)``.
+
+    For tables of a few rows per team: doubles are formatted by Python itself in
+    one Arrow pass (as SQL, the search for the shortest digits of several
+    values outgrows generated code)."""
+    doubles = {o: src for o, (src, t) in specs.items() if t in ("float", "double")}
+    plain = [(o, f"coalesce(CAST({q(src)} AS STRING), {lit_str(null_text)})") for o, (src, _) in specs.items() if o not in doubles]
+    df = with_columns(df, plain)
+    if not doubles:
+        return df
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def shown(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: null_text if x is None else repr(float(x)) if x == x else "nan").astype(object)
+
+    return df.withColumns({o: shown(df[src].cast("double")) for o, src in doubles.items()})
 
 
 # --- Column forms --------------------------------------------------------------

@@ -1,8 +1,9 @@
 """Scans with explicit schemas.
 
-CSV is read with a declared schema (no inference pass over the data) and the
-NaN values pandas would treat as missing become NULL once, here (N14). File
-listings never select ``content``, so the binary source only lists.
+CSV columns are found by name in the header and cast cell by cell (no inference
+pass over the data); ``csv_rejects`` counts the cells that do not fit. The NaN
+values pandas would treat as missing become NULL once, here (N14). File listings
+never select ``content``, so the binary source only lists.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql.types import (
 
 from pitchside import presets
 from pitchside.functions.numeric import nan_to_null_sql
-from pitchside.functions.sql import q
+from pitchside.functions.sql import lit_str, q
+from pitchside.functions.text import parse_date_sql
 
 _INT_MEASURES = {m for m, how in presets.TEAM_MEASURES.items() if how == "sum"}
 
@@ -44,20 +46,56 @@ def _nan_free(df: DataFrame) -> DataFrame:
     return df.selectExpr(*cols)
 
 
+def _cast_sql(field: StructField) -> str:
+    """A CSV cell as the field's type: counts may be written as floats ("3.0"), anything else unfit is NULL."""
+    c = q(field.name)
+    if isinstance(field.dataType, StringType):
+        return c
+    number = f"try_cast(btrim({c}) AS DOUBLE)"
+    if isinstance(field.dataType, IntegerType):
+        return f"CASE WHEN {number} = floor({number}) THEN try_cast({number} AS INT) END"
+    return number
+
+
+def _csv_cells(spark: SparkSession, path: str, schema: StructType, null_value: str | None) -> DataFrame:
+    """The schema's columns as text, found by name in the header; other columns and any order are fine.
+
+    The header is the first file's; files whose header differs from it fail when read."""
+    reader = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
+    if null_value is not None:
+        reader = reader.option("nullValue", null_value)
+    df = reader.csv(path)
+    missing = [n for n in schema.names if n not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in the header {', '.join(df.columns)}")
+    return df.selectExpr(*[q(n) for n in schema.names])
+
+
 def _read(spark: SparkSession, path: str, schema: StructType, fmt: str, null_value: str | None) -> DataFrame:
     if fmt == "csv":
-        reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-        if null_value is not None:
-            reader = reader.option("nullValue", null_value)
-        return reader.csv(path)
+        cells = _csv_cells(spark, path, schema, null_value)
+        return cells.selectExpr(*[f"{_cast_sql(f)} AS {q(f.name)}" for f in schema.fields])
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def csv_rejects(spark: SparkSession, path: str, schema: StructType, null_value: str | None = None,
+                date_col: str | None = None) -> DataFrame:
+    """``column, rejected``: per column of a CSV the cells with text that the reader turns into NULL
+    (``NaN`` and blank cells are missing, not rejected); ``date_col`` counts unparsable dates."""
+    cells = _csv_cells(spark, path, schema, null_value)
+    counts = []
+    for f in schema.fields:
+        value = parse_date_sql(q(f.name)) if f.name == date_col else _cast_sql(f)
+        counts.append(f"count_if(btrim({q(f.name)}) <> '' AND lower(btrim({q(f.name)})) <> 'nan' AND ({value}) IS NULL) AS {q(f.name)}")
+    pairs = ", ".join(f"{lit_str(n)}, {q(n)}" for n in schema.names)
+    return cells.selectExpr(*counts).selectExpr(f"stack({len(schema.names)}, {pairs}) AS (column, rejected)")
+
+
 def read_team_matches(spark: SparkSession, path: str, fmt: str = "csv",
                       null_value: str | None = None) -> DataFrame:
     """S1 (+A1): one row per team per match; ``date`` parsed to a timestamp."""
     df = _nan_free(_read(spark, path, TEAM_MATCH_SCHEMA, fmt, null_value))
-    return df.withColumn("date", F.expr("try_to_timestamp(`date`)"))
+    return df.withColumn("date", F.expr(parse_date_sql("`date`")))
 
 
 def read_player_matches(spark: SparkSession, path: str, fmt: str = "csv",
