@@ -25,6 +25,13 @@ def with_parts(files: DataFrame, path_col: str = "path") -> DataFrame:
     return files.selectExpr("*", f"get({p}, size({p}) - 2) AS folder", f"get({p}, size({p}) - 1) AS file")
 
 
+def with_page_counts(files: DataFrame, pages: DataFrame, path_col: str = "path") -> DataFrame:
+    """The listing with ``page_count`` from a table ``(path, page_count)``, as pages are only known to whoever opened
+    the report; NULL where the table lacks it."""
+    counts = pages.groupBy(path_col).agg({"page_count": "max"}).withColumnRenamed("max(page_count)", "page_count")
+    return files.join(counts, path_col, "left")
+
+
 def _folder_sql(team: str) -> str:
     word = f"lower({first_word_sql(lit_str(team))})"
     return f"SELECT min(folder) AS folder FROM {{f}} WHERE contains(lower(folder), {word}) HAVING min(folder) IS NOT NULL"

@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pitchside import presets
-from pitchside.functions.pixels import band_mask_sql, gray_sql, hsv_sql, in_hsv_range_sql
+from pitchside.functions.pixels import (
+    B2Y, G2Y, HSV_SHIFT, HUE_RANGE, R2Y, YUV_SHIFT, band_mask_sql, gray_sql, hsv_sql, in_hsv_range_sql,
+)
 from pitchside.functions.sql import dbl, expr, q, run_sql
 
 SCALE_METHODS = ("log", "normalize")
@@ -57,53 +59,67 @@ def marked_cells(pixels: DataFrame, cell: tuple[int, int] = presets.GRID_CELL,
     img = q(image_col)
     grp = "".join(f"{q(b)}, " for b in by)
     sources = {"px": pixels}
-    if dims is not None:
-        sources["dims"] = dims
-        dims_sql = "{dims}"
-    else:
-        dims_sql = (f"(SELECT {img}, max({q(row_col)}) + 1 AS height, max({q(col_col)}) + 1 AS width "
-                    f"FROM {{px}} GROUP BY {img})")
     steps = [
-        ("cells", f"""SELECT {img}, {grp}cell_row, cell_col, sum(__m) AS marked FROM (
-  SELECT {img}, {grp}CAST(floor({q(row_col)} / {ch}) AS INT) AS cell_row,
+        ("cells", f"""SELECT {img}, {grp}cell_row, cell_col, sum(__m) AS marked, max(__r) AS __r, max(__c) AS __c FROM (
+  SELECT {img}, {grp}CAST(floor({q(row_col)} / {ch}) AS INT) AS cell_row, {q(row_col)} AS __r, {q(col_col)} AS __c,
          CAST(floor({q(col_col)} / {cw}) AS INT) AS cell_col, {band_mask_sql(q(gray_col), lo, hi)} AS __m
   FROM {{px}})
 GROUP BY {img}, {grp}cell_row, cell_col"""),
-        ("grid", f"""SELECT {img}, CAST(height / {ch} AS INT) AS grid_rows, CAST(width / {cw} AS INT) AS grid_cols
-FROM {dims_sql}"""),
     ]
-    sql = f"""SELECT c.*, g.grid_rows, g.grid_cols,
-       CAST(c.marked > {dbl(ch * cw * fraction)} AS INT) AS flag
-FROM {{cells}} c JOIN {{grid}} g ON c.{img} = g.{img}
-WHERE c.cell_row < g.grid_rows AND c.cell_col < g.grid_cols"""
+    if dims is not None:
+        sources["dims"] = dims
+        sized = f"""SELECT c.*, CAST(d.height / {ch} AS INT) AS grid_rows, CAST(d.width / {cw} AS INT) AS grid_cols
+FROM {{cells}} c JOIN {{dims}} d ON c.{img} = d.{img}"""
+    else:
+        # the extent of an image from its cells, so the pixels are read once
+        sized = f"""SELECT *, CAST((max(__r) OVER (PARTITION BY {img}) + 1) / {ch} AS INT) AS grid_rows,
+       CAST((max(__c) OVER (PARTITION BY {img}) + 1) / {cw} AS INT) AS grid_cols FROM {{cells}}"""
+    steps.append(("sized", sized))
+    sql = f"""SELECT * EXCEPT (__r, __c), CAST(marked > {dbl(ch * cw * fraction)} AS INT) AS flag
+FROM {{sized}} WHERE cell_row < grid_rows AND cell_col < grid_cols"""
     return run_sql(sources, sql, steps)
 
 
-def accumulate(cells: DataFrame, by: Sequence[str] = (), check_shape: bool = True) -> DataFrame:
+def accumulate(cells: DataFrame, by: Sequence[str] = (), check_shape: bool = True, dense: bool = False) -> DataFrame:
     """``hits`` = number of images whose cell is marked, per group and cell.
 
     All images of a group must share one grid shape; otherwise evaluation
     fails (the reference silently broadcasts or crashes). Counts are BIGINT
-    (exact), not float32.
+    (exact), not float32. Plain, this is one aggregate (also on streams) over
+    the cells there are; ``dense`` adds the cells of the group's shape in which
+    no image has pixels, as 0.
     """
     grp = "".join(f"{q(b)}, " for b in by)
-    hits = "CAST(sum(flag) AS BIGINT)"
-    if check_shape:
-        hits = (f"CAST(CASE WHEN min(named_struct('r', grid_rows, 'c', grid_cols)) "
-                f"<> max(named_struct('r', grid_rows, 'c', grid_cols)) "
-                f"THEN raise_error('images of one group have different grid shapes') "
-                f"ELSE sum(flag) END AS BIGINT)")
-    return run_sql({"cells": cells}, f"SELECT {grp}cell_row, cell_col, {hits} AS hits FROM {{cells}} "
-                                     f"GROUP BY {grp}cell_row, cell_col")
+    key = f"GROUP BY {grp.rstrip(', ')}" if by else ""
+    shape = "named_struct('r', grid_rows, 'c', grid_cols)"
+    error = "raise_error('images of one group have different grid shapes')"
+    if not dense:
+        hits = f"CASE WHEN min({shape}) <> max({shape}) THEN {error} ELSE sum(flag) END" if check_shape else "sum(flag)"
+        return run_sql({"cells": cells}, f"SELECT {grp}cell_row, cell_col, CAST({hits} AS BIGINT) AS hits FROM {{cells}} "
+                                         f"GROUP BY {grp}cell_row, cell_col")
+    checked = f"CASE WHEN min(__lo) <> max(__hi) THEN {error} ELSE max(__hi) END" if check_shape else "max(__hi)"
+    steps = [
+        ("hits", f"""SELECT {grp}cell_row, cell_col, CAST(sum(flag) AS BIGINT) AS __h, min({shape}) AS __lo, max({shape}) AS __hi
+FROM {{cells}} GROUP BY {grp}cell_row, cell_col"""),
+        # the cells of a group are bounded by the image size, not by the number of images
+        ("shaped", f"""SELECT {grp}{checked} AS __s, collect_list(named_struct('r', CAST(cell_row AS BIGINT), 'c', cell_col, 'h', __h)) AS __l
+FROM {{hits}} {key}"""),
+        ("filled", f"""SELECT {grp}inline(concat(__l, transform(sequence(0, __s.r * __s.c - 1),
+         i -> named_struct('r', i div __s.c, 'c', i % __s.c, 'h', 0L)))) AS (cell_row, cell_col, __h)
+FROM {{shaped}} WHERE __s.r * __s.c > 0"""),
+    ]
+    sql = f"""SELECT {grp}CAST(cell_row AS INT) AS cell_row, cell_col, sum(__h) AS hits FROM {{filled}}
+GROUP BY {grp}cell_row, cell_col"""
+    return run_sql({"cells": cells}, sql, steps)
 
 
 def grid_occupancy(pixels: DataFrame, cell: tuple[int, int] = presets.GRID_CELL,
                    fraction: float = presets.GRID_FRACTION, band: tuple[int, int] = presets.GRAY_BAND,
                    image_col: str = "image_id", by: Sequence[str] = (), gray_col: str = "gray",
                    row_col: str = "row", col_col: str = "col", dims: DataFrame | None = None) -> DataFrame:
-    """G2-G5 (and G10 with ``by=["side"]``): accumulated grid per group."""
+    """G2-G5 (and G10 with ``by=["side"]``): accumulated grid per group, every cell of its shape."""
     cells = marked_cells(pixels, cell, fraction, band, image_col, by, gray_col, row_col, col_col, dims)
-    return accumulate(cells, by)
+    return accumulate(cells, by, dense=True)
 
 
 def scale_grid(grid: DataFrame, method: str = "log", by: Sequence[str] = (),
@@ -125,81 +141,101 @@ def scale_grid(grid: DataFrame, method: str = "log", by: Sequence[str] = (),
 # Spark `image` rows -> cell counts (Arrow, inside the task)
 # ---------------------------------------------------------------------------
 
-_R2Y, _G2Y, _B2Y = 4899, 9617, 1868
-
+CELL_SCHEMA = ("origin string, grid_rows int, grid_cols int, cell_row int, cell_col int, "
+               "marked int, flag int")
 
-def _gray_np(img: np.ndarray) -> np.ndarray:
-    """OpenCV 8-bit BGR->gray fixed point (same as ``gray_from_bgr``)."""
-    if img.ndim == 2 or img.shape[2] == 1:
-        return img.reshape(img.shape[0], img.shape[1]).astype(np.int32)
-    b = img[:, :, 0].astype(np.int32)
-    g = img[:, :, 1].astype(np.int32)
-    r = img[:, :, 2].astype(np.int32)
-    return (r * _R2Y + g * _G2Y + b * _B2Y + (1 << 13)) >> 14
 
+def _per_image(images: DataFrame, image_field: str, keep: Sequence[str], schema: str, names: Sequence[str], reduce) -> DataFrame:
+    """One pass over Spark ``image`` rows: ``reduce(origin, array)`` gives columns (lists or arrays of one length)
+    per image, each decoded once; ``keep`` columns are repeated beside them. Rows without image data give nothing.
 
-CELL_SCHEMA = ("origin string, grid_rows int, grid_cols int, cell_row int, cell_col int, "
-               "marked int, flag int")
+    All functions that run in tasks are nested ones and go there by value: workers need numpy and pyarrow only."""
+    types = {f.name: f.dataType.simpleString() for f in images.schema.fields}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            imgs = batch.column(0)
+            fields = [imgs.field(x).to_pylist() for x in ("origin", "height", "width", "nChannels", "data")]
+            for i, (o, h, w, c, d) in enumerate(zip(*fields)):
+                if d is None or h is None or h <= 0 or w <= 0:
+                    continue
+                cols = reduce(o, np.frombuffer(d, dtype=np.uint8).reshape(h, w, c))
+                n = len(cols[0])
+                if n:
+                    kept = [batch.column(1 + j).take(pa.array([i] * n)) for j in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *kept], [*names, *keep])
 
-def _cells_of_batches(batches: Iterator[pa.RecordBatch], image_field: str, ch: int, cw: int,
-                      fraction: float, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
-    threshold = ch * cw * fraction
-    for batch in batches:
-        imgs = batch.column(batch.schema.get_field_index(image_field))
-        origin = imgs.field("origin").to_pylist()
-        height = imgs.field("height").to_pylist()
-        width = imgs.field("width").to_pylist()
-        nch = imgs.field("nChannels").to_pylist()
-        data = imgs.field("data").to_pylist()
-        out = {k: [] for k in ("origin", "grid_rows", "grid_cols", "cell_row", "cell_col", "marked", "flag")}
-        for o, h, w, c, d in zip(origin, height, width, nch, data):
-            if d is None or h is None or h <= 0 or w <= 0:
-                continue
-            arr = np.frombuffer(d, dtype=np.uint8).reshape(h, w, c)
-            gray = _gray_np(arr)
-            mask = ((gray >= hi) | (gray <= lo)).astype(np.int32)
-            gr, gc = h // ch, w // cw
-            if gr == 0 or gc == 0:
-                continue
-            counts = mask[: gr * ch, : gc * cw].reshape(gr, ch, gc, cw).sum(axis=(1, 3))
-            rr, cc = np.meshgrid(np.arange(gr, dtype=np.int32), np.arange(gc, dtype=np.int32), indexing="ij")
-            n = gr * gc
-            out["origin"].extend([o] * n)
-            out["grid_rows"].append(np.full(n, gr, dtype=np.int32))
-            out["grid_cols"].append(np.full(n, gc, dtype=np.int32))
-            out["cell_row"].append(rr.ravel())
-            out["cell_col"].append(cc.ravel())
-            out["marked"].append(counts.ravel().astype(np.int32))
-            out["flag"].append((counts.ravel() > threshold).astype(np.int32))
-        if not out["origin"]:
-            continue
-        cols = [pa.array(out["origin"], pa.string())]
-        for k in ("grid_rows", "grid_cols", "cell_row", "cell_col", "marked", "flag"):
-            cols.append(pa.array(np.concatenate(out[k]), pa.int32()))
-        yield pa.RecordBatch.from_arrays(
-            cols, ["origin", "grid_rows", "grid_cols", "cell_row", "cell_col", "marked", "flag"])
+    more = "".join(f", {q(k)} {types[k]}" for k in keep)
+    return images.select(image_field, *keep).mapInArrow(run, schema + more)
 
 
 def image_cells(images: DataFrame, cell: tuple[int, int] = presets.GRID_CELL,
                 fraction: float = presets.GRID_FRACTION, band: tuple[int, int] = presets.GRAY_BAND,
                 image_field: str = "image", keep: Sequence[str] = ()) -> DataFrame:
-    """S4, G1-G4 on Spark ``image`` rows -> one row per (image, cell).
-
-    ``keep`` columns (e.g. a side derived from the path) are joined back on
-    ``origin`` after the reduction, so only cell rows travel.
-    """
+    """S4, G1-G4 on Spark ``image`` rows -> one row per (image, cell), with the ``keep`` columns
+    (e.g. a side derived from the path). An image given twice counts twice."""
     ch, cw = cell
     lo, hi = band
-
-    def fn(batches):
-        return _cells_of_batches(batches, image_field, ch, cw, fraction, lo, hi)
-
-    cells = images.select(image_field).mapInArrow(fn, CELL_SCHEMA)
-    if keep:
-        meta = images.selectExpr(f"{q(image_field)}.origin AS origin", *[q(k) for k in keep])
-        cells = cells.join(meta, "origin")
-    return cells
+    r2y, g2y, b2y = R2Y, G2Y, B2Y
+    shift = YUV_SHIFT
+
+    def cells(origin, img):
+        if img.shape[2] == 1:
+            gray = img[:, :, 0].astype(np.int32)
+        else:
+            b, g, r = (img[:, :, k].astype(np.int32) for k in range(3))
+            gray = (r * r2y + g * g2y + b * b2y + (1 << (shift - 1))) >> shift
+        gr, gc = img.shape[0] // ch, img.shape[1] // cw
+        mask = ((gray >= hi) | (gray <= lo)).astype(np.int32)
+        counts = mask[: gr * ch, : gc * cw].reshape(gr, ch, gc, cw).sum(axis=(1, 3)).ravel().astype(np.int32)
+        rr, cc = np.meshgrid(np.arange(gr, dtype=np.int32), np.arange(gc, dtype=np.int32), indexing="ij")
+        n = gr * gc
+        return ([origin] * n, np.full(n, gr, np.int32), np.full(n, gc, np.int32), rr.ravel(), cc.ravel(), counts,
+                (counts > ch * cw * fraction).astype(np.int32))
+
+    return _per_image(images, image_field, keep, CELL_SCHEMA, [c.split()[0] for c in CELL_SCHEMA.split(", ")], cells)
+
+
+def image_colour_classes(images: DataFrame, ranges=presets.HSV_RANGES, image_field: str = "image",
+                         keep: Sequence[str] = ()) -> DataFrame:
+    """G9 on Spark ``image`` rows: ``origin, <name>_pixels..., keep...``; gray images have no colour classes."""
+    limits = list(ranges.items())
+    hue, one, shift = HUE_RANGE, 1 << HSV_SHIFT, HSV_SHIFT
+
+    def classes(origin, img):
+        if img.shape[2] < 3:
+            return ([origin], *([0] for _ in limits))
+        b, g, r = (img[:, :, k].astype(np.int64) for k in range(3))
+        v = np.maximum(np.maximum(r, g), b)
+        diff = v - np.minimum(np.minimum(r, g), b)
+        sdiv = np.where(v == 0, 0, np.floor(255.0 * one / np.maximum(v, 1) + 0.5)).astype(np.int64)
+        s = (diff * sdiv + one // 2) >> shift
+        raw = np.where(v == r, g - b, np.where(v == g, b - r + 2 * diff, r - g + 4 * diff))
+        hdiv = np.where(diff == 0, 0, np.floor(float(hue * one) / np.maximum(diff * 6, 1) + 0.5)).astype(np.int64)
+        h = (raw * hdiv + one // 2) >> shift
+        h = np.where(h < 0, h + hue, h)
+        hsv = (h, s, v)
+        return ([origin], *([int(np.logical_and.reduce([(x >= lo[i]) & (x <= up[i]) for i, x in enumerate(hsv)]).sum())] for _, (lo, up) in limits))
+
+    names = ["origin", *(f"{name}_pixels" for name, _ in limits)]
+    return _per_image(images, image_field, keep, "origin string, " + ", ".join(f"{n} bigint" for n in names[1:]), names, classes)
+
+
+def image_sections(images: DataFrame, image_field: str = "image", keep: Sequence[str] = (),
+                   top: float = presets.FORMATION_TOP_FRACTION, bottom_from: float = presets.FORMATION_BOTTOM_FROM,
+                   x_range: tuple[float, float] = presets.FORMATION_X_RANGE) -> DataFrame:
+    """C10 on Spark ``image`` rows: the ``table`` and the ``graph`` section of each formation crop (the boxes of
+    ``formation_boxes``) as image rows ``origin, section, height, width, nChannels, data, keep...``."""
+    left, right = x_range
+
+    def cut(origin, img):
+        h, w = img.shape[:2]
+        parts = [img[: int(h * top)], img[int(h * bottom_from):, int(w * left): int(w * right)]]
+        return ([origin] * 2, ["table", "graph"], np.array([p.shape[0] for p in parts], np.int32), np.array([p.shape[1] for p in parts], np.int32),
+                np.array([img.shape[2]] * 2, np.int32), [p.tobytes() for p in parts])
+
+    schema = "origin string, section string, height int, width int, nChannels int, data binary"
+    return _per_image(images, image_field, keep, schema, [c.split()[0] for c in schema.split(", ")], cut)
 
 
 # ---------------------------------------------------------------------------
