@@ -28,25 +28,24 @@ INTERVALS = presets.FORMATION_INTERVALS
 _RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
-def _cells_steps(image_col: str, seq_col: str, text_col: str) -> list[tuple[str, str]]:
+def _cells_steps(image_col: str, seq_col: str, text_col: str, carry: Sequence[str] = ()) -> list[tuple[str, str]]:
     img, seq, t = q(image_col), q(seq_col), q(text_col)
     stripped = py_strip_sql(t)
     words = f"(CASE WHEN {stripped} = '' THEN 0 ELSE size(split({stripped}, '\\\\s+')) END)"
+    more = "".join(f", {q(c)}" for c in carry)
     return [
-        ("t1", f"""SELECT {img}, {seq}, {t}, (NOT {t} RLIKE '[0-9]' AND {words} > 1) AS __team,
+        ("t1", f"""SELECT {img}, {seq}, {t}{more}, (NOT {t} RLIKE '[0-9]' AND {words} > 1) AS __team,
        {py_float_sql(t)} AS __num FROM {{tokens}}"""),
-        ("t2", f"""SELECT *,
-       __team AND row_number() OVER (PARTITION BY {img}, {t} ORDER BY {seq}) = 1 AS __first,
-       last(CASE WHEN __team THEN {t} END, true) OVER (PARTITION BY {img} ORDER BY {seq} {_RUN}) AS __cur,
-       sum(CAST(__team AND row_number() OVER (PARTITION BY {img}, {t} ORDER BY {seq}) = 1 AS INT))
-         OVER (PARTITION BY {img} ORDER BY {seq} {_RUN}) AS __blk
-FROM {{t1}}"""),
-        ("cells", f"""SELECT v.{img}, v.__cur AS team, v.slot, v.__num AS value, v.{seq}, f.first_seq FROM (
+        ("t2", f"""SELECT *, row_number() OVER (PARTITION BY {img}, {t} ORDER BY {seq}) AS __nth,
+       min({seq}) OVER (PARTITION BY {img}, {t}) AS __seen FROM {{t1}}"""),
+        # the current team, when it was first seen, and the number of first sightings so far
+        ("t3", f"""SELECT *, last(CASE WHEN __team THEN named_struct('team', {t}, 'seen', __seen) END, true)
+         OVER (PARTITION BY {img} ORDER BY {seq} {_RUN}) AS __cur,
+       sum(CAST(__team AND __nth = 1 AS INT)) OVER (PARTITION BY {img} ORDER BY {seq} {_RUN}) AS __blk FROM {{t2}}"""),
+        ("cells", f"""SELECT {img}, __cur.team AS team, slot, __num AS value, {seq}, __cur.seen AS first_seq{more} FROM (
   SELECT *, count(1) OVER (PARTITION BY {img}, __blk ORDER BY {seq} {_RUN}) AS slot
-  FROM {{t2}} WHERE NOT __team AND contains({t}, '.') AND __cur IS NOT NULL AND __num IS NOT NULL) v
-JOIN (SELECT {img}, {t} AS team, {seq} AS first_seq FROM {{t2}} WHERE __first) f
-  ON v.{img} = f.{img} AND v.__cur = f.team
-WHERE v.slot <= {len(SLOTS)}"""),
+  FROM {{t3}} WHERE NOT __team AND contains({t}, '.') AND __cur IS NOT NULL AND __num IS NOT NULL)
+WHERE slot <= {len(SLOTS)}"""),
     ]
 
 
@@ -57,16 +56,17 @@ def table_cells(tokens: DataFrame, image_col: str = "image_id", seq_col: str = "
     return run_sql({"tokens": tokens}, "SELECT * FROM {cells}", _cells_steps(image_col, seq_col, text_col))
 
 
-def _rows_steps(image_col: str, seq_col: str, text_col: str) -> list[tuple[str, str]]:
+def _rows_steps(image_col: str, seq_col: str, text_col: str, carry: Sequence[str] = ()) -> list[tuple[str, str]]:
     img, seq = q(image_col), q(seq_col)
-    slots = ", ".join(f"max(CASE WHEN slot = {i + 1} THEN value END) AS {q(s)}" for i, s in enumerate(SLOTS))
+    slots = ", ".join(f"max_by(CASE WHEN slot = {i + 1} THEN value END, CASE WHEN slot = {i + 1} THEN {seq} END) AS {q(s)}"
+                      for i, s in enumerate(SLOTS))
+    kept = "".join(f", first({q(c)}, true) AS {q(c)}" for c in carry)
+    more = "".join(f", {q(c)}" for c in carry)
     complete = " AND ".join(f"{q(s)} IS NOT NULL" for s in SLOTS)
-    return _cells_steps(image_col, seq_col, text_col) + [
-        ("per_slot", f"""SELECT {img}, team, first_seq, slot, max_by(value, {seq}) AS value
-FROM {{cells}} GROUP BY {img}, team, first_seq, slot"""),
-        ("rows", f"""SELECT {img}, team, {', '.join(q(s) for s in SLOTS)},
+    return _cells_steps(image_col, seq_col, text_col, carry) + [
+        ("rows", f"""SELECT {img}, team, {', '.join(q(s) for s in SLOTS)}{more},
        row_number() OVER (PARTITION BY {img} ORDER BY first_seq) AS row_no
-FROM (SELECT {img}, team, first_seq, {slots} FROM {{per_slot}} GROUP BY {img}, team, first_seq)
+FROM (SELECT {img}, team, first_seq, {slots}{kept} FROM {{cells}} GROUP BY {img}, team, first_seq)
 WHERE {complete}"""),
     ]
 
@@ -96,32 +96,14 @@ def line_values(tokens: DataFrame, image_col: str = "image_id", order_cols: Sequ
                    [_lines_step(image_col, order_cols, text_col, colour_col)])
 
 
-def formation_rows(table_tokens: DataFrame, line_tokens: DataFrame, select: str = "name",
-                   team: str | None = None, image_col: str = "image_id",
-                   seq_col: str = "seq", order_cols: Sequence[str] = ("x", "seq"),
-                   text_col: str = "text", colour_col: str = "section",
-                   carry: Sequence[str] = (), team_col: str | None = None) -> DataFrame:
-    """One row per accepted image with the team row and six line values.
-
-    ``select="second"`` is what the reference does in practice (it tests the
-    team name against the column labels, which never match): the second
-    complete row with the blue line. ``select="name"`` takes the complete row
-    whose text contains the team (case-insensitive; ``team`` literal or the
-    per-image ``team_col`` of ``table_tokens``): the first row reads the black
-    line, the second the blue one. Images without such a row, or with fewer
-    than six line values, are left out (the reference raises). ``carry``
-    columns are constant per image and kept.
-    """
+def _status_steps(select: str, team: str | None, image_col: str, seq_col: str, order_cols: Sequence[str],
+                  text_col: str, colour_col: str, carry: Sequence[str], team_col: str | None) -> list[tuple[str, str]]:
+    """``picked``: the row of each image that is asked for; ``wide_lines``: line values per image and colour."""
     img = q(image_col)
-    steps = _rows_steps(image_col, seq_col, text_col)
-    carry_cols = list(carry) + ([team_col] if team_col and team_col not in carry else [])
-    if carry_cols:
-        meta = ", ".join(f"first({q(c)}, true) AS {q(c)}" for c in carry_cols)
-        steps.append(("rows_m", f"""SELECT r.*, {', '.join('m.' + q(c) for c in carry_cols)} FROM {{rows}} r
-LEFT JOIN (SELECT {img}, {meta} FROM {{tokens}} GROUP BY {img}) m ON r.{img} = m.{img}"""))
-    rows = "{rows_m}" if carry_cols else "{rows}"
+    carried = list(dict.fromkeys([*carry, *([team_col] if team_col else [])]))
+    steps = _rows_steps(image_col, seq_col, text_col, carried)
     if select == "second":
-        steps.append(("picked", f"SELECT *, 'blue' AS colour FROM {rows} WHERE row_no = 2"))
+        steps.append(("picked", "SELECT *, 'blue' AS colour FROM {rows} WHERE row_no = 2"))
     elif select == "name":
         if team_col:
             needle = q(team_col)
@@ -130,19 +112,59 @@ LEFT JOIN (SELECT {img}, {meta} FROM {{tokens}} GROUP BY {img}) m ON r.{img} = m
         else:
             raise ValueError("select='name' needs a team")
         steps.append(("picked", f"""SELECT * EXCEPT (__rn), CASE WHEN row_no = 1 THEN 'black' ELSE 'blue' END AS colour
-FROM (SELECT *, row_number() OVER (PARTITION BY {img} ORDER BY row_no) AS __rn FROM {rows}
+FROM (SELECT *, row_number() OVER (PARTITION BY {img} ORDER BY row_no) AS __rn FROM {{rows}}
       WHERE {contains_ci_sql('team', needle)})
-WHERE __rn = 1 AND row_no <= 2"""))
+WHERE __rn = 1"""))
     else:
         raise ValueError("select must be 'name' or 'second'")
     steps.append(_lines_step(image_col, order_cols, text_col, colour_col))
     ints = ", ".join(f"max(CASE WHEN interval_no = {i + 1} THEN value END) AS {q(lbl)}"
                      for i, lbl in enumerate(INTERVALS))
     steps.append(("wide_lines", f"SELECT {img}, colour, count(1) AS __n, {ints} FROM {{lines}} GROUP BY {img}, colour"))
+    return steps
+
+
+def formation_rows(table_tokens: DataFrame, line_tokens: DataFrame, select: str = "name",
+                   team: str | None = None, image_col: str = "image_id",
+                   seq_col: str = "seq", order_cols: Sequence[str] = ("x", "seq"),
+                   text_col: str = "text", colour_col: str = "section",
+                   carry: Sequence[str] = (), team_col: str | None = None) -> DataFrame:
+    """One row per accepted image with the team row and six line values.
+
+    ``select="second"`` is what the reference does in practice (it tests the
+    team name against the column labels, which never match): the second
+    complete row with the blue line. ``select="name"`` takes the complete row
+    whose text contains the team (case-insensitive; ``team`` literal or the
+    per-image ``team_col`` of ``table_tokens``): the first row reads the black
+    line, the second the blue one. Images without such a row, or with fewer
+    than six line values, are left out (the reference raises);
+    ``formation_rejects`` names them. ``carry`` columns of the table tokens are
+    constant per image and kept.
+    """
+    img = q(image_col)
+    steps = _status_steps(select, team, image_col, seq_col, order_cols, text_col, colour_col, carry, team_col)
     out_cols = ", ".join([f"p.{img}", *[f"p.{q(c)}" for c in carry], "p.team", "p.colour",
                           *[f"p.{q(s)}" for s in SLOTS], *[f"w.{q(i)}" for i in INTERVALS]])
     sql = f"""SELECT {out_cols} FROM {{picked}} p
-JOIN {{wide_lines}} w ON p.{img} = w.{img} AND p.colour = w.colour WHERE w.__n = {len(INTERVALS)}"""
+JOIN {{wide_lines}} w ON p.{img} = w.{img} AND p.colour = w.colour WHERE p.row_no <= 2 AND w.__n = {len(INTERVALS)}"""
+    return run_sql({"tokens": table_tokens, "line_tokens": line_tokens}, sql, steps)
+
+
+def formation_rejects(table_tokens: DataFrame, line_tokens: DataFrame, select: str = "name",
+                      team: str | None = None, image_col: str = "image_id",
+                      seq_col: str = "seq", order_cols: Sequence[str] = ("x", "seq"),
+                      text_col: str = "text", colour_col: str = "section",
+                      team_col: str | None = None) -> DataFrame:
+    """Every image with table tokens that ``formation_rows`` leaves out, and why:
+    ``no row`` (no complete row of the team), ``row beyond the second`` (no line is drawn for it)
+    or ``fewer than six line values``."""
+    img = q(image_col)
+    steps = _status_steps(select, team, image_col, seq_col, order_cols, text_col, colour_col, (), team_col)
+    sql = f"""SELECT {img}, reason FROM (
+  SELECT i.{img}, CASE WHEN p.row_no IS NULL THEN 'no row' WHEN p.row_no > 2 THEN 'row beyond the second'
+                       WHEN coalesce(w.__n, 0) < {len(INTERVALS)} THEN 'fewer than six line values' END AS reason
+  FROM (SELECT DISTINCT {img} FROM {{tokens}}) i LEFT JOIN {{picked}} p ON i.{img} = p.{img}
+  LEFT JOIN {{wide_lines}} w ON p.{img} = w.{img} AND p.colour = w.colour) WHERE reason IS NOT NULL"""
     return run_sql({"tokens": table_tokens, "line_tokens": line_tokens}, sql, steps)
 
 

@@ -3,14 +3,14 @@
 The reference walks the tokens of an image left to right with a small state
 machine: the 1st valid ``'a / x XG'`` token is the left lane, the 2nd the
 middle, every later one overwrites the right lane; percent tokens fill their
-own three slots the same way. That is "first, second, last of the valid
-tokens in (x, seq) order", which needs no per-image sort:
-
-* pass 1 - one hash aggregate per image: ``min``/``max`` of
-  ``struct(order..., value...)`` and a count (partial aggregation, so a hot
-  image with millions of tokens is combined map-side);
-* pass 2 - the tokens strictly after the first are joined to pass 1 and a
-  second ``min`` gives the 2nd token (AQE splits a skewed image).
+own three slots the same way. That is "first, second, last of the valid tokens in
+(x, seq) order":
+
+* the first two by ``row_number() <= 2``, which Spark limits per group before
+  the shuffle, so a hot image sends two rows per kind and task;
+* the last and the counts by one partial aggregate;
+* both as a few rows per image, put together by a last aggregate. Raw tokens are
+  neither shuffled nor joined; they are read twice.
 """
 
 from __future__ import annotations
@@ -67,35 +67,34 @@ def attack_lanes(tokens: DataFrame, images: DataFrame | None = None, image_col:
     keeps images without any token, with all fields NULL.
     """
     img = q(image_col)
+    order = ", ".join(q(c) for c in order_cols)
     key = "named_struct(" + ", ".join(f"'k{i}', {q(c)}" for i, c in enumerate(order_cols)) + ")"
     steps = _classify_steps(text_col) + [
-        ("c", f"""SELECT {img}, {key} AS __k, valid AND kind = 'lane' AS __il, valid AND kind = 'percent' AS __ip,
-       named_struct('k', {key}, 'a', attempts, 'x', xg) AS __lv, named_struct('k', {key}, 'p', percent) AS __pv,
-       rejected FROM {{classified}}"""),
-        ("p1", f"""SELECT {img},
-       min(CASE WHEN __il THEN __lv END) AS __l1, max(CASE WHEN __il THEN __lv END) AS __ll,
-       count(CASE WHEN __il THEN 1 END) AS __ln,
-       min(CASE WHEN __ip THEN __pv END) AS __p1, max(CASE WHEN __ip THEN __pv END) AS __pl,
-       count(CASE WHEN __ip THEN 1 END) AS __pn,
-       count(CASE WHEN rejected THEN 1 END) AS rejects
+        ("c", f"""SELECT {img}, {', '.join(q(c) for c in order_cols)}, CASE WHEN valid THEN kind END AS __kind,
+       attempts AS __a, xg AS __x, percent AS __p, rejected FROM {{classified}}"""),
+        # invalid tokens rank among themselves (kind NULL) instead of being
+        # filtered out: a filter would be pushed below the classification and
+        # evaluate it twice
+        ("heads", f"""SELECT {img}, __kind, __rn, __a, __x, __p FROM (
+  SELECT *, row_number() OVER (PARTITION BY {img}, __kind ORDER BY {order}) AS __rn FROM {{c}}) WHERE __rn <= 2"""),
+        ("tails", f"""SELECT {img}, max(CASE WHEN __kind = 'lane' THEN named_struct('k', {key}, 'a', __a, 'x', __x) END) AS __ll,
+       max(CASE WHEN __kind = 'percent' THEN named_struct('k', {key}, 'p', __p) END) AS __pl,
+       count_if(__kind = 'lane') AS __ln, count_if(__kind = 'percent') AS __pn, count_if(rejected) AS rejects
 FROM {{c}} GROUP BY {img}"""),
-        # the conditions stay inside the aggregate: as a WHERE they would be
-        # pushed below the classification projection and re-evaluate it there
-        ("p2", f"""SELECT c.{img}, min(CASE WHEN c.__il AND c.__k > p.__l1.k THEN c.__lv END) AS __l2,
-       min(CASE WHEN c.__ip AND c.__k > p.__p1.k THEN c.__pv END) AS __p2
-FROM {{c}} c JOIN {{p1}} p ON c.{img} = p.{img}
-GROUP BY c.{img}"""),
-        ("lanes", f"""SELECT p1.{img},
-       p1.__l1.a AS left_attempts, p1.__l1.x AS left_XG, p1.__p1.p AS left_percent,
-       CASE WHEN __ln >= 2 THEN p2.__l2.a END AS mid_attempts,
-       CASE WHEN __ln >= 2 THEN p2.__l2.x END AS mid_XG,
-       CASE WHEN __pn >= 2 THEN p2.__p2.p END AS mid_percent,
-       CASE WHEN __ln >= 3 THEN __ll.a END AS right_attempts,
-       CASE WHEN __ln >= 3 THEN __ll.x END AS right_XG,
-       CASE WHEN __pn >= 3 THEN __pl.p END AS right_percent,
-       rejects
-FROM {{p1}} p1 LEFT JOIN {{p2}} p2 ON p1.{img} = p2.{img}"""),
+        ("parts", f"""SELECT {img}, __kind, __rn, __a, __x, __p, CAST(NULL AS BIGINT) AS __la, CAST(NULL AS DOUBLE) AS __lx,
+       CAST(NULL AS BIGINT) AS __lp, 0L AS __ln, 0L AS __pn, 0L AS rejects FROM {{heads}}
+UNION ALL SELECT {img}, NULL, NULL, NULL, NULL, NULL, __ll.a, __ll.x, __pl.p, __ln, __pn, rejects FROM {{tails}}"""),
     ]
+
+    def nth(kind: str, n: int, value: str) -> str:
+        return f"max(CASE WHEN __kind = '{kind}' AND __rn = {n} THEN {value} END)"
+
+    steps.append(("lanes", f"""SELECT {img},
+       {nth('lane', 1, '__a')} AS left_attempts, {nth('lane', 1, '__x')} AS left_XG, {nth('percent', 1, '__p')} AS left_percent,
+       {nth('lane', 2, '__a')} AS mid_attempts, {nth('lane', 2, '__x')} AS mid_XG, {nth('percent', 2, '__p')} AS mid_percent,
+       CASE WHEN max(__ln) >= 3 THEN max(__la) END AS right_attempts, CASE WHEN max(__ln) >= 3 THEN max(__lx) END AS right_XG,
+       CASE WHEN max(__pn) >= 3 THEN max(__lp) END AS right_percent, max(rejects) AS rejects
+FROM {{parts}} GROUP BY {img}"""))
     sources = {"tokens": tokens}
     if images is None:
         return run_sql(sources, "SELECT * FROM {lanes}", steps)

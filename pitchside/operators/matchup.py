@@ -26,49 +26,49 @@ def attach_category(players: DataFrame, categories: DataFrame,
     return players.join(categories, list(keys), "left").distinct()
 
 
-def _best_steps(aspects: Sequence[str], name_col: str, team_col: str, cat_col: str) -> list[tuple[str, str]]:
+def _best_steps(aspects: Sequence[str], name_col: str, team_col: str, cat_col: str,
+                carry: Sequence[str] = ()) -> list[tuple[str, str]]:
+    more = "".join(f", {q(c)}" for c in carry)
+    own = "".join(f", {q(c)} AS {q('own_' + c)}" for c in carry)
     scores = ", ".join(q(score_col(a)) for a in aspects)
     stack = ", ".join(f"{lit_str(a)}, {q(score_col(a))}" for a in aspects)
     return [
-        ("pool_long", f"""SELECT {q(name_col)}, {q(team_col)}, {q(cat_col)},
+        ("pool_long", f"""SELECT {q(name_col)}, {q(team_col)}, {q(cat_col)}{more},
        stack({len(aspects)}, {stack}) AS (metric, __s)
-FROM (SELECT DISTINCT {q(name_col)}, {q(team_col)}, {q(cat_col)}, {scores} FROM {{own}})
+FROM (SELECT DISTINCT {q(name_col)}, {q(team_col)}, {q(cat_col)}, {scores}{more} FROM {{own}})
 WHERE {q(cat_col)} IS NOT NULL"""),
         ("best", f"""SELECT {q(cat_col)} AS __cat, metric AS __metric, {q(name_col)} AS own_name,
-       {q(team_col)} AS own_team, {q(cat_col)} AS own_position FROM (
+       {q(team_col)} AS own_team, {q(cat_col)} AS own_position{own} FROM (
   SELECT *, row_number() OVER (PARTITION BY {q(cat_col)}, metric
                                ORDER BY __s DESC, {q(name_col)} ASC, {q(team_col)} ASC) AS __rn
   FROM {{pool_long}} WHERE __s IS NOT NULL AND NOT isnan(__s)) WHERE __rn = 1"""),
     ]
 
 
-def best_by_category(own: DataFrame, aspects: Sequence[str] = presets.ASPECTS,
-                     name_col: str = "player_name", team_col: str = "team",
-                     cat_col: str = "Most_played_position") -> DataFrame:
-    """Winner per (category, metric aspect) of the own pool (P21's arg-max).
-    Ties go to the first name; a missing score never wins (N8)."""
-    return run_sql({"own": own}, "SELECT * FROM {best}", _best_steps(aspects, name_col, team_col, cat_col))
-
-
 def counter_matchups(rivals: DataFrame, own: DataFrame,
                      counter_position: Mapping[str, str] = presets.COUNTER_POSITION,
                      counter_aspect: Mapping[str, str] = presets.COUNTER_ASPECT,
                      aspects: Sequence[str] = presets.ASPECTS,
                      name_col: str = "player_name", team_col: str = "team",
-                     cat_col: str = "Most_played_position") -> DataFrame:
+                     cat_col: str = "Most_played_position", carry: Sequence[str] = ()) -> DataFrame:
     """For every rival row, the own player of the counter position
     with the best counter-aspect score; an unmatched rival keeps NULL own
     columns (N8: the reference raises). ``best`` has at most
-    |categories| x |aspects| rows, so it is broadcast."""
-    steps = _best_steps(aspects, name_col, team_col, cat_col) + [
+    |categories| x |aspects| rows, so it is broadcast.
+
+    ``carry``: columns of both sides (the percentiles, P23-P25) that come along
+    as ``rival_<c>`` and ``own_<c>``, so that nothing is joined back for them."""
+    rival = "".join(f", {q(c)} AS {q('rival_' + c)}" for c in carry)
+    out = "".join(f", r.{q('rival_' + c)}" for c in carry) + "".join(f", b.{q('own_' + c)}" for c in carry)
+    steps = _best_steps(aspects, name_col, team_col, cat_col, carry) + [
         ("r", f"""SELECT {q(name_col)} AS rival_name, {q(team_col)} AS rival_team, {q(cat_col)} AS rival_position,
-       aspect, aspect_rank, aspect_order,
+       aspect, aspect_rank, aspect_order{rival},
        {map_lookup_sql(q(cat_col), counter_position)} AS __cat,
        {map_lookup_sql('aspect', counter_aspect)} AS __metric FROM {{rivals}}"""),
     ]
-    sql = """SELECT /*+ BROADCAST(b) */ r.rival_name, r.rival_team, r.rival_position, r.aspect, r.aspect_rank,
-       r.aspect_order, b.own_name, b.own_team, b.own_position
-FROM {r} r LEFT JOIN {best} b ON r.__cat = b.__cat AND r.__metric = b.__metric"""
+    sql = f"""SELECT /*+ BROADCAST(b) */ r.rival_name, r.rival_team, r.rival_position, r.aspect, r.aspect_rank,
+       r.aspect_order, b.own_name, b.own_team, b.own_position{out}
+FROM {{r}} r LEFT JOIN {{best}} b ON r.__cat = b.__cat AND r.__metric = b.__metric"""
     return run_sql({"rivals": rivals, "own": own}, sql, steps)
 
 
@@ -102,7 +102,7 @@ def _label_sql(prefix: str) -> str:
 def pitch_layout(matches: DataFrame,
                  coords: Mapping[str, tuple[int, int]] = presets.PITCH_COORDS,
                  rival_offset: int = presets.RIVAL_OFFSET_Y) -> DataFrame:
-    """One row per own position on the pitch.
+    """One pitch per rival team, one row per own position on it.
 
     The first row per slot wins, in the reference's row order: aspect order
     (defensive, attacking, passing), then rank within the aspect. Positions
@@ -111,8 +111,8 @@ def pitch_layout(matches: DataFrame,
     values = ", ".join(f"({lit_str(k)}, {int(x)}, {int(y)})" for k, (x, y) in coords.items())
     steps = [("firsts", f"""SELECT * FROM (
   SELECT /*+ BROADCAST(c) */ m.*, c.own_x, c.own_y,
-         row_number() OVER (PARTITION BY m.own_position
-                            ORDER BY aspect_order, aspect_rank, rival_name, rival_team) AS __rn
+         row_number() OVER (PARTITION BY m.rival_team, m.own_position
+                            ORDER BY aspect_order, aspect_rank, rival_name) AS __rn
   FROM {{m}} m JOIN (SELECT * FROM VALUES {values} AS t(own_position, own_x, own_y)) c
     ON m.own_position = c.own_position) WHERE __rn = 1""")]
     sql = f"""SELECT own_position, own_name, own_team, own_x, own_y, {_label_sql('own')} AS own_label,

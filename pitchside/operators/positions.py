@@ -42,13 +42,12 @@ def _split_pattern(sep: str) -> str:
 def _category_steps(keys: Sequence[str], list_col: str, weight: str, sep: str,
                     unknown: str) -> list[tuple[str, str]]:
     k = ", ".join(q(c) for c in keys)
-    nn = " AND ".join(f"{q(c)} IS NOT NULL" for c in keys)
     return [
         ("kept", f"SELECT * FROM {{src}} WHERE NOT ({q(list_col)} <=> {lit_str(unknown)})"),
         ("per_code", f"""SELECT {k}, code, coalesce(sum(__w), 0D) AS minutes FROM (
-  SELECT {k}, explode(split({q(list_col)}, {lit_str(_split_pattern(sep))}, -1)) AS code,
+  SELECT {k}, explode_outer(split({q(list_col)}, {lit_str(_split_pattern(sep))}, -1)) AS code,
          CAST({q(weight)} AS DOUBLE) AS __w FROM {{kept}})
-WHERE code IS NOT NULL AND {nn} GROUP BY {k}, code"""),
+GROUP BY {k}, code"""),
     ]
 
 
@@ -61,7 +60,8 @@ def raw_category_minutes(df: DataFrame, keys: Sequence[str] = ("player_name", "t
     list stays (N5) but contributes no code. Every listed code is credited
     with the full weight. Keys or code NULL are not grouped (N4).
     """
-    return run_sql({"src": df}, "SELECT * FROM {per_code}",
+    named = " AND ".join(f"{q(c)} IS NOT NULL" for c in [*keys, "code"])
+    return run_sql({"src": df}, f"SELECT * FROM {{per_code}} WHERE {named}",
                    _category_steps(keys, list_col, weight, sep, unknown))
 
 
@@ -79,14 +79,13 @@ def primary_category(df: DataFrame, keys: Sequence[str] = ("player_name", "team"
     """
     mapping = invert_groups(presets.POSITION_GROUPS) if mapping is None else mapping
     k = ", ".join(q(c) for c in keys)
-    on = " AND ".join(f"e.{q(c)} = b.{q(c)}" for c in keys)
-    ek = ", ".join(f"e.{q(c)}" for c in keys)
     steps = _category_steps(keys, list_col, weight, sep, unknown) + [
+        # a NULL code keeps its key but never wins
         ("best", f"""SELECT {k}, code FROM (
-  SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY minutes DESC, code ASC) AS __rn FROM {{per_code}})
+  SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY code IS NULL, minutes DESC, code ASC) AS __rn FROM {{per_code}})
 WHERE __rn = 1"""),
-        ("ents", f"SELECT DISTINCT {k} FROM {{kept}}"),
     ]
-    sql = f"""SELECT DISTINCT {ek}, {map_lookup_sql('b.code', mapping)} AS {q(out)}
-FROM {{ents}} e LEFT JOIN {{best}} b ON {on}"""
+    # a row without a full key keeps no category, as it joins nothing
+    named = " AND ".join(f"{q(c)} IS NOT NULL" for c in keys)
+    sql = f"SELECT {k}, CASE WHEN {named} THEN {map_lookup_sql('code', mapping)} END AS {q(out)} FROM {{best}}"
     return run_sql({"src": df}, sql, steps)

@@ -40,21 +40,17 @@ def match_scores_sql(weights: Mapping[str, Mapping[str, float]], minutes: str) -
             for a, ws in weights.items()]
 
 
-def match_scores(matches: DataFrame, weights: Mapping[str, Mapping[str, float]] = presets.WEIGHTS,
-                 minutes: str = presets.MINUTES_COL, keep: Sequence[str] = ()) -> DataFrame:
-    return project(matches, match_scores_sql(weights, minutes), keep=keep)
-
-
 def weighted_scores(matches: DataFrame, weights: Mapping[str, Mapping[str, float]] = presets.WEIGHTS,
                     keys: Sequence[str] = ("player_name", "team"),
                     minutes: str = presets.MINUTES_COL) -> DataFrame:
     """Mean per ``keys`` of the per-match aspect totals.
 
-    The mean is of per-match ratios (not a ratio of sums). Rows whose key is
+    The mean is of per-match ratios (not a ratio of sums); one over both
+    infinities has no value and is NULL (N14). Rows whose key is
     NULL are dropped, as ``groupby`` does (N4).
     """
     k = ", ".join(q(c) for c in keys)
-    terms = ", ".join(f"avg({e}) AS {q(n)}" for n, e in match_scores_sql(weights, minutes))
+    terms = ", ".join(f"{nan_to_null_sql(f'avg({e})')} AS {q(n)}" for n, e in match_scores_sql(weights, minutes))
     not_null = " AND ".join(f"{q(c)} IS NOT NULL" for c in keys)
     return run_sql({"m": matches}, f"SELECT {k}, {terms} FROM {{m}} WHERE {not_null} GROUP BY {k}")
 
@@ -63,7 +59,12 @@ def weighted_scores(matches: DataFrame, weights: Mapping[str, Mapping[str, float
 # Average percent rank  (rank of ties averaged) / (non-null count)
 # --------------------------------------------------------------------------
 
-def quantile_bounds(df: DataFrame, cols: Sequence[str], buckets: int = 64,
+def rank_buckets(df: DataFrame) -> int:
+    """Buckets of the ranking: four per shuffle partition, 64 at least."""
+    return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def quantile_bounds(df: DataFrame, cols: Sequence[str], buckets: int,
                     rel_error: float = 1e-3) -> list[list[float]]:
     """Up to ``buckets - 1`` increasing split points per column, in one pass.
     Only these few numbers reach the driver; they steer bucketing, never the
@@ -106,7 +107,7 @@ def _rank_steps(i: int, value: str, bounds: Sequence[float]) -> list[tuple[str,
 
 
 def avg_pct_ranks(df: DataFrame, values: Mapping[str, str], method: str = "scale",
-                  buckets: int = 64, bounds: Sequence[Sequence[float]] | None = None) -> DataFrame:
+                  buckets: int | None = None, bounds: Sequence[Sequence[float]] | None = None) -> DataFrame:
     """``Series.rank(pct=True)`` over the whole frame for several columns:
     ``values`` maps input column -> output column.
 
@@ -133,7 +134,8 @@ def avg_pct_ranks(df: DataFrame, values: Mapping[str, str], method: str = "scale
     if method != "scale":
         raise ValueError("method must be 'scale' or 'window'")
     if bounds is None:
-        bounds = quantile_bounds(df, list(values), buckets)
+        buckets = rank_buckets(df) if buckets is None else buckets
+        bounds = quantile_bounds(df, list(values), buckets, min(1e-3, 0.25 / max(buckets, 1)))
     steps = [st for i, (value, b) in enumerate(zip(values, bounds)) for st in _rank_steps(i, value, b)]
     keyed = ", ".join(f"{nan_to_null_sql(q(value))} AS __k{i}" for i, value in enumerate(values))
     steps.append(("s", f"SELECT {src_cols}, {keyed} FROM {{src}}"))
@@ -143,17 +145,17 @@ def avg_pct_ranks(df: DataFrame, values: Mapping[str, str], method: str = "scale
     return run_sql({"src": df}, f"SELECT {s_cols}, {sel} FROM {{s}} s {joins}", steps)
 
 
-def avg_pct_rank(df: DataFrame, value: str, out: str, method: str = "scale", buckets: int = 64,
+def avg_pct_rank(df: DataFrame, value: str, out: str, method: str = "scale", buckets: int | None = None,
                  bounds: Sequence[float] | None = None) -> DataFrame:
     """Single-column form of ``avg_pct_ranks``."""
     return avg_pct_ranks(df, {value: out}, method, buckets, None if bounds is None else [bounds])
 
 
 def league_percentiles(scores: DataFrame, aspects: Sequence[str] = presets.ASPECTS,
-                       method: str = "scale", materialize: bool = False) -> DataFrame:
+                       method: str = "scale", materialize: bool = True) -> DataFrame:
     """P6 for every aspect score, over all teams (before any team filter).
 
-    ``materialize=True`` checkpoints the (small, one row per player and team)
+    ``materialize`` checkpoints the (small, one row per player and team)
     score table into the session's checkpoint folder first, so the boundary
     pass and the ranking read it instead of re-aggregating the match rows.
     """
@@ -169,24 +171,29 @@ def league_percentiles(scores: DataFrame, aspects: Sequence[str] = presets.ASPEC
 
 def top_k_by_aspect(scored: DataFrame, k: int, aspects: Sequence[str] = presets.ASPECTS,
                     team_col: str = "team", name_col: str = "player_name",
-                    teams: Sequence[str] | None = None) -> DataFrame:
+                    teams: Sequence[str] | None = None, k_of: Mapping[str, int] | None = None) -> DataFrame:
     """Top ``k`` rows per (team, aspect), tagged ``aspect``, ``aspect_order``
     and ``aspect_rank``.
 
-    The reference does one team; this does every team at once (or ``teams``).
+    The reference does one team; this does every team at once (or ``teams``);
+    ``k_of`` names teams that get another number of rows than ``k``.
     Order: score descending with missing scores last, then player name (N9).
     The team filter sits above the percentile, which Catalyst keeps (P7).
     """
     cols = ", ".join(q(c) for c in scored.columns)
-    stack = ", ".join(f"{lit_str(a)}, {i}, {q(score_col(a))}" for i, a in enumerate(aspects))
+    stack = ", ".join(f"{lit_str(a)}, {i}, {nan_to_null_sql(q(score_col(a)))}" for i, a in enumerate(aspects))
     where = ""
     if teams is not None:
         where = f"WHERE {q(team_col)} IN ({', '.join(lit_str(t) for t in teams)})"
+    each = ""  # the constant above lets Spark limit the groups before the shuffle
+    if k_of:
+        cases = " ".join(f"WHEN {lit_str(t)} THEN {int(n)}" for t, n in k_of.items())
+        each = f" AND aspect_rank <= CASE {q(team_col)} {cases} ELSE {int(k)} END"
     sql = f"""SELECT {cols}, aspect, aspect_order, aspect_rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY {q(team_col)}, aspect
                                     ORDER BY __score DESC NULLS LAST, {q(name_col)} ASC) AS BIGINT) AS aspect_rank
   FROM (SELECT {cols}, stack({len(aspects)}, {stack}) AS (aspect, aspect_order, __score) FROM {{src}} {where}))
-WHERE aspect_rank <= {int(k)}"""
+WHERE aspect_rank <= {max([k, *(k_of or {}).values()])}{each}"""
     return run_sql({"src": scored}, sql)
 
 

@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 
 from pitchside import presets
 from pitchside.functions.sql import lit_str, q
-from pitchside.operators.matchup import attach_category, counter_matchups, pitch_layout, with_percentiles
+from pitchside.operators.matchup import attach_category, counter_matchups, pitch_layout
 from pitchside.operators.positions import primary_category
-from pitchside.operators.scoring import league_percentiles, season_filter, top_k_by_aspect, weighted_scores
+from pitchside.operators.scoring import league_percentiles, pct_col, season_filter, top_k_by_aspect, weighted_scores
 
 
 @dataclass
@@ -49,14 +49,16 @@ def player_matchups(matches: DataFrame, rival_teams: Sequence[str] | None, own_t
                                 method=method, materialize=materialize)
     name_col, team_col = keys
     if rival_teams is None:
-        rival_base = scored.filter(f"{q(team_col)} <> {lit_str(own_team)}")
+        is_rival = f"{q(team_col)} <> {lit_str(own_team)}"
     else:
-        rival_base = scored.filter(f"{q(team_col)} IN ({', '.join(lit_str(t) for t in rival_teams)})")
-    rivals_top = top_k_by_aspect(rival_base, k_rival, aspects, team_col, name_col)
-    own_top = top_k_by_aspect(scored, k_own, aspects, team_col, name_col, teams=[own_team])
+        is_rival = f"{q(team_col)} IN ({', '.join(lit_str(t) for t in rival_teams)})"
+    is_own = f"{q(team_col)} = {lit_str(own_team)}"
+    # one ranking and one position table for both sides
+    top = top_k_by_aspect(scored.filter(f"{is_rival} OR {is_own}"), k_rival, aspects, team_col, name_col, k_of={own_team: k_own})
     cats = primary_category(season_rows, keys, list_col, minutes, mapping=position_map)
-    rivals = attach_category(rivals_top, cats, keys)
-    own = attach_category(own_top, cats, keys)
-    m = counter_matchups(rivals, own, aspects=aspects, name_col=name_col, team_col=team_col)
-    m = with_percentiles(m, rivals, own, aspects, name_col, team_col)
+    players = attach_category(top, cats, keys)
+    rivals, own = players.filter(is_rival), players.filter(is_own)
+    if rival_teams is not None and own_team in rival_teams:
+        rivals = rivals.filter(f"NOT ({is_own}) OR aspect_rank <= {int(k_rival)}")
+    m = counter_matchups(rivals, own, aspects=aspects, name_col=name_col, team_col=team_col, carry=[pct_col(a) for a in aspects])
     return MatchupResult(scored, rivals, own, m, pitch_layout(m))

@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 from pitchside import presets
 from pitchside.functions.pixels import band_mask_sql
 from pitchside.operators.catalog import crop_plan, report_catalog
-from pitchside.operators.formation import formation_long, formation_profile, formation_rows
+from pitchside.operators.formation import formation_long, formation_profile, formation_rejects, formation_rows
 from pitchside.operators.grid import (
-    accumulate, colour_classes, crop_pixels, formation_boxes, grid_occupancy, image_cells, image_dims,
-    scale_grid, with_gray,
+    accumulate, colour_classes, crop_pixels, formation_boxes, grid_occupancy, image_cells, image_colour_classes,
+    image_dims, image_sections, scale_grid, with_gray,
 )
 from pitchside.operators.lanes import attack_lanes, classify_tokens, lane_profile
-from pitchside.operators.matchup import attach_category, counter_matchups, pitch_layout, with_percentiles
 from pitchside.operators.positions import primary_category
 from pitchside.operators.prompt import scouting_prompt
 from pitchside.operators.scoring import (
@@ -31,6 +30,7 @@ from pitchside.operators.scoring import (
 from pitchside.operators.summary import season_summary, team_summary
 from pitchside.functions.sql import q
 from pitchside.plans import standins as si
+from pitchside.plans.player import player_matchups
 
 ASPECTS = presets.ASPECTS
 SEASON = si.STANDIN_SEASON
@@ -216,14 +216,9 @@ def q_primary_position(spark, d):
     return primary_category(_season_rows(spark, d), mapping=si.STANDIN_POSITION_MAP)
 
 
-def _matchup_parts(spark, d):
-    rows = _season_rows(spark, d)
-    scored = league_percentiles(weighted_scores(rows), ASPECTS, materialize=True)
-    cats = primary_category(rows, mapping=si.STANDIN_POSITION_MAP)
-    rivals = attach_category(top_k_by_aspect(scored.filter(f"team <> '{OWN}'"), K_RIVAL, ASPECTS), cats)
-    own = attach_category(top_k_by_aspect(scored, K_OWN, ASPECTS, teams=[OWN]), cats)
-    m = with_percentiles(counter_matchups(rivals, own), rivals, own)
-    return m
+def _matchups(spark, d):
+    return player_matchups(si.player_matches(spark, d), None, OWN, SEASON, k_rival=K_RIVAL, k_own=K_OWN,
+                           position_map=si.STANDIN_POSITION_MAP)
 
 
 MATCHUP_COLS = ["rival_name", "rival_team", "rival_position", "aspect", "aspect_rank",
@@ -234,7 +229,7 @@ MATCHUP_COLS = ["rival_name", "rival_team", "rival_position", "aspect", "aspect_
 @register("counter_matchups", f"""WITH {_sql_matchups()}
 SELECT {", ".join(MATCHUP_COLS)} FROM mp""")
 def q_counter_matchups(spark, d):
-    return _matchup_parts(spark, d).select(*MATCHUP_COLS)
+    return _matchups(spark, d).matchups.select(*MATCHUP_COLS)
 
 
 def _sql_label(prefix: str) -> str:
@@ -251,8 +246,8 @@ _COORD_VALUES = ", ".join(f"('{k}', {x}, {y})" for k, (x, y) in presets.PITCH_CO
 coords(own_position, own_x, own_y) AS (VALUES {_COORD_VALUES}),
 firsts AS (SELECT * FROM (
     SELECT mp.*, c.own_x, c.own_y,
-           row_number() OVER (PARTITION BY mp.own_position
-                              ORDER BY aspect_order, aspect_rank, rival_name, rival_team) AS rn
+           row_number() OVER (PARTITION BY mp.rival_team, mp.own_position
+                              ORDER BY aspect_order, aspect_rank, rival_name) AS rn
     FROM mp JOIN coords c ON c.own_position = mp.own_position) WHERE rn = 1)
 SELECT own_position, own_name, own_team, CAST(own_x AS INTEGER) AS own_x, CAST(own_y AS INTEGER) AS own_y,
        {_sql_label('own')} AS own_label, rival_name, rival_team,
@@ -260,7 +255,7 @@ SELECT own_position, own_name, own_team, CAST(own_x AS INTEGER) AS own_x, CAST(o
        {_sql_label('rival')} AS rival_label
 FROM firsts""")
 def q_pitch_layout(spark, d):
-    return pitch_layout(_matchup_parts(spark, d))
+    return _matchups(spark, d).pitch
 
 
 # ----------------------------------------------------------------------------
@@ -533,6 +528,19 @@ def q_formation_second(spark, d):
     return _frows_out(_formation_rows(spark, d, "second"))
 
 
+@register("formation_rejects", f"""WITH {_sql_formation('name')},
+any_row AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY row_no) AS rn FROM rows_
+                           WHERE contains(lower(team), lower(img_team))) WHERE rn = 1),
+st AS (SELECT i.image_id, CASE WHEN p.row_no IS NULL THEN 'no row' WHEN p.row_no > 2 THEN 'row beyond the second'
+                               WHEN coalesce(l.n, 0) < 6 THEN 'fewer than six line values' END AS reason
+       FROM (SELECT DISTINCT image_id FROM tt) i LEFT JOIN any_row p ON p.image_id = i.image_id
+       LEFT JOIN flw l ON l.image_id = p.image_id AND l.colour = CASE WHEN p.row_no = 1 THEN 'black' ELSE 'blue' END)
+SELECT image_id, reason FROM st WHERE reason IS NOT NULL""")
+def q_formation_rejects(spark, d):
+    tt = si.formation_table_tokens(spark, d).withColumnRenamed("team", "image_team")
+    return formation_rejects(tt, si.formation_line_tokens(spark, d), select="name", team_col="image_team")
+
+
 def _sql_fprofile() -> str:
     means = ", ".join(f"avg(CAST(trunc({_q(c)}) AS BIGINT)) AS {_q(c)}" for c in _ALL_F)
     ivals = ", ".join(_q(c) for c in INTERVAL_COLS)
@@ -747,6 +755,53 @@ def q_image_cells_grid(spark, d):
     return accumulate(cells, by=["side"])
 
 
+@register("grid_sparse", f"""WITH px AS ({si.PIXEL_SQL}),
+dims AS (SELECT image_id, max("row") + 1 AS height, max(col) + 1 AS width FROM px GROUP BY image_id),
+shape AS (SELECT side, max(height) // {CELL[0]} AS gr, max(width) // {CELL[1]} AS gc FROM px JOIN dims USING (image_id)
+          WHERE gray >= {_HI_B} GROUP BY side),
+slots AS (SELECT side, gr, gc, unnest(range(gr * gc)) AS i FROM shape),
+marks AS (SELECT image_id, side, "row" // {CELL[0]} AS cell_row, col // {CELL[1]} AS cell_col, count(*) AS n
+          FROM px WHERE gray >= {_HI_B} GROUP BY ALL),
+flags AS (SELECT side, cell_row, cell_col, count(*) AS hits FROM marks WHERE n > {float(CELL[0] * CELL[1] * FRACTION)!r} GROUP BY ALL),
+grid AS (SELECT s.side, s.i // s.gc AS cell_row, s.i % s.gc AS cell_col, coalesce(f.hits, 0) AS hits
+         FROM slots s LEFT JOIN flags f ON f.side = s.side AND f.cell_row = s.i // s.gc AND f.cell_col = s.i % s.gc),
+st AS (SELECT side, min(hits) AS lo, max(hits) AS hi FROM grid GROUP BY side)
+SELECT g.side, CAST(cell_row AS INTEGER) AS cell_row, CAST(cell_col AS INTEGER) AS cell_col, CAST(hits AS BIGINT) AS hits,
+       round(CASE WHEN hi = lo THEN NULL ELSE (hits - lo) / CAST(hi - lo AS DOUBLE) END, 6) AS scaled
+FROM grid g JOIN st USING (side)""")
+def q_grid_sparse(spark, d):
+    """A table of bright pixels only: cells without any count 0 and take part in the scaling."""
+    px = si.pixels(spark, d)
+    g = grid_occupancy(px.filter(f"gray >= {_HI_B}"), CELL, FRACTION, by=["side"], dims=image_dims(px))
+    return scale_grid(g, "normalize", by=["side"]).select("side", "cell_row", "cell_col", "hits", _r6("scaled"))
+
+
+@register("image_colour_classes", f"""WITH px AS ({si.PIXEL_SQL})
+SELECT 'emb://' || CAST(image_id AS VARCHAR) AS origin, side, {", ".join(
+    f"CAST(sum(CASE WHEN {_sql_in_range(_H, _S, _V, lo, hi)} THEN 1 ELSE 0 END) AS BIGINT) AS {name}_pixels"
+    for name, (lo, hi) in presets.HSV_RANGES.items())}
+FROM px GROUP BY image_id, side""")
+def q_image_colour_classes(spark, d):
+    return image_colour_classes(si.images(spark, d), keep=["side"])
+
+
+@register("image_sections", f"""WITH px AS ({si.PIXEL_SQL}),
+dims AS (SELECT image_id, max("row") + 1 AS height, max(col) + 1 AS width FROM px GROUP BY image_id),
+boxes AS (
+  SELECT image_id, 'table' AS section, 0 AS x0, 0 AS y0, CAST(width AS INTEGER) AS x1,
+         CAST(trunc(height * {presets.FORMATION_TOP_FRACTION!r}) AS INTEGER) AS y1 FROM dims
+  UNION ALL
+  SELECT image_id, 'graph', CAST(trunc(width * {presets.FORMATION_X_RANGE[0]!r}) AS INTEGER),
+         CAST(trunc(height * {presets.FORMATION_BOTTOM_FROM!r}) AS INTEGER),
+         CAST(trunc(width * {presets.FORMATION_X_RANGE[1]!r}) AS INTEGER), CAST(height AS INTEGER) FROM dims)
+SELECT 'emb://' || CAST(b.image_id AS VARCHAR) AS origin, section, CAST(max(y1 - y0) AS INTEGER) AS height,
+       CAST(max(x1 - x0) AS INTEGER) AS width, upper(string_agg(printf('%02x%02x%02x', b, g, r), '' ORDER BY "row", col)) AS bgr
+FROM px JOIN boxes b USING (image_id)
+WHERE col >= x0 AND col < x1 AND "row" >= y0 AND "row" < y1 GROUP BY b.image_id, section""")
+def q_image_sections(spark, d):
+    return image_sections(si.images(spark, d)).select("origin", "section", "height", "width", F.hex("data").alias("bgr"))
+
+
 # ----------------------------------------------------------------------------
 # report catalog and crop plan
 # ----------------------------------------------------------------------------

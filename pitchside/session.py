@@ -36,7 +36,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
         # local mode runs everything in the driver JVM
-        conf["spark.driver.memory"] = os.environ.get("PITCHSIDE_DRIVER_MEMORY", "16g")
+        conf["spark.driver.memory"] = os.environ.get("PITCHSIDE_DRIVER_MEMORY", "8g")
     conf.update(extra_conf or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -50,7 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) a scratch folder is created.
+    is; without one this raises, as a folder of this machine is not seen by the
+    executors. Only in local mode (tests) a scratch folder is created.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -59,6 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     if spark.sparkContext.getCheckpointDir():
         return spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir is not set and the master is {master}: name a shared folder")
     path = tempfile.mkdtemp(prefix="pitchside-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
