@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pitchside.session import ensure_checkpoint_dir
 
@@ -44,7 +45,7 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], col: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], col: str = "text", max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``col`` holds at most ``max_bytes`` (or one row)."""
     for b in batches:
         size = np.asarray(pc.fill_null(pc.binary_length(b.column(col)), 0), dtype=np.int64)
@@ -131,28 +132,54 @@ class Words:
         return mix(out), out_off
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The edges (a, b) of each partition as stars around the smallest node that the partition links them to."""
+    kind = edges.schema["a"].dataType
+
+    def run(batches):
+        up: dict = {}
+
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = top(up.setdefault(x, x) if x not in up else x), top(up.setdefault(y, y) if y not in up else y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        far = [(x, r) for x in up if (r := top(x)) != x]
+        if far:
+            t = to_arrow_type(kind)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in far], t), pa.array([r for _, r in far], t)], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}")
+
+
 def components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): alternating large-star and small-star
-    rounds, each a partially aggregated minimum and an equi-join, written out between rounds.
-    ``root`` is the smallest node of the component."""
+    rounds, each a partially aggregated minimum and an equi-join, written out between rounds; every
+    partition first links its own edges. ``root`` is the smallest node of the component."""
     def large(e: DataFrame) -> DataFrame:
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        return both.join(low, both.a == low.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        return both.join(low, both.a == low.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         return down.join(low, down.a == low.u).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
-    e = written(edges.select("a", "b").where("a <> b").distinct(), label)
+    e = written(_contracted(edges.where("a <> b")).distinct(), label)
     was = None
     for _ in range(max_rounds):
-        e = written(small(large(e)), label)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == was:
+        if tuple(now) == was or not now[0]:
             break
         was = tuple(now)
+        e = written(small(large(_contracted(e))), label)
     else:
         raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select("b", "b").distinct())

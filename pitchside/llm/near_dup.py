@@ -6,11 +6,18 @@ of its rarest shingles that two classes over the threshold must share one.
 Classes with the same prefix and size form a group; groups that share a prefix
 shingle are filtered as pairs by size and position, the pairs that remain are
 expanded to their members, filtered by parity bitmaps (a lower bound of the
-symmetric difference, so nothing is lost) and verified on the whole sets.
-
-Links are needed up to connectivity. A first pass verifies one spanning forest
-per posting list; the second verifies every remaining pair whose classes are
-still in different components. So no group of copies is expanded into all its
+symmetric difference, so nothing is lost) and verified on the whole sets. Short
+posting lists give their group pairs as they come out of the shuffle; long ones
+are dealt into blocks of members that meet pairwise.
+
+Postings are keyed by shingle and size class, a factor 1/t wide: sets that link
+are in one class or in neighbouring ones. The smaller set of a pair needs only
+its shorter indexing prefix, so it is posted under its own and the next class
+with that, and the larger one under its own class with its whole prefix.
+
+Links are needed up to connectivity. A first pass verifies all pairs of short
+lists and one spanning forest per block of long ones; the second verifies every
+remaining pair of long lists whose classes are still in different components. So no group of copies is expanded into all its
 pairs, and no link between different texts is lost.
 
 Edge cases: a null or blank text has an empty set, links with nothing and is its
@@ -23,16 +30,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import U64, Words, components, flat_bytes, slices, written
+from pitchside.llm.common import U64, Words, components, flat_bytes, mix, slices, written
 
 #: log2 of the slots of the frequency sketch, and the most slots the driver gathers (12 bytes each).
 SKETCH_BITS, SKETCH_KEPT = 22, 1 << 18
-#: Members of a posting list compared in one block; longer lists are cut into blocks that meet pairwise.
-BLOCK = 1024
+#: Most members of a posting list that gives its pairs of groups at once; members compared in one block of a longer
+#: list, which is cut into blocks that meet pairwise.
+SHORT, BLOCK = 32, 1024
 #: Most rows (id and digest, some 50 bytes) of the list of texts to verify that are broadcast; a longer list is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -43,14 +52,14 @@ def _heavy_slots(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     Only the order of shingles follows from it, never which pairs are found, so a bounded number of slots suffices.
     """
     def count(batches):
-        sums = np.zeros(1 << SKETCH_BITS, np.int64)
+        sums = np.zeros(1 << SKETCH_BITS, np.int32)
         for b in slices(batches):
             h, _ = Words(*flat_bytes(b.column(0))).shingles(k)
             slot, n = np.unique((h >> U64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
             sums[slot] += n
         at = np.flatnonzero(sums >= 4 * sums.mean() + 4)
         for s in range(0, len(at), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[s:s + 50_000]), pa.array(sums[at[s:s + 50_000]])], names=["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at[s:s + 50_000]), pa.array(sums[at[s:s + 50_000]].astype(np.int64))], names=["slot", "n"])
 
     part = docs.select("text").mapInArrow(count, "slot long, n long")
     top = part.groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(SKETCH_KEPT).toPandas()
@@ -72,6 +81,22 @@ def _prefix_len(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def _index_len(n, num: int, den: int):
+    """n - ceil(2t / (1 + t) n) + 1: the prefix of the smaller set of a pair."""
+    return n + 1 + (-2 * num * n // (num + den))
+
+
+def _size_class(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Classes such that den * small >= num * large implies classes that differ by one at most.
+
+    Bounds grow by whole numbers: a class from lo holds sizes up to floor(lo * den / num), or lo alone."""
+    bounds, lo, top = [], 1, int(n.max(initial=1))
+    while lo <= top:
+        bounds.append(lo)
+        lo = lo * den // num + 1
+    return np.searchsorted(np.array(bounds), n, side="right")
+
+
 def _bitmap(tokens: np.ndarray) -> bytes:
     """Parity bitmap of max(64, 2^ceil(log2 n)) bits: XOR of two has at most as many bits as the sets differ in."""
     bits = max(64, 1 << (len(tokens) - 1).bit_length())
@@ -115,77 +140,190 @@ def _signatures(docs: DataFrame, bc, k: int, num: int, den: int) -> DataFrame:
         run, f"doc_id {kind}, n long, digest binary, gid binary, prefix array<long>, bitmap binary")
 
 
-def _roots(parent: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[parent]
-        if (up == parent).all():
-            return parent
-        parent = up
+def _posted(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings of groups (g, n, m, prefix) whose list may hold a pair: key, g, n, pos, up (posted from the class below), m."""
+    def post(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, n, m = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
+            token = b.column(3).flatten().to_numpy()
+            length = np.asarray(pc.list_value_length(b.column(3)), np.int64)
+            row = np.repeat(np.arange(len(g)), length)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+            level = _size_class(n, num, den).astype(np.uint64)
+            short = np.flatnonzero(pos < _index_len(n, num, den)[row])
+            at = np.concatenate([np.arange(len(row)), short])
+            up = np.concatenate([np.zeros(len(row), np.int8), np.ones(len(short), np.int8)])
+            key = mix(token[at].astype(np.uint64) + (level[row[at]] + up.astype(np.uint64)) * U64(0x9E3779B97F4A7C15))
+            for s in range(0, len(at), 200_000):
+                i = at[s:s + 200_000]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(key[s:s + 200_000].view(np.int64)), pa.array(g[row[i]]), pa.array(n[row[i]].astype(np.int32)),
+                    pa.array(pos[i].astype(np.int32)), pa.array(up[s:s + 200_000]), pa.array(m[row[i]].astype(np.int32))],
+                    names=["key", "g", "n", "pos", "up", "m"])
+
+    def matched(batches):
+        held: list[pa.RecordBatch] = []
+        cut = None  # key of a list that was too long to be held whole
+
+        def lists(final: bool):
+            """Pairs of groups of the held short lists, rows of the long ones; the last list stays held unless final or long."""
+            nonlocal held, cut
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = t["key"].to_numpy()
+            start = np.r_[0, np.flatnonzero(np.diff(key)) + 1]
+            stop = np.r_[start[1:], len(key)]
+            longer = len(key) - start[-1] > 100_000
+            whole = len(start) if final or longer else len(start) - 1
+            held = t.slice(int(start[whole])).to_batches() if whole < len(start) else []
+            if not whole:
+                return
+            t, key, start, stop = t.slice(0, int(stop[whole - 1])), key[:stop[whole - 1]], start[:whole], stop[:whole]
+            g, m, own = t["g"].to_numpy(), t["m"].to_numpy().astype(np.int64), t["up"].to_numpy() == 0
+            n, pos = t["n"].to_numpy().astype(np.int64), t["pos"].to_numpy().astype(np.int64)
+            long = np.add.reduceat(m, start) > SHORT
+            long[0] |= key[0] == cut
+            cut = key[-1] if longer and not final else cut
+            which = np.repeat(np.arange(len(start)), stop - start)
+            in_short = ~long[which]
+            small = pos < _index_len(n, num, den)
+            # several members of one group
+            own_pair = np.flatnonzero(in_short & (m > 1) & own & (pos == 0))
+            one, two = [own_pair], [own_pair]
+            size = int((stop - start)[~long].max(initial=0))
+            for d in range(1, size):
+                i = np.flatnonzero(in_short[:-d] & (which[:-d] == which[d:]))
+                j = i + d
+                ok = (small[i] & (n[i] <= n[j]) & own[j]) | (own[i] & small[j] & (n[j] <= n[i]))
+                total = n[i] + n[j]
+                need = -(-num * total // (num + den))
+                ok &= (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (g[i] != g[j])
+                one.append(i[ok])
+                two.append(j[ok])
+            one, two = np.concatenate(one), np.concatenate(two)
+            if len(one):
+                pairs = np.unique(np.stack([np.minimum(g[one], g[two]), np.maximum(g[one], g[two])]), axis=1)
+                zero = np.zeros(pairs.shape[1], np.int32)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, pairs), pa.array(zero), pa.array(zero), pa.array(zero.astype(np.int8)), pa.array(zero)], names=names)
+            # a long list has a pair only with a smaller set and one of its own class
+            alive = long & (np.add.reduceat(small.astype(np.int64), start) > 0) & (np.add.reduceat(own.astype(np.int64), start) > 0)
+            yield from t.filter(pa.array(alive[which])).combine_chunks().to_batches()
 
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                if sum(x.num_rows for x in held) > 50_000:
+                    yield from lists(False)
+        if held:
+            yield from lists(True)
 
-def _passing(rows: list, cols: list, num: int, den: int, same: bool):
-    """Index pairs (i, j) of two lists of (group, n, pos, bitmap words) that pass the filters: first the
-    pairs of groups by size and position, then their members by bitmap. Yields arrays, a strip at a time."""
-    g1, n1, p1, m1 = rows
-    g2, n2, p2, m2 = cols
-    for i in range(len(n1)):
-        j0 = i + 1 if same else 0
-        n, p, m = n2[j0:], p2[j0:], m2[j0:]
-        if not len(n):
-            continue
-        total = n + n1[i]
+    names = ["key", "g", "n", "pos", "up", "m"]
+    schema = "key long, g long, n int, pos int, up byte, m int"
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.select("g", "n", "m", "prefix").mapInArrow(post, schema).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(matched, schema)
+
+
+def _members_of_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes, by digest, of the pairs of groups (a, b) that pass the bitmap filter."""
+    def run(batches):
+        for b in batches:
+            x, y = (flat_bytes(b.column(i)) for i in (4, 5))
+            total = (b.column(2).to_numpy() + b.column(3).to_numpy()).astype(np.int64)
+            most = total - 2 * -(-num * total // (num + den))
+            ok = np.zeros(b.num_rows, bool)
+            wx, wy = np.diff(x[1]) // 8, np.diff(y[1]) // 8
+            words = [np.ascontiguousarray(z[0]).view(np.uint64) for z in (x, y)]
+            for p, r in {*zip(wx.tolist(), wy.tolist())}:
+                for at in np.array_split(i := np.flatnonzero((wx == p) & (wy == r)), 1 + len(i) * (p + r) // (1 << 20)):
+                    u = words[0][x[1][at][:, None] // 8 + np.arange(p)]
+                    v = words[1][y[1][at][:, None] // 8 + np.arange(r)]
+                    w = min(p, r)
+                    ok[at] = np.bitwise_count(_fold(u, w) ^ _fold(v, w)).sum(axis=1, dtype=np.int64) <= most[at]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    one = classes.select(F.col("g").alias("a"), F.col("digest").alias("da"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
+    two = classes.select(F.col("g").alias("b"), F.col("digest").alias("db"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
+    both = pairs.join(one, "a").join(two, "b").where("a <> b AND da <> db OR a = b AND da < db")
+    return both.select("da", "db", "na", "nb", "ba", "bb").mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+class _Members:
+    """Members of a posting list: sizes, positions, roles, and bitmaps as one matrix per width."""
+
+    def __init__(self, t: pa.Table, at: np.ndarray, num: int, den: int):
+        self.at = at
+        self.n = t["n"].to_numpy().astype(np.int64)[at]
+        self.pos = t["pos"].to_numpy().astype(np.int64)[at]
+        self.own = t["up"].to_numpy()[at] == 0
+        self.small = self.pos < _index_len(self.n, num, den)
+        bits = t["bitmap"].combine_chunks() if isinstance(t["bitmap"], pa.ChunkedArray) else t["bitmap"]
+        raw, off = flat_bytes(bits)
+        words = raw.view(np.uint64) if raw.flags.c_contiguous else np.ascontiguousarray(raw).view(np.uint64)
+        off = off // 8
+        width = np.diff(off)[at]
+        self.place = np.zeros(len(at), np.int64)  # row in the matrix of its width
+        self.width, self.rows, self.matrix = width, {}, {}
+        for w in np.unique(width).tolist():
+            r = np.flatnonzero(width == w)
+            self.rows[w] = r
+            self.place[r] = np.arange(len(r))
+            self.matrix[w] = words[off[at[r]][:, None] + np.arange(w)]
+
+
+def _fold(v: np.ndarray, width: int) -> np.ndarray:
+    while v.shape[-1] > width:
+        half = v.shape[-1] // 2
+        v = v[..., :half] ^ v[..., half:]
+    return v
+
+
+def _passing(a: _Members, b: _Members, num: int, den: int, same: bool):
+    """(i, js): members of ``a`` and ``b`` that pass the filters: first the pairs of groups by role, size and position,
+    then the members by bitmap."""
+    for i in range(len(a.n)):
+        n, ok = b.n, (a.small[i] & (a.n[i] <= b.n) & b.own) | (a.own[i] & b.small & (b.n <= a.n[i]))
+        if same:
+            ok[:i + 1] = False
+        total = n + a.n[i]
         need = -(-num * total // (num + den))  # least intersection
-        ok = np.minimum(n1[i] - p1[i], n - p) >= need
-        ok &= (den * np.minimum(n, n1[i]) >= num * np.maximum(n, n1[i]))
-        at = np.flatnonzero(ok)
-        if not len(at):
+        ok &= (np.minimum(a.n[i] - a.pos[i], n - b.pos) >= need) & (den * np.minimum(n, a.n[i]) >= num * np.maximum(n, a.n[i]))
+        if not ok.any():
             continue
-        # members: fold every bitmap to the width of the narrower side
-        a, widths = m1[i], np.array([len(m[x]) for x in at])
-        keep = np.zeros(len(at), bool)
-        for w in np.unique(widths):
-            pick = np.flatnonzero(widths == w)
-            v = np.stack([m[x] for x in at[pick]])
-            u = a
-            while len(u) > v.shape[1]:
-                u = u[:len(u) // 2] ^ u[len(u) // 2:]
-            while v.shape[1] > len(u):
-                v = v[:, :v.shape[1] // 2] ^ v[:, v.shape[1] // 2:]
-            differ = np.bitwise_count(v ^ u).sum(axis=1)
-            keep[pick] = differ <= total[at[pick]] - 2 * need[at[pick]]
-        if keep.any():
-            yield i, at[keep] + j0
+        mine, got = a.matrix[int(a.width[i])][a.place[i]], []
+        for w, rows in b.rows.items():
+            at = rows[ok[rows]]
+            if len(at):
+                narrow = min(w, len(mine))
+                differ = np.bitwise_count(_fold(b.matrix[w][b.place[at]], narrow) ^ _fold(mine, narrow)).sum(axis=1, dtype=np.int64)
+                got.append(at[differ <= total[at] - 2 * need[at]])
+        js = np.concatenate(got) if got else []
+        if len(js):
+            yield i, js
 
 
 def _pairs_of_block(t: pa.Table, num: int, den: int, forest: bool) -> list:
     """Candidate pairs of one block of one posting list. side 0: within; 1 and 2: the two sides of a pair of blocks.
     forest: only a spanning forest of them, else only those across components."""
-    digest = t["digest"].to_pylist()
-    n, pos = t["n"].to_numpy(), t["pos"].to_numpy()
-    bits = [np.frombuffer(x, np.uint64) for x in t["bitmap"].to_pylist()]
-    side = t["side"].to_numpy()
-    root = t["root"].to_pylist()
-    out = []
-
-    def part(idx):
-        return [None, n[idx], pos[idx], [bits[x] for x in idx]]
-
-    one, two = (np.flatnonzero(side == 0),) * 2 if (side == 0).any() else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+    side, root, digest = t["side"].to_numpy(), t["root"].to_pylist(), t["digest"].to_pylist()
     same = bool((side == 0).any())
-    parent = np.arange(len(n))
-    for i, js in _passing(part(one), part(two), num, den, same):
-        a = int(one[i])
-        for b in two[js].tolist():
-            if root[a] == root[b] and root[a] is not None:
+    one = _Members(t, np.flatnonzero(side == (0 if same else 1)), num, den)
+    two = one if same else _Members(t, np.flatnonzero(side == 2), num, den)
+    out, parent = [], list(range(len(digest)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, js in _passing(one, two, num, den, same):
+        a = int(one.at[i])
+        for b in two.at[js].tolist():
+            if digest[a] == digest[b] or root[a] is not None and root[a] == root[b]:
                 continue
             if forest:
-                x, y = a, b
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                while parent[y] != y:
-                    parent[y] = parent[parent[y]]
-                    y = parent[y]
+                x, y = top(a), top(b)
                 if x == y:
                     continue
                 parent[max(x, y)] = min(x, y)
@@ -194,7 +332,7 @@ def _pairs_of_block(t: pa.Table, num: int, den: int, forest: bool) -> list:
 
 
 def _candidates(lists: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b) of class digests. ``lists``: token, df, gid, digest, n, pos, bitmap, root.
+    """Distinct candidate pairs (a, b) of class digests. ``lists``: key, df, digest, n, pos, up, bitmap, root.
 
     A list of up to BLOCK members is one block. A longer one is dealt by digest into so many blocks that
     each has about BLOCK members, and every pair of blocks meets in a task of its own."""
@@ -202,44 +340,12 @@ def _candidates(lists: DataFrame, num: int, den: int, forest: bool) -> DataFrame
         got = _pairs_of_block(t, num, den, forest)
         return pa.table({"a": pa.array([x for x, _ in got], pa.binary()), "b": pa.array([y for _, y in got], pa.binary())})
 
-    def one(batches):
-        # rows of whole small lists, sorted by token: many lists in one task, one after another
-        held: list[pa.RecordBatch] = []
-
-        def done(final: bool):
-            nonlocal held
-            t = pa.Table.from_batches(held)
-            token = t["token"].to_numpy()
-            cut = np.flatnonzero(np.diff(token)) + 1
-            ends = np.r_[cut, len(token)] if final else cut
-            start, got = 0, []
-            for e in ends.tolist():
-                if e - start > 1:
-                    got += _pairs_of_block(t.slice(start, e - start), num, den, forest)
-                start = e
-            held = t.slice(start).combine_chunks().to_batches()
-            if got:
-                got = list(set(got))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.binary()), pa.array([y for _, y in got], pa.binary())], names=["a", "b"])
-
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-                yield from done(False)
-        if held:
-            yield from done(True)
-
-    cols = ["token", "digest", "n", "pos", "bitmap", "root"]
-    parts = lists.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    short = lists.where(f"df <= {BLOCK}").select(*cols, F.lit(0).alias("side"))
-    short = short.repartition(int(parts), "token").sortWithinPartitions("token").mapInArrow(one, "a binary, b binary")
-    long = lists.where(f"df > {BLOCK}").withColumn("k", F.ceil(F.col("df") / BLOCK).cast("int"))
-    long = long.withColumn("s", F.pmod(F.xxhash64("digest"), "k").cast("int"))
-    long = long.select(*cols, "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    long = long.select(*cols, F.least("s", "o").alias("s1"), F.greatest("s", "o").alias("s2"),
-                       F.expr("CASE WHEN s = o THEN 0 WHEN s < o THEN 1 ELSE 2 END").alias("side"))
-    long = long.groupBy("token", "s1", "s2").applyInArrow(run, "a binary, b binary")
-    return short.unionAll(long).distinct()
+    cols = ["key", "digest", "n", "pos", "up", "bitmap", "root"]
+    dealt = lists.withColumn("k", F.ceil(F.col("df") / BLOCK).cast("int")).withColumn("s", F.pmod(F.xxhash64("digest"), "k").cast("int"))
+    dealt = dealt.select(*cols, "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    dealt = dealt.select(*cols, F.least("s", "o").alias("s1"), F.greatest("s", "o").alias("s2"),
+                         F.expr("CASE WHEN s = o THEN 0 WHEN s < o THEN 1 ELSE 2 END").alias("side"))
+    return dealt.groupBy("key", "s1", "s2").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, bc, k: int, num: int, den: int) -> DataFrame:
@@ -289,24 +395,31 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     # exact copies: one row per class
     low = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = written(full.select("digest", "n", "gid", "prefix", "bitmap").dropDuplicates(["digest"]).join(low, "digest"), "op3-classes")
-    # groups of classes with one prefix and size, posted under the shingles of the prefix
-    groups = classes.groupBy("gid").agg(F.count("*").alias("m"))
-    posted = (classes.select("gid", "n", "prefix").dropDuplicates(["gid"]).join(groups, "gid")
-              .select("gid", "n", "m", F.posexplode("prefix").alias("pos", "token")))
-    shared = posted.groupBy("token").agg(F.sum("m").alias("df")).where("df > 1")
-    posted = written(posted.select("gid", "pos", "token").join(shared, "token"), "op3-postings")
-    lists = posted.join(classes.select("gid", "digest", "n", "bitmap"), "gid")
-
-    first = written(_candidates(lists.withColumn("root", F.lit(None).cast("binary")), num, den, True), "op3-pairs")
+    # groups of classes with one prefix and size, posted under the shingles of the prefix. g is a short name of a group:
+    # should two groups share it, their members are only compared more often
+    classes = classes.withColumn("g", F.xxhash64("gid"))
+    groups = classes.groupBy("gid").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").cast("int").alias("m"))
+    posted = written(_posted(groups, num, den), "op3-postings")
+    short = posted.where("m = 0").select(F.col("key").alias("a"), F.col("g").alias("b")).distinct()
+    long = posted.where("m > 0")
+    sizes = long.groupBy("key").agg(F.sum("m").alias("df"))
+
+    def lists(of: DataFrame, members: DataFrame) -> DataFrame:
+        return of.select("key", "g", "pos", "up").join(sizes, "key").join(members.select("g", "digest", "n", "bitmap", "root"), "g")
+
+    alone = classes.withColumn("root", F.lit(None).cast("binary"))
+    first = _members_of_pairs(short, classes, num, den).unionAll(_candidates(lists(long, alone), num, den, True)).distinct()
+    first = written(first, "op3-pairs")
     links = written(_verified(first, docs, classes, bc, k, num, den), "op3-links")
-    comp = written(components(links), "op3-components")
-    # second pass: lists that still hold two components
-    named = lists.join(comp.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    more = _candidates(named.join(mixed, "token"), num, den, False)
+    comp = components(links, "op3-components")
+    # second pass: long lists that still hold two components
+    named = classes.join(comp.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    mixed = long.select("key", "g").join(named.select("g", "root"), "g").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    more = _candidates(lists(long.join(mixed.where("lo <> hi").select("key"), "key"), named), num, den, False)
     more = written(more.join(first, ["a", "b"], "left_anti"), "op3-pairs")
-    links = links.unionAll(written(_verified(more, docs, classes, bc, k, num, den), "op3-links"))
-    comp = written(components(links), "op3-components")
+    if not more.isEmpty():
+        links = links.unionAll(written(_verified(more, docs, classes, bc, k, num, den), "op3-links"))
+        comp = components(links, "op3-components")
 
     ids = classes.select("digest", "rep").join(comp.select(F.col("node").alias("digest"), "root"), "digest", "left")
     ids = ids.withColumn("root", F.coalesce("root", "digest"))
