@@ -32,6 +32,8 @@ from pitchside.llm.common import slices
 
 #: Entries kept by a worker: word profiles, profiles of space-separated pieces, checked token pairs (some 200 bytes each).
 WORDS_KEPT, PIECES_KEPT, PAIRS_KEPT = 600_000, 600_000, 600_000
+#: Lengths of word beginnings whose tables are kept, longest first, and how many (some 500 bytes each).
+HEADS, HEADS_KEPT = (9, 6, 4), 120_000
 #: Longer words and pieces are not kept.
 KEPT_CHARS = 48
 
@@ -79,22 +81,18 @@ class PrefixCounter:
         self.special = regex.compile("|".join(map(regex.escape, special)))
         self.mark = special[0][:2]
         self.symbol = byte_symbols()
-        #: longest token that ends in a symbol, without and with the word end
-        self.longest: dict[str, int] = {}
-        self.longest_end: dict[str, int] = {}
-        #: tokens without and with the word end by their text, as numbers
-        self.inner: dict[str, int] = {}
-        self.final: dict[str, int] = {}
+        #: every suffix of a token's text: the numbers of the token without and with the word end that it is, or -1
+        self.suffix: dict[str, tuple[int, int]] = {}
         self.name = list(model["vocab"])
         for i, t in enumerate(self.name):
-            if t.endswith(self.end) and len(t) > len(self.end):
-                t = t[:-len(self.end)]
-                self.final[t] = i
-                self.longest_end[t[-1]] = max(self.longest_end.get(t[-1], 0), len(t))
-            else:
-                self.inner[t] = i
-                self.longest[t[-1]] = max(self.longest.get(t[-1], 0), len(t))
-        self.words, self.pieces, self.pairs = Kept(WORDS_KEPT), Kept(PIECES_KEPT), Kept(PAIRS_KEPT)
+            final = t.endswith(self.end) and len(t) > len(self.end)
+            t = t[:-len(self.end)] if final else t
+            for j in range(len(t)):
+                inner, last = self.suffix.get(t[j:], (-1, -1))
+                if j == 0:
+                    inner, last = (inner, i) if final else (i, last)
+                self.suffix[t[j:]] = (inner, last)
+        self.words, self.pieces, self.pairs, self.heads = Kept(WORDS_KEPT), Kept(PIECES_KEPT), Kept(PAIRS_KEPT), Kept(HEADS_KEPT)
 
     def _symbols(self, token: str) -> list[str]:
         return [*token[:-len(self.end) - 1], token[-len(self.end) - 1:]] if token.endswith(self.end) and len(token) > len(self.end) else [*token]
@@ -118,36 +116,57 @@ class PrefixCounter:
             self.pairs.put(key, got)
         return got
 
+    def _prefixes(self, s: str) -> list[int]:
+        """Counts of s[:1], s[:2], ..., s as words, for a word of byte symbols. Words begin alike, so the table of the
+        first few positions is kept and carried on."""
+        last, count, ended, begin = [-1], [0], [], 0
+        for n in HEADS:
+            if len(s) > n and (head := self.heads.get(s[:n])) is not None:
+                last, count, ended = map(list, head)
+                begin = n
+                break
+        suffix, known, size = self.suffix.get, self.pairs.young.get, len(self.name)
+        for i in range(begin + 1, len(s) + 1):
+            options, j = [], i - 1
+            while j >= 0 and (t := suffix(s[j:i])) is not None:
+                options.append((j, t))
+                j -= 1
+            token = end = -1
+            for j, (t, f) in reversed(options):
+                before = (last[j] + 1) * size
+                if token < 0 and t >= 0:
+                    fits = known(before + t)
+                    if fits or fits is None and self._fits(last[j], t):
+                        token, tokens = t, count[j] + 1
+                        if end >= 0:
+                            break
+                if end < 0 and f >= 0:
+                    fits = known(before + f)
+                    if fits or fits is None and self._fits(last[j], f):
+                        end, ends = f, count[j] + 1
+                        if token >= 0:
+                            break
+            last.append(token)
+            count.append(tokens)
+            ended.append(ends)
+            if i in HEADS and i < len(s):
+                self.heads.put(s[:i], (tuple(last), tuple(count), tuple(ended)))
+        return ended
+
     def word(self, w: str) -> bytes | list[int]:
         """Counts of w[:1], w[:2], ..., w, each as a word of its own."""
         got = self.words.get(w)
         if got is not None:
             return got
         if w.isascii() and w.isprintable():
-            s, is_end = w, None
+            out = self._prefixes(w)
         else:
-            s, ends = [], []
+            s, at = [], []
             for ch in w:
                 s += [self.symbol[b] for b in ch.encode("utf-8", "surrogatepass")]
-                ends.append(len(s))
-            s, is_end = "".join(s), set(ends)
-        last, count, out = [-1] * (len(s) + 1), [0] * (len(s) + 1), []
-        inner, final, longest, longest_end, fits = self.inner.get, self.final.get, self.longest, self.longest_end, self._fits
-        for i in range(1, len(s) + 1):
-            ch = s[i - 1]
-            for j in range(max(0, i - longest[ch]), i):
-                t = inner(s[j:i])
-                if t is not None and fits(last[j], t):
-                    last[i], count[i] = t, count[j] + 1
-                    break
-            if is_end is None or i in is_end:
-                for j in range(max(0, i - longest_end[ch]), i):
-                    t = final(s[j:i])
-                    if t is not None and fits(last[j], t):
-                        out.append(count[j] + 1)
-                        break
-                else:
-                    raise ValueError(f"no token of the vocabulary ends {w[:i]!r}")
+                at.append(len(s) - 1)
+            ended = self._prefixes("".join(s))
+            out = [ended[i] for i in at]
         if len(w) <= KEPT_CHARS:
             out = bytes(out)
             self.words.put(w, out)
