@@ -1,7 +1,7 @@
 """Operator 7: quality classifier on supervised subword embeddings.
 
-Words and character n-grams (bytes, within a word and the space at either side)
-are hashed to learned vectors, a document is their average, and a softmax layer
+Words and character n-grams (bytes, within a word and the space at either side),
+and a pseudo-word wherever a word repeats the one before, are hashed to learned vectors, a document is their average, and a softmax layer
 classifies it. Vectors and layer are trained by numpy stochastic gradient descent
 on a bounded sample of labelled documents. As the layer is linear, a score needs
 one learned number per bucket; documents are scored whole, in place, without a
@@ -26,6 +26,8 @@ from pitchside.llm.common import U64, Words, flat_bytes, mix, slices
 #: log2 of the hash buckets, vector size, n-gram lengths, most labelled documents to learn from (those with the
 #: smallest hashed ids), passes, batch and step size of the training.
 BUCKET_BITS, DIM, NGRAMS, SAMPLE, PASSES, BATCH, RATE = 17, 8, (2, 4), 3000, 6, 32, 0.15
+#: Bucket of the pseudo-word for a repeated word.
+REPEATED = 1
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -37,7 +39,11 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every word and n-gram occurrence of a block of texts, and the document of each."""
     w = Words(raw, off, lower=False)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(w.first))
-    buckets, docs = [(w.hash >> U64(64 - BUCKET_BITS)).astype(np.int32)], [doc.astype(np.int32)]
+    # a word right after itself is also further words "repeated", as many as it has bytes and so n-grams
+    again = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (doc[1:] == doc[:-1])) + 1
+    again = np.repeat(again, (w.end - w.start)[again])
+    buckets = [(w.hash >> U64(64 - BUCKET_BITS)).astype(np.int32), np.full(len(again), REPEATED, np.int32)]
+    docs = [doc.astype(np.int32), doc[again].astype(np.int32)]
     b = w.bytes
     space = (b == 32) | ((b >= 9) & (b <= 13))
     code = np.where(space, 32, b).astype(np.uint64) + U64(1)
@@ -93,6 +99,8 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 5) -> tupl
     layer = np.zeros((DIM, 2), np.float32)
     layer_sq = np.full((DIM, 2), 1e-8, np.float32)
     bias = np.array([0.0, prior], np.float32)
+    # the rarer class weighs more, up to the square root of what would even out both
+    balance = np.sqrt(len(y) / 2 / np.bincount(y, minlength=2))
     idx = [x[1] for x in rows]
     weight = [x[2] / max(x[2].sum(), 1) for x in rows]
     for _ in range(PASSES):
@@ -110,6 +118,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 5) -> tupl
             p = np.exp(z)
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(pick)), y[pick]] -= 1
+            p *= balance[y[pick], None]
             g_layer = hidden.T @ p
             g_hidden = p @ layer.T
             layer_sq += g_layer ** 2
