@@ -1,16 +1,12 @@
 """Column expressions carrying pandas / Python semantics, as SQL text builders
-(``*_sql``) and ``Column`` wrappers."""
+(``*_sql``) and a few ``Column`` forms."""
 
 from pitchside.functions.numeric import (  # noqa: F401
-    nan_to_null, nan_to_null_sql, pandas_divide, pandas_divide_sql, per90_term, per90_term_sql,
-    skipna_sum, skipna_sum_sql, trunc_to_long, trunc_to_long_sql,
-)
-from pitchside.functions.pixels import (  # noqa: F401
-    band_mask, band_mask_sql, gray_from_bgr, gray_sql, hsv_from_bgr, hsv_sql, in_hsv_range, in_hsv_range_sql,
+    nan_to_null_sql, pandas_divide, pandas_divide_sql, per90_term_sql, skipna_sum_sql, trunc_to_long_sql,
 )
+from pitchside.functions.pixels import band_mask_sql, gray_sql, hsv_from_bgr, hsv_sql, in_hsv_range_sql  # noqa: F401
 from pitchside.functions.sql import dbl, lit_str, project, q, run_sql, with_columns  # noqa: F401
 from pitchside.functions.text import (  # noqa: F401
-    contains_ci, contains_ci_sql, first_word, first_word_sql, py_fixed, py_fixed_sql, py_float, py_float_sql,
-    py_int, py_int_sql, py_isdigit, py_isdigit_sql, py_str_double, py_str_value, py_strip, py_strip_sql,
-    with_py_str,
+    contains_ci_sql, first_word, first_word_sql, parse_date_sql, py_fixed, py_fixed_sql, py_float, py_float_sql,
+    py_int, py_int_sql, py_isdigit_sql, py_str_double, py_strip, py_strip_sql, with_py_str,
 )

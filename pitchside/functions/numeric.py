@@ -56,21 +56,5 @@ def trunc_to_long_sql(x: str) -> str:
 
 # --- Column forms --------------------------------------------------------------
 
-def nan_to_null(x) -> Column:
-    return expr(nan_to_null_sql(sql_of(x)))
-
-
 def pandas_divide(num, den) -> Column:
     return expr(pandas_divide_sql(sql_of(num), sql_of(den)))
-
-
-def per90_term(metric, minutes, weight: float) -> Column:
-    return expr(per90_term_sql(sql_of(metric), sql_of(minutes), weight))
-
-
-def skipna_sum(cols) -> Column:
-    return expr(skipna_sum_sql([sql_of(c) for c in cols]))
-
-
-def trunc_to_long(x) -> Column:
-    return expr(trunc_to_long_sql(sql_of(x)))

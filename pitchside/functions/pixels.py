@@ -52,20 +52,7 @@ def in_hsv_range_sql(h: str, s: str, v: str, lower, upper) -> str:
 
 # --- Column forms --------------------------------------------------------------
 
-def gray_from_bgr(b, g, r) -> Column:
-    return expr(gray_sql(sql_of(b), sql_of(g), sql_of(r)))
-
-
-def band_mask(gray, lo: int = 70, hi: int = 255) -> Column:
-    return expr(band_mask_sql(sql_of(gray), lo, hi))
-
-
 def hsv_from_bgr(b, g, r) -> Column:
     """-> struct<h, s, v>."""
     h, s, v = hsv_sql(sql_of(b), sql_of(g), sql_of(r))
     return expr(f"named_struct('h', {h}, 's', {s}, 'v', {v})")
-
-
-def in_hsv_range(hsv, lower, upper) -> Column:
-    c = sql_of(hsv)
-    return expr(in_hsv_range_sql(f"{c}.h", f"{c}.s", f"{c}.v", lower, upper))

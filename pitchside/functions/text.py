@@ -159,18 +159,10 @@ def py_float(x) -> Column:
     return expr(py_float_sql(sql_of(x)))
 
 
-def py_isdigit(x) -> Column:
-    return expr(py_isdigit_sql(sql_of(x)))
-
-
 def first_word(x) -> Column:
     return expr(first_word_sql(sql_of(x)))
 
 
-def contains_ci(haystack, needle) -> Column:
-    return expr(contains_ci_sql(sql_of(haystack), sql_of(needle)))
-
-
 def py_fixed(x, digits: int) -> Column:
     return expr(py_fixed_sql(sql_of(x), digits))
 
@@ -179,11 +171,3 @@ def py_str_double(x, null_text: str = "nan") -> Column:
     """``str(float)`` as one expression (use ``with_py_str`` for many columns)."""
     s = sql_of(x)
     return expr(repr_layout_sql(s, repr_pick_sql(s), null_text))
-
-
-def py_str_value(x, dtype: str, null_text: str = "nan") -> Column:
-    """``f"{v}"`` of a pandas cell: integers as digits, floats as ``repr``."""
-    s = sql_of(x)
-    if dtype in ("float", "double"):
-        return py_str_double(s, null_text)
-    return expr(f"coalesce(CAST({s} AS STRING), {lit_str(null_text)})")

@@ -36,10 +36,13 @@ def running_season_summary(matches: DataFrame, measures: Mapping[str, str] = pre
     return season_summary(matches, measures, year)
 
 
-def start_complete(df: DataFrame, name: str, sink: str = "memory", path: str | None = None,
+def start_complete(df: DataFrame, name: str, sink: str = "parquet", path: str | None = None,
                    available_now: bool = True) -> StreamingQuery:
-    """Start an aggregate stream in ``complete`` mode (the totals are small:
-    one row per group and cell, or per team)."""
+    """Start an aggregate stream in ``complete`` mode into files at ``path`` (the
+    totals are small: one row per group and cell, or per team). ``sink="memory"``
+    keeps the table ``name`` in the driver and is for tests only."""
+    if sink != "memory" and not path:
+        raise ValueError("a file sink needs a path")
     spark = df.sparkSession
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"
     w = df.writeStream.outputMode("complete").option("checkpointLocation", ckpt)
