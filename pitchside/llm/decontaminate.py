@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import U64, Words, flat_bytes, mix, slices
+from pitchside.llm.common import U64, Words, flat_bytes, mix, slices, written
 
 #: Tokens of a window, least plain tokens of a template, log2 of the bits of the bitmap.
 WINDOW, LITERALS, BITMAP_BITS = 8, 3, 24
+#: Most ids to drop (some 20 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Words that are units of measure, and words that are numbers.
 UNITS = """kg g mg lb lbs oz km m cm mm mi mile miles foot feet inch inches yard yards meter meters metre metres
 kilometer kilometers kilometre kilometres gram grams kilogram kilograms pound pounds ounce ounces liter liters litre
@@ -190,6 +192,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataF
 
 
 def keep_clean(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item."""
-    bad = contaminated(docs, bench, least).select(F.col("doc_id").alias("_bad")).distinct()
+    """The rows of ``docs`` that contain no benchmark item. The list of ids to drop is broadcast if it is short."""
+    bad = written(contaminated(docs, bench, least).select(F.col("doc_id").alias("_bad")).distinct(), "op5-bad")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
