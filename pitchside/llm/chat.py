@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitchside.llm.common import written
+
 #: Speaker of instructions, and of turns without one.
 SYSTEM, UNKNOWN = "system", "unknown"
 #: A segment is the head (with the speaker's name for a named user), the text and the end mark.
@@ -43,12 +45,14 @@ def rotated(turns: DataFrame) -> DataFrame:
     who = t.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
     t = t.join(who, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     t = t.withColumn("role", F.expr(f"CASE speaker WHEN '{SYSTEM}' THEN 'system' WHEN perspective THEN 'assistant' ELSE 'user' END"))
-    head = F.when(F.col("role") == "user", F.format_string(NAMED.replace("{}", "%s"), "speaker")).otherwise(F.format_string(HEAD.replace("{}", "%s"), "role"))
-    t = t.withColumn("head", head).withColumn("segment", F.concat("head", "text", F.lit(END)))
-    t = t.withColumn("size", F.length("segment").cast("long"))
+    # sizes are enough for the offsets; a segment is put together once its place is known
+    name = F.when(F.col("role") == "user", F.length("speaker") + len(NAMED.format(""))).otherwise(F.length("role") + len(HEAD.format("")))
+    t = t.withColumn("size", (name + F.length("text") + len(END)).cast("long"))
     # ranges of the dialogue, numbered in order
     order = ["turn", "speaker", "text", "_row"]
     t = t.repartitionByRange("conv_id", "perspective", *order).withColumn("_part", F.spark_partition_id())
+    # written, as the numbers must be the same wherever they are used: each range shuffle samples its bounds anew
+    t = written(t, "op1-ranges")
     by = ["conv_id", "perspective"]
     inner = W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     sums = t.groupBy(*by, "_part").agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
@@ -58,6 +62,8 @@ def rotated(turns: DataFrame) -> DataFrame:
     t = t.withColumn("_n1", F.count("*").over(inner)).withColumn("_c1", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     t = t.join(sums, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("perspective") == F.col("_s")) & (F.col("_part") == F.col("_q")))
     t = t.withColumn("start", F.col("_c0") + F.col("_c1"))
+    head = F.when(F.col("role") == "user", F.format_string(NAMED.replace("{}", "%s"), "speaker")).otherwise(F.format_string(HEAD.replace("{}", "%s"), "role"))
+    t = t.withColumn("head", head).withColumn("segment", F.concat("head", "text", F.lit(END)))
     trained = F.col("role") == "assistant"
     return t.select("conv_id", "perspective", (F.col("_n0") + F.col("_n1")).alias("seq"), "turn", "speaker", "role", "segment", "start",
                     (F.col("start") + F.col("size")).alias("stop"),
