@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,8 @@ class CachedEncoder:
 
         self.lib = Tokenizer.from_file(path)
         size = self.lib.get_vocab_size()
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if size <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
         special = {t.content for t in self.lib.get_added_tokens_decoder().values()}
         self.whole = re.compile("|".join([re.escape(t) for t in sorted(special)] + ["[\x1c-\x1f]"]))
         byte = {s: b for b, s in enumerate(byte_symbols())}
@@ -64,7 +66,7 @@ class CachedEncoder:
         self.known = Kept(PIECES_KEPT)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes | None:
         """Ids of " " + piece; None for a piece that cannot stand alone."""
@@ -72,7 +74,7 @@ class CachedEncoder:
         if got is None:
             if not piece or piece[0].isspace() or piece[-1].isspace() or self.whole.search(piece):
                 return None
-            got = np.array(self.merge(" " + piece), self.dtype).tobytes()
+            got = array(self.code, self.merge(" " + piece)).tobytes()
             if len(piece) <= KEPT_CHARS:
                 self.known.put(piece, got)
         return got
@@ -83,7 +85,7 @@ class CachedEncoder:
         ids = [known(p) or other(p) for p in rest]
         if None in ids or self.whole.search(first) or rest and (not first or first[-1].isspace()):
             return self._whole(text)
-        return np.array(self.merge(first), self.dtype).tobytes() + b"".join(ids)
+        return array(self.code, self.merge(first)).tobytes() + b"".join(ids)
 
 
 _encoders: dict[str, CachedEncoder] = {}
