@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import U64, Words, flat_bytes, mix, slices, written
+from pitchside.llm.common import U64, Words, flat_bytes, importable, mix, slices, written
 
 #: Tokens of a window, least plain tokens of a template, log2 of the bits of the bitmap.
 WINDOW, LITERALS, BITMAP_BITS = 8, 3, 24
@@ -154,7 +154,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataF
     """One row per document and benchmark item it contains: doc_id, item_id, matched (windows of the item found on the
     best diagonal), n_windows, coverage, n_slots (distinct slot values of the item seen), n_changed (of them with another
     value in the document). A pair counts if coverage >= ``least`` and all slots are consistent."""
-    spark = docs.sparkSession
+    spark = importable(docs.sparkSession)
     items = _windows(bench, "item_id", None).dropDuplicates(["item_id", "pos", "hash"]).persist()
     try:
         sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most WINDOW values

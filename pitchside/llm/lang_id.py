@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import U64, Words, flat_bytes, mix, slices
+from pitchside.llm.common import U64, Words, flat_bytes, importable, mix, slices
 from pitchside.llm.quality import held_out
 
 #: log2 of the feature buckets, documents to learn from per language (smallest hashed ids), training sequences and
@@ -227,6 +227,7 @@ def train(texts: list[tuple[str, bytes]], seed: int = 11) -> Model | None:
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Learn from at most ``per_lang`` documents of each language that are not held out."""
+    importable(docs.sparkSession)
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = docs.where("lang IS NOT NULL").where(~held_out()).select("doc_id", "lang").withColumn("_r", rank).where(F.col("_r") <= per_lang)
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import U64, Words, components, flat_bytes, mix, slices, written
+from pitchside.llm.common import U64, Words, components, flat_bytes, importable, mix, slices, written
 
 #: log2 of the slots of the frequency sketch, and the most slots the driver gathers (12 bytes each).
 SKETCH_BITS, SKETCH_KEPT = 22, 1 << 18
@@ -388,7 +388,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, class_id (hex digest
     of the set, null for the empty set), where two documents link if den * |intersection| >= num * |union|
     of their sets of k-word shingles."""
-    spark = docs.sparkSession
+    spark = importable(docs.sparkSession)
     bc = spark.sparkContext.broadcast(_heavy_slots(docs, k))
     sig = written(_signatures(docs, bc, k, num, den), "op3-signatures")
     full = sig.where("digest IS NOT NULL")

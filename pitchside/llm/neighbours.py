@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import written
+from pitchside.llm.common import importable, written
 
 #: Projected dimensions, confidence of the stopping test, points of a leaf, most vectors of the sample that fits the
 #: cells, vectors of a cell and queries of a block that are aimed at.
@@ -169,7 +169,7 @@ def _cell_of(tree, y: np.ndarray) -> np.ndarray:
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, dims: int = DIMS, confidence: float = CONFIDENCE, seed: int = 3) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k vectors of ``df`` (vec_id, embedding) with the largest
     inner product found, the query's own id left out. ``queries``: rows of the same form."""
-    spark = df.sparkSession
+    spark = importable(df.sparkSession)
     good = good_vectors(df)
     kept = k + 1  # one more, as a query may meet itself
     top = W.partitionBy("v").orderBy("vec_id")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import parallelism, slices, written
+from pitchside.llm.common import importable, parallelism, slices, written
 from pitchside.llm.token_counts import Kept, byte_symbols
 
 #: Dimensions of the hashed vector, of the projection, and bits of the key per dimension.
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, separator: int = 0
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, hkey.
 
     Pieces of a sequence lie gapless from offset 0, in the order of the curve."""
-    spark = docs.sparkSession
+    spark = importable(docs.sparkSession)
     tok = written(tokenized(docs, tokenizer, separator, seed), "op8-tokens")
     total = tok.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-total // MOST_TOKENS), min(parallelism(spark), -(-total // RANGE_TOKENS)))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import U64, Words, flat_bytes, mix, slices
+from pitchside.llm.common import U64, Words, flat_bytes, importable, mix, slices
 
 #: log2 of the hash buckets, vector size, n-gram lengths, most labelled documents to learn from (those with the
 #: smallest hashed ids), passes, batch and step size of the training.
@@ -135,6 +135,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 5) -> tupl
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Learn from at most ``sample`` labelled documents that are not held out."""
+    importable(docs.sparkSession)
     chosen = (labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label IN (0, 1)").where(~held_out())
               .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample))
     got = _counted(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).collect()

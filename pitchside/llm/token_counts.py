@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import slices
+from pitchside.llm.common import importable, slices
 
 #: Entries kept by a worker: word profiles, profiles of space-separated pieces, checked token pairs (some 200 bytes each).
 WORDS_KEPT, PIECES_KEPT, PAIRS_KEPT = 600_000, 600_000, 600_000
@@ -273,6 +273,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, budgets: tuple[int, ...] = ()
                 b.column(0), pa.array(size), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(got))),
                 pa.array(fits, pa.list_(pa.int32()))], names=["doc_id", "n_bytes", "counts", "fits"])
 
+    importable(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, counts array<int>, fits array<int>")
 
