@@ -33,6 +33,8 @@ from pitchside.llm.quality import held_out
 #: log2 of the feature buckets, documents to learn from per language (smallest hashed ids), training sequences and
 #: their words, passes, batch and step size, entries of the lexicon, words of a block.
 BUCKET_BITS, PER_LANG, SEQUENCES, SEQ_WORDS, PASSES, BATCH, RATE, LEXICON, BLOCK = 17, 400, 3000, 40, 3, 64, 0.3, 50_000, 32
+#: Parts of a language of which each gives its smallest ids before all are ranked.
+PARTS = 64
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -228,8 +230,11 @@ def train(texts: list[tuple[str, bytes]], seed: int = 11) -> Model | None:
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Learn from at most ``per_lang`` documents of each language that are not held out."""
     importable(docs.sparkSession)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = docs.where("lang IS NOT NULL").where(~held_out()).select("doc_id", "lang").withColumn("_r", rank).where(F.col("_r") <= per_lang)
+    # the smallest hashed ids of a language, first among the rows of each of its parts, then among those
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    ids = docs.where("lang IS NOT NULL").where(~held_out()).select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("_part"))
+    for by in (["lang", "_part"], ["lang"]):
+        ids = ids.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= per_lang)
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     got = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
     return train([(r.lang, (r.text or "").encode("utf-8", "surrogatepass")) for r in got.select("lang", "text").collect()])
