@@ -27,9 +27,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: Rows of an Arrow batch between Spark and Python.
+BATCH_ROWS = 2000
+
+
 def importable(spark: SparkSession) -> SparkSession:
     """Put the folder of the package on the path of the Python workers, for those that see the same folder (local
-    mode, shared installations). Elsewhere the package is shipped with ``--py-files`` or installed."""
+    mode, shared installations). Elsewhere the package is shipped with ``--py-files`` or installed.
+
+    Rows hold whole texts, so Arrow batches of the default 10,000 rows are made smaller for this session."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -128,6 +136,14 @@ class Words:
         #: word index at which each document begins (n_docs + 1)
         self.first = np.searchsorted(self.start, off)
 
+    def shingle_bytes(self, k: int) -> np.ndarray:
+        """Bytes of the words of every shingle, in the order of ``shingles``."""
+        count = np.diff(self.first)
+        made = np.where(count >= k, count - k + 1, (count > 0).astype(count.dtype))
+        at = np.arange(made.sum()) + np.repeat(self.first[:-1] - (np.cumsum(made) - made), made)
+        total = np.concatenate([[0], np.cumsum(self.end - self.start)])
+        return total[at + np.repeat(np.minimum(count, k), made)] - total[at]
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(64-bit hashes, n_docs + 1 offsets) of all k-word shingles in text order; a document of 1 to k-1 words has its whole sequence as one."""
         h, first = self.hash, self.first

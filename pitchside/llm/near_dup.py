@@ -1,7 +1,8 @@
 """Operator 3: grouped prefix join for n-gram Jaccard similarity.
 
 Documents are sets of word shingles. Exact copies of a set become one class.
-Shingles get one global order (frequent ones last); a class's prefix is so many
+Shingles get one global order (frequent ones, by a sketch of all counts, last, and
+long ones before short ones); a class's prefix is so many
 of its rarest shingles that two classes over the threshold must share one.
 Classes with the same prefix and size form a group; groups that share a prefix
 shingle are filtered as pairs by size and position, the pairs that remain are
@@ -41,7 +42,7 @@ from pitchside.llm.common import U64, Words, components, flat_bytes, importable,
 SKETCH_BITS, SKETCH_KEPT = 22, 1 << 18
 #: Most members of a posting list that gives its pairs of groups at once; members compared in one block of a longer
 #: list, which is cut into blocks that meet pairwise.
-SHORT, BLOCK = 32, 1024
+SHORT, BLOCK = 8, 1024
 #: Most rows (id and digest, some 50 bytes) of the list of texts to verify that are broadcast; a longer list is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -68,9 +69,11 @@ def _heavy_slots(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tokens(words: Words, k: int, levels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles as int64 whose natural order is the global order: level first, then 57 bits of the hash."""
+    """Shingles as int64 whose natural order is the global order: level first, then long ones first (they are
+    rarer), then 52 bits of the hash."""
     h, off = words.shingles(k)
-    t = (h & U64((1 << 57) - 1)).astype(np.int64)
+    t = (h & U64((1 << 52) - 1)).astype(np.int64)
+    t |= (31 - np.minimum(words.shingle_bytes(k) // 2, 31)) << 52
     if levels is not None:
         t |= levels[(h >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64) << 57
     return t, off
