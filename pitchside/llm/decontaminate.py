@@ -121,7 +121,7 @@ def _windows(df: DataFrame, key: str, sizes: list[int] | None, bitmap=None) -> D
     def run(batches):
         units, numbers = _hashes(UNITS), _hashes(NUMBERS)
         bits = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 19):
             t = Tokens(*flat_bytes(b.column(1)), units, numbers)
             length = np.diff(t.first)
             keys, cols = b.column(0), {x: [] for x in ("doc", "pos", "n", "size", "hash", "slots")}

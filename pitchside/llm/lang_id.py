@@ -267,7 +267,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     bc = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 1 << 19):
             lang, score = _predict(b.column(1), bc.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
@@ -281,7 +281,7 @@ def word_labels(docs: DataFrame, model: Model | None) -> DataFrame:
     bc = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 1 << 19):
             w, m = Words(*flat_bytes(b.column(1))), bc.value
             spans: list[list[dict]] = [[] for _ in range(b.num_rows)]
             if m is not None and len(w.start):
@@ -311,7 +311,7 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(batches):
         for b in batches:
             keep: list[bool] = []
-            for part in slices(iter([b]), b.schema.names[at], 1 << 20):
+            for part in slices(iter([b]), b.schema.names[at], 1 << 19):
                 lang, score = _predict(part.column(at), bc.value)
                 keep += [x != "und" and s >= least for x, s in zip(lang, score)]
             if keep:

@@ -35,7 +35,7 @@ HASHED, DIMS, BITS = 64, 4, 8
 #: Tokens of a range: about so many where that keeps all cores busy, at most so many.
 RANGE_TOKENS, MOST_TOKENS = 1 << 20, 1 << 26
 #: Pieces whose ids a worker keeps, and the longest of them in characters.
-PIECES_KEPT, KEPT_CHARS = 800_000, 48
+PIECES_KEPT, KEPT_CHARS = 300_000, 48
 #: Fixed value: the pattern by which byte-level BPE files of this kind split a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -134,7 +134,7 @@ def tokenized(docs: DataFrame, tokenizer: str, separator: int = 0, seed: int = 7
         enc = encoder(tokenizer)
         slot, sign, project = _tables(enc.lib.get_vocab_size(), seed)
         end = np.array([separator], enc.dtype).tobytes()
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             ids = [enc.encode(t or "") + end for t in b.column(1).to_pylist()]
             vec = np.zeros((len(ids), HASHED))
             for i, x in enumerate(ids):
@@ -164,7 +164,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, separator: int = 0
     def run(batches):
         pid = TaskContext.get().partitionId()
         at = 0  # tokens of this range so far
-        for b in slices(batches, "ids", 4 << 20):
+        for b in slices(batches, "ids", 1 << 20):
             ids, width = b.column(3).to_pylist(), b.column(4).to_pylist()
             n = b.column(1).to_numpy()
             first = at + np.cumsum(n) - n

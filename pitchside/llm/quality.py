@@ -69,7 +69,7 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _counted(docs: DataFrame) -> DataFrame:
     """label, distinct buckets (int32) and counts (float32) of each document of the sample."""
     def run(batches):
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 1 << 19):
             bucket, doc = features(*flat_bytes(b.column(1)))
             n, idx, cnt = b.num_rows, [], []
             order = np.argsort(doc, kind="stable")
@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
     def run(batches):
         table, bias = bc.value
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 19):
             bucket, doc = features(*flat_bytes(b.column(1)))
             n = b.num_rows
             total = np.bincount(doc, weights=table[bucket], minlength=n)
@@ -176,7 +176,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
         table, bias = bc.value
         for b in batches:
             keep = []
-            for part in slices(iter([b]), b.schema.names[at], 2 << 20):
+            for part in slices(iter([b]), b.schema.names[at], 1 << 19):
                 bucket, doc = features(*flat_bytes(part.column(at)))
                 n = part.num_rows
                 z = np.bincount(doc, weights=table[bucket], minlength=n) / np.maximum(np.bincount(doc, minlength=n), 1) + bias
