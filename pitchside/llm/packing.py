@@ -18,8 +18,6 @@ gives an empty result.
 from __future__ import annotations
 
 import os
-import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,26 +26,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchside.llm.common import importable, parallelism, slices, written
-from pitchside.llm.token_counts import Kept, byte_symbols
+from pitchside.llm.token_counts import byte_symbols
 
 #: Dimensions of the hashed vector, of the projection, and bits of the key per dimension.
 HASHED, DIMS, BITS = 64, 4, 8
 #: Tokens of a range: about so many where that keeps all cores busy, at most so many.
 RANGE_TOKENS, MOST_TOKENS = 1 << 20, 1 << 26
-#: Pieces whose ids a worker keeps, and the longest of them in characters.
-PIECES_KEPT, KEPT_CHARS = 300_000, 48
+#: Characters from which a text is left to the library, whose merging is made for runs of any length.
+LONG = 1 << 20
 #: Fixed value: the pattern by which byte-level BPE files of this kind split a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class CachedEncoder:
+class Encoder:
     """Ids of whole texts as the tokenizers library gives them for a byte-level BPE file.
 
-    The library splits a text before merging, and never within a run of white space and the word behind it
-    as seen from the next. So a text is cut at single spaces between words, and pieces seen before need no
-    second encoding; new ones are merged by tiktoken from the file's own vocabulary, in which ids rank the
-    merges. Texts with other runs of white space at a cut, special tokens, or control characters on whose
-    class libraries differ (U+001C to U+001F) are encoded whole by the library itself."""
+    The merging is tiktoken's, from the file's own vocabulary, in which ids rank the merges: it takes a
+    fraction of the library's time. Texts that hold special tokens, and very long ones, go through the library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,44 +51,26 @@ class CachedEncoder:
 
         self.lib = Tokenizer.from_file(path)
         size = self.lib.get_vocab_size()
-        self.code = "H" if size <= 1 << 16 else "I"
-        self.dtype = np.dtype(self.code)
-        special = {t.content for t in self.lib.get_added_tokens_decoder().values()}
-        self.whole = re.compile("|".join([re.escape(t) for t in sorted(special)] + ["[\x1c-\x1f]"]))
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.special = sorted(t.content for t in self.lib.get_added_tokens_decoder().values())
         byte = {s: b for b, s in enumerate(byte_symbols())}
-        ranks = {bytes(byte[c] for c in t): i for t, i in self.lib.get_vocab().items() if t not in special}
-        self.merge = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known = Kept(PIECES_KEPT)
-
-    def _whole(self, text: str) -> bytes:
-        return array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _piece(self, piece: str) -> bytes | None:
-        """Ids of " " + piece; None for a piece that cannot stand alone."""
-        got = self.known.get(piece)
-        if got is None:
-            if not piece or piece[0].isspace() or piece[-1].isspace() or self.whole.search(piece):
-                return None
-            got = array(self.code, self.merge(" " + piece)).tobytes()
-            if len(piece) <= KEPT_CHARS:
-                self.known.put(piece, got)
-        return got
+        ranks = {bytes(byte[c] for c in t): i for t, i in self.lib.get_vocab().items() if t not in self.special}
+        self.merge = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        known, other = self.known.young.get, self._piece
-        ids = [known(p) or other(p) for p in rest]
-        if None in ids or self.whole.search(first) or rest and (not first or first[-1].isspace()):
-            return self._whole(text)
-        return array(self.code, self.merge(first)).tobytes() + b"".join(ids)
+        if len(text) > LONG or any(t in text for t in self.special):
+            ids = np.array(self.lib.encode(text, add_special_tokens=False).ids)
+        else:
+            ids = self.merge.encode_to_numpy(text, disallowed_special=())
+        return ids.astype(self.dtype).tobytes()
 
 
-_encoders: dict[str, CachedEncoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> CachedEncoder:
+def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = CachedEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 

@@ -49,11 +49,12 @@ def test_prefix_counts_edge_cases(spark):
     assert token_counts.prefix_counts(frame(spark, []), WORD).count() == 0
 
 
-def test_cached_encoder_equals_the_library():
-    enc, lib = packing.CachedEncoder(BYTE), Tokenizer.from_file(BYTE)
+def test_encoder_equals_the_library(monkeypatch):
+    enc, lib = packing.Encoder(BYTE), Tokenizer.from_file(BYTE)
     r = random.Random(4)
-    texts = ODD + ["".join(r.choice("ab the.\n\t é<|endoftext|>'s1") for _ in range(80)) for _ in range(200)]
-    for _ in range(2):
+    texts = ODD + ["".join(r.choice("ab the.\n\t é<|endoftext|>'s1\x1c\x85\u3000") for _ in range(80)) for _ in range(300)] + ["a" * 5000, " " * 5000 + "x", "é" * 3000]
+    for long in (packing.LONG, 100):
+        monkeypatch.setattr(packing, "LONG", long)
         for t in texts:
             assert np.frombuffer(enc.encode(t), "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
