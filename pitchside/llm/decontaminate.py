@@ -1,9 +1,11 @@
 """Operator 5: benchmark decontamination by template canonicalisation.
 
-Texts become canonical tokens: punctuation dropped, A-Z lower-cased, and runs of
-numbers, names and units replaced by one typed placeholder each. Windows of
-tokens (templates) of documents and benchmark items are joined by hash. For each
-document and item the windows on one diagonal (position in the document less
+Texts become canonical tokens: punctuation dropped, letters of up to two bytes and
+U+1E00 to U+1FFF lower-cased, and runs of numbers, names and units replaced by one
+typed placeholder each. Capitals tell the names, so a text has two forms: one with
+names, and one of literal words for what is all in upper, title or lower case.
+Windows of tokens (templates) of documents and benchmark items are joined by hash,
+form by form. For each document, item and form the windows on one diagonal (position in the document less
 position in the item) are counted, and the slots behind the placeholders must
 correspond: every value of the item to one value of the document throughout.
 So a question with other numbers or names is caught, one that merely has the same
@@ -41,7 +43,12 @@ percent dollar dollars euro euros cent cents usd eur gbp degree degrees mph kmh
 NUMBERS = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen
 seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
 half third quarter twice double triple first second dozen""".split()
+#: Words that stay in lower case in titles.
+SMALL = """a an the and but or nor of in on at to by for from with as is de la le les el los las en y et du des un une
+una al o e""".split()
 PLAIN, NUMBER, NAME, UNIT = 0, 1, 2, 3
+#: Forms of a text: capitals inside sentences are names; no names.
+FORMS = INSIDE, LITERAL = 0, 1
 _KINDS = ("", "number", "name", "unit")
 
 
@@ -54,33 +61,72 @@ def _among(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
 
 
-class Tokens:
-    """Canonical tokens of a block of texts: kind, hash, hash of the value, span in the kept bytes, first token of each text."""
+def _fold_table(points: range, lead: int) -> np.ndarray:
+    """Lower case of letters by the last two bytes of their UTF-8 form, where that has the same length (and ``lead``)."""
+    table = np.arange(1 << 16, dtype=np.uint16)
+    for c in map(chr, points):
+        one, two = c.encode(), c.lower().encode()
+        if len(one) == len(two) == 2 + (lead > 0) and (not lead or one[0] == two[0] == lead):
+            table[one[-2] << 8 | one[-1]] = two[-2] << 8 | two[-1]
+    return table
+
+
+#: Letters of two bytes (Latin, Greek, Cyrillic), and those of U+1E00 to U+1FFF.
+_FOLD2, _FOLD3 = _fold_table(range(0x80, 0x800), 0), _fold_table(range(0x1E00, 0x2000), 0xE1)
+
+
+def _folded(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes in lower case, and for each byte whether a capital letter begins there."""
+    capital, out = (raw >= 65) & (raw <= 90), raw.copy()
+    for lead, table, skip in (((raw >= 0xC3) & (raw <= 0xDF), _FOLD2, 0), (raw == 0xE1, _FOLD3, 1)):
+        at = np.flatnonzero(lead)
+        at = at[at + skip + 1 < len(raw)]
+        old = raw[at + skip].astype(np.uint16) << 8 | raw[at + skip + 1]
+        new = table[old]
+        at, new = at[new != old], new[new != old]
+        capital[at] = True
+        out[at + skip], out[at + skip + 1] = new >> 8, new & 255
+    out[(raw >= 65) & (raw <= 90)] += 32
+    return out, capital
+
+
+class Marked:
+    """Words of a block of texts, marked: kind (but for names), capital, begin of a sentence, lower case, text of each."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, units: np.ndarray, numbers: np.ndarray):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, units: np.ndarray, numbers: np.ndarray, small: np.ndarray):
         solid = ((raw >= 48) & (raw <= 57)) | ((raw >= 65) & (raw <= 90)) | ((raw >= 97) & (raw <= 122)) | (raw >= 128)
         space = (raw == 32) | ((raw >= 9) & (raw <= 13))
         kept = np.flatnonzero(solid | space)
-        w = Words(raw[kept], np.searchsorted(kept, off))
-        self.bytes, n = w.bytes, len(w.start)
+        low, upper = _folded(raw)
+        self.words = w = Words(low[kept], np.searchsorted(kept, off), lower=False)
+        n = len(w.start)
         digit = np.concatenate([[0], np.cumsum((w.bytes >= 48) & (w.bytes <= 57))])
-        kind = np.zeros(n, np.int8)
-        # a capital (A-Z, or the two bytes of U+00C0 to U+00DE) that does not begin a sentence
+        self.kind = kind = np.zeros(n, np.int8)
         at = kept[w.start] if n else kept[:0]
-        second = raw[np.minimum(at + 1, max(len(raw) - 1, 0))] if n else raw[:0]
-        capital = ((raw[at] >= 65) & (raw[at] <= 90)) | ((raw[at] == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+        self.capital = upper[at]
         stop = np.concatenate([[0], np.cumsum((raw == 46) | (raw == 33) | (raw == 63) | (raw == 58) | (raw == 10))])
-        doc = np.repeat(np.arange(len(off) - 1), np.diff(w.first))
+        self.doc = doc = np.repeat(np.arange(len(off) - 1), np.diff(w.first))
         before = np.empty(n, np.int64)  # end of the word before, or the begin of the text
         if n:
             ends = kept[w.end - 1] + 1
             before[0], before[1:] = off[doc[0]], ends[:-1]
             head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
             before[head] = -1
-        begins = (before < 0) | (stop[at] > stop[np.maximum(before, 0)])
-        kind[capital & ~begins] = NAME
+        self.begins = (before < 0) | (stop[at] > stop[np.maximum(before, 0)])
         kind[_among(w.hash, units)] = UNIT
         kind[_among(w.hash, numbers) | (digit[w.end] > digit[w.start])] = NUMBER
+        # words that show that capitals mean something
+        self.lower = ~self.capital & (digit[w.end] == digit[w.start]) & ~_among(w.hash, small)
+
+
+class Tokens:
+    """Canonical tokens of one form of texts: kind, hash, hash of the value, span in the kept bytes, first token of each text."""
+
+    def __init__(self, m: Marked, form: int):
+        w, doc, self.form = m.words, m.doc, form
+        self.bytes, n = w.bytes, len(w.start)
+        name = m.capital & ~m.begins
+        kind = m.kind.copy() if form == LITERAL else np.where((m.kind == PLAIN) & name, NAME, m.kind)
         # a run of one placeholder is one token
         same = np.zeros(n, bool)
         if n:
@@ -96,6 +142,8 @@ class Tokens:
         last = np.r_[keep[1:], n] - 1 if n else keep
         self.end = w.end[last] if n else w.end
         self.first = np.searchsorted(self.start, w.off)
+        # names and lower-case words up to each token
+        self.names, self.lower = (np.concatenate([[0], np.cumsum(x)])[np.r_[keep, n]] for x in (name, m.lower))
 
     def text(self, i: int) -> str:
         return " ".join(self.bytes[self.start[i]:self.end[i]].tobytes().decode("utf-8", "replace").split())
@@ -107,52 +155,62 @@ class Tokens:
         at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + self.first[:-1][doc]
         plain = np.concatenate([[0], np.cumsum(self.kind == PLAIN)])
         exact = plain[at + size] - plain[at] < min(LITERALS, size)
-        h = np.full(len(at), size, np.uint64)
+        h = np.full(len(at), size + (self.form << 16), np.uint64)
         for j in range(size):
             mult = U64(pow(0x9E3779B97F4A7C15, j + 2, 1 << 64))
             h += np.where(exact, mix(self.value[at + j] + U64(5)), self.hash[at + j]) * mult
         return doc, at, mix(h)
 
+    def caseless(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Whether the window at each token is all in lower, or all in upper or title case, so that capitals tell no names."""
+        return (self.names[at + size] == self.names[at]) | (self.lower[at + size] == self.lower[at])
+
 
 def _windows(df: DataFrame, key: str, sizes: list[int] | None, bitmap=None) -> DataFrame:
-    """Windows of the texts of ``df``: key, pos, n (tokens of the text), size, hash, slots (offset in the window, kind, value).
+    """Windows of the texts of ``df``: key, pos, n (tokens of the text), form, size, hash, slots (offset in the window, kind, value).
 
-    sizes None: of benchmark items, the window or the whole of a shorter item. bitmap: only windows that hit it."""
+    sizes None: of benchmark items, the window or the whole of a shorter item. bitmap: only windows that hit it, the
+    literal ones only where capitals tell no names."""
     def run(batches):
-        units, numbers = _hashes(UNITS), _hashes(NUMBERS)
+        marks = _hashes(UNITS), _hashes(NUMBERS), _hashes(SMALL)
         bits = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
         for b in slices(batches, "text", 1 << 19):
-            t = Tokens(*flat_bytes(b.column(1)), units, numbers)
-            length = np.diff(t.first)
-            keys, cols = b.column(0), {x: [] for x in ("doc", "pos", "n", "size", "hash", "slots")}
-            for size in sizes if sizes is not None else sorted({min(WINDOW, int(x)) for x in length if x}):
-                doc, at, h = t.windows(size)
-                if sizes is None:
-                    ok = np.minimum(length[doc], WINDOW) == size
-                else:
-                    slot = (h >> U64(64 - BITMAP_BITS)).astype(np.int64)
-                    ok = bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
-                doc, at, h = doc[ok], at[ok], h[ok]
-                cols["doc"] += doc.tolist()
-                cols["pos"] += (at - t.first[:-1][doc]).tolist()
-                cols["n"] += length[doc].tolist()
-                cols["size"] += [size] * len(doc)
-                cols["hash"] += h.view(np.int64).tolist()
-                cols["slots"] += [[{"at": j, "kind": _KINDS[t.kind[i + j]], "value": t.text(i + j)} for j in range(size) if t.kind[i + j]] for i in at.tolist()]
+            m = Marked(*flat_bytes(b.column(1)), *marks)
+            keys, cols = b.column(0), {x: [] for x in ("doc", "pos", "n", "form", "size", "hash", "slots")}
+            for form in FORMS:
+                t = Tokens(m, form)
+                length = np.diff(t.first)
+                for size in sizes if sizes is not None else sorted({min(WINDOW, int(x)) for x in length if x}):
+                    doc, at, h = t.windows(size)
+                    if sizes is None:
+                        ok = np.minimum(length[doc], WINDOW) == size
+                    else:
+                        slot = (h >> U64(64 - BITMAP_BITS)).astype(np.int64)
+                        ok = bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
+                        if form == LITERAL:
+                            ok &= t.caseless(at, size)
+                    doc, at, h = doc[ok], at[ok], h[ok]
+                    cols["doc"] += doc.tolist()
+                    cols["pos"] += (at - t.first[:-1][doc]).tolist()
+                    cols["n"] += length[doc].tolist()
+                    cols["form"] += [form] * len(doc)
+                    cols["size"] += [size] * len(doc)
+                    cols["hash"] += h.view(np.int64).tolist()
+                    cols["slots"] += [[{"at": j, "kind": _KINDS[t.kind[i + j]], "value": t.text(i + j)} for j in range(size) if t.kind[i + j]] for i in at.tolist()]
             kind = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
             yield pa.RecordBatch.from_arrays([
                 keys.take(pa.array(cols["doc"], pa.int64())), pa.array(cols["pos"], pa.int64()), pa.array(cols["n"], pa.int64()),
-                pa.array(cols["size"], pa.int32()), pa.array(cols["hash"], pa.int64()), pa.array(cols["slots"], kind)],
-                names=[key, "pos", "n", "size", "hash", "slots"])
+                pa.array(cols["form"], pa.int32()), pa.array(cols["size"], pa.int32()), pa.array(cols["hash"], pa.int64()), pa.array(cols["slots"], kind)],
+                names=[key, "pos", "n", "form", "size", "hash", "slots"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, "text").mapInArrow(
-        run, f"{key} {kind}, pos long, n long, size int, hash long, slots array<struct<at:int,kind:string,value:string>>")
+        run, f"{key} {kind}, pos long, n long, form int, size int, hash long, slots array<struct<at:int,kind:string,value:string>>")
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataFrame:
     """One row per document and benchmark item it contains: doc_id, item_id, matched (windows of the item found on the
-    best diagonal), n_windows, coverage, n_slots (distinct slot values of the item seen), n_changed (of them with another
+    best diagonal of its best form), n_windows, coverage, n_slots (distinct slot values of the item seen), n_changed (of them with another
     value in the document). A pair counts if coverage >= ``least`` and all slots are consistent."""
     spark = importable(docs.sparkSession)
     items = _windows(bench, "item_id", None).dropDuplicates(["item_id", "pos", "hash"]).persist()
@@ -169,10 +227,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataF
         items.unpersist()
     bc = spark.sparkContext.broadcast(bits.tobytes())
     d = _windows(docs, "doc_id", sorted(sizes), bc)
-    i = items.select("item_id", F.col("pos").alias("ipos"), F.col("n").alias("in"), F.col("size").alias("isize"), "hash", F.col("slots").alias("islots"))
+    i = items.select("item_id", F.col("pos").alias("ipos"), "form", F.col("n").alias("in"), F.col("size").alias("isize"), "hash", F.col("slots").alias("islots"))
     hit = d.select("doc_id", "pos", "hash", "slots").join(i, "hash")
     hit = hit.withColumn("diag", F.col("pos") - F.col("ipos"))
-    by = ["doc_id", "item_id", "diag"]
+    by = ["doc_id", "item_id", "form", "diag"]
     # one row per window and slot (a window without slots has one): values of a position are equal in all windows that hold it
     slot = hit.select(*by, "ipos", "in", "isize", F.explode_outer(F.arrays_zip("islots", "slots")).alias("z"))
     slot = slot.select(*by, "ipos", "in", "isize", F.concat_ws(":", "z.islots.kind", "z.islots.value").alias("was"),
@@ -185,9 +243,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataF
         F.count_if(F.col("was") != "").alias("n_slots"),
         F.count_if(F.col("lo") != F.col("was")).alias("n_changed"),
         F.count_if(F.col("lo") != F.col("hi")).alias("n_conflicts"))
-    best = W.partitionBy("doc_id", "item_id").orderBy(F.desc("matched"), "n_changed", "diag")
-    pairs = pairs.where("n_conflicts = 0").withColumn("_r", F.row_number().over(best)).where("_r = 1")
-    pairs = pairs.withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= least)
+    pairs = pairs.where("n_conflicts = 0").withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= least)
+    best = W.partitionBy("doc_id", "item_id").orderBy(F.desc("coverage"), "n_changed", "form", "diag")
+    pairs = pairs.withColumn("_r", F.row_number().over(best)).where("_r = 1")
     return pairs.select("doc_id", "item_id", "matched", "n_windows", "coverage", "n_slots", "n_changed")
 
 

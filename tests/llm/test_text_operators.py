@@ -201,3 +201,20 @@ def test_planted_items_of_the_table(spark):
         w = r.text.lower().split()
         near |= {(r.doc_id, i) for x in range(len(w) - 7) for i in runs.get(tuple(w[x:x + 8]), ())}
     assert whole <= got <= near and whole
+
+
+def found(spark, texts, item, **least):
+    """Numbers of the texts that are contaminated by the item."""
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return {r.doc_id for r in decontaminate.contaminated(frame(spark, texts), bench, **least).collect()}
+
+
+def test_items_in_another_letter_case_are_found(spark):
+    copies = [ITEM.upper(), ITEM.lower(), ITEM.title(), "Some words. " + ITEM.upper() + " And Bob went to Paris.",
+              " ".join(w if w in ("a", "to", "on", "for", "the") else w.capitalize() for w in ITEM.split())]
+    assert found(spark, copies, ITEM) == {0, 1, 2, 3, 4}
+    accents = "Élan près du château où naquit Émile, son ami Żółw écrit ẹ̀kọ́ à Ọ̀yọ́ pendant que нос Ивана краснеет"
+    assert found(spark, [accents.upper(), accents.lower()], accents) == {0, 1}
+    small = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id IN (6420, 8376, 1699)")
+    got = decontaminate.contaminated(small, spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet"))
+    assert {(6420, 37), (8376, 101), (1699, 130)} <= {(r.doc_id, r.item_id) for r in got.collect()}
