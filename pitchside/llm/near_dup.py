@@ -43,6 +43,8 @@ SKETCH_BITS, SKETCH_KEPT = 22, 1 << 18
 #: Most members of a posting list that gives its pairs of groups at once; members compared in one block of a longer
 #: list, which is cut into blocks that meet pairwise.
 SHORT, BLOCK = 8, 1024
+#: Rows of a posting list from which it leaves its task in parts.
+CUT = 100_000
 #: Most rows (id and digest, some 50 bytes) of the list of texts to verify that are broadcast; a longer list is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -144,7 +146,10 @@ def _signatures(docs: DataFrame, bc, k: int, num: int, den: int) -> DataFrame:
 
 
 def _posted(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Postings of groups (g, n, m, prefix) whose list may hold a pair: key, g, n, pos, up (posted from the class below), m."""
+    """Postings of groups (g, n, m, prefix) whose list may hold a pair, or is over CUT rows long: key, g, n, pos, up (posted
+    from the class below), m."""
+    most = CUT
+
     def post(batches):
         for b in batches:
             if not b.num_rows:
@@ -177,7 +182,7 @@ def _posted(groups: DataFrame, num: int, den: int) -> DataFrame:
             key = t["key"].to_numpy()
             start = np.r_[0, np.flatnonzero(np.diff(key)) + 1]
             stop = np.r_[start[1:], len(key)]
-            longer = len(key) - start[-1] > 100_000
+            longer = len(key) - start[-1] > most
             whole = len(start) if final or longer else len(start) - 1
             held = t.slice(int(start[whole])).to_batches() if whole < len(start) else []
             if not whole:
@@ -186,7 +191,10 @@ def _posted(groups: DataFrame, num: int, den: int) -> DataFrame:
             g, m, own = t["g"].to_numpy(), t["m"].to_numpy().astype(np.int64), t["up"].to_numpy() == 0
             n, pos = t["n"].to_numpy().astype(np.int64), t["pos"].to_numpy().astype(np.int64)
             long = np.add.reduceat(m, start) > SHORT
-            long[0] |= key[0] == cut
+            part = np.zeros(len(start), bool)  # only a part of its list
+            part[0] = key[0] == cut
+            part[-1] |= longer and not final
+            long |= part
             cut = key[-1] if longer and not final else cut
             which = np.repeat(np.arange(len(start)), stop - start)
             in_short = ~long[which]
@@ -209,14 +217,14 @@ def _posted(groups: DataFrame, num: int, den: int) -> DataFrame:
                 pairs = np.unique(np.stack([np.minimum(g[one], g[two]), np.maximum(g[one], g[two])]), axis=1)
                 zero = np.zeros(pairs.shape[1], np.int32)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, pairs), pa.array(zero), pa.array(zero), pa.array(zero.astype(np.int8)), pa.array(zero)], names=names)
-            # a long list has a pair only with a smaller set and one of its own class
-            alive = long & (np.add.reduceat(small.astype(np.int64), start) > 0) & (np.add.reduceat(own.astype(np.int64), start) > 0)
+            # a long list has a pair only with a smaller set and one of its own class; parts cannot tell
+            alive = part | long & (np.add.reduceat(small.astype(np.int64), start) > 0) & (np.add.reduceat(own.astype(np.int64), start) > 0)
             yield from t.filter(pa.array(alive[which])).combine_chunks().to_batches()
 
         for b in batches:
             if b.num_rows:
                 held.append(b)
-                if sum(x.num_rows for x in held) > 50_000:
+                if sum(x.num_rows for x in held) > most // 2:
                     yield from lists(False)
         if held:
             yield from lists(True)
@@ -405,7 +413,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     posted = written(_posted(groups, num, den), "op3-postings")
     short = posted.where("m = 0").select(F.col("key").alias("a"), F.col("g").alias("b")).distinct()
     long = posted.where("m > 0")
-    sizes = long.groupBy("key").agg(F.sum("m").alias("df"))
+    # lists that came in parts are judged here: a smaller set and one of the list's own class
+    small = f"pos < n + 1 - (2 * {num} * cast(n AS long) + {num + den - 1}) div {num + den}"
+    sizes = long.groupBy("key").agg(F.sum("m").alias("df"), F.bool_or(F.expr(small)).alias("small"), F.bool_or(F.expr("up = 0")).alias("own"))
+    sizes = sizes.where("small AND own").select("key", "df")
 
     def lists(of: DataFrame, members: DataFrame) -> DataFrame:
         return of.select("key", "g", "pos", "up").join(sizes, "key").join(members.select("g", "digest", "n", "bitmap", "root"), "g")

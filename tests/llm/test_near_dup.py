@@ -62,3 +62,37 @@ def test_empty_table_null_ids_and_repeats(spark):
     kept = near_dup.keep_one_each(df, 5, 80, 100)
     assert kept.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(7, "a b c d"), (None, None), (9, None)], key=repr)
+
+
+def test_lists_handled_in_parts_keep_all_their_rows(spark, monkeypatch):
+    """60 sets of 10 and 3 of 11 share a shingle: the list of the larger class has 60 rows from below and 3 own ones."""
+    monkeypatch.setattr(near_dup, "CUT", 6)
+    rows = [(g, 10, 1, [7, 100 + g]) for g in range(60)] + [(g, 11, 1, [7, 100 + g]) for g in range(60, 63)]
+    rows += [(g, 200, 1, [8]) for g in range(100, 140)]
+    groups = spark.createDataFrame(rows, "g long, n long, m int, prefix array<long>").repartition(16)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = near_dup._posted(groups, 90, 100).where("m > 0").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    lists = {}
+    for r in got:
+        lists.setdefault(r.key, []).append((r.n, r.up))
+    assert sorted([(10, 1)] * 60 + [(11, 0)] * 3) in [sorted(x) for x in lists.values()]
+
+
+@pytest.mark.parametrize("cut", [6, 40])
+def test_components_with_lists_in_parts(spark, monkeypatch, cut):
+    """A cloud of near copies at a border of size classes, few of them in the upper one."""
+    monkeypatch.setattr(near_dup, "CUT", cut)
+    words = [f"w{x}" for x in range(40)]
+    texts = [" ".join(words[:36] + [f"y{x}"]) for x in range(60)] + [" ".join(words[:36] + [f"y{x}", f"z{x}"]) for x in range(4)]
+    docs = list(enumerate(texts))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = near_dup.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), 3, 90, 100).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(docs, 3, 90, 100)
