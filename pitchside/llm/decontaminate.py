@@ -5,9 +5,11 @@ U+1E00 to U+1FFF lower-cased, and runs of numbers, names and units replaced by o
 typed placeholder each. Capitals tell the names, so a text has two forms: one with
 names, and one of literal words for what is all in upper, title or lower case.
 Windows of tokens (templates) of documents and benchmark items are joined by hash,
-form by form. For each document, item and form the windows on one diagonal (position in the document less
-position in the item) are counted, and the slots behind the placeholders must
-correspond: every value of the item to one value of the document throughout.
+form by form. For each document, item and form the distinct item windows met on
+neighbouring diagonals (position in the document less position in the item; a word
+put in or left out moves it) are counted, and the slots behind the placeholders must
+correspond: every value of the item to one value of the document throughout. Items
+of up to 54 tokens have smaller windows as well, as a few edits hit most of the long ones.
 So a question with other numbers or names is caught, one that merely has the same
 frame is not.
 
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 
 from pitchside.llm.common import U64, Words, flat_bytes, importable, mix, slices, written
 
+#: Diagonals that are taken together (in two offset rows of bands, so drifts of up to half of it always are).
+BAND = 16
 #: Tokens of a window, least plain tokens of a template, log2 of the bits of the bitmap.
 WINDOW, LITERALS, BITMAP_BITS = 8, 3, 24
 #: Most ids to drop (some 20 bytes each) that are broadcast; more are joined by a shuffle.
@@ -119,6 +123,11 @@ class Marked:
         self.lower = ~self.capital & (digit[w.end] == digit[w.start]) & ~_among(w.hash, small)
 
 
+def _sizes(n: int) -> set[int]:
+    """Windows of an item of n tokens: WINDOW or the whole item, and a smaller one of which a few edits leave half."""
+    return {min(n, WINDOW)} | ({3 if n < 11 else 4 if n < 34 else 5} if WINDOW <= n < 55 else set())
+
+
 class Tokens:
     """Canonical tokens of one form of texts: kind, hash, hash of the value, span in the kept bytes, first token of each text."""
 
@@ -169,7 +178,7 @@ class Tokens:
 def _windows(df: DataFrame, key: str, sizes: list[int] | None, bitmap=None) -> DataFrame:
     """Windows of the texts of ``df``: key, pos, n (tokens of the text), form, size, hash, slots (offset in the window, kind, value).
 
-    sizes None: of benchmark items, the window or the whole of a shorter item. bitmap: only windows that hit it, the
+    sizes None: of benchmark items, the windows of ``_sizes``. bitmap: only windows that hit it, the
     literal ones only where capitals tell no names."""
     def run(batches):
         marks = _hashes(UNITS), _hashes(NUMBERS), _hashes(SMALL)
@@ -180,10 +189,11 @@ def _windows(df: DataFrame, key: str, sizes: list[int] | None, bitmap=None) -> D
             for form in FORMS:
                 t = Tokens(m, form)
                 length = np.diff(t.first)
-                for size in sizes if sizes is not None else sorted({min(WINDOW, int(x)) for x in length if x}):
+                of = {int(x): _sizes(int(x)) for x in np.unique(length) if x} if sizes is None else {}
+                for size in sizes if sizes is not None else sorted(set().union(*of.values())):
                     doc, at, h = t.windows(size)
                     if sizes is None:
-                        ok = np.minimum(length[doc], WINDOW) == size
+                        ok = np.array([size in of.get(int(x), ()) for x in length], bool)[doc]
                     else:
                         slot = (h >> U64(64 - BITMAP_BITS)).astype(np.int64)
                         ok = bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
@@ -210,7 +220,7 @@ def _windows(df: DataFrame, key: str, sizes: list[int] | None, bitmap=None) -> D
 
 def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataFrame:
     """One row per document and benchmark item it contains: doc_id, item_id, matched (windows of the item found on the
-    best diagonal of its best form), n_windows, coverage, n_slots (distinct slot values of the item seen), n_changed (of them with another
+    best band of diagonals, of its best form and size), n_windows, coverage, n_slots (distinct slot values of the item seen), n_changed (of them with another
     value in the document). A pair counts if coverage >= ``least`` and all slots are consistent."""
     spark = importable(docs.sparkSession)
     items = _windows(bench, "item_id", None).dropDuplicates(["item_id", "pos", "hash"]).persist()
@@ -229,14 +239,19 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataF
     d = _windows(docs, "doc_id", sorted(sizes), bc)
     i = items.select("item_id", F.col("pos").alias("ipos"), "form", F.col("n").alias("in"), F.col("size").alias("isize"), "hash", F.col("slots").alias("islots"))
     hit = d.select("doc_id", "pos", "hash", "slots").join(i, "hash")
-    hit = hit.withColumn("diag", F.col("pos") - F.col("ipos"))
-    by = ["doc_id", "item_id", "form", "diag"]
+    hit = hit.withColumn("diag", F.col("pos") - F.col("ipos")).repartition("doc_id", "item_id")
+    hit = hit.withColumn("band", F.explode(F.expr(f"array(2 * floor(diag / {BAND}), 2 * floor((diag + {BAND // 2}) / {BAND}) + 1)")))
+    by = ["doc_id", "item_id", "form", "isize", "band"]
+    # a window of the item counts with one of the document and the other way round, on the diagonal with most of them
+    hit = hit.withColumn("_v", F.count("*").over(W.partitionBy(*by, "diag")))
+    for one, other in (("ipos", "pos"), ("pos", "ipos")):
+        hit = hit.withColumn("_r", F.row_number().over(W.partitionBy(*by, one).orderBy(F.desc("_v"), F.abs("diag"), "diag", other))).where("_r = 1")
     # one row per window and slot (a window without slots has one): values of a position are equal in all windows that hold it
-    slot = hit.select(*by, "ipos", "in", "isize", F.explode_outer(F.arrays_zip("islots", "slots")).alias("z"))
-    slot = slot.select(*by, "ipos", "in", "isize", F.concat_ws(":", "z.islots.kind", "z.islots.value").alias("was"),
+    slot = hit.select(*by, "ipos", "in", F.explode_outer(F.arrays_zip("islots", "slots")).alias("z"))
+    slot = slot.select(*by, "ipos", "in", F.concat_ws(":", "z.islots.kind", "z.islots.value").alias("was"),
                        F.concat_ws(":", "z.slots.kind", "z.slots.value").alias("now"))
     values = slot.groupBy(*by, "was").agg(F.min("now").alias("lo"), F.max("now").alias("hi"),
-                                          F.collect_set("ipos").alias("at"), F.max("in").alias("in"), F.max("isize").alias("isize"))
+                                          F.collect_set("ipos").alias("at"), F.max("in").alias("in"))
     pairs = values.groupBy(*by).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched"),
         F.max(F.col("in") - F.col("isize") + 1).alias("n_windows"),
@@ -244,7 +259,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataF
         F.count_if(F.col("lo") != F.col("was")).alias("n_changed"),
         F.count_if(F.col("lo") != F.col("hi")).alias("n_conflicts"))
     pairs = pairs.where("n_conflicts = 0").withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= least)
-    best = W.partitionBy("doc_id", "item_id").orderBy(F.desc("coverage"), "n_changed", "form", "diag")
+    best = W.partitionBy("doc_id", "item_id").orderBy(F.desc("coverage"), F.desc("isize"), "n_changed", "form", "band")
     pairs = pairs.withColumn("_r", F.row_number().over(best)).where("_r = 1")
     return pairs.select("doc_id", "item_id", "matched", "n_windows", "coverage", "n_slots", "n_changed")
 

@@ -218,3 +218,26 @@ def test_items_in_another_letter_case_are_found(spark):
     small = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id IN (6420, 8376, 1699)")
     got = decontaminate.contaminated(small, spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet"))
     assert {(6420, 37), (8376, 101), (1699, 130)} <= {(r.doc_id, r.item_id) for r in got.collect()}
+
+
+def test_edited_items_are_found(spark):
+    w = ITEM.split()
+    n = len(w)
+
+    def put(*at):
+        return " ".join(x for i, word in enumerate(w) for x in (["really", word] if i in at else [word]))
+
+    def other(*at):
+        return " ".join("really" if i in at else word for i, word in enumerate(w))
+
+    copies = [put(n // 2), put(n // 3, 2 * n // 3), put(n // 4, n // 2, 3 * n // 4), " ".join(w[:n // 2 - 1] + w[n // 2:]),
+              other(13), other(9, 19), ITEM.replace("12 apples", "12apples").replace("5 apples", "5-apples"), "x y z " * 20 + put(n // 2) + " x" * 30]
+    assert found(spark, copies, ITEM) == set(range(len(copies)))
+    short = "a brown dog and seven old cats sleep near that warm stove until early spring"
+    assert found(spark, [short.replace("sleep", "rest"), short.replace("cats", "cats often"), short.replace("brown ", ""), "that warm stove and seven dogs"], short) == {0, 1, 2}
+
+
+def test_repeated_frames_of_an_item_do_not_hide_a_copy_or_make_one(spark):
+    item = " ".join(f"then {a} of the {b} boxes went to the old red barn." for a, b in ((3, 5), (7, 9), (2, 8), (11, 4)))
+    assert found(spark, [item, "so " + item.replace("7 of", "7 more of")], item) == {0, 1}
+    assert found(spark, ["then 3 of the 5 boxes went to the old red barn"], item) == set()
