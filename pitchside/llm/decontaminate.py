@@ -2,8 +2,9 @@
 
 Texts become canonical tokens: punctuation dropped, letters of up to two bytes and
 U+1E00 to U+1FFF lower-cased, and runs of numbers, names and units replaced by one
-typed placeholder each. Capitals tell the names, so a text has two forms: one with
-names, and one of literal words for what is all in upper, title or lower case.
+typed placeholder each. Capitals tell the names, so a text has three forms: one with
+names inside sentences, one with those that begin sentences as well (and with other
+words there), and one of literal words for what is all in upper, title or lower case.
 Windows of tokens (templates) of documents and benchmark items are joined by hash,
 form by form. For each document, item and form the distinct item windows met on
 neighbouring diagonals (position in the document less position in the item; a word
@@ -51,8 +52,8 @@ half third quarter twice double triple first second dozen""".split()
 SMALL = """a an the and but or nor of in on at to by for from with as is de la le les el los las en y et du des un une
 una al o e""".split()
 PLAIN, NUMBER, NAME, UNIT = 0, 1, 2, 3
-#: Forms of a text: capitals inside sentences are names; no names.
-FORMS = INSIDE, LITERAL = 0, 1
+#: Forms of a text: capitals inside sentences are names; no names; all capitals are names.
+FORMS = INSIDE, LITERAL, INITIAL = 0, 1, 2
 _KINDS = ("", "number", "name", "unit")
 
 
@@ -135,7 +136,8 @@ class Tokens:
         w, doc, self.form = m.words, m.doc, form
         self.bytes, n = w.bytes, len(w.start)
         name = m.capital & ~m.begins
-        kind = m.kind.copy() if form == LITERAL else np.where((m.kind == PLAIN) & name, NAME, m.kind)
+        named = (name, np.zeros(n, bool), m.capital)[form]
+        kind = np.where((m.kind == PLAIN) & named, NAME, m.kind)
         # a run of one placeholder is one token
         same = np.zeros(n, bool)
         if n:

@@ -241,3 +241,11 @@ def test_repeated_frames_of_an_item_do_not_hide_a_copy_or_make_one(spark):
     item = " ".join(f"then {a} of the {b} boxes went to the old red barn." for a, b in ((3, 5), (7, 9), (2, 8), (11, 4)))
     assert found(spark, [item, "so " + item.replace("7 of", "7 more of")], item) == {0, 1}
     assert found(spark, ["then 3 of the 5 boxes went to the old red barn"], item) == set()
+
+
+def test_names_that_begin_sentences_may_be_others(spark):
+    item = "Alice has 5 apples. Bob has 7 apples. Carol has 9 apples. How many apples do they have?"
+    other = item.replace("Alice", "Dora").replace("Bob", "Eve Smith").replace("Carol", "Zoë").replace("5", "15")
+    assert found(spark, [other, "Now read this: " + other, item, "How many pears do they have?"], item) == {0, 1, 2}
+    twice = "Alice has 5 apples. Bob gives Alice 7 apples and keeps 2 pears. Alice eats all of the pears that Bob kept."
+    assert found(spark, [twice.replace("Alice", "Dora").replace("Bob", "Eve")], twice) == {0}
