@@ -9,8 +9,9 @@ Windows of tokens (templates) of documents and benchmark items are joined by has
 form by form. For each document, item and form the distinct item windows met on
 neighbouring diagonals (position in the document less position in the item; a word
 put in or left out moves it) are counted, and the slots behind the placeholders must
-correspond: every value of the item to one value of the document throughout. Items
-of up to 54 tokens have smaller windows as well, as a few edits hit most of the long ones.
+correspond: every value of the item to one value of the document throughout,
+else the windows that hold it do not count. Items of up to 54 tokens have smaller
+windows as well, as a few edits hit most of the long ones.
 So a question with other numbers or names is caught, one that merely has the same
 frame is not.
 
@@ -223,7 +224,8 @@ def _windows(df: DataFrame, key: str, sizes: list[int] | None, bitmap=None) -> D
 def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataFrame:
     """One row per document and benchmark item it contains: doc_id, item_id, matched (windows of the item found on the
     best band of diagonals, of its best form and size), n_windows, coverage, n_slots (distinct slot values of the item seen), n_changed (of them with another
-    value in the document). A pair counts if coverage >= ``least`` and all slots are consistent."""
+    value in the document). A pair counts if coverage >= ``least`` without the windows that hold a value of the item that
+    is not the same throughout the document's copy."""
     spark = importable(docs.sparkSession)
     items = _windows(bench, "item_id", None).dropDuplicates(["item_id", "pos", "hash"]).persist()
     try:
@@ -254,13 +256,17 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataF
                        F.concat_ws(":", "z.slots.kind", "z.slots.value").alias("now"))
     values = slot.groupBy(*by, "was").agg(F.min("now").alias("lo"), F.max("now").alias("hi"),
                                           F.collect_set("ipos").alias("at"), F.max("in").alias("in"))
+    values = values.withColumn("_c", F.col("lo") != F.col("hi"))
+    at = [F.array_distinct(F.flatten(F.collect_list(x))) for x in ("at", F.when(F.col("_c"), F.col("at")))]
     pairs = values.groupBy(*by).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched"),
-        F.max(F.col("in") - F.col("isize") + 1).alias("n_windows"),
+        F.size(F.array_except(*at)).alias("matched"),
+        F.max(F.col("in") - F.col("isize") + 1).alias("n_windows"), F.max("in").alias("in"),
         F.count_if(F.col("was") != "").alias("n_slots"),
-        F.count_if(F.col("lo") != F.col("was")).alias("n_changed"),
-        F.count_if(F.col("lo") != F.col("hi")).alias("n_conflicts"))
-    pairs = pairs.where("n_conflicts = 0").withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= least)
+        F.count_if((F.col("lo") != F.col("was")) | F.col("_c")).alias("n_changed"),
+        F.count_if("_c").alias("n_conflicts"))
+    # smaller windows, of which a conflict takes away fewer, count only without one
+    pairs = pairs.where(f"matched > 0 AND (n_conflicts = 0 OR isize = least(in, {WINDOW}))")
+    pairs = pairs.withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= least)
     best = W.partitionBy("doc_id", "item_id").orderBy(F.desc("coverage"), F.desc("isize"), "n_changed", "form", "band")
     pairs = pairs.withColumn("_r", F.row_number().over(best)).where("_r = 1")
     return pairs.select("doc_id", "item_id", "matched", "n_windows", "coverage", "n_slots", "n_changed")

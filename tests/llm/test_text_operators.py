@@ -249,3 +249,12 @@ def test_names_that_begin_sentences_may_be_others(spark):
     assert found(spark, [other, "Now read this: " + other, item, "How many pears do they have?"], item) == {0, 1, 2}
     twice = "Alice has 5 apples. Bob gives Alice 7 apples and keeps 2 pears. Alice eats all of the pears that Bob kept."
     assert found(spark, [twice.replace("Alice", "Dora").replace("Bob", "Eve")], twice) == {0}
+
+
+def test_a_conflict_takes_away_only_its_windows(spark):
+    long = " and then the old farmer walks slowly down to the river where all the boats lie waiting for the evening tide"
+    item = "She buys 2 apples and 2 pears at the market" + long
+    assert found(spark, [item.replace("2 apples and 2", "3 apples and 5"), item.replace("2 apples", "3 apples"), item], item) == {0, 1, 2}
+    named = "Yesterday Mary Jones sang and Mary Jones danced" + long
+    assert found(spark, [named.replace("Mary Jones", "Ann", 1)], named) == {0}
+    assert found(spark, ["We saw 3 apples and 5 pears at the market"], "We saw 2 apples and 2 pears at the market") == set()
