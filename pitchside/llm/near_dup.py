@@ -399,6 +399,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, class_id (hex digest
     of the set, null for the empty set), where two documents link if den * |intersection| >= num * |union|
     of their sets of k-word shingles."""
+    return _labelled(docs, k, num, den)[0].drop("_root")
+
+
+def _labelled(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, object]:
+    """The result of ``jaccard_components`` with the class that stands for the component (_root), the classes, and the
+    broadcast order of shingles."""
     spark = importable(docs.sparkSession)
     bc = spark.sparkContext.broadcast(_heavy_slots(docs, k))
     sig = written(_signatures(docs, bc, k, num, den), "op3-signatures")
@@ -437,19 +443,27 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     ids = classes.select("digest", "rep").join(comp.select(F.col("node").alias("digest"), "root"), "digest", "left")
     ids = ids.withColumn("root", F.coalesce("root", "digest"))
-    ids = ids.join(ids.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("digest", "component_id")
-    return (sig.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(ids, "digest", "left")
+    ids = ids.join(ids.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("digest", "component_id", F.col("root").alias("_root"))
+    got = (sig.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(ids, "digest", "left")
             .select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                    F.hex("digest").alias("class_id")))
+                    F.hex("digest").alias("class_id"), "_root"))
+    return got, classes, bc
 
 
 def keep_one_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their component; a repeated row (same id and
     text) stays once. Documents with an empty set all stay. Ids are taken to name one text each; a document
-    without id stays only if no other of its component has one."""
-    got = jaccard_components(docs.select("doc_id", "text"), k, num, den)
-    keep = got.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    without id stays only if no other of its component has one, and then one text of the component."""
+    got, classes, bc = _labelled(docs.select("doc_id", "text"), k, num, den)
+    keep = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).where("doc_id IS NOT NULL OR n_shingles = 0")
     keep = keep.select(F.col("doc_id").alias("_id"), (F.col("n_shingles") == 0).alias("_blank")).distinct()
     blank = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (blank == F.col("_blank")), "left_semi")
+    if not classes.where("rep IS NULL").isEmpty():
+        # components without ids: the smallest text of the smallest class of each
+        without = got.where("doc_id IS NULL AND component_id IS NULL AND n_shingles > 0").groupBy("_root").agg(F.min("class_id").alias("_class"))
+        texts = docs.where("doc_id IS NULL").select(F.col("text").alias("doc_id"), "text").distinct()
+        texts = _signatures(texts, bc, k, num, den).select(F.col("doc_id").alias("_text"), F.hex("digest").alias("_class"))
+        texts = written(texts.join(without, "_class").groupBy("_class").agg(F.min("_text").alias("_text")).select("_text"), "op3-no-ids")
+        kept = kept.unionAll(docs.where("doc_id IS NULL").join(texts, F.col("text") == F.col("_text"), "left_semi"))
     return kept.dropDuplicates(["doc_id", "text"])

@@ -96,3 +96,13 @@ def test_components_with_lists_in_parts(spark, monkeypatch, cut):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(docs, 3, 90, 100)
+
+
+def test_one_text_stays_of_a_component_without_ids(spark):
+    schema = "doc_id long, text string, lang string"
+    words = [f"w{x}" for x in range(40)]
+    near = [" ".join(words + [f"y{x}"]) for x in range(4)]
+    rows = [(None, t, None) for t in near] + [(None, near[0], "x"), (None, "  " + near[0], None), (7, "a b c d e f", None), (None, "a b c d e f", "x"), (None, "A b c d e f", None),
+            (None, "p q r s t u", None), (None, " ", None), (8, None, None)]
+    got = sorted(((r.doc_id, (r.text or "").strip()[:5]) for r in near_dup.keep_one_each(spark.createDataFrame(rows, schema), 5, 80, 100).collect()), key=repr)
+    assert got == sorted([(None, "w0 w1"), (7, "a b c"), (None, "p q r"), (None, ""), (8, "")], key=repr)
