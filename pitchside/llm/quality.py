@@ -168,8 +168,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``threshold``, scored in place with all their columns."""
-    bc = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    """The rows of ``docs`` with a score of at least ``threshold``, scored in place with all their columns. All rows if
+    nothing could be learned: no usable label, or labels of one class only."""
+    model = fit(docs, labels)
+    if not model[0].any():
+        return docs
+    bc = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):

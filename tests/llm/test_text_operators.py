@@ -258,3 +258,11 @@ def test_a_conflict_takes_away_only_its_windows(spark):
     named = "Yesterday Mary Jones sang and Mary Jones danced" + long
     assert found(spark, [named.replace("Mary Jones", "Ann", 1)], named) == {0}
     assert found(spark, ["We saw 3 apples and 5 pears at the market"], "We saw 2 apples and 2 pears at the market") == set()
+
+
+def test_quality_keeps_all_when_nothing_could_be_learned(spark):
+    docs = frame(spark, ["good words", None, "other words", "more"])
+    held = [i for i in range(4) if zlib.crc32(str(i).encode()) % 4 == 2] + [i for i in range(4, 50) if zlib.crc32(str(i).encode()) % 4 == 2]
+    for rows in ([], [(0, None), (2, None)], [(i, i % 2) for i in held], [(0, 1), (2, 1)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int")
+        assert sorted(r.doc_id for r in quality.keep_good(docs, labels).collect()) == [0, 1, 2, 3]
