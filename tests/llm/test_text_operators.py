@@ -266,3 +266,19 @@ def test_quality_keeps_all_when_nothing_could_be_learned(spark):
     for rows in ([], [(0, None), (2, None)], [(i, i % 2) for i in held], [(0, 1), (2, 1)]):
         labels = spark.createDataFrame(rows, "doc_id long, quality int")
         assert sorted(r.doc_id for r in quality.keep_good(docs, labels).collect()) == [0, 1, 2, 3]
+
+
+def test_training_texts_are_cut_before_they_reach_the_driver(spark, monkeypatch):
+    text = " ".join(f"mot{i}é" for i in range(30_000)).encode()
+    for most in (256, 5000, 70_000):
+        got = lang_id.passages(text, most)
+        at = [int(w[3:-2]) for w in got.split()]
+        assert most // 2 < len(got) <= most and at == sorted(at) and set(got.split()) <= set(text.split())
+        assert most < 70_000 or at[-1] - at[0] > 10_000  # from the whole text
+    assert lang_id.passages(text, len(text)) == text and 0 < len(lang_id.passages("é".encode() * 9000, 999)) <= 999
+    seen = []
+    monkeypatch.setattr(lang_id, "SAMPLE_BYTES", 20_000)
+    monkeypatch.setattr(lang_id, "train", lambda texts: seen.extend(texts))
+    rows = [(i, "the and of words here " * 5000, "en") for i in range(20)] + [(30, "le la de", "fr"), (None, "x", "fr"), (32, None, "fr")]
+    lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sum(len(x) for _, x in seen) <= 20_000 and {y for y, _ in seen} == {"en", "fr"}
