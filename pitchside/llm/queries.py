@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import chat, decontaminate, fixity, lang_id, near_dup, neighbours, packing, quality, sharding, token_counts
+from pitchside.llm import chat, decontaminate, fixity, lang_id, near_dup, neighbours, packing, quality, sharding, source_divergence, token_counts
 from pitchside.llm.common import table, written
 
 #: Tokens of a text over which op2 reports it, length of op8's sequences.
@@ -79,9 +79,13 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.languages(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_perspective_rotation, op2_prefix_token_counts, op3_grouped_prefix_join, op4_merkle_fixity_audit, op5_template_decontamination,
-    op6_stratified_interleaving, op7_subword_quality, op8_hilbert_packing, op9_stable_projection_neighbours, op10_crf_language)}
+    op6_stratified_interleaving, op7_subword_quality, op8_hilbert_packing, op9_stable_projection_neighbours, op10_crf_language, op13_source_divergence)}
 
 ORACLE = {
     "op1_perspective_rotation": """
@@ -124,4 +128,25 @@ b AS (SELECT file, "offset", strlen(payload) AS length_b, sha256(payload) AS dig
 SELECT file, "offset", CASE WHEN digest_b IS NULL THEN 'missing' WHEN digest_a IS NULL THEN 'extra' ELSE 'corrupt' END AS status,
   length_a, length_b, digest_a, digest_b
 FROM a FULL JOIN b USING (file, "offset") WHERE digest_a IS DISTINCT FROM digest_b""",
+    "op13_source_divergence": """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+o AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+lt AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gt AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::BIGINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT gt.lang, gt.source, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (gt.total + 2 * lt.v))::BIGINT AS p,
+        (1 + (1000000000 * (k.n + 2)) // (lt.total + 2 * lt.v))::BIGINT AS q
+      FROM gt JOIN k USING (lang) JOIN lt USING (lang) LEFT JOIN c ON c.lang = gt.lang AND c.source = gt.source AND c.term = k.term),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+       FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, y.source AS item, coalesce(pv.value, 0) AS value
+          FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pv ON pv.lang = x.lang AND pv.source = x.source AND pv.item = y.source),
+tv AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+           UNION ALL
+           SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM tv) WHERE rank <= 10)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked""",
 }
