@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import chat, decontaminate, fixity, lang_id, near_dup, neighbours, packing, quality, sharding, source_divergence, token_counts
+from pitchside.llm import chat, decontaminate, fixity, hard_negatives, lang_id, near_dup, neighbours, packing, quality, sharding, source_divergence, token_counts
 from pitchside.llm.common import table, written
 
 #: Tokens of a text over which op2 reports it, length of op8's sequences.
@@ -79,13 +79,18 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.languages(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hard_negatives.mined(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_perspective_rotation, op2_prefix_token_counts, op3_grouped_prefix_join, op4_merkle_fixity_audit, op5_template_decontamination,
-    op6_stratified_interleaving, op7_subword_quality, op8_hilbert_packing, op9_stable_projection_neighbours, op10_crf_language, op13_source_divergence)}
+    op6_stratified_interleaving, op7_subword_quality, op8_hilbert_packing, op9_stable_projection_neighbours, op10_crf_language, op12_hard_negatives, op13_source_divergence)}
 
 ORACLE = {
     "op1_perspective_rotation": """
@@ -128,6 +133,21 @@ b AS (SELECT file, "offset", strlen(payload) AS length_b, sha256(payload) AS dig
 SELECT file, "offset", CASE WHEN digest_b IS NULL THEN 'missing' WHEN digest_a IS NULL THEN 'extra' ELSE 'corrupt' END AS status,
   length_a, length_b, digest_a, digest_b
 FROM a FULL JOIN b USING (file, "offset") WHERE digest_a IS DISTINCT FROM digest_b""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+r AS (
+  SELECT vec_id, label, [floor(256 * x) FOR x IN e] AS q FROM v
+  WHERE len([x FOR x IN e IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 10""",
     "op13_source_divergence": """
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 o AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

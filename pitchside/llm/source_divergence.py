@@ -196,7 +196,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
         FROM (SELECT lang, blocks, explode(blocks) AS x FROM
                 (SELECT lang, term, collect_list(struct(block, found)) AS blocks
                  FROM (SELECT lang, term, block, collect_list(struct(at, p, z)) AS found FROM {s} GROUP BY lang, term, block) GROUP BY lang, term))
-             LATERAL VIEW explode(filter(blocks, o -> o.block >= x.block)) AS y""")
+             LATERAL VIEW explode(filter(blocks, o -> o.block >= x.block)) t AS y""")
     common = common.sortWithinPartitions("lang", "a", "b").mapInArrow(_common_sums, "lang string, a int, b int, s int, t int, v long")
     return run_sql({"h": hist, "c": common, "t": totals, "s": shares}, f"""
         SELECT lang, source, 'pair' AS part, item, v AS value, row_number() OVER (PARTITION BY lang, source ORDER BY v DESC, item) AS rank
