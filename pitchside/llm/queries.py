@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import chat, decontaminate, fixity, hard_negatives, lang_id, near_dup, neighbours, packing, quality, sharding, source_divergence, token_counts
+from pitchside.llm import chat, decontaminate, fixity, hard_negatives, lang_id, near_dup, neighbours, packing, pii, quality, sharding, source_divergence, token_counts
 from pitchside.llm.common import table, written
 
 #: Tokens of a text over which op2 reports it, length of op8's sequences.
@@ -79,6 +79,14 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.languages(table(spark, sf_dir, "documents"))
 
 
+def op11_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.personal_data(table(spark, sf_dir, "documents"))
+    joined = lambda spans: f"array_join(transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    return got.selectExpr("doc_id", *[f"CAST(size(filter(spans, s -> s.base AND s.kind = '{k}')) AS BIGINT) AS n_{k}" for k in pii.KINDS],
+                          f"sha2({joined('filter(spans, s -> s.base)')}, 256) AS base_sha256", f"{joined('spans')} AS spans",
+                          "CAST(size(filter(spans, s -> NOT s.base)) AS BIGINT) AS n_added")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)"))
     return hard_negatives.mined(vectors, vectors.where("vec_id % 100 = 0"))
@@ -90,7 +98,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_perspective_rotation, op2_prefix_token_counts, op3_grouped_prefix_join, op4_merkle_fixity_audit, op5_template_decontamination,
-    op6_stratified_interleaving, op7_subword_quality, op8_hilbert_packing, op9_stable_projection_neighbours, op10_crf_language, op12_hard_negatives, op13_source_divergence)}
+    op6_stratified_interleaving, op7_subword_quality, op8_hilbert_packing, op9_stable_projection_neighbours, op10_crf_language, op11_semi_markov_pii, op12_hard_negatives, op13_source_divergence)}
 
 ORACLE = {
     "op1_perspective_rotation": """
