@@ -14,6 +14,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 
+from pitchside.functions.exact import fixed_sql
 from pitchside.functions.sql import expr, lit_str, q, sql_of, with_columns
 
 # fixed values: the characters Python's str.strip() removes
@@ -74,19 +75,11 @@ def parse_date_sql(x: str) -> str:
 
 
 def py_fixed_sql(x: str, digits: int) -> str:
-    """f-string ``{x:.Nf}``.
-
-    ``bround`` first so that true binary ties round half-even like Python
-    (12.5 -> '12'); a value whose shortest decimal form ends in 5 but whose
-    binary value does not (2.675) can still differ by one unit (SURVEY N12).
-    Python keeps the sign of a negative value that rounds to zero ('-0').
-    """
+    """f-string ``{x:.Nf}``: the exact binary value, half to even; NULL and NaN are ``nan``. Python keeps the sign of a negative
+    value that rounds to zero ('-0')."""
     c = f"CAST({x} AS DOUBLE)"
-    txt = f"format_string('%.{digits}f', bround({c}, {digits}))"
-    return (f"(CASE WHEN {c} IS NULL OR isnan({c}) THEN 'nan' "
-            f"WHEN {c} = {_INF} THEN 'inf' WHEN {c} = {_NINF} THEN '-inf' "
-            f"WHEN startswith(CAST({c} AS STRING), '-') AND NOT startswith({txt}, '-') THEN concat('-', {txt}) "
-            f"ELSE {txt} END)")
+    return (f"(CASE WHEN {c} IS NULL OR isnan({c}) THEN 'nan' WHEN {c} = {_INF} THEN 'inf' WHEN {c} = {_NINF} THEN '-inf' "
+            f"ELSE {fixed_sql(c, digits)} END)")
 
 
 def repr_pick_sql(x: str) -> str:

@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 from pitchside import presets
+from pitchside.functions.exact import exact_means
 from pitchside.functions.numeric import nan_to_null_sql, per90_term_sql, skipna_sum_sql
 from pitchside.functions.sql import dbl, lit_str, project, q, run_sql
 from pitchside.session import ensure_checkpoint_dir
@@ -45,14 +46,14 @@ def weighted_scores(matches: DataFrame, weights: Mapping[str, Mapping[str, float
                     minutes: str = presets.MINUTES_COL) -> DataFrame:
     """Mean per ``keys`` of the per-match aspect totals.
 
-    The mean is of per-match ratios (not a ratio of sums); one over both
+    The mean does not depend on the order of the rows (``functions.exact``), so players
+    with equal matches are tied on every run. It is of per-match ratios (not a ratio of sums); one over both
     infinities has no value and is NULL (N14). Rows whose key is
     NULL are dropped, as ``groupby`` does (N4).
     """
-    k = ", ".join(q(c) for c in keys)
-    terms = ", ".join(f"{nan_to_null_sql(f'avg({e})')} AS {q(n)}" for n, e in match_scores_sql(weights, minutes))
     not_null = " AND ".join(f"{q(c)} IS NOT NULL" for c in keys)
-    return run_sql({"m": matches}, f"SELECT {k}, {terms} FROM {{m}} WHERE {not_null} GROUP BY {k}")
+    means = exact_means(matches, keys, match_scores_sql(weights, minutes), not_null)
+    return project(means, [(n, nan_to_null_sql(q(n))) for n in map(score_col, weights)], keep=keys)
 
 
 # --------------------------------------------------------------------------
