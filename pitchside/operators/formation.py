@@ -168,8 +168,13 @@ def formation_rejects(table_tokens: DataFrame, line_tokens: DataFrame, select: s
     return run_sql({"tokens": table_tokens, "line_tokens": line_tokens}, sql, steps)
 
 
+def _filled_sql() -> str:
+    """A row counts only if one of its nine values is not zero."""
+    return "(" + " OR ".join(f"coalesce({q(c)} <> 0, false)" for c in SLOTS + INTERVALS) + ")"
+
+
 def formation_profile(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Truncate every value to an integer, average per label, wide.
+    """Leave out empty rows (no value but zeros), truncate every value to an integer, average per label, wide.
 
     Adds the plot bounds ``y_low``/``y_high`` (min/max of the six interval
     means -+ 10 % of their range) and one-decimal text of Total and both halves.
@@ -184,18 +189,18 @@ def formation_profile(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     sql = f"""SELECT *, {lo} - ({hi} - {lo}) * 0.1D AS y_low, {hi} + ({hi} - {lo}) * 0.1D AS y_high,
        {py_fixed_sql(q('Total'), 1)} AS total_text, {py_fixed_sql(q('1st half'), 1)} AS first_half_text,
        {py_fixed_sql(q('2nd half'), 1)} AS second_half_text
-FROM (SELECT {group_sel}{means} FROM {{rows}} {group_by})"""
+FROM (SELECT {group_sel}{means} FROM {{rows}} WHERE {_filled_sql()} {group_by or 'HAVING count(1) > 0'})"""
     return run_sql({"rows": rows}, sql)
 
 
 def formation_long(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """T18 in the reference's long shape: ``by..., label, value`` (mean)."""
+    """T18 in the reference's long shape: ``by..., label, value`` (mean), without empty rows."""
     labels = SLOTS + INTERVALS
     grp = [q(b) for b in by]
     stack = ", ".join(f"{lit_str(c)}, CAST({q(c)} AS DOUBLE)" for c in labels)
     keys = ", ".join(grp + ["label"])
     sel = ", ".join(grp)
     sql = f"""SELECT {keys}, avg({trunc_to_long_sql('v')}) AS value FROM (
-  SELECT {sel + ', ' if sel else ''}stack({len(labels)}, {stack}) AS (label, v) FROM {{rows}})
+  SELECT {sel + ', ' if sel else ''}stack({len(labels)}, {stack}) AS (label, v) FROM {{rows}} WHERE {_filled_sql()})
 GROUP BY {keys}"""
     return run_sql({"rows": rows}, sql)

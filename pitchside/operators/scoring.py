@@ -60,43 +60,53 @@ def weighted_scores(matches: DataFrame, weights: Mapping[str, Mapping[str, float
 # Average percent rank  (rank of ties averaged) / (non-null count)
 # --------------------------------------------------------------------------
 
+#: KLL parameter of the quantile sketches: rank errors of about 0.1 %, so more buckets than ``MAX_BUCKETS`` could not be told apart.
+SKETCH_K, MAX_BUCKETS = 4096, 1024
+#: Split points of the coarse level of the bucket lookup.
+_COARSE = 32
+
+
 def rank_buckets(df: DataFrame) -> int:
-    """Buckets of the ranking: four per shuffle partition, 64 at least."""
-    return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def quantile_bounds(df: DataFrame, cols: Sequence[str], buckets: int,
-                    rel_error: float = 1e-3) -> list[list[float]]:
-    """Up to ``buckets - 1`` increasing split points per column, in one pass.
-    Only these few numbers reach the driver; they steer bucketing, never the
-    result."""
-    if buckets <= 1:
-        return [[] for _ in cols]
-    probs = [i / buckets for i in range(1, buckets)]
-    clean = project(df, [(f"__q{i}", nan_to_null_sql(q(c))) for i, c in enumerate(cols)])
-    per_col = clean.approxQuantile([f"__q{i}" for i in range(len(cols))], probs, rel_error)
-    result = []
-    for qs in per_col:
-        out: list[float] = []
-        for v in qs or []:
-            if v is not None and (not out or v > out[-1]):
-                out.append(v)
-        result.append(out)
-    return result
-
-
-def _bucket_sql(v: str, bounds: Sequence[float]) -> str:
-    if not bounds:
-        return "0"
-    arr = ", ".join(dbl(b) for b in bounds)
-    return f"size(filter(array({arr}), b -> b < {v}))"
-
-
-def _rank_steps(i: int, value: str, bounds: Sequence[float]) -> list[tuple[str, str]]:
+    """Buckets of the ranking: four per shuffle partition, 64 at least, as many as the sketch can tell apart at most."""
+    return min(MAX_BUCKETS, max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def value_sketches(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by..., column, sketch``: a mergeable quantile sketch (binary) of every column, e.g. per season; NULL, NaN and
+    infinities are left out. Written per season, such tables are merged by ``merged_bounds`` without reading the scores again."""
+    g = "".join(f"{q(b)}, " for b in by)
+    aggs = ", ".join(f"kll_sketch_agg_double(CASE WHEN abs({nan_to_null_sql(q(c))}) < {dbl(float('inf'))} THEN CAST({q(c)} AS DOUBLE) END, {SKETCH_K}) AS __s{i}" for i, c in enumerate(cols))
+    stack = ", ".join(f"{lit_str(c)}, __s{i}" for i, c in enumerate(cols))
+    group = f"GROUP BY {g.rstrip(', ')}" if by else ""
+    return run_sql({"src": df}, f"SELECT {g}stack({len(cols)}, {stack}) AS (column, sketch) FROM (SELECT {g}{aggs} FROM {{src}} {group})")
+
+
+def merged_bounds(sketches: DataFrame, buckets: int) -> DataFrame:
+    """``column, coarse, fine``: increasing split points of up to ``buckets`` buckets for every column, from all of its sketches; ``fine``
+    holds the split points between two coarse ones. One row per column with at most ``MAX_BUCKETS`` numbers."""
+    buckets = max(2, min(buckets, MAX_BUCKETS))
+    asked = ", ".join(dbl(i / buckets) for i in range(1, buckets))
+    steps = [("m", "SELECT column, kll_merge_agg_double(sketch) AS s FROM {sk} WHERE kll_sketch_get_n_double(sketch) > 0 GROUP BY column"),
+             ("b", f"SELECT column, array_sort(array_distinct(kll_sketch_get_quantile_double(s, array({asked})))) AS b FROM {{m}}"),
+             ("w", f"SELECT column, b, CAST(ceil(size(b) / {_COARSE}D) AS INT) AS width FROM {{b}}")]
+    return run_sql({"sk": sketches}, """SELECT column, transform(sequence(1, CAST(ceil(size(b) / width) AS INT)), i -> b[least(i * width, size(b)) - 1]) AS coarse,
+       transform(sequence(1, CAST(ceil(size(b) / width) AS INT)), i -> slice(b, (i - 1) * width + 1, width)) AS fine FROM {w}""", steps)
+
+
+def _bucket_sql(v: str, bounds: str) -> str:
+    """The number of split points below ``v``: a count among the coarse ones, then one among the fine ones behind them, so the work grows
+    with the root of the buckets. ``bounds`` is a struct (coarse, fine)."""
+    above = f"size(filter({bounds}.coarse, b -> b < {v}))"
+    return (f"CASE WHEN {bounds} IS NULL THEN 0 WHEN {above} >= size({bounds}.coarse) THEN {above} * 1000 "
+            f"ELSE {above} * 1000 + size(filter({bounds}.fine[{above}], b -> b < {v})) END")
+
+
+def _rank_steps(i: int, value: str) -> list[tuple[str, str]]:
     v = nan_to_null_sql(q(value))
+    bounds = f"(SELECT struct(coarse, fine) FROM {{bounds}} WHERE column = {lit_str(value)})"
     return [
-        (f"h{i}", f"""SELECT __v, count(*) AS cnt, {_bucket_sql('__v', bounds)} AS bk
-  FROM (SELECT {v} AS __v FROM {{src}}) WHERE __v IS NOT NULL GROUP BY __v"""),
+        (f"h{i}", f"""SELECT __v, cnt, {_bucket_sql('__v', '__b')} AS bk
+  FROM (SELECT __v, count(*) AS cnt, {bounds} AS __b FROM (SELECT {v} AS __v FROM {{src}}) WHERE __v IS NOT NULL GROUP BY __v)"""),
         (f"c{i}", f"""SELECT __v, cnt, bk, sum(cnt) OVER (PARTITION BY bk ORDER BY __v
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM {{h{i}}}"""),
         (f"o{i}", f"""SELECT bk, coalesce(sum(bk_cnt) OVER (ORDER BY bk ROWS BETWEEN UNBOUNDED PRECEDING
@@ -108,7 +118,7 @@ def _rank_steps(i: int, value: str, bounds: Sequence[float]) -> list[tuple[str,
 
 
 def avg_pct_ranks(df: DataFrame, values: Mapping[str, str], method: str = "scale",
-                  buckets: int | None = None, bounds: Sequence[Sequence[float]] | None = None) -> DataFrame:
+                  buckets: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """``Series.rank(pct=True)`` over the whole frame for several columns:
     ``values`` maps input column -> output column.
 
@@ -116,10 +126,12 @@ def avg_pct_ranks(df: DataFrame, values: Mapping[str, str], method: str = "scale
     NULL, +-inf are ordinary extremes (N6).
 
     ``method="scale"`` never puts all rows into one task: distinct values are
-    counted with a partial aggregate, bucketed by approximate quantile
-    boundaries, prefix-summed inside each bucket (a window partitioned by
+    counted with a partial aggregate, bucketed by the split points of a quantile
+    sketch, prefix-summed inside each bucket (a window partitioned by
     bucket), and offset by the totals of the earlier buckets (at most
-    ``buckets`` rows, broadcast). The result does not depend on the boundaries.
+    ``MAX_BUCKETS`` and a few rows, broadcast). The split points (``bounds``, default: sketched from
+    ``df``) are a table of one row per column in the checkpoint folder, read as a scalar
+    subquery; the result does not depend on them.
     ``method="window"`` is the textbook unpartitioned window (test oracle).
     """
     cols = list(df.columns)
@@ -128,28 +140,30 @@ def avg_pct_ranks(df: DataFrame, values: Mapping[str, str], method: str = "scale
         outs = []
         for value, out in values.items():
             v = nan_to_null_sql(q(value))
-            outs.append(f"CASE WHEN {v} IS NULL THEN NULL ELSE CAST((rank() OVER (ORDER BY {v}) "
+            outs.append(f"CASE WHEN {v} IS NULL THEN NULL ELSE CAST((rank() OVER (ORDER BY {v} NULLS LAST) "
                         f"+ (count(*) OVER (PARTITION BY {v}) - 1) / 2.0D) / count({v}) OVER () AS DOUBLE) END "
                         f"AS {q(out)}")
         return run_sql({"src": df}, f"SELECT {src_cols}, {', '.join(outs)} FROM {{src}}")
     if method != "scale":
         raise ValueError("method must be 'scale' or 'window'")
     if bounds is None:
-        buckets = rank_buckets(df) if buckets is None else buckets
-        bounds = quantile_bounds(df, list(values), buckets, min(1e-3, 0.25 / max(buckets, 1)))
-    steps = [st for i, (value, b) in enumerate(zip(values, bounds)) for st in _rank_steps(i, value, b)]
+        bounds = merged_bounds(value_sketches(df, list(values)), rank_buckets(df) if buckets is None else buckets)
+    # a sketch made again after a lost executor could differ: the split points are fixed before they are used
+    ensure_checkpoint_dir(df.sparkSession)
+    bounds = bounds.checkpoint(eager=True)
+    steps = [st for i, value in enumerate(values) for st in _rank_steps(i, value)]
     keyed = ", ".join(f"{nan_to_null_sql(q(value))} AS __k{i}" for i, value in enumerate(values))
     steps.append(("s", f"SELECT {src_cols}, {keyed} FROM {{src}}"))
     sel = ", ".join(f"r{i}.p AS {q(out)}" for i, out in enumerate(values.values()))
     joins = " ".join(f"LEFT JOIN {{r{i}}} r{i} ON s.__k{i} = r{i}.v" for i in range(len(values)))
     s_cols = ", ".join(f"s.{q(c)}" for c in cols)
-    return run_sql({"src": df}, f"SELECT {s_cols}, {sel} FROM {{s}} s {joins}", steps)
+    return run_sql({"src": df, "bounds": bounds}, f"SELECT {s_cols}, {sel} FROM {{s}} s {joins}", steps)
 
 
 def avg_pct_rank(df: DataFrame, value: str, out: str, method: str = "scale", buckets: int | None = None,
-                 bounds: Sequence[float] | None = None) -> DataFrame:
+                 bounds: DataFrame | None = None) -> DataFrame:
     """Single-column form of ``avg_pct_ranks``."""
-    return avg_pct_ranks(df, {value: out}, method, buckets, None if bounds is None else [bounds])
+    return avg_pct_ranks(df, {value: out}, method, buckets, bounds)
 
 
 def league_percentiles(scores: DataFrame, aspects: Sequence[str] = presets.ASPECTS,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pitchside import presets
 from pitchside.functions.pixels import band_mask_sql
-from pitchside.operators.catalog import crop_plan, report_catalog
+from pitchside.operators.catalog import crop_plan, report_catalog, report_catalogs
 from pitchside.operators.formation import formation_long, formation_profile, formation_rejects, formation_rows
 from pitchside.operators.grid import (
     accumulate, colour_classes, crop_pixels, formation_boxes, grid_occupancy, image_cells, image_colour_classes,
@@ -575,6 +575,24 @@ def q_formation_long(spark, d):
     return fl.select("image_team", "label", F.round("value", 6).alias("value"))
 
 
+_FV_NONZERO = " OR ".join(f"{_q(c)} <> 0" for c in _ALL_F)
+
+
+@register("formation_empty_rows", f"""WITH fv AS ({si.FORMATION_VALUE_SQL}),
+fp AS (SELECT image_team, {", ".join(f"avg(CAST(trunc({_q(c)}) AS BIGINT)) AS {_q(c)}" for c in _ALL_F)} FROM fv WHERE {_FV_NONZERO} GROUP BY image_team)
+SELECT image_team, {", ".join(f"round({_q(c)}, 6) AS {_q(c)}" for c in _ALL_F)} FROM fp""")
+def q_formation_empty_rows(spark, d):
+    """Formation profile over rows of which one in five holds nothing but zeros."""
+    return formation_profile(si.formation_values(spark, d), by=["image_team"]).selectExpr("image_team", *[f"round({q(c)}, 6) AS {q(c)}" for c in _ALL_F])
+
+
+@register("formation_empty_rows_long", f"""WITH fv AS ({si.FORMATION_VALUE_SQL}),
+fl AS ({" UNION ALL ".join(f"SELECT image_team, '{c}' AS label, {_q(c)} AS v FROM fv WHERE {_FV_NONZERO}" for c in _ALL_F)})
+SELECT image_team, label, round(avg(CAST(trunc(v) AS BIGINT)), 6) AS value FROM fl GROUP BY image_team, label""")
+def q_formation_empty_rows_long(spark, d):
+    return formation_long(si.formation_values(spark, d), by=["image_team"]).select("image_team", "label", F.round("value", 6).alias("value"))
+
+
 # ----------------------------------------------------------------------------
 # scouting prompt
 # ----------------------------------------------------------------------------
@@ -836,6 +854,24 @@ def q_report_catalog(spark, d):
     return _catalog(spark, d).select(*CATALOG_COLS)
 
 
+@register("report_catalog_all", f"""WITH files AS ({si.REPORT_SQL}),
+fp AS (SELECT *, string_split(path, '/')[-2] AS folder, string_split(path, '/')[-1] AS file FROM files),
+teams AS (SELECT n_name || ' United' AS team FROM nation),
+tf AS (SELECT team, min(folder) AS folder FROM teams JOIN (SELECT DISTINCT folder FROM fp) d ON contains(lower(d.folder), lower(string_split(team, ' ')[1]))
+       GROUP BY team),
+f1 AS (SELECT tf.team, fp.*, trim(string_split(file, '-')[1]) AS team_1, trim(string_split(file, '-')[2]) AS team_2
+       FROM fp JOIN tf ON fp.folder = tf.folder WHERE suffix(file, '.pdf') AND NOT contains(lower(file), lower('{si.STANDIN_OWN}'))),
+f2 AS (SELECT *, CASE WHEN team_2 IS NULL THEN NULL WHEN contains(team_1, string_split(team, ' ')[1]) THEN 1
+                      WHEN contains(team_2, string_split(team, ' ')[1]) THEN 2 END AS team_slot FROM f1)
+SELECT team, {", ".join(c for c in CATALOG_COLS if c not in ("other_team", "image_index"))}, CASE WHEN team_slot = 1 THEN team_2 ELSE team_1 END AS other_team,
+       CAST(row_number() OVER (PARTITION BY team, folder ORDER BY file, path) AS INTEGER) AS image_index
+FROM f2 WHERE team_slot IS NOT NULL""")
+def q_report_catalog_all(spark, d):
+    """The catalogs of all nations' teams in one job; the files name a team by the first word of its full name."""
+    teams = si.report_teams(spark, d).selectExpr("team", "split(team, ' ')[0] AS name_in_file")
+    return report_catalogs(si.report_files(spark, d), teams, own_team=si.STANDIN_OWN, name_col="name_in_file").select("team", *CATALOG_COLS)
+
+
 def _sql_crop_spec() -> str:
     rows = [f"({slot}, {no}, '{side}', '{kind}', {base}, {str(shifts).upper()}, {r[0]}, {r[1]}, {r[2]}, {r[3]}, "
             f"'trunc')" for slot, no, side, kind, base, shifts, r in presets.CROP_SPEC]

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitchside import presets
 from pitchside.functions.sql import project
 
 # --- stand-in configuration (not reference values) --------------------------
@@ -170,6 +171,16 @@ FORMATION_BLUE_EXPRS = [
 ]
 
 
+# line items as accepted formation rows (nine values each); every fifth part gives an empty one
+FORMATION_VALUE_EXPRS = [("image_id", "l_orderkey"), ("image_team", "l_returnflag")] + [
+    (c, f"CASE WHEN l_partkey % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE l_quantity + CAST({i}.75 AS DOUBLE) - CAST(l_linenumber AS DOUBLE) END")
+    for i, c in enumerate([*presets.FORMATION_COLUMNS, *presets.FORMATION_INTERVALS])]
+
+
+def formation_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project(table(spark, sf_dir, "lineitem"), FORMATION_VALUE_EXPRS)
+
+
 def _chan(x: str) -> str:
     return (f"cast(least(255, greatest(0, floor((CAST({x} AS DOUBLE) + CAST(0.5 AS DOUBLE)) "
             f"* CAST(255 AS DOUBLE)))) AS int)")
@@ -238,6 +249,11 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project(both, REPORT_EXPRS)
 
 
+def report_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation -> the teams whose reports are wanted, by their full names."""
+    return table(spark, sf_dir, "nation").selectExpr("n_name || ' United' AS team")
+
+
 def sql_select(exprs, source: str) -> str:
     cols = ",\n       ".join(f'{e} AS "{n}"' for n, e in exprs)
     return f"SELECT {cols}\nFROM {source}"
@@ -245,6 +261,7 @@ def sql_select(exprs, source: str) -> str:
 
 PLAYER_MATCH_SQL = sql_select(
     PLAYER_MATCH_EXPRS, "lineitem LEFT JOIN part ON l_partkey = p_partkey")
+FORMATION_VALUE_SQL = sql_select(FORMATION_VALUE_EXPRS, "lineitem")
 _LO = "lineitem LEFT JOIN orders ON l_orderkey = o_orderkey"
 REPORT_SQL = sql_select(REPORT_EXPRS, """(
   SELECT o_orderkey, n1.n_name AS n1, n2.n_name AS n2, unnest([n1.n_name, n2.n_name]) AS fn

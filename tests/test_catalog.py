@@ -1,7 +1,7 @@
 import os
 import tempfile
 
-from pitchside.operators.catalog import crop_plan, report_catalog
+from pitchside.operators.catalog import crop_plan, find_team_folder, report_catalog, report_catalogs, team_folders
 from pitchside.sources.readers import list_reports
 
 from conftest import rows
@@ -43,6 +43,37 @@ def test_crop_plan_fixture(spark):
     assert (by[(1, 2)]["x0"], by[(1, 2)]["side"]) == (int(308 * 300 / 72), "home_team")   # slot 2 swaps
 
 
+def test_catalogs_of_many_teams_equal_one_by_one(spark):
+    extra = [("Ohio State", "Ohio State - Iowa.pdf", 24), ("ohio archive", "Ohio State - Purdue 1-1.pdf", 25), ("İstanbul", "İstanbul - Ohio State.pdf", 24)]
+    files = _listing(spark).unionAll(spark.createDataFrame([(f"/r/{d}/{f}", n) for d, f, n in extra], "path string, page_count int"))
+    names = ["Penn State", "Ohio State", "Iowa", "  penn  State ", "İstanbul", "Zzz", "a", "o", ""]
+    teams = spark.createDataFrame([(n,) for n in names + ["Iowa", None]], "team string")
+    got = report_catalogs(files, teams, own_team="northwestern")
+    cols = ["team", "folder", "file", "team_1", "team_2", "team_slot", "other_team", "image_index", "page_count"]
+    want = [r for n in names if n.strip() for r in rows(report_catalog(files, n, own_team="northwestern"), *cols)]
+    assert rows(got, *cols) == sorted(want, key=repr) and len(want) > 5
+    folders = {r.team: r.folder for r in team_folders(files.selectExpr("split(path, '/')[2] AS folder"), teams).collect()}
+    for n in names:
+        one = find_team_folder(files.selectExpr("split(path, '/')[2] AS folder"), n).collect() if n.strip() else []
+        assert folders.get(n) == (one[0].folder if one else None)
+
+
+def test_catalog_lists_once(spark):
+    """The listing is evaluated once, whatever it costs."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    listing = _listing(spark).mapInArrow(count, "path string, page_count int")
+    assert report_catalog(listing, "Penn State", own_team="northwestern").count() == 2
+    assert seen.value == len(FILES)
+    report_catalogs(listing, spark.createDataFrame([("Penn State",), ("Iowa",)], "team string")).collect()
+    assert seen.value == 2 * len(FILES)
+
+
 def test_no_matching_folder_is_empty(spark):
     assert report_catalog(_listing(spark), "Zzz Team").count() == 0
 

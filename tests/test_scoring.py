@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitchside import presets
 from pitchside.operators.scoring import (
-    avg_pct_rank, league_percentiles, top_k_by_aspect, weighted_scores,
+    avg_pct_rank, league_percentiles, merged_bounds, top_k_by_aspect, value_sketches, weighted_scores,
 )
 
 METRICS = [m for ws in presets.WEIGHTS.values() for m in ws]
@@ -94,6 +94,40 @@ def test_scale_form_has_no_global_window_over_rows(spark):
     assert "hashpartitioning(bk#" in plan
 
 
+def test_bounds_are_no_literals_and_merge_over_seasons(spark):
+    rnd = random.Random(3)
+    rows = [(1990 + i % 4, rnd.choice([rnd.uniform(-3, 3), float(rnd.randrange(4)), math.inf, math.nan])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "season int, v double")
+    bounds = merged_bounds(value_sketches(df, ["v"], by=["season"]), 64)
+    row = bounds.first()
+    flat = [x for part in row.fine for x in part]
+    assert row.column == "v" and flat == sorted(set(flat)) and 30 <= len(flat) <= 63 and row.coarse == [part[-1] for part in row.fine]
+    got = avg_pct_rank(df, "v", "p", bounds=bounds)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(repr(x)[:8] in plan for x in flat if abs(x) > 1e-3 and x != int(x))
+    want = avg_pct_rank(df, "v", "p", method="window")
+    key = lambda r: (r.season, repr(r.v), r.p)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_buckets_follow_the_bounds(spark):
+    df = spark.range(20_000).selectExpr("CAST(id * 7919 % 20011 AS DOUBLE) / 8 AS v")
+    for buckets in (2, 33, 1000):
+        b = merged_bounds(value_sketches(df, ["v"]), buckets)
+        flat = [x for part in b.first().fine for x in part]
+        got = avg_pct_rank(df, "v", "p", bounds=b)
+        assert [r.p for r in got.orderBy("v").collect()] == [(i + 1) / 20_000 for i in range(20_000)]
+        assert len(flat) == buckets - 1
+
+
+def test_values_without_a_finite_one(spark):
+    for values in ([math.inf, -math.inf, math.inf], [None], [math.nan, 2.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got, want = (sorted(repr((r.v, r.p)) for r in avg_pct_rank(df, "v", "p", method=m).collect()) for m in ("scale", "window"))
+        assert got == want
+    assert avg_pct_rank(spark.createDataFrame([], "v double"), "v", "p").count() == 0
+
+
 def test_top_k_plan_limits_groups_before_the_shuffle(spark):
     df = spark.range(5000).selectExpr("concat('p', id) AS player_name", "concat('T', id % 7) AS team",
                                       "CAST(id % 97 AS DOUBLE) AS attacking_total_weighted_score")
