@@ -209,4 +209,5 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
         ("named", "SELECT g.lang, g.a, g.b, x.source AS source, y.source AS item, g.v FROM {g} g JOIN {t} x ON g.lang = x.lang AND g.a = x.block AND g.s = x.at "
                   "JOIN {t} y ON g.lang = y.lang AND g.b = y.block AND g.t = y.at"),
         # a block met with itself holds both orders already
-        ("pairs", "SELECT lang, source, item, v FROM {named} UNION ALL SELECT lang, item, source, v FROM {named} WHERE a < b")])
+        ("pairs", "SELECT lang, o.source, o.item, v FROM (SELECT lang, v, explode(IF(a = b, array(struct(source, item)), "
+                  "array(struct(source, item), struct(item AS source, source AS item)))) AS o FROM {named})")])
