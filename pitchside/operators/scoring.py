@@ -101,20 +101,22 @@ def _bucket_sql(v: str, bounds: str) -> str:
             f"ELSE {above} * 1000 + size(filter({bounds}.fine[{above}], b -> b < {v})) END")
 
 
-def _rank_steps(i: int, value: str) -> list[tuple[str, str]]:
-    v = nan_to_null_sql(q(value))
-    bounds = f"(SELECT struct(coarse, fine) FROM {{bounds}} WHERE column = {lit_str(value)})"
-    return [
-        (f"h{i}", f"""SELECT __v, cnt, {_bucket_sql('__v', '__b')} AS bk
-  FROM (SELECT __v, count(*) AS cnt, {bounds} AS __b FROM (SELECT {v} AS __v FROM {{src}}) WHERE __v IS NOT NULL GROUP BY __v)"""),
-        (f"c{i}", f"""SELECT __v, cnt, bk, sum(cnt) OVER (PARTITION BY bk ORDER BY __v
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM {{h{i}}}"""),
-        (f"o{i}", f"""SELECT bk, coalesce(sum(bk_cnt) OVER (ORDER BY bk ROWS BETWEEN UNBOUNDED PRECEDING
-  AND 1 PRECEDING), 0) AS off, sum(bk_cnt) OVER () AS n
-  FROM (SELECT bk, sum(cnt) AS bk_cnt FROM {{h{i}}} GROUP BY bk)"""),
-        (f"r{i}", f"""SELECT /*+ BROADCAST(o) */ c.__v AS v, CAST((off + cum - cnt + (cnt + 1) / 2.0D) / n AS DOUBLE) AS p
-  FROM {{c{i}}} c JOIN {{o{i}}} o ON c.bk = o.bk"""),
+def value_ranks(df: DataFrame, values: Sequence[str], bounds: DataFrame) -> DataFrame:
+    """``i, v, p``: the average percent rank of every distinct value ``v`` of column number ``i`` of ``values``, all columns in one pass.
+
+    ``bounds`` has one row per column with at most ``MAX_BUCKETS`` numbers, the offsets have as many rows per column: both are broadcast."""
+    stack = ", ".join(f"{i}, {nan_to_null_sql(q(c))}" for i, c in enumerate(values))
+    number = " ".join(f"WHEN {lit_str(c)} THEN {i}" for i, c in enumerate(values))
+    steps = [
+        ("b", f"SELECT CASE column {number} END AS i, struct(coarse, fine) AS s FROM {{bounds}}"),
+        ("d", f"SELECT i, v, count(*) AS cnt FROM (SELECT stack({len(values)}, {stack}) AS (i, v) FROM {{src}}) WHERE v IS NOT NULL GROUP BY i, v"),
+        ("h", f"SELECT /*+ BROADCAST(b) */ d.i, v, cnt, {_bucket_sql('v', 'b.s')} AS bk FROM {{d}} d LEFT JOIN {{b}} b ON d.i = b.i"),
+        ("c", "SELECT i, v, cnt, bk, sum(cnt) OVER (PARTITION BY i, bk ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM {h}"),
+        ("o", """SELECT i, bk, coalesce(sum(bk_cnt) OVER (PARTITION BY i ORDER BY bk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+       sum(bk_cnt) OVER (PARTITION BY i) AS n FROM (SELECT i, bk, sum(cnt) AS bk_cnt FROM {h} GROUP BY i, bk)"""),
     ]
+    return run_sql({"src": df, "bounds": bounds}, """SELECT /*+ BROADCAST(o) */ c.i, c.v, CAST((off + cum - cnt + (cnt + 1) / 2.0D) / n AS DOUBLE) AS p
+FROM {c} c JOIN {o} o ON c.i = o.i AND c.bk = o.bk""", steps)
 
 
 def avg_pct_ranks(df: DataFrame, values: Mapping[str, str], method: str = "scale",
@@ -125,13 +127,12 @@ def avg_pct_ranks(df: DataFrame, values: Mapping[str, str], method: str = "scale
     ``p(v) = (#{x < v} + (#{x == v} + 1) / 2) / #{x not null}``; NULL/NaN stay
     NULL, +-inf are ordinary extremes (N6).
 
-    ``method="scale"`` never puts all rows into one task: distinct values are
+    ``method="scale"`` never puts all rows into one task: the distinct values of all columns are
     counted with a partial aggregate, bucketed by the split points of a quantile
     sketch, prefix-summed inside each bucket (a window partitioned by
-    bucket), and offset by the totals of the earlier buckets (at most
-    ``MAX_BUCKETS`` and a few rows, broadcast). The split points (``bounds``, default: sketched from
-    ``df``) are a table of one row per column in the checkpoint folder, read as a scalar
-    subquery; the result does not depend on them.
+    bucket), and offset by the totals of the earlier buckets. The split points (``bounds``,
+    default: sketched from ``df``) and the ranks of the distinct values are tables in the
+    checkpoint folder; the result does not depend on the split points.
     ``method="window"`` is the textbook unpartitioned window (test oracle).
     """
     cols = list(df.columns)
@@ -151,13 +152,12 @@ def avg_pct_ranks(df: DataFrame, values: Mapping[str, str], method: str = "scale
     # a sketch made again after a lost executor could differ: the split points are fixed before they are used
     ensure_checkpoint_dir(df.sparkSession)
     bounds = bounds.checkpoint(eager=True)
-    steps = [st for i, value in enumerate(values) for st in _rank_steps(i, value)]
+    ranks = value_ranks(df, list(values), bounds).checkpoint(eager=True)
     keyed = ", ".join(f"{nan_to_null_sql(q(value))} AS __k{i}" for i, value in enumerate(values))
-    steps.append(("s", f"SELECT {src_cols}, {keyed} FROM {{src}}"))
     sel = ", ".join(f"r{i}.p AS {q(out)}" for i, out in enumerate(values.values()))
-    joins = " ".join(f"LEFT JOIN {{r{i}}} r{i} ON s.__k{i} = r{i}.v" for i in range(len(values)))
+    joins = " ".join(f"LEFT JOIN (SELECT v, p FROM {{r}} WHERE i = {i}) r{i} ON s.__k{i} = r{i}.v" for i in range(len(values)))
     s_cols = ", ".join(f"s.{q(c)}" for c in cols)
-    return run_sql({"src": df, "bounds": bounds}, f"SELECT {s_cols}, {sel} FROM {{s}} s {joins}", steps)
+    return run_sql({"src": df, "r": ranks}, f"SELECT {s_cols}, {sel} FROM {{s}} s {joins}", [("s", f"SELECT {src_cols}, {keyed} FROM {{src}}")])
 
 
 def avg_pct_rank(df: DataFrame, value: str, out: str, method: str = "scale", buckets: int | None = None,

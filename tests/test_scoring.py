@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitchside import presets
 from pitchside.operators.scoring import (
-    avg_pct_rank, league_percentiles, merged_bounds, top_k_by_aspect, value_sketches, weighted_scores,
+    avg_pct_rank, league_percentiles, merged_bounds, top_k_by_aspect, value_ranks, value_sketches, weighted_scores,
 )
 
 METRICS = [m for ws in presets.WEIGHTS.values() for m in ws]
@@ -87,11 +87,11 @@ def test_scale_form_equals_pandas_rank_on_random_values(spark):
 
 def test_scale_form_has_no_global_window_over_rows(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 37).cast("double").alias("v"))
-    plan = avg_pct_rank(df, "v", "p")._jdf.queryExecution().executedPlan().toString()
-    # the only unpartitioned windows run over the per-bucket totals, after a
-    # SinglePartition exchange of at most `buckets` rows; rows themselves are
-    # ranked inside hash partitions of the bucket id
-    assert "hashpartitioning(bk#" in plan
+    plan = value_ranks(df, ["v"], merged_bounds(value_sketches(df, ["v"]), 64))._jdf.queryExecution().executedPlan().toString()
+    # distinct values are ranked inside hash partitions of (column, bucket); only the buckets' totals share a partition per column
+    assert "hashpartitioning(i#" in plan
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("[i#" in w for w in windows)
 
 
 def test_bounds_are_no_literals_and_merge_over_seasons(spark):
