@@ -1,6 +1,7 @@
 """Operator 5: benchmark decontamination by template canonicalisation.
 
-Texts become canonical tokens: punctuation dropped, letters of up to two bytes and
+Texts become canonical tokens: punctuation and quotes dropped, words parted at white
+space of every kind, hyphens and dashes, letters of up to two bytes and
 U+1E00 to U+1FFF lower-cased, and runs of numbers, names and units replaced by one
 typed placeholder each. Capitals tell the names, so a text has three forms: one with
 names inside sentences, one with those that begin sentences as well (and with other
@@ -20,26 +21,32 @@ so only possible hits are shuffled, however large the benchmark is.
 
 Edge cases: null, empty or wordless texts have no windows and never match; items
 shorter than the window match whole, windows with fewer than ``LITERALS`` plain
-tokens only with equal slot values; repeated rows of one id count once; rows
-without id are one document (or item) named null; extra columns are ignored;
-empty tables give an empty result.
+tokens only with equal slot values; every row is judged by its own text, so rows
+of one id (or without one) that have different texts do not answer for each other,
+and repeated rows of one id and text count once; texts are one row each, cut into
+blocks of rows only, so a text of any length is judged whole; extra columns of any
+name are ignored or kept; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import U64, Words, flat_bytes, importable, mix, slices, written
+from pitchside.llm.common import U64, Words, flat_bytes, importable, mix, slices, unused, written
 
 #: Diagonals that are taken together (in two offset rows of bands, so drifts of up to half of it always are).
 BAND = 16
 #: Tokens of a window, least plain tokens of a template, log2 of the bits of the bitmap.
 WINDOW, LITERALS, BITMAP_BITS = 8, 3, 24
-#: Most ids to drop (some 20 bytes each) that are broadcast; more are joined by a shuffle.
+#: Texts that a task remembers, so that it passes copies on once (more only cost time).
+MET = 200_000
+#: Most texts to drop (some 50 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Words that are units of measure, and words that are numbers.
 UNITS = """kg g mg lb lbs oz km m cm mm mi mile miles foot feet inch inches yard yards meter meters metre metres
@@ -96,10 +103,31 @@ def _folded(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, capital
 
 
+def _plain_breaks(raw: np.ndarray) -> np.ndarray:
+    """The bytes with blanks for hyphens, dashes and white space beyond ASCII, and zeros (which are dropped) for quotes beyond ASCII."""
+    out = np.where(raw == 45, np.uint8(32), raw)
+    at = np.flatnonzero(raw == 0xC2)
+    at = at[at + 1 < len(raw)]
+    second = raw[at + 1]
+    for hit, as_byte in ((at[second == 0xA0], 32), (at[(second == 0xAB) | (second == 0xBB)], 0)):
+        out[hit], out[hit + 1] = as_byte, 0
+    at = np.flatnonzero((raw == 0xE2) | (raw == 0xE3) | (raw == 0xE1))
+    at = at[at + 2 < len(raw)]
+    code = raw[at].astype(np.int64) << 16 | raw[at + 1].astype(np.int64) << 8 | raw[at + 2]
+    general = (code >= 0xE28080) & (code <= 0xE280AF)
+    last = code & 255
+    quote = general & (last >= 0x98) & (last <= 0x9F) | (code == 0xE280B9) | (code == 0xE280BA)
+    blank = general & ((last <= 0x8B) | (last >= 0x90) & (last <= 0x95) | (last >= 0xA8) & (last <= 0xA9) | (last == 0xAF)) | (code == 0xE2819F) | (code == 0xE38080) | (code == 0xE19A80) | (code == 0xE28892)
+    for hit, as_byte in ((at[blank], 32), (at[quote], 0)):
+        out[hit], out[hit + 1], out[hit + 2] = as_byte, 0, 0
+    return out
+
+
 class Marked:
     """Words of a block of texts, marked: kind (but for names), capital, begin of a sentence, lower case, text of each."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray, units: np.ndarray, numbers: np.ndarray, small: np.ndarray):
+        raw = _plain_breaks(raw)
         solid = ((raw >= 48) & (raw <= 57)) | ((raw >= 65) & (raw <= 90)) | ((raw >= 97) & (raw <= 122)) | (raw >= 128)
         space = (raw == 32) | ((raw >= 9) & (raw <= 13))
         kept = np.flatnonzero(solid | space)
@@ -179,13 +207,15 @@ class Tokens:
 
 
 def _windows(df: DataFrame, key: str, sizes: list[int] | None, bitmap=None) -> DataFrame:
-    """Windows of the texts of ``df``: key, pos, n (tokens of the text), form, size, hash, slots (offset in the window, kind, value).
+    """Windows of the texts of ``df``: key, digest (of the text), pos, n (tokens of the text), form, size, hash, slots (offset in the
+    window, kind, value). A text that a task has met under the same key is left out.
 
     sizes None: of benchmark items, the windows of ``_sizes``. bitmap: only windows that hit it, the
     literal ones only where capitals tell no names."""
     def run(batches):
         marks = _hashes(UNITS), _hashes(NUMBERS), _hashes(SMALL)
         bits = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
+        met: set = set()
         for b in slices(batches, "text", 1 << 19):
             m = Marked(*flat_bytes(b.column(1)), *marks)
             keys, cols = b.column(0), {x: [] for x in ("doc", "pos", "n", "form", "size", "hash", "slots")}
@@ -210,24 +240,39 @@ def _windows(df: DataFrame, key: str, sizes: list[int] | None, bitmap=None) -> D
                     cols["size"] += [size] * len(doc)
                     cols["hash"] += h.view(np.int64).tolist()
                     cols["slots"] += [[{"at": j, "kind": _KINDS[t.kind[i + j]], "value": t.text(i + j)} for j in range(size) if t.kind[i + j]] for i in at.tolist()]
+            digest = {}
+            for i in dict.fromkeys(cols["doc"]):
+                text = hashlib.md5(b.column(1)[i].as_buffer().to_pybytes()).digest()
+                if (mark := (keys[i].as_py(), text)) not in met:
+                    if len(met) < MET:
+                        met.add(mark)
+                    digest[i] = text
+            fresh = [j for j, i in enumerate(cols["doc"]) if i in digest]
+            if len(fresh) < len(cols["doc"]):
+                cols = {k: [v[j] for j in fresh] for k, v in cols.items()}
             kind = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
             yield pa.RecordBatch.from_arrays([
-                keys.take(pa.array(cols["doc"], pa.int64())), pa.array(cols["pos"], pa.int64()), pa.array(cols["n"], pa.int64()),
+                keys.take(pa.array(cols["doc"], pa.int64())), pa.array([digest[i] for i in cols["doc"]], pa.binary()), pa.array(cols["pos"], pa.int64()), pa.array(cols["n"], pa.int64()),
                 pa.array(cols["form"], pa.int32()), pa.array(cols["size"], pa.int32()), pa.array(cols["hash"], pa.int64()), pa.array(cols["slots"], kind)],
-                names=[key, "pos", "n", "form", "size", "hash", "slots"])
+                names=[key, "digest", "pos", "n", "form", "size", "hash", "slots"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, "text").mapInArrow(
-        run, f"{key} {kind}, pos long, n long, form int, size int, hash long, slots array<struct<at:int,kind:string,value:string>>")
+        run, f"{key} {kind}, digest binary, pos long, n long, form int, size int, hash long, slots array<struct<at:int,kind:string,value:string>>")
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataFrame:
-    """One row per document and benchmark item it contains: doc_id, item_id, matched (windows of the item found on the
+    """One row per document text and benchmark item it contains: doc_id, item_id, matched (windows of the item found on the
     best band of diagonals, of its best form and size), n_windows, coverage, n_slots (distinct slot values of the item seen), n_changed (of them with another
     value in the document). A pair counts if coverage >= ``least`` without the windows that hold a value of the item that
     is not the same throughout the document's copy."""
+    return _contaminated(docs, bench, least).drop("digest", "idigest")
+
+
+def _contaminated(docs: DataFrame, bench: DataFrame, least: float) -> DataFrame:
+    """``contaminated`` with the digests of both texts."""
     spark = importable(docs.sparkSession)
-    items = _windows(bench, "item_id", None).dropDuplicates(["item_id", "pos", "hash"]).persist()
+    items = _windows(bench, "item_id", None).dropDuplicates(["item_id", "digest", "pos", "hash"]).persist()
     try:
         sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most WINDOW values
         word = F.expr(f"shiftrightunsigned(hash, {64 - BITMAP_BITS})")
@@ -241,11 +286,12 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataF
         items.unpersist()
     bc = spark.sparkContext.broadcast(bits.tobytes())
     d = _windows(docs, "doc_id", sorted(sizes), bc)
-    i = items.select("item_id", F.col("pos").alias("ipos"), "form", F.col("n").alias("in"), F.col("size").alias("isize"), "hash", F.col("slots").alias("islots"))
-    hit = d.select("doc_id", "pos", "hash", "slots").join(i, "hash")
-    hit = hit.withColumn("diag", F.col("pos") - F.col("ipos")).repartition("doc_id", "item_id")
+    i = items.select("item_id", F.col("digest").alias("idigest"), F.col("pos").alias("ipos"), "form", F.col("n").alias("in"), F.col("size").alias("isize"), "hash", F.col("slots").alias("islots"))
+    hit = d.select("doc_id", "digest", "pos", "hash", "slots").join(i, "hash")
+    hit = hit.withColumn("diag", F.col("pos") - F.col("ipos")).repartition("digest", "idigest")
     hit = hit.withColumn("band", F.explode(F.expr(f"array(2 * floor(diag / {BAND}), 2 * floor((diag + {BAND // 2}) / {BAND}) + 1)")))
-    by = ["doc_id", "item_id", "form", "isize", "band"]
+    pair = ["doc_id", "digest", "item_id", "idigest"]
+    by = [*pair, "form", "isize", "band"]
     # a window of the item counts with one of the document and the other way round, on the diagonal with most of them
     hit = hit.withColumn("_v", F.count("*").over(W.partitionBy(*by, "diag")))
     for one, other in (("ipos", "pos"), ("pos", "ipos")):
@@ -267,13 +313,14 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataF
     # smaller windows, of which a conflict takes away fewer, count only without one
     pairs = pairs.where(f"matched > 0 AND (n_conflicts = 0 OR isize = least(in, {WINDOW}))")
     pairs = pairs.withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= least)
-    best = W.partitionBy("doc_id", "item_id").orderBy(F.desc("coverage"), F.desc("isize"), "n_changed", "form", "band")
+    best = W.partitionBy(*pair).orderBy(F.desc("coverage"), F.desc("isize"), "n_changed", "form", "band")
     pairs = pairs.withColumn("_r", F.row_number().over(best)).where("_r = 1")
-    return pairs.select("doc_id", "item_id", "matched", "n_windows", "coverage", "n_slots", "n_changed")
+    return pairs.select(*pair, "matched", "n_windows", "coverage", "n_slots", "n_changed")
 
 
 def keep_clean(docs: DataFrame, bench: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item. The list of ids to drop is broadcast if it is short."""
-    bad = written(contaminated(docs, bench, least).select(F.col("doc_id").alias("_bad")).distinct(), "op5-bad")
+    """The rows of ``docs`` that contain no benchmark item. The list of (id, text digest) to drop is broadcast if it is short."""
+    ident, digest = unused("_id", docs), unused("_digest", docs)
+    bad = written(_contaminated(docs, bench, least).select(F.col("doc_id").alias(ident), F.lower(F.hex("digest")).alias(digest)).distinct(), "op5-bad")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.md5(F.col("text").cast("binary")) == F.col(digest)), "left_anti")

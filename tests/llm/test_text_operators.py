@@ -209,6 +209,30 @@ def found(spark, texts, item, **least):
     return {r.doc_id for r in decontaminate.contaminated(frame(spark, texts), bench, **least).collect()}
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    bench = spark.createDataFrame([(1, ITEM), (1, "What is the third planet that people can see from the old tower at night?"), (None, None)], "item_id long, text string")
+    rows = [(None, "x " + ITEM), (None, "clean words only"), (None, None), (7, ITEM + " end"), (7, "another clean text"), (7, ITEM + " end"), (8, "clean words only"), (None, "clean words only"),
+            (9, ITEM[:70]), (9, ITEM[70:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for c in ("_bad", "_id", "_digest", "digest", "item_id", "hash"):
+        docs = docs.withColumn(c, F.lit(1))
+    kept = decontaminate.keep_clean(docs, bench)
+    assert kept.columns == docs.columns
+    halves = {r.doc_id for r in decontaminate.contaminated(docs.where("doc_id = 9"), bench).collect()}
+    want = [r for r in rows if not (r[1] and ITEM in r[1]) and r[0] not in halves]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got if r.doc_id == 7) == [(7, 1)] and sum(r.doc_id is None for r in got) == 1
+
+
+def test_other_blanks_dashes_and_quotes_do_not_hide_a_copy(spark):
+    words = ITEM.split()
+    copies = [ITEM.replace(" ", "\u00a0"), ITEM.replace(" ", "\u2009"), ITEM.replace(" ", " \u2014 ", 6), ITEM.replace(" ", "-"), ITEM.replace(" ", "\u2013"),
+              " ".join(f"\u201c{w}\u201d" if i % 4 == 0 else w for i, w in enumerate(words)), ITEM.replace(" ", "\u3000"), ITEM.replace("farmer", "\u00abfarmer\u00bb")]
+    assert found(spark, copies, ITEM) == set(range(len(copies)))
+    assert found(spark, ["caf\u00e9 \u00c2 \u20ac \u4e2d\u6587 " * 30, "\u00a0\u2014" * 40], ITEM) == set()
+
+
 def test_items_in_another_letter_case_are_found(spark):
     copies = [ITEM.upper(), ITEM.lower(), ITEM.title(), "Some words. " + ITEM.upper() + " And Bob went to Paris.",
               " ".join(w if w in ("a", "to", "on", "for", "the") else w.capitalize() for w in ITEM.split())]
