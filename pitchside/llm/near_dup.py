@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import U64, Words, components, flat_bytes, importable, mix, slices, written
+from pitchside.llm.common import U64, Words, components, flat_bytes, importable, mix, slices, unused, written
 
 #: log2 of the slots of the frequency sketch, and the most slots the driver gathers (12 bytes each).
 SKETCH_BITS, SKETCH_KEPT = 22, 1 << 18
@@ -456,14 +456,15 @@ def keep_one_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     without id stays only if no other of its component has one, and then one text of the component."""
     got, classes, bc = _labelled(docs.select("doc_id", "text"), k, num, den)
     keep = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).where("doc_id IS NOT NULL OR n_shingles = 0")
-    keep = keep.select(F.col("doc_id").alias("_id"), (F.col("n_shingles") == 0).alias("_blank")).distinct()
+    ident, is_blank, text = (unused(x, docs) for x in ("_id", "_blank", "_text"))
+    keep = keep.select(F.col("doc_id").alias(ident), (F.col("n_shingles") == 0).alias(is_blank)).distinct()
     blank = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (blank == F.col("_blank")), "left_semi")
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(ident)) & (blank == F.col(is_blank)), "left_semi")
     if not classes.where("rep IS NULL").isEmpty():
         # components without ids: the smallest text of the smallest class of each
         without = got.where("doc_id IS NULL AND component_id IS NULL AND n_shingles > 0").groupBy("_root").agg(F.min("class_id").alias("_class"))
         texts = docs.where("doc_id IS NULL").select(F.col("text").alias("doc_id"), "text").distinct()
         texts = _signatures(texts, bc, k, num, den).select(F.col("doc_id").alias("_text"), F.hex("digest").alias("_class"))
-        texts = written(texts.join(without, "_class").groupBy("_class").agg(F.min("_text").alias("_text")).select("_text"), "op3-no-ids")
-        kept = kept.unionAll(docs.where("doc_id IS NULL").join(texts, F.col("text") == F.col("_text"), "left_semi"))
+        texts = written(texts.join(without, "_class").groupBy("_class").agg(F.min("_text").alias(text)).select(text), "op3-no-ids")
+        kept = kept.unionAll(docs.where("doc_id IS NULL").join(texts, F.col("text") == F.col(text), "left_semi"))
     return kept.dropDuplicates(["doc_id", "text"])

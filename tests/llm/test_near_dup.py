@@ -2,6 +2,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from pitchside.llm import near_dup
 
 
@@ -106,3 +108,13 @@ def test_one_text_stays_of_a_component_without_ids(spark):
             (None, "p q r s t u", None), (None, " ", None), (8, None, None)]
     got = sorted(((r.doc_id, (r.text or "").strip()[:5]) for r in near_dup.keep_one_each(spark.createDataFrame(rows, schema), 5, 80, 100).collect()), key=repr)
     assert got == sorted([(None, "w0 w1"), (7, "a b c"), (None, "p q r"), (None, ""), (8, "")], key=repr)
+
+
+def test_columns_with_names_of_helpers_are_kept(spark):
+    rows = [(1, "one two three four five six seven"), (2, "one two three four five six seven"), (None, "one two three four five six seven"), (None, "alone in this table of texts"), (3, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("_id", "_blank", "_text", "_class", "_root", "digest", "rep"):
+        df = df.withColumn(c, F.lit("q"))
+    kept = near_dup.keep_one_each(df, k=5, num=80, den=100)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([rows[0], rows[3], rows[4], rows[5]], key=repr)
