@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchside.llm import chat, decontaminate, fixity, hard_negatives, lang_id, near_dup, neighbours, packing, pii, quality, sharding, source_divergence, token_counts
-from pitchside.llm.common import table, written
+from pitchside.llm.common import table
 
 #: Tokens of a text over which op2 reports it, length of op8's sequences.
 TOKEN_LIMIT, SEQUENCE = 2048, 1024
@@ -57,7 +57,7 @@ def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    got = sharding.interleaved(written(docs, "op6-rows"), shards=40)
+    got = sharding.interleaved(docs, shards=40)
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 

@@ -11,9 +11,11 @@ counted in buckets of the hash (or of the fraction), the buckets' counts are
 summed up in order, and rows are numbered within their bucket only.
 
 Edge cases: a null source is a source of its own; a null or empty text has size
-16; ties and repeated rows are ordered by all their columns, equal rows are
-interchangeable; all columns are carried, helper names are prefixed; an empty
-table gives an empty result.
+16; ties and repeated rows are ordered by all their columns; rows that share an id
+(or have none) are dealt by their other columns where they are more than a bucket, and
+equal rows, which are interchangeable, by a written row number; all columns are
+carried under their names, texts of any length as they are; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitchside.llm.common import written
+
 #: Rows of a bucket that are aimed at, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
 
@@ -43,16 +47,27 @@ def _ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column]
 
 
 def interleaved(df: DataFrame, shards: int = 40, source: str = "source", key: str = "doc_id", seed: int = 20) -> DataFrame:
-    """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard)."""
-    names = [F.col(f"`{c}`") for c in df.columns]
-    total = df.count()
+    """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard); columns of these names are replaced."""
+    keep = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    # columns by number, so that no name can clash with a helper's; rows numbered once, as equal ones are told apart by it alone
+    at = {c: f"c{i}" for i, c in enumerate(keep)}
+    rows = written(df.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()], F.monotonically_increasing_id().alias("_row")), "op6-rows")
+    total = rows.count()
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_ROWS))
-    df = df.select(*names, F.xxhash64(*names).alias("_all"), F.xxhash64(F.lit(seed), F.col(key)).alias("_hash"), F.col(source).alias("_source"))
+    rows = rows.select("*", F.xxhash64(*at.values()).alias("_all"), F.xxhash64(F.lit(seed), F.col(at[key])).alias("_seeded"), F.col(at[source]).alias("_source"))
+    # rows without id, or of one id, are parted by their other columns; more than a bucket of equal rows by their numbers (at most
+    # one such hash in BUCKET_ROWS rows, so the list is broadcast)
+    same = rows.groupBy(F.col("_seeded").alias("_s")).agg(F.count("*").alias("_n")).where(f"_n > {BUCKET_ROWS}")
+    rows = rows.join(F.broadcast(same), F.col("_seeded") == F.col("_s"), "left")
+    rows = rows.withColumn("_hash", F.when(F.col("_n").isNull(), F.col("_seeded")).otherwise(F.xxhash64(F.lit(seed), "_all"))).drop("_s", "_n")
+    equal = rows.groupBy(F.col("_hash").alias("_s")).agg(F.count("*").alias("_n")).where(f"_n > {BUCKET_ROWS}")
+    rows = rows.join(F.broadcast(equal), F.col("_hash") == F.col("_s"), "left")
+    rows = rows.withColumn("_hash", F.when(F.col("_n").isNull(), F.col("_hash")).otherwise(F.xxhash64(F.lit(seed), "_hash", "_row"))).drop("_s", "_n")
     # buckets cut the range of the hash, then that of the fraction, evenly
     part = F.floor((F.col("_hash") / F.lit(2.0 ** 64) + 0.5) * buckets)
-    df = _ranked(df, ["_source"], part, [F.col("_hash"), F.col(key), F.col("_all")], "_rank", "_size")
-    df = df.withColumn("_at", (F.col("_rank") - 0.5) / F.col("_size")).drop("_rank", "_size")
-    df = _ranked(df, [], F.floor(F.col("_at") * buckets), [F.col("_at"), F.col("_hash"), F.col("_source"), F.col("_all")], "_place", "_size")
+    rows = _ranked(rows, ["_source"], part, [F.col("_hash"), F.col(at[key]), F.col("_all"), F.col("_row")], "_rank", "_size")
+    rows = rows.withColumn("_at", (F.col("_rank") - 0.5) / F.col("_size")).drop("_rank", "_size")
+    rows = _ranked(rows, [], F.floor(F.col("_at") * buckets), [F.col("_at"), F.col("_hash"), F.col("_source"), F.col("_all"), F.col("_row")], "_place", "_size")
     # shard s holds the places from ceil(s * total / shards) on
-    df = df.withColumn("shard", F.expr(f"cast((_place - 1) * {shards} div {max(total, 1)} as int)"))
-    return df.select(*names, "shard", F.expr(f"_place - 1 - (shard * {total}L + {shards - 1}) div {shards}").alias("slot"))
+    rows = rows.withColumn("shard", F.expr(f"cast((_place - 1) * {shards} div {max(total, 1)} as int)"))
+    return rows.select(*[F.col(n).alias(c) for c, n in at.items()], "shard", F.expr(f"_place - 1 - (shard * {total}L + {shards - 1}) div {shards}").alias("slot"))

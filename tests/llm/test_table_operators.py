@@ -97,6 +97,39 @@ def test_interleaving_law_and_mixture(spark):
     assert sharding.interleaved(df.where("false"), 40).count() == 0
 
 
+def test_interleaving_equals_plain_ranks(spark):
+    rows = [(i, "hot" if i % 3 else f"s{i % 5}", f"t{i % 11}") for i in range(700)] + [(None, "s1", f"n{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    hashed = [tuple(r) for r in df.select("*", F.xxhash64(F.lit(20), "doc_id"), F.xxhash64("doc_id", "source", "text")).collect()]
+    low = lambda x: (x is not None, x)
+    at = {}
+    for source in {r[1] for r in hashed}:
+        own = sorted((r for r in hashed if r[1] == source), key=lambda r: (r[3], low(r[0]), r[4]))
+        at |= {r[:3]: ((i + 0.5) / len(own), r[3], r[1], r[4]) for i, r in enumerate(own)}
+    order = sorted(at, key=at.get)
+    want = {}
+    for place, r in enumerate(order):
+        shard = place * 40 // len(order)
+        want[r] = (shard, place - -(-shard * len(order) // 40))
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in sharding.interleaved(df, 40).collect()} == want
+
+
+def test_interleaving_of_hot_rows_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    rows = [(None, "a", "same")] * 900 + [(None, "b", f"t{i}") for i in range(900)] + [(i, "c", "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for c in ("_hash", "_bucket", "_all", "_row", "c0", "_source", "slot"):
+        df = df.withColumn(c, F.lit("q"))
+    got = sharding.interleaved(df, 8)
+    assert set(got.columns) == {*df.columns, "shard"}
+    got = got.collect()
+    assert Counter((r.doc_id, r.source, r.text) for r in got) == Counter(rows) and {r["_hash"] for r in got} == {"q"}
+    per = Counter((r.shard, r.source) for r in got)
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(250))
+        assert all(abs(per[s, src] - n / 8) <= 2 for src, n in (("a", 900), ("b", 900), ("c", 200)))
+
+
 def brute_neighbours(rows, k, ask):
     good = {}
     for i, v in rows:
