@@ -145,7 +145,7 @@ CELL_SCHEMA = ("origin string, grid_rows int, grid_cols int, cell_row int, cell_
                "marked int, flag int")
 
 
-def _per_image(images: DataFrame, image_field: str, keep: Sequence[str], schema: str, names: Sequence[str], reduce) -> DataFrame:
+def per_image(images: DataFrame, image_field: str, keep: Sequence[str], schema: str, names: Sequence[str], reduce) -> DataFrame:
     """One pass over Spark ``image`` rows: ``reduce(origin, array)`` gives columns (lists or arrays of one length)
     per image, each decoded once; ``keep`` columns are repeated beside them. Rows without image data give nothing.
 
@@ -169,6 +169,37 @@ def _per_image(images: DataFrame, image_field: str, keep: Sequence[str], schema:
     return images.select(image_field, *keep).mapInArrow(run, schema + more)
 
 
+def gray_function():
+    """G1 of an image array, as a nested function (see ``per_image``)."""
+    r2y, g2y, b2y, shift = R2Y, G2Y, B2Y, YUV_SHIFT
+
+    def gray(img):
+        if img.shape[2] == 1:
+            return img[:, :, 0].astype(np.int32)
+        b, g, r = (img[:, :, k].astype(np.int32) for k in range(3))
+        return (r * r2y + g * g2y + b * b2y + (1 << (shift - 1))) >> shift
+
+    return gray
+
+
+def hsv_function():
+    """8-bit hue, saturation and value of an image array of three channels, as a nested function."""
+    hue, one, shift = HUE_RANGE, 1 << HSV_SHIFT, HSV_SHIFT
+
+    def hsv(img):
+        b, g, r = (img[:, :, k].astype(np.int64) for k in range(3))
+        v = np.maximum(np.maximum(r, g), b)
+        diff = v - np.minimum(np.minimum(r, g), b)
+        sdiv = np.where(v == 0, 0, np.floor(255.0 * one / np.maximum(v, 1) + 0.5)).astype(np.int64)
+        s = (diff * sdiv + one // 2) >> shift
+        raw = np.where(v == r, g - b, np.where(v == g, b - r + 2 * diff, r - g + 4 * diff))
+        hdiv = np.where(diff == 0, 0, np.floor(float(hue * one) / np.maximum(diff * 6, 1) + 0.5)).astype(np.int64)
+        h = (raw * hdiv + one // 2) >> shift
+        return np.where(h < 0, h + hue, h), s, v
+
+    return hsv
+
+
 def image_cells(images: DataFrame, cell: tuple[int, int] = presets.GRID_CELL,
                 fraction: float = presets.GRID_FRACTION, band: tuple[int, int] = presets.GRAY_BAND,
                 image_field: str = "image", keep: Sequence[str] = ()) -> DataFrame:
@@ -176,15 +207,10 @@ def image_cells(images: DataFrame, cell: tuple[int, int] = presets.GRID_CELL,
     (e.g. a side derived from the path). An image given twice counts twice."""
     ch, cw = cell
     lo, hi = band
-    r2y, g2y, b2y = R2Y, G2Y, B2Y
-    shift = YUV_SHIFT
+    to_gray = gray_function()
 
     def cells(origin, img):
-        if img.shape[2] == 1:
-            gray = img[:, :, 0].astype(np.int32)
-        else:
-            b, g, r = (img[:, :, k].astype(np.int32) for k in range(3))
-            gray = (r * r2y + g * g2y + b * b2y + (1 << (shift - 1))) >> shift
+        gray = to_gray(img)
         gr, gc = img.shape[0] // ch, img.shape[1] // cw
         mask = ((gray >= hi) | (gray <= lo)).astype(np.int32)
         counts = mask[: gr * ch, : gc * cw].reshape(gr, ch, gc, cw).sum(axis=(1, 3)).ravel().astype(np.int32)
@@ -193,32 +219,23 @@ def image_cells(images: DataFrame, cell: tuple[int, int] = presets.GRID_CELL,
         return ([origin] * n, np.full(n, gr, np.int32), np.full(n, gc, np.int32), rr.ravel(), cc.ravel(), counts,
                 (counts > ch * cw * fraction).astype(np.int32))
 
-    return _per_image(images, image_field, keep, CELL_SCHEMA, [c.split()[0] for c in CELL_SCHEMA.split(", ")], cells)
+    return per_image(images, image_field, keep, CELL_SCHEMA, [c.split()[0] for c in CELL_SCHEMA.split(", ")], cells)
 
 
 def image_colour_classes(images: DataFrame, ranges=presets.HSV_RANGES, image_field: str = "image",
                          keep: Sequence[str] = ()) -> DataFrame:
     """G9 on Spark ``image`` rows: ``origin, <name>_pixels..., keep...``; gray images have no colour classes."""
     limits = list(ranges.items())
-    hue, one, shift = HUE_RANGE, 1 << HSV_SHIFT, HSV_SHIFT
+    to_hsv = hsv_function()
 
     def classes(origin, img):
         if img.shape[2] < 3:
             return ([origin], *([0] for _ in limits))
-        b, g, r = (img[:, :, k].astype(np.int64) for k in range(3))
-        v = np.maximum(np.maximum(r, g), b)
-        diff = v - np.minimum(np.minimum(r, g), b)
-        sdiv = np.where(v == 0, 0, np.floor(255.0 * one / np.maximum(v, 1) + 0.5)).astype(np.int64)
-        s = (diff * sdiv + one // 2) >> shift
-        raw = np.where(v == r, g - b, np.where(v == g, b - r + 2 * diff, r - g + 4 * diff))
-        hdiv = np.where(diff == 0, 0, np.floor(float(hue * one) / np.maximum(diff * 6, 1) + 0.5)).astype(np.int64)
-        h = (raw * hdiv + one // 2) >> shift
-        h = np.where(h < 0, h + hue, h)
-        hsv = (h, s, v)
+        hsv = to_hsv(img)
         return ([origin], *([int(np.logical_and.reduce([(x >= lo[i]) & (x <= up[i]) for i, x in enumerate(hsv)]).sum())] for _, (lo, up) in limits))
 
     names = ["origin", *(f"{name}_pixels" for name, _ in limits)]
-    return _per_image(images, image_field, keep, "origin string, " + ", ".join(f"{n} bigint" for n in names[1:]), names, classes)
+    return per_image(images, image_field, keep, "origin string, " + ", ".join(f"{n} bigint" for n in names[1:]), names, classes)
 
 
 def image_sections(images: DataFrame, image_field: str = "image", keep: Sequence[str] = (),
@@ -235,7 +252,7 @@ def image_sections(images: DataFrame, image_field: str = "image", keep: Sequence
                 np.array([img.shape[2]] * 2, np.int32), [p.tobytes() for p in parts])
 
     schema = "origin string, section string, height int, width int, nChannels int, data binary"
-    return _per_image(images, image_field, keep, schema, [c.split()[0] for c in schema.split(", ")], cut)
+    return per_image(images, image_field, keep, schema, [c.split()[0] for c in schema.split(", ")], cut)
 
 
 # ---------------------------------------------------------------------------

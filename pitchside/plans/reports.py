@@ -14,9 +14,11 @@ from pitchside import presets
 from pitchside.functions.sql import q
 from pitchside.operators.formation import formation_profile, formation_rows
 from pitchside.operators.grid import accumulate, image_cells, scale_grid
+from pitchside.operators.integral import image_integrals, integral_cells
 from pitchside.operators.lanes import attack_lanes, lane_profile
 from pitchside.operators.prompt import scouting_prompt
 from pitchside.operators.summary import season_summary
+from pitchside.session import ensure_checkpoint_dir
 
 
 def heatmaps(images: DataFrame, by: Sequence[str] = ("side",), method: str = "log",
@@ -26,6 +28,16 @@ def heatmaps(images: DataFrame, by: Sequence[str] = ("side",), method: str = "lo
     return scale_grid(accumulate(cells, by, dense=True), method, by)
 
 
+def heatmaps_by_setting(images: DataFrame, settings: Sequence[tuple], by: Sequence[str] = ("side",), table: DataFrame | None = None) -> DataFrame:
+    """G1-G5 for several cell sizes, fractions and crops from one decode: ``setting, by..., cell_row, cell_col, hits``.
+
+    ``table``: summed-area tables written earlier; without it they are kept in the checkpoint folder first."""
+    if table is None:
+        ensure_checkpoint_dir(images.sparkSession)
+        table = image_integrals(images, keep=by).checkpoint(eager=True)
+    return accumulate(integral_cells(table, settings, keep=by), ["setting", *by], dense=True)
+
+
 def lane_profiles(tokens: DataFrame, images: DataFrame, by: Sequence[str] = ("team", "side"),
                   image_col: str = "image_id") -> DataFrame:
     """Tokens of lane crops and one row per image with the ``by`` columns -> one profile per group."""

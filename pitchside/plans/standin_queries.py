@@ -22,6 +22,7 @@ from pitchside.operators.grid import (
     image_dims, image_sections, scale_grid, with_gray,
 )
 from pitchside.operators.lanes import attack_lanes, classify_tokens, lane_profile
+from pitchside.operators.masks import combined_masks, image_masks
 from pitchside.operators.positions import primary_category
 from pitchside.operators.prompt import scouting_prompt
 from pitchside.operators.scoring import (
@@ -31,6 +32,7 @@ from pitchside.operators.summary import season_summary, team_summary
 from pitchside.functions.sql import q
 from pitchside.plans import standins as si
 from pitchside.plans.player import player_matchups
+from pitchside.plans.reports import heatmaps_by_setting
 
 ASPECTS = presets.ASPECTS
 SEASON = si.STANDIN_SEASON
@@ -671,8 +673,8 @@ _LO_B, _HI_B = presets.GRAY_BAND
 _GRAY_SQL = "((4899 * r + 9617 * g + 1868 * b + 8192) >> 14)"
 
 
-def _sql_grid(gray_expr: str) -> str:
-    ch, cw = CELL
+def _sql_grid(gray_expr: str, cell: tuple[int, int] = CELL, fraction: float = FRACTION) -> str:
+    ch, cw = cell
     return f"""px AS ({si.PIXEL_SQL}),
 pxg AS (SELECT *, {gray_expr} AS gv FROM px),
 dims AS (SELECT image_id, max("row") + 1 AS height, max(col) + 1 AS width FROM pxg GROUP BY image_id),
@@ -680,7 +682,7 @@ cells AS (SELECT image_id, side, CAST(floor("row" / {ch}) AS INTEGER) AS cell_ro
                  CAST(floor(col / {cw}) AS INTEGER) AS cell_col,
                  sum(CASE WHEN gv >= {_HI_B} OR gv <= {_LO_B} THEN 1 ELSE 0 END) AS marked
           FROM pxg GROUP BY ALL),
-flags AS (SELECT c.*, CASE WHEN marked > {float(ch * cw * FRACTION)!r} THEN 1 ELSE 0 END AS flag
+flags AS (SELECT c.*, CASE WHEN marked > {float(ch * cw * fraction)!r} THEN 1 ELSE 0 END AS flag
           FROM cells c JOIN dims d USING (image_id)
           WHERE cell_row < CAST(floor(height / {ch}) AS INTEGER) AND cell_col < CAST(floor(width / {cw}) AS INTEGER)),
 grid AS (SELECT side, cell_row, cell_col, CAST(sum(flag) AS BIGINT) AS hits FROM flags GROUP BY ALL)"""
@@ -820,6 +822,60 @@ def q_image_sections(spark, d):
     return image_sections(si.images(spark, d)).select("origin", "section", "height", "width", F.hex("data").alias("bgr"))
 
 
+SETTINGS = [("fine", (2, 2), 0.2), ("driver", CELL, 0.1), ("wide", (4, 2), 0.5)]
+
+
+@register("grid_settings", "\nUNION ALL\n".join(f"""SELECT '{name}' AS setting, side, cell_row, cell_col, hits FROM (WITH {_sql_grid(_GRAY_SQL, cell, fraction)}
+SELECT * FROM grid)""" for name, cell, fraction in SETTINGS))
+def q_grid_settings(spark, d):
+    """Three cell sizes and fractions from one decode of the images."""
+    return heatmaps_by_setting(si.images(spark, d), SETTINGS, by=["side"])
+
+
+def _sql_masks() -> str:
+    """Runs of the pixels of each class in row-major order, and each image's masks."""
+    marks = " UNION ALL ".join(f"SELECT image_id, side, '{name}' AS class, \"row\" * 8 + col AS i, \"row\" AS r, col AS c FROM px WHERE {_sql_in_range(_H, _S, _V, lo, hi)}"
+                               for name, (lo, hi) in presets.HSV_RANGES.items())
+    return f"""px0 AS ({si.PIXEL_SQL}),
+px AS (SELECT * FROM px0),
+marks AS ({marks}),
+all_ AS (SELECT DISTINCT image_id, side, class FROM px CROSS JOIN (SELECT unnest([{", ".join(f"'{n}'" for n in presets.HSV_RANGES)}]) AS class))"""
+
+
+_SQL_MASK_ROWS = """isl AS (SELECT *, i - row_number() OVER (PARTITION BY image_id, class ORDER BY i) AS g FROM marks),
+runs AS (SELECT image_id, class, min(i) AS s, count(*) AS n, min(r) AS y0, max(r) AS y1, min(c) AS x0, max(c) AS x1 FROM isl GROUP BY image_id, class, g),
+coded AS (SELECT image_id, class, CAST(sum(n) AS BIGINT) AS area, min(x0) AS x0, min(y0) AS y0, max(x1) + 1 AS x1, max(y1) + 1 AS y1,
+                 string_agg(s || '+' || n, ' ' ORDER BY s) AS runs FROM runs GROUP BY image_id, class)
+SELECT 'emb://' || CAST(a.image_id AS VARCHAR) AS origin, a.side, a.class, coalesce(area, 0) AS area, CAST(x0 AS INTEGER) AS x0, CAST(y0 AS INTEGER) AS y0,
+       CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1, coalesce(runs, '') AS runs
+FROM all_ a LEFT JOIN coded USING (image_id, class)"""
+
+
+def _masks_out(df):
+    runs = "array_join(transform(arrays_zip(starts, lengths), r -> concat(r.starts, '+', r.lengths)), ' ') AS runs"
+    return df.selectExpr("origin", "side", "class", "area", "x0", "y0", "x1", "y1", runs)
+
+
+@register("image_masks", f"WITH {_sql_masks()},\n{_SQL_MASK_ROWS}")
+def q_image_masks(spark, d):
+    return _masks_out(image_masks(si.images(spark, d), keep=["side"]))
+
+
+@register("mask_overlaps", f"""WITH {_sql_masks().replace("marks AS (", "marks0 AS (").replace("all_ AS (", "all0 AS (")},
+b AS (SELECT image_id, i FROM marks0 WHERE class = 'blue'),
+k AS (SELECT * FROM marks0 WHERE class = 'black'),
+marks AS (SELECT image_id, side, 'black_and_blue' AS class, i, r, c FROM k WHERE EXISTS (SELECT 1 FROM b WHERE b.image_id = k.image_id AND b.i = k.i)
+          UNION ALL SELECT image_id, side, 'black_minus_blue', i, r, c FROM k WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.image_id = k.image_id AND b.i = k.i)
+          UNION ALL SELECT image_id, side, 'black_or_blue', i, r, c FROM (SELECT DISTINCT image_id, side, i, r, c FROM marks0)),
+all_ AS (SELECT DISTINCT image_id, side, 'black_' || how || '_blue' AS class FROM px CROSS JOIN (SELECT unnest(['and', 'minus', 'or']) AS how)),
+{_SQL_MASK_ROWS}""")
+def q_mask_overlaps(spark, d):
+    """Both line masks of each image combined on their runs."""
+    masks = image_masks(si.images(spark, d), keep=["side"])
+    both = [combined_masks(masks, "black", "blue", how, keep=["side"]) for how in ("and", "minus", "or")]
+    return _masks_out(both[0].unionAll(both[1]).unionAll(both[2]))
+
+
 # ----------------------------------------------------------------------------
 # report catalog and crop plan
 # ----------------------------------------------------------------------------
