@@ -30,12 +30,12 @@ def _best_steps(aspects: Sequence[str], name_col: str, team_col: str, cat_col: s
                 carry: Sequence[str] = ()) -> list[tuple[str, str]]:
     more = "".join(f", {q(c)}" for c in carry)
     own = "".join(f", {q(c)} AS {q('own_' + c)}" for c in carry)
-    scores = ", ".join(q(score_col(a)) for a in aspects)
     stack = ", ".join(f"{lit_str(a)}, {q(score_col(a))}" for a in aspects)
     return [
+        # a player on several aspects is in the pool several times, which does not change who comes first
         ("pool_long", f"""SELECT {q(name_col)}, {q(team_col)}, {q(cat_col)}{more},
        stack({len(aspects)}, {stack}) AS (metric, __s)
-FROM (SELECT DISTINCT {q(name_col)}, {q(team_col)}, {q(cat_col)}, {scores}{more} FROM {{own}})
+FROM {{own}}
 WHERE {q(cat_col)} IS NOT NULL"""),
         ("best", f"""SELECT {q(cat_col)} AS __cat, metric AS __metric, {q(name_col)} AS own_name,
        {q(team_col)} AS own_team, {q(cat_col)} AS own_position{own} FROM (

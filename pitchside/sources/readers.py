@@ -1,17 +1,20 @@
 """Scans with explicit schemas.
 
 CSV columns are found by name in the header and cast cell by cell (no inference
-pass over the data); ``csv_rejects`` counts the cells that do not fit. The NaN
+pass over the data); ``checked_csv`` counts the cells that do not fit on the way and
+``land_csv`` sets their rows aside, in one pass over the files; ``csv_rejects`` counts them alone. The NaN
 values pandas would treat as missing become NULL once, here (N14). File listings
 never select ``content``, so the binary source only lists.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    DoubleType, FloatType, IntegerType, StringType, StructField, StructType,
+    BooleanType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType,
 )
 
 from pitchside import presets
@@ -91,6 +94,41 @@ def csv_rejects(spark: SparkSession, path: str, schema: StructType, null_value:
     return cells.selectExpr(*counts).selectExpr(f"stack({len(schema.names)}, {pairs}) AS (column, rejected)")
 
 
+def _checked(spark: SparkSession, path: str, schema: StructType, null_value: str | None, date_col: str | None,
+             observation: Observation) -> DataFrame:
+    """Typed rows with ``bad`` (column -> text of the cells that do not fit; empty map: none), counted into ``observation`` on the way."""
+    cells = _csv_cells(spark, path, schema, null_value)
+    typed, marks = [], []
+    for f in schema.fields:
+        value = parse_date_sql(q(f.name)) if f.name == date_col else _cast_sql(f)
+        typed.append(f"{nan_to_null_sql(value) if isinstance(f.dataType, DoubleType) else value} AS {q(f.name)}")
+        unfit = f"btrim({q(f.name)}) <> '' AND lower(btrim({q(f.name)})) <> 'nan' AND ({value}) IS NULL"
+        marks.append(f"named_struct('key', {lit_str(f.name)}, 'value', CASE WHEN {unfit} THEN {q(f.name)} END)")
+    rows = cells.selectExpr(*typed, f"map_from_entries(filter(array({', '.join(marks)}), e -> e.value IS NOT NULL)) AS bad")
+    counts = [F.expr(f"count_if(map_contains_key(bad, {lit_str(n)}))").alias(n) for n in schema.names]
+    return rows.observe(observation, F.count(F.lit(1)).alias("rows"), F.expr("count_if(size(bad) > 0)").alias("rows with rejects"), *counts)
+
+
+def checked_csv(spark: SparkSession, path: str, schema: StructType, null_value: str | None = None,
+                date_col: str | None = None) -> tuple[DataFrame, Observation]:
+    """S1, S2 with their rejects counted in the same pass: the typed rows with ``bad`` (column -> text of each cell that
+    became NULL), and an observation that holds, after the first action on them, ``rows``, ``rows with rejects`` and the
+    rejected cells of every column (``observation.get``). The counts equal ``csv_rejects``, which reads the files again."""
+    observation = Observation(f"rejects-{uuid.uuid4().hex}")
+    return _checked(spark, path, schema, null_value, date_col, observation), observation
+
+
+def land_csv(spark: SparkSession, path: str, schema: StructType, out: str, null_value: str | None = None,
+             date_col: str | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """CSV files into Parquet below ``out`` in one pass over them: (clean rows, quarantined rows with ``bad``, counts).
+
+    Rows with a rejected cell go to the folder ``quarantined=true``; those without to ``quarantined=false``."""
+    rows, observation = checked_csv(spark, path, schema, null_value, date_col)
+    rows.withColumn("quarantined", F.expr("size(bad) > 0")).write.mode("overwrite").partitionBy("quarantined").parquet(out)
+    landed = spark.read.schema(StructType([*rows.schema.fields, StructField("quarantined", BooleanType())])).parquet(out)
+    return landed.where("NOT quarantined").drop("bad", "quarantined"), landed.where("quarantined").drop("quarantined"), observation.get
+
+
 def read_team_matches(spark: SparkSession, path: str, fmt: str = "csv",
                       null_value: str | None = None) -> DataFrame:
     """S1 (+A1): one row per team per match; ``date`` parsed to a timestamp."""
@@ -121,6 +159,15 @@ def read_images(spark: SparkSession, path: str, glob: str = "*.{png,jpg,jpeg}")
             .option("pathGlobFilter", glob).load(path))
 
 
+def checked_images(spark: SparkSession, path: str, glob: str = "*.{png,jpg,jpeg}") -> tuple[DataFrame, DataFrame, Observation]:
+    """S4/S5 with unreadable files counted in the same pass: (image rows, origins of the unreadable files, observation of ``files``
+    and ``unreadable`` after the first action on the image rows)."""
+    every = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", glob).load(path)
+    observation = Observation(f"images-{uuid.uuid4().hex}")
+    seen = every.observe(observation, F.count(F.lit(1)).alias("files"), F.expr("count_if(image.height < 0)").alias("unreadable"))
+    return seen.where("image.height >= 0"), every.where("image.height < 0").selectExpr("image.origin AS origin"), observation
+
+
 def read_ocr_tokens(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The OCR detections as a token table (re-aimed input)."""
     return spark.read.schema(OCR_TOKEN_SCHEMA).format(fmt).load(path)
