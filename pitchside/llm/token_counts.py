@@ -13,12 +13,18 @@ plus a cut word. Words repeat, so their profiles are kept in the Python worker.
 
 Edge cases: null counts as empty; an empty text has the one prefix of length 0
 with 0 tokens; strings of special tokens inside a text are one token, as the
-library has it by default; repeated rows each get their row; columns other than
-the id and the text are ignored; an empty table gives an empty result.
+library has it by default; texts that are not normalised (or grow when lower-cased) are
+cut into the units that normalisation treats alone, and only a prefix that ends
+within such a unit is counted anew, from the tables of its word, so time grows with the
+length of the text (and, within one unit, with the square of its combining marks);
+repeated rows each get their row; columns other than the id and the text are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import json
 import unicodedata
 
@@ -119,8 +125,16 @@ class PrefixCounter:
     def _prefixes(self, s: str) -> list[int]:
         """Counts of s[:1], s[:2], ..., s as words, for a word of byte symbols. Words begin alike, so the table of the
         first few positions is kept and carried on."""
+        return self._tables(s)[2]
+
+    def _tables(self, s: str, given: tuple[list[int], list[int]] | None = None) -> tuple[list[int], list[int], list[int]]:
+        """The last token and the count of s[:0], s[:1], ..., and the counts of s[:1], ... as words. given: the first two for
+        the beginnings of ``s`` that are known (then no beginnings are kept, as ``s`` may be the end of a longer word)."""
         last, count, ended, begin = [-1], [0], [], 0
-        for n in HEADS:
+        if given:
+            last, count = given
+            begin = len(last) - 1
+        for n in () if given else HEADS:
             if len(s) > n and (head := self.heads.get(s[:n])) is not None:
                 last, count, ended = map(list, head)
                 begin = n
@@ -149,9 +163,17 @@ class PrefixCounter:
             last.append(token)
             count.append(tokens)
             ended.append(ends)
-            if i in HEADS and i < len(s):
+            if not given and i in HEADS and i < len(s):
                 self.heads.put(s[:i], (tuple(last), tuple(count), tuple(ended)))
-        return ended
+        return last, count, ended
+
+    def _symbols_of(self, w: str) -> tuple[str, list[int]]:
+        """The byte symbols of a word, and how many of them each of its beginnings (from the empty one) has."""
+        s, at = [], [0]
+        for ch in w:
+            s += [self.symbol[b] for b in ch.encode("utf-8", "surrogatepass")]
+            at.append(len(s))
+        return "".join(s), at
 
     def word(self, w: str) -> bytes | list[int]:
         """Counts of w[:1], w[:2], ..., w, each as a word of its own."""
@@ -161,12 +183,9 @@ class PrefixCounter:
         if w.isascii() and w.isprintable():
             out = self._prefixes(w)
         else:
-            s, at = [], []
-            for ch in w:
-                s += [self.symbol[b] for b in ch.encode("utf-8", "surrogatepass")]
-                at.append(len(s) - 1)
-            ended = self._prefixes("".join(s))
-            out = [ended[i] for i in at]
+            s, at = self._symbols_of(w)
+            ended = self._prefixes(s)
+            out = [ended[i - 1] for i in at[1:]]
         if len(w) <= KEPT_CHARS:
             out = bytes(out)
             self.words.put(w, out)
@@ -196,12 +215,19 @@ class PrefixCounter:
         low = "".join(map(str.lower, text))
         if len(low) == len(text) and unicodedata.is_normalized("NFC", text):
             return self._plain(low)
-        norm = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
-        known, out = self._plain(norm), []
-        for i in range(len(text) + 1):
-            cut = "".join(map(str.lower, unicodedata.normalize("NFC", text[:i])))
-            # a prefix of the whole normalised text is known; one that ends within a composed character is not
-            out.append(known[len(cut)] if norm.startswith(cut) else self._plain(cut)[-1])
+        lowered = lambda x: "".join(map(str.lower, unicodedata.normalize("NFC", x)))
+        parts = [m[0] for m in _unit().finditer(text)]
+        norm = [lowered(p) for p in parts]
+        whole = "".join(norm)
+        known, out, done = self._plain(whole), [0], 0
+        cuts = _Cuts(self, whole, known)
+        for part, n in zip(parts, norm):
+            # what ends between units, or in one as the whole goes on, is known; what ends within a composed character is not
+            for j in range(1, len(part)):
+                begun = lowered(part[:j])
+                out.append(known[done + len(begun)] if n.startswith(begun) else cuts.count(done, begun))
+            done += len(n)
+            out.append(known[done])
         return out
 
     def counts(self, text: str) -> list[int]:
@@ -246,6 +272,54 @@ class PrefixCounter:
         return out
 
 
+@functools.cache
+def _unit():
+    """Matches the stretches that NFC treats alone: a character and all behind it that combine with what is before them."""
+    joins = []
+    for c in map(chr, range(0x300, 0x110000)):
+        if 0xD800 <= ord(c) < 0xE000:
+            continue
+        if unicodedata.combining(c) or not unicodedata.is_normalized("NFC", "\u1100" + c) or not unicodedata.is_normalized("NFC", "\uac00" + c):
+            joins.append(c)
+    for c in map(chr, range(0x300, 0x110000)):
+        pair = unicodedata.decomposition(c).split()
+        if len(pair) == 2 and not pair[0].startswith("<"):
+            joins.append(chr(int(pair[1], 16)))
+    return regex.compile(f"[\\s\\S][{''.join(map(regex.escape, sorted(set(joins))))}]*")
+
+
+class _Cuts:
+    """Counts of beginnings of a normalised text with another ending put on, in time that does not grow with the text."""
+
+    def __init__(self, counter: PrefixCounter, whole: str, known: list[int]):
+        self.counter, self.whole, self.known = counter, whole, known
+        self.words = [m.span() for m in counter.split.finditer(whole)]
+        self.begins = [s for s, _ in self.words]
+        self.longest = max(map(len, counter.suffix))
+        self.tables: tuple = (-1,)
+
+    def count(self, at: int, ending: str) -> int:
+        """The count of whole[:at] + ending."""
+        i = bisect.bisect_left(self.begins, at) - 1
+        start, stop = self.words[i] if i >= 0 else (at, at)
+        if stop < at:
+            start = at
+        before = self.known[start]
+        if at - start <= KEPT_CHARS:
+            return before + self.counter._plain(self.whole[start:at] + ending)[-1]
+        # a long word: it goes on if the ending, put behind its last character, is still one match
+        if self.counter.split.fullmatch(self.whole[at - 1] + ending) is None:
+            return self.known[at] + self.counter._plain(ending)[-1]
+        if self.tables[0] != start:
+            symbols, ends = self.counter._symbols_of(self.whole[start:stop])
+            self.tables = (start, symbols, ends, *self.counter._tables(symbols)[:2])
+        _, symbols, ends, last, count = self.tables
+        n = ends[at - start]
+        low = max(0, n - self.longest)
+        more, _ = self.counter._symbols_of(ending)
+        return before + self.counter._tables(symbols[low:n] + more, (last[low:n + 1], count[low:n + 1]))[2][-1]
+
+
 _counters: dict[str, PrefixCounter] = {}
 
 

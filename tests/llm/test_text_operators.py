@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -30,6 +31,28 @@ def test_prefix_counts_equal_the_library_at_every_prefix():
         assert c.of_text(t).tolist() == want, repr(t)
 
 
+def test_prefix_counts_of_texts_that_are_not_normalised():
+    c, lib = token_counts.PrefixCounter(WORD), Tokenizer.from_file(WORD)
+    r = random.Random(8)
+    pieces = ["e\u0301", "E\u0308", "\u0130", "ab", "\n", "x", "1", "'s", "!", "\u1100\u1161\u11a8", "\uac00\u11a8", "a\u0323\u0307", "\u0301", "\u212b", "\u0958", " ", "\u09c7\u09be", "\u2126"]
+    texts = ["".join(r.choices(pieces, k=r.randrange(1, 14))) for _ in range(150)]
+    texts += ["e\u0301" * 80, "x" * 60 + "e\u0301b" * 20, "!" * 70 + "\u0301e\u0301", "\u0130" * 60 + "e\u0301", ("ab" * 40 + "e\u0301") * 2]
+    for t in texts:
+        want = [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+        assert c.of_text(t).tolist() == want, repr(t)
+
+
+@pytest.mark.parametrize("unit", ["e\u0301", "\u0130ab\n", "\u0130", "e\u0301ab\n", "\u1100\u1161", "x\u0301"])
+def test_long_texts_that_are_not_normalised_take_linear_time(unit):
+    c = token_counts.PrefixCounter(WORD)
+    text = unit * (1_000_000 // len(unit))
+    begin = time.time()
+    got = c.of_text(text)
+    assert len(got) == len(text) + 1 and time.time() - begin < 30
+    lib = Tokenizer.from_file(WORD)
+    assert got[:201].tolist() == [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(201)]
+
+
 def test_prefix_counts_of_a_table(spark):
     lib = Tokenizer.from_file(WORD)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
