@@ -11,10 +11,13 @@ Largest inner product becomes nearest distance by one more component,
 sqrt(M^2 - |x|^2) for a vector and 0 for a query, where M is the largest norm.
 
 The vectors are dealt into cells by the upper levels of one kd-tree, fitted on a
-bounded sample; every cell builds its own tree in its task. A query first visits
-the cell it lies in and takes its worst answer from there. Then the same
-chi-square radius decides which other cells it must visit. Cells meet blocks of
-queries; no pair of rows is made that was not within the radius.
+bounded sample; cells that got more than ``CELL_ROWS`` vectors are split again by their own
+quantiles along their widest side until none has more, whatever the size of the
+table. Every cell builds its own tree in its task. A query first visits
+the nearest cell and takes its worst answer from there. Then the same
+chi-square radius decides which other cells it must visit; boxes and queries meet in
+blocks. Cells meet blocks of queries; no pair of rows is made that was not within the radius.
+The driver and the tasks hold the boxes of the cells: 136 bytes for some ``CELL_ROWS`` vectors.
 
 Equal vectors are one point of the index with its smallest ids, so many copies
 are neither compared again nor dealt to one task.
@@ -32,6 +35,7 @@ import heapq
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -41,7 +45,10 @@ from pitchside.llm.common import importable, written
 
 #: Projected dimensions, confidence of the stopping test, points of a leaf, most vectors of the sample that fits the
 #: cells, vectors of a cell and queries of a block that are aimed at.
-DIMS, CONFIDENCE, LEAF, SAMPLE, CELL_ROWS, QUERY_ROWS = 8, 0.95, 256, 20_000, 16_384, 1_024
+DIMS, CONFIDENCE, LEAF, SAMPLE, CELL_ROWS, QUERY_ROWS = 8, 0.5, 256, 20_000, 16_384, 1_024
+#: Parts a cell is split into at most in one round, rounds by quantiles (then by hash: equal projections cannot be parted),
+#: vectors of the sample for a cell, queries and boxes that meet at once, ids that ask for one search.
+PARTS, QUANTILE_ROUNDS, SAMPLE_PER_CELL, MEET_QUERIES, MEET_BOXES, UNIT_IDS = 64, 4, 16, 256, 4_096, 5_000
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -111,16 +118,19 @@ class Tree:
                     heapq.heappush(heap, (self.gap(kid, q), kid))
 
 
-def search(tree: Tree, x: np.ndarray, q: np.ndarray, qy: np.ndarray, q_sq: float, big_sq: float, k: int, bound: float, chi: float):
+def search(tree: Tree, x: np.ndarray, q: np.ndarray, qy: np.ndarray, q_sq: float, big_sq: float, k: int, bound: float, chi: float, verified: list[int] | None = None):
     """Places in the tree's order of the k points with the largest inner product with q, verified in the order of
     the projected boxes. x: the vectors in the tree's order.
 
-    bound: squared distance of the worst answer known from elsewhere (inf: none)."""
+    bound: squared distance of the worst answer known from elsewhere (inf: none). verified: the points of each leaf that is
+    looked at are added to it."""
     got = np.zeros(0, np.int64)
     dot = np.zeros(0)
     for d, (start, stop) in tree.nearest_first(qy):
         if d > chi * bound:
             break
+        if verified is not None:
+            verified.append(stop - start)
         new = x[start:stop] @ q
         if len(got) >= k:
             better = np.flatnonzero(new >= dot.min())
@@ -166,6 +176,38 @@ def _cell_of(tree, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bounded_cells(dealt: DataFrame, dims: int) -> tuple[DataFrame, pd.DataFrame]:
+    """``dealt`` (v, ids, cell, y) with every cell split until it has at most CELL_ROWS rows, and the box of every cell."""
+    for turn in range(60):
+        size = dealt.groupBy("cell").agg(F.count("*").alias("n"), *[f(F.col("y")[j]).alias(f"{name}{j}") for j in range(dims) for f, name in ((F.min, "lo"), (F.max, "hi"))])
+        big = size.where(f"n > {CELL_ROWS}")
+        if not big.limit(1).count():
+            return dealt, size.toPandas()
+        sides = ", ".join(f"hi{j} - lo{j}" for j in range(dims))
+        big = big.selectExpr("cell AS big", f"CAST(least({PARTS}, ceil(2 * n / {CELL_ROWS}D)) AS INT) AS parts", f"CAST(array_position(array({sides}), array_max(array({sides}))) - 1 AS INT) AS axis")
+        if turn < QUANTILE_ROUNDS:
+            rows = dealt.join(big, F.col("cell") == F.col("big"))
+            asked = ", ".join(f"{i / PARTS!r}D" for i in range(1, PARTS))
+            cuts = rows.groupBy("big", "axis", "parts").agg(F.expr(f"percentile_approx(y[axis], array({asked}))").alias("cuts"))
+            part = "CAST(size(filter(cuts, c -> c < y[axis])) * parts div 64 AS BIGINT)"
+        else:
+            cuts, part = big, "pmod(xxhash64(v), parts)"
+        # cells that stay whole keep the first number of theirs
+        dealt = written(dealt.join(cuts, F.col("cell") == F.col("big"), "left").selectExpr("v", "ids", f"cell * {PARTS} + coalesce({part}, 0L) AS cell", "y"), "op9-split")
+    raise RuntimeError("cells could not be split")
+
+
+def _gaps(y: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """(first query, first box, squared distances) of blocks of queries and boxes."""
+    for a in range(0, len(y), MEET_QUERIES):
+        for c in range(0, len(lo), MEET_BOXES):
+            gap = np.zeros((len(y[a:a + MEET_QUERIES]), len(lo[c:c + MEET_BOXES])))
+            for j in range(y.shape[1]):
+                side = y[a:a + MEET_QUERIES, j, None]
+                gap += np.maximum(np.maximum(lo[None, c:c + MEET_BOXES, j] - side, side - hi[None, c:c + MEET_BOXES, j]), 0) ** 2
+            yield a, c, gap
+
+
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, dims: int = DIMS, confidence: float = CONFIDENCE, seed: int = 3) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k vectors of ``df`` (vec_id, embedding) with the largest
     inner product found, the query's own id left out. ``queries``: rows of the same form."""
@@ -181,7 +223,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, dims: int = DIMS, co
     dim, n, big_sq = stats.dim, stats.n, stats.big ** 2
     project = np.random.default_rng(seed).normal(size=(dim + 1, dims))
     chi = chi_square_quantile(confidence, dims)
-    n_cells = max(1, -(-n // CELL_ROWS))
+    n_cells = min(max(1, -(-n // CELL_ROWS)), max(1, SAMPLE // SAMPLE_PER_CELL))
 
     def projected(x):
         extra = np.sqrt(np.maximum(big_sq - (x * x).sum(axis=1), 0))
@@ -198,33 +240,44 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, dims: int = DIMS, co
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_cell_of(cells, y)), *box], names=["v", "ids", "cell", "y"])
 
     dealt = written(points.where(F.size("v") == dim).select("v", "ids").mapInArrow(place, "v array<double>, ids array<long>, cell long, y array<double>"), "op9-cells")
-    # box of every cell: a row per cell, n / CELL_ROWS of them
-    bounds = dealt.groupBy("cell").agg(*[f(F.col("y")[j]).alias(f"{name}{j}") for j in range(dims) for f, name in ((F.min, "lo"), (F.max, "hi"))]).toPandas()
+    dealt, bounds = _bounded_cells(dealt, dims)
     cell_id = bounds["cell"].to_numpy()
     lo, hi = bounds[[f"lo{j}" for j in range(dims)]].to_numpy(), bounds[[f"hi{j}" for j in range(dims)]].to_numpy()
 
-    # distinct query vectors, each with the ids that ask for it behind a number
+    # distinct query vectors, each with the ids that ask for it, under a written number; many ids of one vector are several searches
     q = good_vectors(queries).where(F.size("v") == dim).select("vec_id", "v").distinct()
-    q = written(q.withColumn("qid", F.xxhash64("v")), "op9-queries")
-    asked = q.select("qid", "v").distinct()
+    units = max(1, q.count() // UNIT_IDS)
+    q = q.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(units))).agg(F.collect_list("vec_id").alias("query_ids"))
+    q = written(q.select(F.monotonically_increasing_id().alias("qid"), "v", "query_ids"), "op9-queries")
+    asked = q.select("qid", "v")
 
     def own(batches):
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column(1), dim)
                 y = np.c_[x, np.zeros(len(x))] @ project
-                gap = np.maximum(np.maximum(lo[None] - y[:, None], y[:, None] - hi[None]), 0)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell_id[(gap ** 2).sum(axis=2).argmin(axis=1)]), pa.array(np.full(len(x), np.inf))], names=["qid", "v", "cell", "bound"])
+                least, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+                for a, c, gap in _gaps(y, lo, hi):
+                    best = gap.argmin(axis=1)
+                    rows = np.arange(a, a + len(gap))
+                    closer = gap[rows - a, best] < least[rows]
+                    rows, best = rows[closer], best[closer]
+                    least[rows], at[rows] = gap[rows - a, best], best + c
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell_id[at]), pa.array(np.full(len(x), np.inf))], names=["qid", "v", "cell", "bound"])
 
     def other(batches):
         for b in batches:
             if b.num_rows:
-                x, bound = _matrix(b.column(1), dim), b.column(3).to_numpy()
+                x, own_cell, bound = _matrix(b.column(1), dim), b.column(2).to_numpy(), b.column(3).to_numpy()
                 y = np.c_[x, np.zeros(len(x))] @ project
-                gap = (np.maximum(np.maximum(lo[None] - y[:, None], y[:, None] - hi[None]), 0) ** 2).sum(axis=2)
-                i, c = np.nonzero((gap <= chi * bound[:, None]) & (cell_id[None] != b.column(2).to_numpy()[:, None]))
-                i = pa.array(i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(i), b.column(1).take(i), pa.array(cell_id[c]), b.column(3).take(i)], names=["qid", "v", "cell", "bound"])
+                for a, c, gap in _gaps(y, lo, hi):
+                    rows = slice(a, a + len(gap))
+                    i, box = np.nonzero((gap <= chi * bound[rows, None]) & (cell_id[None, c:c + gap.shape[1]] != own_cell[rows, None]))
+                    i = i + a
+                    for s in range(0, len(i), 10_000):
+                        take = pa.array(i[s:s + 10_000])
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(cell_id[box[s:s + 10_000] + c]), b.column(3).take(take)],
+                                                         names=["qid", "v", "cell", "bound"])
 
     visit_schema = "qid long, v array<double>, cell long, bound double"
     answer_schema = "qid long, ids array<long>, score double, bound double, cell long"
@@ -264,6 +317,6 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, dims: int = DIMS, co
     best = W.partitionBy("qid").orderBy(F.desc("score"), F.col("ids")[0])
     found = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= kept).select("qid", "score", F.explode("ids").alias("vec_id"))
     found = found.withColumn("_r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("_r") <= kept).drop("_r")
-    found = found.join(q.select(F.col("vec_id").alias("query_id"), "qid"), "qid").where("query_id <> vec_id").select("query_id", "vec_id", "score")
+    found = found.join(q.select(F.explode("query_ids").alias("query_id"), "qid"), "qid").where("query_id <> vec_id").select("query_id", "vec_id", "score")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

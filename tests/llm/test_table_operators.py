@@ -173,3 +173,54 @@ def test_neighbours_edge_cases(spark):
     few = df.where("vec_id IN (100, 120)")
     assert {(r.query_id, r.vec_id) for r in neighbours.nearest(few, few, 20).collect()} == {(100, 120), (120, 100)}
     assert neighbours.nearest(df.where("false"), df, 20).count() == 0
+
+
+def test_cells_are_bounded_whatever_the_sample(spark, monkeypatch):
+    """A sample that allows two cells only, a cluster of vectors in one place and vectors of equal projection."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 60)
+    monkeypatch.setattr(neighbours, "SAMPLE", 32)
+    r = np.random.default_rng(5)
+    y = np.concatenate([r.normal(size=(900, 8)), r.normal(size=(700, 8)) * 1e-3 + 4, np.zeros((300, 8))])
+    rows = [([float(i), 1.0], [i], 0, [float(a) for a in p]) for i, p in enumerate(y)]
+    dealt, boxes = neighbours._bounded_cells(spark.createDataFrame(rows, "v array<double>, ids array<long>, cell long, y array<double>"), 8)
+    got = dealt.select("v", "cell", "y").collect()
+    assert len(got) == len(rows) and max(Counter(g.cell for g in got).values()) <= 60 and len(boxes) == len({g.cell for g in got})
+    box = boxes.set_index("cell")
+    for g in got:
+        b = box.loc[g.cell]
+        assert all(b[f"lo{j}"] <= g.y[j] <= b[f"hi{j}"] for j in range(8))
+
+
+def test_boxes_meet_queries_in_blocks(monkeypatch):
+    monkeypatch.setattr(neighbours, "MEET_QUERIES", 7)
+    monkeypatch.setattr(neighbours, "MEET_BOXES", 5)
+    r = np.random.default_rng(6)
+    y, lo = r.normal(size=(30, 4)), r.normal(size=(23, 4))
+    hi = lo + r.random((23, 4))
+    want = (np.maximum(np.maximum(lo[None] - y[:, None], y[:, None] - hi[None]), 0) ** 2).sum(axis=2)
+    got = np.full((30, 23), -1.0)
+    for a, c, gap in neighbours._gaps(y, lo, hi):
+        assert gap.shape[0] <= 7 and gap.shape[1] <= 5
+        got[a:a + gap.shape[0], c:c + gap.shape[1]] = gap
+    np.testing.assert_allclose(got, want)
+
+
+def test_share_of_verified_vectors():
+    """Recall and share of verified vectors of the stopping test in one cell, over the confidence."""
+    con = duckdb.connect()
+    x = np.stack([np.asarray(v, float) for (v,) in con.execute("SELECT embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id").fetchall()])
+    big = float((x * x).sum(axis=1).max())
+    tree = neighbours.Tree(np.c_[x, np.sqrt(np.maximum(big - (x * x).sum(axis=1), 0))] @ (project := np.random.default_rng(3).normal(size=(x.shape[1] + 1, neighbours.DIMS))))
+    recall = {}
+    for confidence in (neighbours.CONFIDENCE, 0.2):
+        chi = neighbours.chi_square_quantile(confidence, neighbours.DIMS)
+        hit = seen = 0
+        for q in range(0, len(x), 20):
+            want = set(np.argsort(-(x @ x[q]), kind="stable")[:21])
+            seen_here = []
+            got, _ = neighbours.search(tree, x[tree.order], x[q], np.r_[x[q], 0] @ project, float(x[q] @ x[q]), big, 21, np.inf, chi, seen_here)
+            hit, seen = hit + len(want & set(tree.order[got])), seen + sum(seen_here)
+        n = len(range(0, len(x), 20))
+        recall[confidence] = hit / n / 21
+        print(f"confidence {confidence}: recall {recall[confidence]:.3f}, verified {seen / n / len(x):.3f}")
+    assert recall[neighbours.CONFIDENCE] >= 0.92
