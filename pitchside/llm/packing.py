@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, separator: int = 0
 
     Pieces of a sequence lie gapless from offset 0, in the order of the curve."""
     spark = importable(docs.sparkSession)
-    tok = written(tokenized(docs, tokenizer, separator, seed), "op8-tokens")
+    tok = written(tokenized(docs, tokenizer, separator, seed).withColumn("row", F.monotonically_increasing_id()), "op8-tokens")
     total = tok.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-total // MOST_TOKENS), min(parallelism(spark), -(-total // RANGE_TOKENS)))
 
@@ -160,6 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, separator: int = 0
                 names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "hkey"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    order = tok.withColumn("salt", F.xxhash64("doc_id")).repartitionByRange(ranges, "hkey", "salt")
-    order = order.sortWithinPartitions("hkey", "salt", "n", "ids").select("doc_id", "n", "hkey", "ids", "width")
+    # copies share the key; they are parted by their ids, and those of one id (or none) by the written number of the row
+    order = tok.withColumn("salt", F.xxhash64("doc_id")).repartitionByRange(ranges, "hkey", "salt", "row")
+    order = order.sortWithinPartitions("hkey", "salt", "row").select("doc_id", "n", "hkey", "ids", "width")
     return order.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, hkey long")
