@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-#: Rows of an Arrow batch between Spark and Python.
-BATCH_ROWS = 2000
+#: Rows of an Arrow batch between Spark and Python, bytes of a passage of a long text.
+BATCH_ROWS, PASSAGE = 2000, 2048
 
 
 def importable(spark: SparkSession) -> SparkSession:
@@ -85,6 +86,24 @@ def slices(batches: Iterator[pa.RecordBatch], col: str = "text", max_bytes: int
             yield b.slice(int(s), int(e - s))
 
 
+def passages(text: bytes, most: int) -> bytes:
+    """The text, or if it is over ``most`` bytes whole words of equally many passages from each part of it, at hashed positions."""
+    if len(text) <= most:
+        return text
+    n, seed, out = max(most // PASSAGE, 1), zlib.crc32(text), []
+    size = most // n - 1  # and a space
+    for i in range(n):
+        lo, hi = i * len(text) // n, (i + 1) * len(text) // n
+        s = lo + zlib.crc32(i.to_bytes(8, "little"), seed) % (max(hi - lo - size, 0) + 1)
+        piece = text[s:s + size]
+        words = piece.split()
+        # words cut at either end go, unless the passage has no other
+        a, z = int(s > 0 and not text[s - 1:s].isspace()), int(s + size < len(text) and not text[s + size:s + size + 1].isspace())
+        whole = words[(a if piece[:1].strip() else 0):len(words) - (z if piece[-1:].strip() else 0)]
+        out.append(b" ".join(whole) if whole else piece.decode("utf-8", "ignore").encode())
+    return b" ".join(out)
+
+
 def flat_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all values (null: none) one after another, and the n+1 offsets."""
     if arr.null_count:

@@ -20,7 +20,6 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import U64, Words, flat_bytes, importable, mix, slices, written
+from pitchside.llm.common import U64, Words, flat_bytes, importable, mix, passages, slices, written
 from pitchside.llm.quality import held_out
 
 #: log2 of the feature buckets, documents to learn from per language (smallest hashed ids), training sequences and
@@ -38,8 +37,8 @@ BUCKET_BITS, PER_LANG, SEQUENCES, SEQ_WORDS, PASSES, BATCH, RATE, LEXICON, BLOCK
 #: Parts of a language of which each gives its smallest ids before all are ranked.
 PARTS = 64
 #: Bytes of text that the driver gathers to learn from (more only beyond 65,536 documents, LEAST_BYTES of each); longer
-#: documents give passages of PASSAGE bytes.
-SAMPLE_BYTES, PASSAGE, LEAST_BYTES = 16 << 20, 2048, 256
+#: documents give passages.
+SAMPLE_BYTES, LEAST_BYTES = 16 << 20, 256
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -232,24 +231,6 @@ def train(texts: list[tuple[str, bytes]], seed: int = 11) -> Model | None:
     return Model(langs, weights.astype(np.float32), trans, lex_hash, lex_bucket)
 
 
-def passages(text: bytes, most: int) -> bytes:
-    """The text, or if it is over ``most`` bytes whole words of equally many passages from each part of it, at hashed positions."""
-    if len(text) <= most:
-        return text
-    n, seed, out = max(most // PASSAGE, 1), zlib.crc32(text), []
-    size = most // n - 1  # and a space
-    for i in range(n):
-        lo, hi = i * len(text) // n, (i + 1) * len(text) // n
-        s = lo + zlib.crc32(i.to_bytes(8, "little"), seed) % (max(hi - lo - size, 0) + 1)
-        piece = text[s:s + size]
-        words = piece.split()
-        # words cut at either end go, unless the passage has no other
-        a, z = int(s > 0 and not text[s - 1:s].isspace()), int(s + size < len(text) and not text[s + size:s + size + 1].isspace())
-        whole = words[(a if piece[:1].strip() else 0):len(words) - (z if piece[-1:].strip() else 0)]
-        out.append(b" ".join(whole) if whole else piece.decode("utf-8", "ignore").encode())
-    return b" ".join(out)
-
-
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Learn from at most ``per_lang`` documents of each language that are not held out, and of them from passages of
     SAMPLE_BYTES in all, cut in the tasks."""

@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import U64, Words, flat_bytes, importable, mix, slices
+from pitchside.llm.common import U64, Words, flat_bytes, importable, mix, passages, slices, written
 
 #: log2 of the hash buckets, vector size, n-gram lengths, most labelled documents to learn from (those with the
 #: smallest hashed ids), passes, batch and step size of the training.
 BUCKET_BITS, DIM, NGRAMS, SAMPLE, PASSES, BATCH, RATE = 17, 8, (2, 4), 3000, 6, 32, 0.15
+#: Bytes of text that training takes from the sample in all, and of one document at least.
+SAMPLE_BYTES, LEAST_BYTES = 32 << 20, 256
 #: Bucket of the pseudo-word for a repeated word.
 REPEATED = 1
 
@@ -134,11 +136,23 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 5) -> tupl
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Learn from at most ``sample`` labelled documents that are not held out."""
+    """Learn from at most ``sample`` labelled documents that are not held out, and of them from passages of SAMPLE_BYTES in all, cut
+    in the tasks. Labels without a document do not count; of an id with many texts, the one with the smallest hash is taken."""
     importable(docs.sparkSession)
-    chosen = (labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label IN (0, 1)").where(~held_out())
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample))
-    got = _counted(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).collect()
+    usable = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label IN (0, 1)").where(~held_out())
+    chosen = usable.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    texts = hashed.select("doc_id", "hash").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("hash").alias("hash"))
+    texts = written(texts, "op7-sample")
+    most = max(SAMPLE_BYTES // max(texts.count(), 1), LEAST_BYTES)
+
+    def cut(batches):
+        for b in batches:
+            short = pa.array([passages(x or b"", most).decode("utf-8", "ignore") for x in b.column(1).cast(pa.binary()).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), short], names=["label", "text"])
+
+    sampled = hashed.join(F.broadcast(texts), ["doc_id", "hash"]).select("label", "text").mapInArrow(cut, "label int, text string")
+    got = _counted(sampled).distinct().collect()
     rows = [(r.label, np.frombuffer(r.idx, np.int32), np.frombuffer(r.cnt, np.float32)) for r in got]
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     return train(rows)

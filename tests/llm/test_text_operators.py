@@ -4,11 +4,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pitchside.llm import decontaminate, lang_id, packing, quality, token_counts
+from pitchside.llm.common import flat_bytes
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -117,6 +119,49 @@ def test_packing_round_trip(spark):
     assert packing.pack(frame(spark, []), BYTE).count() == 0
 
 
+def test_packing_follows_the_curve_and_parts_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_TOKENS", 500)
+    rows = [(i, f"text number {i} " * (1 + i % 5)) for i in range(300)] + [(None, "one copy of many")] * 700
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = packing.pack(docs, BYTE, 64).collect()
+    along = sorted(got, key=lambda r: (r.sequence_id, r.offset))
+    assert [r.hkey for r in along] == sorted(r.hkey for r in got)  # neighbours on the curve are neighbours in the sequences
+    ranges = {r.sequence_id >> 40 for r in got if r.doc_id is None}
+    assert len(ranges) > 1 and sum(r.length for r in got if r.doc_id is None) == 700 * next(r.doc_tokens for r in got if r.doc_id is None)
+
+
+def plain_score(text, table, bias):
+    """A text's score from its features one by one: the mean of the learned values of all its words and n-grams."""
+    raw, off = flat_bytes(pa.array([text]))
+    bucket, _ = quality.features(raw, off)
+    z = sum(float(table[b]) for b in bucket) / max(len(bucket), 1) + bias
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_scores_equal_a_plain_scorer(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    want = {r.doc_id: plain_score(r.text or "", *model) for r in docs.collect()}
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-4
+    one = spark.createDataFrame([(1, "good words here"), (2, "good words here " * 3000)], "doc_id long, text string")
+    assert {r.doc_id: r.score for r in quality.score(one, model).collect()}[2] == pytest.approx(plain_score("good words here " * 3000, *model), abs=1e-4)
+
+
+def test_quality_learns_from_a_bounded_sample(spark, monkeypatch):
+    """Labels without a document leave room for the others; one id with many texts, or long texts, do not flood the driver."""
+    seen = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda rows, *a: seen.append(rows) or train(rows, *a))
+    docs = [(i, f"fine words number {i % 7} " * 3 if i % 2 else "zz qq 00 xx " * 3) for i in range(40)] + [(4, f"text {i} of one id") for i in range(500)] + [(8, "long " * 200_000), (8, None)]
+    labels = [(i, i % 2) for i in range(40)] + [(10_000 + i, 1) for i in range(3000)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 20_000)
+    table, _ = quality.fit(docs, labels, sample=60)
+    assert table.any() and 0 < len(seen[0]) <= 60 and {y for y, *_ in seen[0]} == {0, 1}
+    assert sum(len(b) for _, b, _ in seen[0]) < 60_000
+
+
 def test_quality_separates_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
