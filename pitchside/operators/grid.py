@@ -294,6 +294,24 @@ def crop_pixels(pixels: DataFrame, boxes: DataFrame, image_col: str = "image_id"
 WHERE p.{cc} >= b.x0 AND p.{cc} < b.x1 AND p.{rc} >= b.y0 AND p.{rc} < b.y1""")
 
 
+def crop_sections(pixels: DataFrame, image_col: str = "image_id", row_col: str = "row", col_col: str = "col",
+                  top: float = presets.FORMATION_TOP_FRACTION, bottom_from: float = presets.FORMATION_BOTTOM_FROM,
+                  x_range: tuple[float, float] = presets.FORMATION_X_RANGE) -> DataFrame:
+    """C10 on a complete pixel table: the pixels of both sections (``formation_boxes``) of every image, re-based.
+
+    The extent of an image comes from a window over its own pixels, so they are read once, shuffled once by image and joined with
+    nothing; ``crop_pixels`` is for boxes from elsewhere."""
+    img, rc, cc = q(image_col), q(row_col), q(col_col)
+    other = "".join(f", {q(c)}" for c in pixels.columns if c not in (image_col, row_col, col_col))
+    h, w = "CAST(__h AS DOUBLE)", "CAST(__w AS DOUBLE)"
+    boxes = (f"array(named_struct('section', 'table', 'x0', 0, 'y0', 0, 'x1', CAST(__w AS INT), 'y1', CAST({h} * {dbl(top)} AS INT)), "
+             f"named_struct('section', 'graph', 'x0', CAST({w} * {dbl(x_range[0])} AS INT), 'y0', CAST({h} * {dbl(bottom_from)} AS INT), "
+             f"'x1', CAST({w} * {dbl(x_range[1])} AS INT), 'y1', CAST(__h AS INT)))")
+    steps = [("sized", f"SELECT *, max({rc}) OVER (PARTITION BY {img}) + 1 AS __h, max({cc}) OVER (PARTITION BY {img}) + 1 AS __w FROM {{px}}"),
+             ("cut", f"SELECT *, explode(filter({boxes}, b -> {cc} >= b.x0 AND {cc} < b.x1 AND {rc} >= b.y0 AND {rc} < b.y1)) AS __b FROM {{sized}}")]
+    return run_sql({"px": pixels}, f"SELECT {img}, __b.section AS section, {rc} - __b.y0 AS {rc}, {cc} - __b.x0 AS {cc}{other} FROM {{cut}}", steps)
+
+
 def formation_boxes(dims: DataFrame, image_col: str = "image_id",
                     top: float = presets.FORMATION_TOP_FRACTION,
                     bottom_from: float = presets.FORMATION_BOTTOM_FROM,

@@ -18,7 +18,7 @@ from pitchside.functions.pixels import band_mask_sql
 from pitchside.operators.catalog import crop_plan, report_catalog, report_catalogs
 from pitchside.operators.formation import formation_long, formation_profile, formation_rejects, formation_rows
 from pitchside.operators.grid import (
-    accumulate, colour_classes, crop_pixels, formation_boxes, grid_occupancy, image_cells, image_colour_classes,
+    accumulate, colour_classes, crop_pixels, crop_sections, formation_boxes, grid_occupancy, image_cells, image_colour_classes,
     image_dims, image_sections, scale_grid, with_gray,
 )
 from pitchside.operators.lanes import attack_lanes, classify_tokens, lane_profile
@@ -750,7 +750,7 @@ def q_colour_classes(spark, d):
     return colour_classes(si.pixels(spark, d))
 
 
-@register("crop_pixels", f"""WITH px AS ({si.PIXEL_SQL}),
+_SQL_CROPS = f"""WITH px AS ({si.PIXEL_SQL}),
 dims AS (SELECT image_id, max("row") + 1 AS height, max(col) + 1 AS width FROM px GROUP BY image_id),
 boxes AS (
   SELECT image_id, 'table' AS section, 0 AS x0, 0 AS y0, CAST(width AS INTEGER) AS x1,
@@ -761,13 +761,22 @@ boxes AS (
          CAST(trunc(width * {presets.FORMATION_X_RANGE[1]!r}) AS INTEGER), CAST(height AS INTEGER) FROM dims)
 SELECT px.image_id, section, "row" - y0 AS "row", col - x0 AS col, gray
 FROM px JOIN boxes USING (image_id)
-WHERE col >= x0 AND col < x1 AND "row" >= y0 AND "row" < y1""")
+WHERE col >= x0 AND col < x1 AND "row" >= y0 AND "row" < y1"""
+
+
+@register("crop_pixels", _SQL_CROPS)
 def q_crop_pixels(spark, d):
     px = si.pixels(spark, d)
     boxes = formation_boxes(image_dims(px))
     return crop_pixels(px, boxes).select("image_id", "section", "row", "col", "gray")
 
 
+@register("crop_sections", _SQL_CROPS)
+def q_crop_sections(spark, d):
+    """The same sections from one read of the pixels, without a join."""
+    return crop_sections(si.pixels(spark, d)).select("image_id", "section", "row", "col", "gray")
+
+
 @register("image_cells_grid", f"""WITH {_sql_grid(_GRAY_SQL)}
 SELECT side, cell_row, cell_col, hits FROM grid""")
 def q_image_cells_grid(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchside.functions.pixels import hsv_from_bgr
 from pitchside.operators.grid import (
-    accumulate, colour_classes, crop_pixels, formation_boxes, grid_occupancy, image_cells, image_dims,
+    accumulate, colour_classes, crop_pixels, crop_sections, formation_boxes, grid_occupancy, image_cells, image_dims,
     marked_cells, scale_grid,
 )
 from pitchside.sources.readers import read_images
@@ -125,3 +125,16 @@ def test_png_cells_equal_pixel_table(spark):
     assert images.count() == 6
     assert rows(from_png, "cell_row", "cell_col", "hits") == rows(from_table, "cell_row", "cell_col", "hits")
     assert len(rows(from_table)) == (7 // 2) * (9 // 3)
+
+
+def test_sections_of_pixels_equal_crops_by_boxes(spark):
+    r = random.Random(9)
+    px = [(f"i{i}", "s", y, x, r.randrange(256)) for i in range(12) for h, w in [(r.randrange(1, 14), r.randrange(1, 14))] for y in range(h) for x in range(w)]
+    df = spark.createDataFrame(px, PX).repartition(5)
+    got = crop_sections(df)
+    want = crop_pixels(df, formation_boxes(image_dims(df)))
+    cols = ("image_id", "section", "row", "col", "gray", "side")
+    assert rows(got, *cols) == rows(want, *cols) and got.count() > 50
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning") == 1
+    assert crop_sections(df.where("false")).count() == 0
