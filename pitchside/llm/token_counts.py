@@ -44,6 +44,12 @@ HEADS, HEADS_KEPT = (9, 6, 4), 120_000
 KEPT_CHARS = 48
 
 
+#: Length of the ends of words whose tokens are kept, and how many ends (some 300 bytes each).
+NEAR, NEAR_KEPT = 5, 150_000
+#: What a suffix of tokens that is no token itself is.
+NO_TOKEN = (-1, -1)
+
+
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else 256 upwards."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -94,10 +100,11 @@ class PrefixCounter:
             final = t.endswith(self.end) and len(t) > len(self.end)
             t = t[:-len(self.end)] if final else t
             for j in range(len(t)):
-                inner, last = self.suffix.get(t[j:], (-1, -1))
+                inner, last = self.suffix.get(t[j:], NO_TOKEN)
                 if j == 0:
                     inner, last = (inner, i) if final else (i, last)
-                self.suffix[t[j:]] = (inner, last)
+                self.suffix[t[j:]] = (inner, last) if inner >= 0 or last >= 0 else NO_TOKEN
+        self.near: dict[str, tuple[tuple, bool]] = {}
         self.words, self.pieces, self.pairs, self.heads = Kept(WORDS_KEPT), Kept(PIECES_KEPT), Kept(PAIRS_KEPT), Kept(HEADS_KEPT)
 
     def _symbols(self, token: str) -> list[str]:
@@ -105,11 +112,17 @@ class PrefixCounter:
 
     def _merged(self, sym: list[str]) -> list[str]:
         """Merges applied one at a time: lowest rank first, then leftmost."""
-        while len(sym) > 1:
-            best, at = min((self.rank.get((sym[i], sym[i + 1]), 1 << 60), i) for i in range(len(sym) - 1))
-            if best == 1 << 60:
-                break
+        rank, never = self.rank.get, 1 << 60
+        ranks = [rank(pair, never) for pair in zip(sym, sym[1:])]
+        while ranks and (best := min(ranks)) < never:
+            at = ranks.index(best)
             sym[at:at + 2] = [sym[at] + sym[at + 1]]
+            # only the pairs beside the merged one change
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank((sym[at], sym[at + 1]), never)
+            if at:
+                ranks[at - 1] = rank((sym[at - 1], sym[at]), never)
         return sym
 
     def _fits(self, a: int, b: int) -> bool:
@@ -134,19 +147,26 @@ class PrefixCounter:
         if given:
             last, count = given
             begin = len(last) - 1
-        for n in () if given else HEADS:
-            if len(s) > n and (head := self.heads.get(s[:n])) is not None:
+        for n in HEADS:
+            if not given and len(s) > n and (head := self.heads.get(s[:n])) is not None:
                 last, count, ended = map(list, head)
                 begin = n
                 break
-        suffix, known, size = self.suffix.get, self.pairs.young.get, len(self.name)
+        suffix, known, size, kept = self.suffix.get, self.pairs.young.get, len(self.name), () if given else HEADS
         for i in range(begin + 1, len(s) + 1):
-            options, j = [], i - 1
-            while j >= 0 and (t := suffix(s[j:i])) is not None:
-                options.append((j, t))
-                j -= 1
+            near = s[i - NEAR:i] if i > NEAR else s[:i]
+            options, on = self.near.get(near) or self._near(near)
+            if on:
+                far, j = [], i - NEAR - 1
+                while j >= 0 and (t := suffix(s[j:i])) is not None:
+                    if t is not NO_TOKEN:
+                        far.append((i - j, t))
+                    j -= 1
+                if far:
+                    options = (*far[::-1], *options)
             token = end = -1
-            for j, (t, f) in reversed(options):
+            for j, (t, f) in options:
+                j = i - j
                 before = (last[j] + 1) * size
                 if token < 0 and t >= 0:
                     fits = known(before + t)
@@ -163,10 +183,22 @@ class PrefixCounter:
             last.append(token)
             count.append(tokens)
             ended.append(ends)
-            if not given and i in HEADS and i < len(s):
+            if i in kept and i < len(s):
                 self.heads.put(s[:i], (tuple(last), tuple(count), tuple(ended)))
         return last, count, ended
 
+    def _near(self, s: str) -> tuple[tuple, bool]:
+        """The tokens that end s, longest first, with their lengths; and whether longer ones than s may end a word that ends in it."""
+        options, n = [], 1
+        while n <= len(s) and (t := self.suffix.get(s[len(s) - n:])) is not None:
+            if t is not NO_TOKEN:
+                options.append((n, t))
+            n += 1
+        got = tuple(options[::-1]), n > NEAR
+        if len(self.near) < NEAR_KEPT:
+            self.near[s] = got
+        return got
+
     def _symbols_of(self, w: str) -> tuple[str, list[int]]:
         """The byte symbols of a word, and how many of them each of its beginnings (from the empty one) has."""
         s, at = [], [0]
