@@ -68,11 +68,12 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(docs)
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """label, distinct buckets (int32) and counts (float32) of each document of the sample."""
+def _counted(docs: DataFrame, most: int) -> DataFrame:
+    """label, distinct buckets (int32) and counts (float32) of passages of at most ``most`` bytes of each document of the sample."""
     def run(batches):
         for b in slices(batches, "text", 1 << 19):
-            bucket, doc = features(*flat_bytes(b.column(1)))
+            short = [passages(x or b"", most).decode("utf-8", "ignore") for x in b.column(1).cast(pa.binary()).to_pylist()]
+            bucket, doc = features(*flat_bytes(pa.array(short, pa.string())))
             n, idx, cnt = b.num_rows, [], []
             order = np.argsort(doc, kind="stable")
             cut = np.searchsorted(doc[order], np.arange(n + 1))
@@ -145,14 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     texts = hashed.select("doc_id", "hash").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("hash").alias("hash"))
     texts = written(texts, "op7-sample")
     most = max(SAMPLE_BYTES // max(texts.count(), 1), LEAST_BYTES)
-
-    def cut(batches):
-        for b in batches:
-            short = pa.array([passages(x or b"", most).decode("utf-8", "ignore") for x in b.column(1).cast(pa.binary()).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), short], names=["label", "text"])
-
-    sampled = hashed.join(F.broadcast(texts), ["doc_id", "hash"]).select("label", "text").mapInArrow(cut, "label int, text string")
-    got = _counted(sampled).distinct().collect()
+    got = _counted(hashed.join(F.broadcast(texts), ["doc_id", "hash"]), most).distinct().collect()
     rows = [(r.label, np.frombuffer(r.idx, np.int32), np.frombuffer(r.cnt, np.float32)) for r in got]
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     return train(rows)
