@@ -7,9 +7,10 @@ float is a value that fills the next of three slots (Total, 1st half,
 is seen for the first time, so a team seen again continues the counter of the
 block it interrupts and may overwrite earlier values.
 
-Those running counts are ordered windows partitioned by image. A formation
-crop holds one small table (tens of tokens), so the partitions are tiny and
-many; every later step is a hash aggregate or an equi join on the image.
+Those running counts are ordered windows partitioned by image. All tokens are
+sorted once, by image and order; there each team token takes the values up to
+the next one onto its row, and only these team rows are ordered again. So the
+memory of a task is that of one sort of its tokens and a few of its team rows.
 """
 
 from __future__ import annotations
@@ -28,24 +29,35 @@ INTERVALS = presets.FORMATION_INTERVALS
 _RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
-def _cells_steps(image_col: str, seq_col: str, text_col: str, carry: Sequence[str] = ()) -> list[tuple[str, str]]:
+def _segment_steps(image_col: str, seq_col: str, text_col: str, carry: Sequence[str] = ()) -> list[tuple[str, str]]:
+    """``segments``: one row per team token, with the values that follow it up to the next team token (three at most
+    can count), how many values of its block lie before (``__off``) and the first sighting of the team."""
     img, seq, t = q(image_col), q(seq_col), q(text_col)
     stripped = py_strip_sql(t)
     words = f"(CASE WHEN {stripped} = '' THEN 0 ELSE size(split({stripped}, '\\\\s+')) END)"
     more = "".join(f", {q(c)}" for c in carry)
+    n = range(1, len(SLOTS) + 1)
+    by_seq = f"OVER (PARTITION BY {img} ORDER BY {seq})"
+    leads = ", ".join(f"lead(__num, {k}) {by_seq} AS __n{k}, lead({seq}, {k}) {by_seq} AS __q{k}" for k in n)
+    # a value without a place in the order is counted, but it fills no slot of a row
+    values = ", ".join(f"CASE WHEN {' AND '.join(f'__n{j} IS NOT NULL' for j in n[:k])} THEN __n{k} END AS __x{k}, "
+                       f"CASE WHEN {' AND '.join(f'__n{j} IS NOT NULL' for j in n[:k])} AND __q{k} IS NOT NULL THEN __n{k} END AS __v{k}" for k in n)
+    count = "CASE " + " ".join(f"WHEN __n{k} IS NULL THEN {k - 1}" for k in n) + f" ELSE {len(SLOTS)} END"
     return [
-        ("t1", f"""SELECT {img}, {seq}, {t}{more}, (NOT {t} RLIKE '[0-9]' AND {words} > 1) AS __team,
-       {py_float_sql(t)} AS __num FROM {{tokens}}"""),
-        ("t2", f"""SELECT *, row_number() OVER (PARTITION BY {img}, {t} ORDER BY {seq}) AS __nth,
-       min({seq}) OVER (PARTITION BY {img}, {t}) AS __seen FROM {{t1}}"""),
-        # the current team, when it was first seen, and the number of first sightings so far
-        ("t3", f"""SELECT *, last(CASE WHEN __team THEN named_struct('team', {t}, 'seen', __seen) END, true)
-         OVER (PARTITION BY {img} ORDER BY {seq} {_RUN}) AS __cur,
-       sum(CAST(__team AND __nth = 1 AS INT)) OVER (PARTITION BY {img} ORDER BY {seq} {_RUN}) AS __blk FROM {{t2}}"""),
-        ("cells", f"""SELECT {img}, __cur.team AS team, slot, __num AS value, {seq}, __cur.seen AS first_seq{more} FROM (
-  SELECT *, count(1) OVER (PARTITION BY {img}, __blk ORDER BY {seq} {_RUN}) AS slot
-  FROM {{t3}} WHERE NOT __team AND contains({t}, '.') AND __cur IS NOT NULL AND __num IS NOT NULL)
-WHERE slot <= {len(SLOTS)}"""),
+        # team and value tokens alone, each parsed once (a filter would be pushed below the parsing and parse again)
+        ("t1", f"""SELECT {img}, {seq}{more}, inline(CASE
+  WHEN NOT {t} RLIKE '[0-9]' AND {words} > 1 THEN array(named_struct('__team', {t}, '__num', CAST(NULL AS DOUBLE)))
+  WHEN contains({t}, '.') THEN filter(array(named_struct('__team', CAST(NULL AS STRING), '__num', {py_float_sql(t)})), e -> e.__num IS NOT NULL)
+  END) FROM {{tokens}}"""),
+        ("t2", f"SELECT *, row_number() {by_seq} AS __pos, {leads} FROM {{t1}}"),
+        ("t3", f"SELECT *, {count} AS __c, {values} FROM {{t2}} WHERE __team IS NOT NULL"),
+        # in the order they have already
+        ("t4", f"SELECT *, coalesce(sum(__c) OVER (PARTITION BY {img} ORDER BY {seq} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS __before FROM {{t3}}"),
+        # first sighting; the same among places in the order; the place itself
+        ("t5", f"""SELECT *, min(__pos) OVER (PARTITION BY {img}, __team) AS __first, min(CASE WHEN {seq} IS NOT NULL THEN __pos END) OVER (PARTITION BY {img}, __team) AS __seen,
+       min({seq}) OVER (PARTITION BY {img}, __team) AS __seen_seq FROM {{t4}}"""),
+        ("segments", f"""SELECT *, __before - last(CASE WHEN __pos = __first THEN __before END, true)
+       OVER (PARTITION BY {img} ORDER BY __pos {_RUN}) AS __off FROM {{t5}}"""),
     ]
 
 
@@ -53,21 +65,29 @@ def table_cells(tokens: DataFrame, image_col: str = "image_id", seq_col: str = "
                 text_col: str = "text") -> DataFrame:
     """Assign each table value to (team, slot).
     -> ``image_col, team, slot (1..3), value, seq, first_seq``."""
-    return run_sql({"tokens": tokens}, "SELECT * FROM {cells}", _cells_steps(image_col, seq_col, text_col))
+    img, seq = q(image_col), q(seq_col)
+    found = ", ".join(f"named_struct('slot', __off + {k}, 'value', __x{k}, 'seq', __q{k})" for k in range(1, len(SLOTS) + 1))
+    sql = f"""SELECT {img}, team, e.slot, e.value, e.seq AS {seq}, first_seq FROM (
+  SELECT {img}, __team AS team, __seen_seq AS first_seq, explode(array({found})) AS e FROM {{segments}})
+WHERE e.value IS NOT NULL AND e.slot <= {len(SLOTS)}"""
+    return run_sql({"tokens": tokens}, sql, _segment_steps(image_col, seq_col, text_col))
 
 
 def _rows_steps(image_col: str, seq_col: str, text_col: str, carry: Sequence[str] = ()) -> list[tuple[str, str]]:
-    img, seq = q(image_col), q(seq_col)
-    slots = ", ".join(f"max_by(CASE WHEN slot = {i + 1} THEN value END, CASE WHEN slot = {i + 1} THEN {seq} END) AS {q(s)}"
-                      for i, s in enumerate(SLOTS))
+    """``complete``: the complete team rows of each image; ``rows``: the same, numbered."""
+    img = q(image_col)
+    n = range(1, len(SLOTS) + 1)
+    at = ["CASE __off " + " ".join(f"WHEN {off} THEN __v{k - off}" for off in range(k)) + f" END AS __s{k}" for k in n]
+    slots = ", ".join(f"max_by(__s{k}, CASE WHEN __s{k} IS NOT NULL THEN __pos END) AS {q(s)}" for k, s in zip(n, SLOTS))
     kept = "".join(f", first({q(c)}, true) AS {q(c)}" for c in carry)
     more = "".join(f", {q(c)}" for c in carry)
     complete = " AND ".join(f"{q(s)} IS NOT NULL" for s in SLOTS)
-    return _cells_steps(image_col, seq_col, text_col, carry) + [
+    return _segment_steps(image_col, seq_col, text_col, carry) + [
+        ("placed", f"SELECT {img}, __team AS team, __pos, __seen, {', '.join(at)}{more} FROM {{segments}}"),
+        ("complete", f"""SELECT * FROM (
+  SELECT {img}, team, min(__seen) AS __seen, {slots}{kept} FROM {{placed}} GROUP BY {img}, team) WHERE {complete}"""),
         ("rows", f"""SELECT {img}, team, {', '.join(q(s) for s in SLOTS)}{more},
-       row_number() OVER (PARTITION BY {img} ORDER BY first_seq) AS row_no
-FROM (SELECT {img}, team, first_seq, {slots}{kept} FROM {{cells}} GROUP BY {img}, team, first_seq)
-WHERE {complete}"""),
+       row_number() OVER (PARTITION BY {img} ORDER BY __seen) AS row_no FROM {{complete}}"""),
     ]
 
 
@@ -79,20 +99,22 @@ def team_rows(tokens: DataFrame, image_col: str = "image_id", seq_col: str = "se
 
 
 def _lines_step(image_col: str, order_cols: Sequence[str], text_col: str, colour_col: str) -> tuple[str, str]:
-    img, t = q(image_col), q(text_col)
+    """``ranked``: the first six line values of each image and colour, under the names of their columns, so that
+    Spark knows them as dealt and sorted already."""
+    img, t, colour = q(image_col), q(text_col), q(colour_col)
     order = ", ".join(q(c) for c in order_cols)
-    return ("lines", f"""SELECT {img}, {q(colour_col)} AS colour, interval_no, value FROM (
-  SELECT {img}, {q(colour_col)}, try_cast({t} AS BIGINT) AS value,
-         row_number() OVER (PARTITION BY {img}, {q(colour_col)} ORDER BY {order}) AS interval_no
+    kept = ", ".join(q(c) for c in dict.fromkeys([image_col, colour_col, *order_cols]))
+    return ("ranked", f"""SELECT * FROM (
+  SELECT {kept}, try_cast({t} AS BIGINT) AS __value, row_number() OVER (PARTITION BY {img}, {colour} ORDER BY {order}) AS __no
   FROM {{line_tokens}} WHERE {py_isdigit_sql(t)})
-WHERE interval_no <= {len(INTERVALS)}""")
+WHERE __no <= {len(INTERVALS)}""")
 
 
 def line_values(tokens: DataFrame, image_col: str = "image_id", order_cols: Sequence[str] = ("x", "seq"),
                 text_col: str = "text", colour_col: str = "section") -> DataFrame:
     """Digit-only line labels per (image, colour), left to right,
     the first six aligned to the intervals -> ``image_col, colour, interval_no, value``."""
-    return run_sql({"line_tokens": tokens}, "SELECT * FROM {lines}",
+    return run_sql({"line_tokens": tokens}, f"SELECT {q(image_col)}, {q(colour_col)} AS colour, __no AS interval_no, __value AS value FROM {{ranked}}",
                    [_lines_step(image_col, order_cols, text_col, colour_col)])
 
 
@@ -102,6 +124,7 @@ def _status_steps(select: str, team: str | None, image_col: str, seq_col: str, o
     img = q(image_col)
     carried = list(dict.fromkeys([*carry, *([team_col] if team_col else [])]))
     steps = _rows_steps(image_col, seq_col, text_col, carried)
+    by_seen = f"OVER (PARTITION BY {img} ORDER BY __seen"
     if select == "second":
         steps.append(("picked", "SELECT *, 'blue' AS colour FROM {rows} WHERE row_no = 2"))
     elif select == "name":
@@ -111,16 +134,20 @@ def _status_steps(select: str, team: str | None, image_col: str, seq_col: str, o
             needle = lit_str(team)
         else:
             raise ValueError("select='name' needs a team")
-        steps.append(("picked", f"""SELECT * EXCEPT (__rn), CASE WHEN row_no = 1 THEN 'black' ELSE 'blue' END AS colour
-FROM (SELECT *, row_number() OVER (PARTITION BY {img} ORDER BY row_no) AS __rn FROM {{rows}}
-      WHERE {contains_ci_sql('team', needle)})
-WHERE __rn = 1"""))
+        # the first complete row of the team, counted in the order of the row numbers, so that nothing is sorted again
+        steps.append(("picked", f"""SELECT * EXCEPT (__match, __seen, __nth), CASE WHEN row_no = 1 THEN 'black' ELSE 'blue' END AS colour
+FROM (SELECT *, row_number() {by_seen}) AS row_no, count_if(__match) {by_seen} {_RUN}) AS __nth
+      FROM (SELECT *, {contains_ci_sql('team', needle)} AS __match FROM {{complete}}))
+WHERE __match AND __nth = 1"""))
     else:
         raise ValueError("select must be 'name' or 'second'")
+    # the six values on the first of their rows: ordered like the rank, so the rows stay as they were sorted for it
+    after = f"OVER (PARTITION BY {img}, {q(colour_col)} ORDER BY {', '.join(q(c) for c in order_cols)})"
+    ints = ", ".join(f"lead(__value, {i}) {after} AS {q(lbl)}" if i else f"__value AS {q(lbl)}" for i, lbl in enumerate(INTERVALS))
     steps.append(_lines_step(image_col, order_cols, text_col, colour_col))
-    ints = ", ".join(f"max(CASE WHEN interval_no = {i + 1} THEN value END) AS {q(lbl)}"
-                     for i, lbl in enumerate(INTERVALS))
-    steps.append(("wide_lines", f"SELECT {img}, colour, count(1) AS __n, {ints} FROM {{lines}} GROUP BY {img}, colour"))
+    steps.append(("wide_lines", f"""SELECT * FROM (
+  SELECT {img}, {q(colour_col)} AS colour, __no, lead(true, {len(INTERVALS) - 1}, false) {after} AS __six, {ints} FROM {{ranked}})
+WHERE __no = 1"""))
     return steps
 
 
@@ -146,7 +173,7 @@ def formation_rows(table_tokens: DataFrame, line_tokens: DataFrame, select: str
     out_cols = ", ".join([f"p.{img}", *[f"p.{q(c)}" for c in carry], "p.team", "p.colour",
                           *[f"p.{q(s)}" for s in SLOTS], *[f"w.{q(i)}" for i in INTERVALS]])
     sql = f"""SELECT {out_cols} FROM {{picked}} p
-JOIN {{wide_lines}} w ON p.{img} = w.{img} AND p.colour = w.colour WHERE p.row_no <= 2 AND w.__n = {len(INTERVALS)}"""
+JOIN {{wide_lines}} w ON p.{img} = w.{img} AND p.colour = w.colour WHERE p.row_no <= 2 AND w.__six"""
     return run_sql({"tokens": table_tokens, "line_tokens": line_tokens}, sql, steps)
 
 
@@ -162,7 +189,7 @@ def formation_rejects(table_tokens: DataFrame, line_tokens: DataFrame, select: s
     steps = _status_steps(select, team, image_col, seq_col, order_cols, text_col, colour_col, (), team_col)
     sql = f"""SELECT {img}, reason FROM (
   SELECT i.{img}, CASE WHEN p.row_no IS NULL THEN 'no row' WHEN p.row_no > 2 THEN 'row beyond the second'
-                       WHEN coalesce(w.__n, 0) < {len(INTERVALS)} THEN 'fewer than six line values' END AS reason
+                       WHEN NOT coalesce(w.__six, false) THEN 'fewer than six line values' END AS reason
   FROM (SELECT DISTINCT {img} FROM {{tokens}}) i LEFT JOIN {{picked}} p ON i.{img} = p.{img}
   LEFT JOIN {{wide_lines}} w ON p.{img} = w.{img} AND p.colour = w.colour) WHERE reason IS NOT NULL"""
     return run_sql({"tokens": table_tokens, "line_tokens": line_tokens}, sql, steps)

@@ -26,6 +26,8 @@ STANDIN_POSITION_MAP = {
 }
 STANDIN_SEASON = 1998
 STANDIN_OWN_TEAM = "N"
+#: Line items that a task of the formation tokens takes; its sorts hold some 1 KB for each of them.
+TASK_ROWS = 250_000
 
 PLAYER_MATCH_EXPRS = [
     ("year", "year(l_shipdate)"),
@@ -92,9 +94,13 @@ def player_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project(li.join(part, li.l_partkey == part.p_partkey, "left"), PLAYER_MATCH_EXPRS)
 
 
-def _lineitem_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lineitem_orders(spark: SparkSession, sf_dir: str, by_order: bool = False) -> DataFrame:
+    """``by_order``: both tables dealt by order for the join, in as many parts as there are ``TASK_ROWS`` line items, so
+    what follows by order (several sorts in the same task) takes tasks of one size, however large the tables are."""
     li = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    if by_order and (parts := -(-li.count() // TASK_ROWS)) > spark.sparkContext.defaultParallelism:
+        li, orders = li.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
     return li.join(orders, li.l_orderkey == orders.o_orderkey, "left")
 
 
@@ -115,14 +121,13 @@ def report_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def formation_table_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = "named_struct(" + ", ".join(f"'{k}', {k}" for k in ORDER_KEYS) + ")"
-    return _project(_lineitem_orders(spark, sf_dir), FORMATION_TABLE_EXPRS + [("seq", seq)])
+    return _project(_lineitem_orders(spark, sf_dir, by_order=True), FORMATION_TABLE_EXPRS + [("seq", seq)])
 
 
 def formation_line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lo = _lineitem_orders(spark, sf_dir)
-    black = _project(lo, FORMATION_BLACK_EXPRS)
-    blue = _project(lo, FORMATION_BLUE_EXPRS)
-    return black.unionByName(blue)
+    """Black and blue tokens of each line item, from one join."""
+    both = ", ".join("named_struct(" + ", ".join(f"'{n}', {e}" for n, e in exprs) + ")" for exprs in (FORMATION_BLACK_EXPRS, FORMATION_BLUE_EXPRS))
+    return _lineitem_orders(spark, sf_dir, by_order=True).selectExpr(f"inline(array({both}))")
 
 
 ORDER_KEYS = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
