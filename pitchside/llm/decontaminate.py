@@ -178,6 +178,7 @@ class Tokens:
         self.value = np.zeros(len(keep), np.uint64)
         np.add.at(self.value, run, mix(w.hash + place.astype(np.uint64) * U64(0x9E3779B97F4A7C15)))
         self.hash = np.where(self.kind == PLAIN, w.hash[keep], mix(self.kind.astype(np.uint64) + U64(17)))
+        self.values = mix(self.value + U64(5))
         self.start = w.start[keep]
         last = np.r_[keep[1:], n] - 1 if n else keep
         self.end = w.end[last] if n else w.end
@@ -196,9 +197,14 @@ class Tokens:
         plain = np.concatenate([[0], np.cumsum(self.kind == PLAIN)])
         exact = plain[at + size] - plain[at] < min(LITERALS, size)
         h = np.full(len(at), size + (self.form << 16), np.uint64)
+        # few windows need the values
+        some = np.flatnonzero(exact)
+        literal, first = h[some], at[some]
         for j in range(size):
             mult = U64(pow(0x9E3779B97F4A7C15, j + 2, 1 << 64))
-            h += np.where(exact, mix(self.value[at + j] + U64(5)), self.hash[at + j]) * mult
+            h += (self.hash * mult)[at + j]
+            literal += self.values[first + j] * mult
+        h[some] = literal
         return doc, at, mix(h)
 
     def caseless(self, at: np.ndarray, size: int) -> np.ndarray:
@@ -218,7 +224,7 @@ def _windows(df: DataFrame, key: str, sizes: list[int] | None, bitmap=None) -> D
         met: set = set()
         for b in slices(batches, "text", 1 << 19):
             m = Marked(*flat_bytes(b.column(1)), *marks)
-            keys, cols = b.column(0), {x: [] for x in ("doc", "pos", "n", "form", "size", "hash", "slots")}
+            keys, digest, cols = b.column(0), {}, {x: [] for x in ("doc", "pos", "n", "form", "size", "hash", "slots", "at", "kind", "value")}
             for form in FORMS:
                 t = Tokens(m, form)
                 length = np.diff(t.first)
@@ -233,27 +239,33 @@ def _windows(df: DataFrame, key: str, sizes: list[int] | None, bitmap=None) -> D
                         if form == LITERAL:
                             ok &= t.caseless(at, size)
                     doc, at, h = doc[ok], at[ok], h[ok]
-                    cols["doc"] += doc.tolist()
-                    cols["pos"] += (at - t.first[:-1][doc]).tolist()
-                    cols["n"] += length[doc].tolist()
-                    cols["form"] += [form] * len(doc)
-                    cols["size"] += [size] * len(doc)
-                    cols["hash"] += h.view(np.int64).tolist()
-                    cols["slots"] += [[{"at": j, "kind": _KINDS[t.kind[i + j]], "value": t.text(i + j)} for j in range(size) if t.kind[i + j]] for i in at.tolist()]
-            digest = {}
-            for i in dict.fromkeys(cols["doc"]):
-                text = hashlib.md5(b.column(1)[i].as_buffer().to_pybytes()).digest()
-                if (mark := (keys[i].as_py(), text)) not in met:
-                    if len(met) < MET:
-                        met.add(mark)
-                    digest[i] = text
-            fresh = [j for j, i in enumerate(cols["doc"]) if i in digest]
-            if len(fresh) < len(cols["doc"]):
-                cols = {k: [v[j] for j in fresh] for k, v in cols.items()}
-            kind = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
+                    for i in np.unique(doc).tolist():
+                        if i not in digest:
+                            text = hashlib.md5(b.column(1)[i].as_buffer().to_pybytes()).digest()
+                            mark = keys[i].as_py(), text
+                            digest[i] = None if mark in met else text
+                            if len(met) < MET:
+                                met.add(mark)
+                    fresh = np.array([digest[i] is not None for i in doc.tolist()], bool)
+                    doc, at, h = doc[fresh], at[fresh], h[fresh]
+                    if not len(doc):
+                        continue
+                    # each token's text once, however many windows hold it
+                    row, j = np.nonzero(t.kind[at[:, None] + np.arange(size)])
+                    token, where = np.unique(at[row] + j, return_inverse=True)
+                    for name, x in (("doc", doc), ("pos", at - t.first[:-1][doc]), ("n", length[doc]), ("form", np.full(len(doc), form)), ("size", np.full(len(doc), size)),
+                                    ("hash", h.view(np.int64)), ("slots", np.bincount(row, minlength=len(doc))), ("at", j), ("kind", t.kind[at[row] + j])):
+                        cols[name].append(x)
+                    cols["value"].append(pa.array([t.text(i) for i in token.tolist()], pa.string()).take(pa.array(where, pa.int64())))
+            if not cols["doc"]:
+                continue
+            value = pa.concat_arrays(cols.pop("value"))
+            cols = {k: np.concatenate(v) for k, v in cols.items()}
+            slots = pa.StructArray.from_arrays([pa.array(cols["at"], pa.int32()), pa.array(_KINDS).take(pa.array(cols["kind"])), value], names=["at", "kind", "value"])
+            ends = np.concatenate([[0], np.cumsum(cols["slots"])])
             yield pa.RecordBatch.from_arrays([
-                keys.take(pa.array(cols["doc"], pa.int64())), pa.array([digest[i] for i in cols["doc"]], pa.binary()), pa.array(cols["pos"], pa.int64()), pa.array(cols["n"], pa.int64()),
-                pa.array(cols["form"], pa.int32()), pa.array(cols["size"], pa.int32()), pa.array(cols["hash"], pa.int64()), pa.array(cols["slots"], kind)],
+                keys.take(pa.array(cols["doc"], pa.int64())), pa.array([digest[i] for i in cols["doc"].tolist()], pa.binary()), pa.array(cols["pos"], pa.int64()), pa.array(cols["n"], pa.int64()),
+                pa.array(cols["form"], pa.int32()), pa.array(cols["size"], pa.int32()), pa.array(cols["hash"], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), slots)],
                 names=[key, "digest", "pos", "n", "form", "size", "hash", "slots"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -374,3 +374,23 @@ def test_training_texts_are_cut_before_they_reach_the_driver(spark, monkeypatch)
     rows = [(i, "the and of words here " * 5000, "en") for i in range(20)] + [(30, "le la de", "fr"), (None, "x", "fr"), (32, None, "fr")]
     lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert sum(len(x) for _, x in seen) <= 20_000 and {y for y, _ in seen} == {"en", "fr"}
+
+
+def test_windows_of_a_text_read_each_token_once(monkeypatch):
+    """The text of a token behind a placeholder is taken once for all windows that hold it; windows and slots stay as they were."""
+    import pyarrow as pa
+    from types import SimpleNamespace
+    from pitchside.llm import decontaminate as dc
+    run = {}
+    frame = SimpleNamespace(schema={"item_id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))}, mapInArrow=lambda f, _: run.setdefault("f", f))
+    frame.select = lambda *_: frame
+    dc._windows(frame, "item_id", None)
+    calls, text = [], dc.Tokens.text
+    monkeypatch.setattr(dc.Tokens, "text", lambda self, i: calls.append((self.form, i)) or text(self, i))
+    batch = pa.RecordBatch.from_pydict({"item_id": [1, 1, 2, 3], "text": ["one cat saw Paris and 12 old dogs near my red house"] * 2 + ["", None]})
+    got = [r for b in run["f"](iter([batch])) for r in b.to_pylist()]
+    assert {r["item_id"] for r in got} == {1} and {r["size"] for r in got} == {4, 8}
+    first = next(r for r in got if r["form"] == dc.INSIDE and r["size"] == 8 and r["pos"] == 0)
+    assert first["slots"] == [{"at": 0, "kind": "number", "value": "one"}, {"at": 3, "kind": "name", "value": "paris"}, {"at": 5, "kind": "number", "value": "12"}]
+    assert len({(r["form"], r["size"], r["pos"]) for r in got}) == len(got)
+    assert any(r["slots"] == [] for r in got) and len(calls) <= 2 * len(set(calls))
