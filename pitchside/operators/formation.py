@@ -11,6 +11,8 @@ Those running counts are ordered windows partitioned by image. All tokens are
 sorted once, by image and order; there each team token takes the values up to
 the next one onto its row, and only these team rows are ordered again. So the
 memory of a task is that of one sort of its tokens and a few of its team rows.
+Team rows and line values meet by image alone: tokens that come dealt by image
+are not dealt again, and a task is as large as whoever dealt them made it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pitchside.functions.text import contains_ci_sql, py_fixed_sql, py_float_sql
 SLOTS = presets.FORMATION_COLUMNS
 INTERVALS = presets.FORMATION_INTERVALS
 _RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+_LINE = "(CASE p.colour WHEN 'black' THEN w.black ELSE w.blue END)"
 
 
 def _segment_steps(image_col: str, seq_col: str, text_col: str, carry: Sequence[str] = ()) -> list[tuple[str, str]]:
@@ -120,7 +123,7 @@ def line_values(tokens: DataFrame, image_col: str = "image_id", order_cols: Sequ
 
 def _status_steps(select: str, team: str | None, image_col: str, seq_col: str, order_cols: Sequence[str],
                   text_col: str, colour_col: str, carry: Sequence[str], team_col: str | None) -> list[tuple[str, str]]:
-    """``picked``: the row of each image that is asked for; ``wide_lines``: line values per image and colour."""
+    """``picked``: the row of each image that is asked for; ``wide_lines``: black and blue line values per image."""
     img = q(image_col)
     carried = list(dict.fromkeys([*carry, *([team_col] if team_col else [])]))
     steps = _rows_steps(image_col, seq_col, text_col, carried)
@@ -144,10 +147,13 @@ WHERE __match AND __nth = 1"""))
     # the six values on the first of their rows: ordered like the rank, so the rows stay as they were sorted for it
     after = f"OVER (PARTITION BY {img}, {q(colour_col)} ORDER BY {', '.join(q(c) for c in order_cols)})"
     ints = ", ".join(f"lead(__value, {i}) {after} AS {q(lbl)}" if i else f"__value AS {q(lbl)}" for i, lbl in enumerate(INTERVALS))
+    line = ", ".join(f"'{lbl}', {q(lbl)}" for lbl in INTERVALS)
+    lines = ", ".join(f"first(CASE WHEN colour = '{c}' THEN named_struct('__six', __six, {line}) END, true) AS {c}" for c in ("black", "blue"))
     steps.append(_lines_step(image_col, order_cols, text_col, colour_col))
-    steps.append(("wide_lines", f"""SELECT * FROM (
+    # both lines on one row of the image: its team row is joined by the image alone, so rows dealt by image stay where they are
+    steps.append(("wide_lines", f"""SELECT {img}, {lines} FROM (
   SELECT {img}, {q(colour_col)} AS colour, __no, lead(true, {len(INTERVALS) - 1}, false) {after} AS __six, {ints} FROM {{ranked}})
-WHERE __no = 1"""))
+WHERE __no = 1 GROUP BY {img}"""))
     return steps
 
 
@@ -171,9 +177,9 @@ def formation_rows(table_tokens: DataFrame, line_tokens: DataFrame, select: str
     img = q(image_col)
     steps = _status_steps(select, team, image_col, seq_col, order_cols, text_col, colour_col, carry, team_col)
     out_cols = ", ".join([f"p.{img}", *[f"p.{q(c)}" for c in carry], "p.team", "p.colour",
-                          *[f"p.{q(s)}" for s in SLOTS], *[f"w.{q(i)}" for i in INTERVALS]])
+                          *[f"p.{q(s)}" for s in SLOTS], *[f"{_LINE}.{q(i)} AS {q(i)}" for i in INTERVALS]])
     sql = f"""SELECT {out_cols} FROM {{picked}} p
-JOIN {{wide_lines}} w ON p.{img} = w.{img} AND p.colour = w.colour WHERE p.row_no <= 2 AND w.__six"""
+JOIN {{wide_lines}} w ON p.{img} = w.{img} WHERE p.row_no <= 2 AND {_LINE}.__six"""
     return run_sql({"tokens": table_tokens, "line_tokens": line_tokens}, sql, steps)
 
 
@@ -189,9 +195,9 @@ def formation_rejects(table_tokens: DataFrame, line_tokens: DataFrame, select: s
     steps = _status_steps(select, team, image_col, seq_col, order_cols, text_col, colour_col, (), team_col)
     sql = f"""SELECT {img}, reason FROM (
   SELECT i.{img}, CASE WHEN p.row_no IS NULL THEN 'no row' WHEN p.row_no > 2 THEN 'row beyond the second'
-                       WHEN NOT coalesce(w.__six, false) THEN 'fewer than six line values' END AS reason
+                       WHEN NOT coalesce({_LINE}.__six, false) THEN 'fewer than six line values' END AS reason
   FROM (SELECT DISTINCT {img} FROM {{tokens}}) i LEFT JOIN {{picked}} p ON i.{img} = p.{img}
-  LEFT JOIN {{wide_lines}} w ON p.{img} = w.{img} AND p.colour = w.colour) WHERE reason IS NOT NULL"""
+  LEFT JOIN {{wide_lines}} w ON p.{img} = w.{img}) WHERE reason IS NOT NULL"""
     return run_sql({"tokens": table_tokens, "line_tokens": line_tokens}, sql, steps)
 
 

@@ -94,13 +94,20 @@ def player_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project(li.join(part, li.l_partkey == part.p_partkey, "left"), PLAYER_MATCH_EXPRS)
 
 
+def _order_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Parts of ``TASK_ROWS`` line items; 0 if that gives no more than Spark makes by itself."""
+    parts = -(-table(spark, sf_dir, "lineitem").count() // TASK_ROWS)
+    return parts if parts > spark.sparkContext.defaultParallelism else 0
+
+
 def _lineitem_orders(spark: SparkSession, sf_dir: str, by_order: bool = False) -> DataFrame:
     """``by_order``: both tables dealt by order for the join, in as many parts as there are ``TASK_ROWS`` line items, so
     what follows by order (several sorts in the same task) takes tasks of one size, however large the tables are."""
     li = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    if by_order and (parts := -(-li.count() // TASK_ROWS)) > spark.sparkContext.defaultParallelism:
-        li, orders = li.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
+    if by_order and (parts := _order_parts(spark, sf_dir)):
+        # dealt already, so nothing is gained by sending all orders to every task
+        li, orders = li.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey").hint("merge")
     return li.join(orders, li.l_orderkey == orders.o_orderkey, "left")
 
 
@@ -125,9 +132,11 @@ def formation_table_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def formation_line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Black and blue tokens of each line item, from one join."""
-    both = ", ".join("named_struct(" + ", ".join(f"'{n}', {e}" for n, e in exprs) + ")" for exprs in (FORMATION_BLACK_EXPRS, FORMATION_BLUE_EXPRS))
-    return _lineitem_orders(spark, sf_dir, by_order=True).selectExpr(f"inline(array({both}))")
+    """Black and blue tokens of each line item, from one join. The image stays a column of its own, so that Spark knows the
+    tokens as dealt by it."""
+    image, key = FORMATION_BLACK_EXPRS[0]
+    both = ", ".join("named_struct(" + ", ".join(f"'{n}', {e}" for n, e in exprs[1:]) + ")" for exprs in (FORMATION_BLACK_EXPRS, FORMATION_BLUE_EXPRS))
+    return _lineitem_orders(spark, sf_dir, by_order=True).selectExpr(f"{key} AS {image}", f"inline(array({both}))")
 
 
 ORDER_KEYS = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
