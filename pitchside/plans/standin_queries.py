@@ -386,8 +386,8 @@ LANE_FIELDS = [f"{lane}_{k}" for lane in presets.LANES for k in ("attempts", "XG
 
 
 def _lanes(spark, d):
-    imgs = si.report_images(spark, d)
-    lanes = attack_lanes(si.lane_tokens(spark, d), images=imgs, order_cols=LANE_ORDER)
+    imgs = si.report_images(spark, d, by_order=True)
+    lanes = attack_lanes(si.lane_tokens(spark, d, by_order=True), images=imgs, order_cols=LANE_ORDER)
     return lanes.join(imgs, "image_id")
 
 

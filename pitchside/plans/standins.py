@@ -26,7 +26,7 @@ STANDIN_POSITION_MAP = {
 }
 STANDIN_SEASON = 1998
 STANDIN_OWN_TEAM = "N"
-#: Line items that a task of the formation tokens takes; its sorts hold some 1 KB for each of them.
+#: Line items that a task of the formation or lane tokens takes; its sorts hold some 1 KB for each of them.
 TASK_ROWS = 250_000
 
 PLAYER_MATCH_EXPRS = [
@@ -116,14 +116,17 @@ def team_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project(_lineitem_orders(spark, sf_dir), TEAM_MATCH_EXPRS)
 
 
-def lane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lane_tokens(spark: SparkSession, sf_dir: str, by_order: bool = False) -> DataFrame:
     """lineitem x orders -> shooting-side OCR tokens (image = order)."""
-    return _project(_lineitem_orders(spark, sf_dir), LANE_TOKEN_EXPRS)
+    return _project(_lineitem_orders(spark, sf_dir, by_order), LANE_TOKEN_EXPRS)
 
 
-def report_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def report_images(spark: SparkSession, sf_dir: str, by_order: bool = False) -> DataFrame:
     """orders -> the list of report images (kept even without tokens)."""
-    return _project(table(spark, sf_dir, "orders"), IMAGE_EXPRS)
+    orders = table(spark, sf_dir, "orders")
+    if by_order and (parts := _order_parts(spark, sf_dir)):
+        orders = orders.select("o_orderkey", "o_orderpriority").repartition(parts, "o_orderkey").hint("merge")
+    return _project(orders, IMAGE_EXPRS)
 
 
 def formation_table_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
